@@ -5,9 +5,11 @@ from __future__ import annotations
 from datetime import datetime
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
+from ledgerloom.plans.snapshots import SnapshotTable
 from ledgerloom.schema import ENTITY, FEATURE_GROUPS, TIME
+from ledgerloom.session import utc_now
 from ledgerloom.sources.files import exists
 
 REGISTRATION = """group_name string, features array<string>, entity_col string, event_time_col string,
@@ -93,7 +95,7 @@ class FeatureStore:
     def register(self, group_name: str, features: list[str], entity_col: str = ENTITY,
                  event_time_col: str = TIME, description: str = "") -> None:
         """Register a group or replace its registration."""
-        row = (group_name, features, entity_col, event_time_col, description, datetime.utcnow())
+        row = (group_name, features, entity_col, event_time_col, description, utc_now())
         (self.spark.createDataFrame([row], REGISTRATION).coalesce(1)
          .write.mode("overwrite").json(f"{self.root}/registry/group={group_name}"))
 
@@ -110,30 +112,27 @@ class FeatureStore:
 
     # -- data ------------------------------------------------------------------------------
 
-    def _path(self, group_name: str) -> str:
-        return f"{self.root}/groups/{group_name}"
+    def table(self, group_name: str) -> SnapshotTable:
+        """The group's rows: a snapshot table, so batches, schemas and counts are on record."""
+        return SnapshotTable(self.spark, f"{self.root}/groups/{group_name}")
 
-    def ingest(self, group_name: str, df: DataFrame, batch_id: str, stamp: datetime | None = None) -> None:
-        """Add a batch to a group; repeating the batch replaces its own rows only."""
+    def ingest(self, group_name: str, df: DataFrame, batch_id: str | None = None,
+               stamp: datetime | None = None) -> None:
+        """Append rows to a group; a batch that was ingested before is not added again."""
         self._registration(group_name)
         at = F.lit(stamp) if stamp else F.current_timestamp()
-        (df.withColumn(STAMP, at.cast("timestamp_ntz"))
-         .write.mode("overwrite").parquet(f"{self._path(group_name)}/batch_id={batch_id}"))
-
-    def read_group(self, group_name: str) -> DataFrame | None:
-        """All rows of a group, None before its first batch."""
-        self._registration(group_name)
-        if not exists(self.spark, self._path(group_name)):
-            return None
-        return self.spark.read.option("mergeSchema", "true").parquet(self._path(group_name)).drop("batch_id")
+        self.table(group_name).write(df.withColumn(STAMP, at.cast("timestamp_ntz")), batch_id=batch_id)
 
     def get_features(self, group_name: str, entity_ids: list | DataFrame | None = None,
                      feature_names: list[str] | None = None, as_of: datetime | None = None) -> DataFrame:
-        """A group's history up to ``as_of`` for the entities, with the named features."""
+        """A group's history up to ``as_of`` for the entities, with the named features.
+
+        Conditions and projection reach the parquet scan.
+        """
         info = self._registration(group_name)
-        df = self.read_group(group_name)
-        if df is None:
-            return self.spark.createDataFrame([], f"{info.entity_col} string")
+        df = self.table(group_name).read()
+        if not df.columns:
+            return df
         if as_of is not None and info.event_time_col in df.columns:
             df = as_of_rows(df, as_of, info.event_time_col)
         if info.entity_col in df.columns:
@@ -146,30 +145,26 @@ class FeatureStore:
 
         Groups without data are left out; an unregistered group is an error.
         """
-        frames, entity, time = {}, ENTITY, TIME
+        frames, entity = {}, None
         for name in group_names:
             info = self._registration(name)
-            if self.read_group(name) is None:
-                continue
             df = self.get_features(name, entity_ids, None, as_of)
-            renames = {info.entity_col: entity, info.event_time_col: time} if not frames else \
-                {info.entity_col: entity, info.event_time_col: time}
-            frames[name] = df.withColumnsRenamed({k: v for k, v in renames.items() if k != v})
+            if not df.columns:
+                continue
+            entity = entity or info.entity_col
+            frames[name] = df.withColumnsRenamed({info.entity_col: entity, info.event_time_col: TIME})
         if not frames:
-            return self.spark.createDataFrame([], f"{entity} string")
-        return join_latest(frames, entity, time)
+            return self.spark.createDataFrame([], T.StructType([]))
+        return join_latest(frames, entity, TIME)
 
     def describe(self) -> DataFrame:
-        """One row per group: number of features and of records."""
+        """One row per group: number of features, and of records from its commits."""
         registered = self.registry().select("group_name", F.size("features").alias("features"))
-        names = [r[0] for r in registered.select("group_name").collect()]
-        counts = [
-            self.spark.read.parquet(self._path(n)).select(F.lit(n).alias("group_name"))
-            for n in names if exists(self.spark, self._path(n))
-        ]
+        counts = [self.table(r[0]).history().select(F.lit(r[0]).alias("group_name"), "num_records")
+                  for r in registered.select("group_name").collect()]
         if not counts:
             return registered.withColumn("records", F.lit(0).cast("bigint"))
-        records = reduce(DataFrame.union, counts).groupBy("group_name").agg(F.count(F.lit(1)).alias("records"))
+        records = reduce(DataFrame.union, counts).groupBy("group_name").agg(F.sum("num_records").alias("records"))
         return registered.join(records, "group_name", "left").fillna(0, ["records"])
 
 

@@ -11,8 +11,9 @@ from __future__ import annotations
 import json
 from datetime import datetime
 
-from pyspark.sql import DataFrame, Observation, SparkSession, Window, functions as F, types as T
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
+from ledgerloom.session import utc_now
 from ledgerloom.sources.files import exists, remove
 
 COMMIT = """version bigint, committed_at timestamp_ntz, operation string, num_records bigint,
@@ -29,7 +30,7 @@ class SnapshotTable:
     # -- commits ---------------------------------------------------------------------------
 
     def history(self) -> DataFrame:
-        """All commits. Order by ``version`` to list them; data of pruned versions is gone."""
+        """All commits. Order by ``version`` to list them; data of vacuumed versions is gone."""
         if not exists(self.spark, f"{self.root}/commits"):
             return self.spark.createDataFrame([], COMMIT)
         return self.spark.read.schema(COMMIT).json(f"{self.root}/commits/*")
@@ -48,14 +49,8 @@ class SnapshotTable:
         return self.history().where(F.col("committed_at") <= at).agg(
             F.coalesce(F.max("version"), F.lit(0))).first()[0]
 
-    def floors(self) -> DataFrame:
-        """Commits with ``floor``: the first version whose rows are still part of each one."""
-        overwrites = F.max(F.when(F.col("operation") == "OVERWRITE", F.col("version")))
-        so_far = Window.orderBy("version").rowsBetween(Window.unboundedPreceding, 0)
-        # One row per commit: a log, not data, so a single ordered window is enough.
-        return self.history().withColumn("floor", F.coalesce(overwrites.over(so_far), F.lit(1)))
-
     def _floor(self, version: int) -> int:
+        """First version whose rows are still part of ``version``."""
         return self.history().where((F.col("version") <= version) & (F.col("operation") == "OVERWRITE")).agg(
             F.coalesce(F.max("version"), F.lit(1))).first()[0]
 
@@ -70,24 +65,25 @@ class SnapshotTable:
         """
         if mode not in ("append", "overwrite"):
             raise ValueError(f"mode must be 'append' or 'overwrite', not {mode!r}")
-        if batch_id is not None:
-            done = self.history().where(F.col("batch_id") == batch_id).agg(F.max("version")).first()[0]
-            if done is not None:
-                return done
-        version = self.version + 1
+        last, done = self.history().agg(
+            F.coalesce(F.max("version"), F.lit(0)),
+            F.max(F.when(F.col("batch_id") == F.lit(batch_id), F.col("version")))).first()
+        if done is not None:
+            return done
+        version = last + 1
         if mode == "append" and version > 1:
-            self._check_types(df, version - 1)
+            self._check_types(df, last)
         counted = Observation()
         (df.observe(counted, F.count(F.lit(1)).alias("n"))
          .write.mode("overwrite").parquet(f"{self.root}/data/_v={version}"))
-        commit = (version, committed_at or datetime.utcnow(), mode.upper(), counted.get["n"],
+        commit = (version, committed_at or utc_now(), mode.upper(), counted.get["n"],
                   df.schema.json(), {k: str(v) for k, v in (metadata or {}).items()}, batch_id)
         (self.spark.createDataFrame([commit], COMMIT).coalesce(1)
          .write.mode("error").json(f"{self.root}/commits/version={version:010d}"))
         return version
 
     def _check_types(self, df: DataFrame, version: int) -> None:
-        known = {f.name: f.dataType for f in self._schema(self._floor(version), version)}
+        known = {f.name: f.dataType for f in self._fields(self._floor(version), version)}
         for f in df.schema:
             if f.name in known and known[f.name] != f.dataType:
                 raise ValueError(f"column {f.name} is {known[f.name].simpleString()} in the table and "
@@ -95,7 +91,7 @@ class SnapshotTable:
 
     # -- read ------------------------------------------------------------------------------
 
-    def _schema(self, floor: int, version: int) -> list[T.StructField]:
+    def _fields(self, floor: int, version: int) -> list[T.StructField]:
         """Columns of all live versions, from the commit rows rather than file footers."""
         rows = (self.history().where(F.col("version").between(floor, version))
                 .groupBy("schema").agg(F.min("version").alias("since")).orderBy("since").collect())
@@ -119,7 +115,7 @@ class SnapshotTable:
         floor = self._floor(version)
         if floor < self._pruned_below():
             raise ValueError(f"version {version} has been vacuumed")
-        schema = T.StructType([*self._schema(floor, version), T.StructField("_v", T.LongType())])
+        schema = T.StructType([*self._fields(floor, version), T.StructField("_v", T.LongType())])
         rows = (self.spark.read.schema(schema).parquet(f"{self.root}/data")
                 .where(F.col("_v").between(floor, version)))
         return rows if keep_version else rows.drop("_v")
@@ -137,10 +133,8 @@ class SnapshotTable:
         """Versions whose rows no retained version can reach."""
         if retain_versions < 1:
             raise ValueError("at least one version must be retained")
-        floors = self.floors()
-        oldest = self.version - retain_versions + 1
-        first_live = floors.where(F.col("version") == max(oldest, 1)).select("floor").scalar()
-        return floors.where(F.col("version") < first_live).select("version")
+        oldest = max(self.version - retain_versions + 1, 1)
+        return self.history().where(F.col("version") < self._floor(oldest)).select("version")
 
     def vacuum(self, retain_versions: int = 10) -> list[int]:
         """Delete the data of expired versions and return them; the commits stay."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from datetime import datetime, timezone
 
 from pyspark.sql import SparkSession
 
@@ -52,3 +53,8 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         root = tempfile.mkdtemp(prefix="ledgerloom-")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def utc_now() -> datetime:
+    """Current time in UTC without a zone, as the tables store it."""
+    return datetime.now(timezone.utc).replace(tzinfo=None)
