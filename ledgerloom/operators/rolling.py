@@ -146,7 +146,10 @@ def history(df: DataFrame, group: str | list[str] = ENTITY, amount: str = "amoun
 
 
 def sample_stddev(n: Column, total: Column, squares: Column) -> Column:
-    """Sample standard deviation from a count and exact sums; NULL below two values."""
+    """Sample standard deviation from a count and exact sums; NULL below two values.
+
+    A variance below 1e-12 of the mean square is the rounding of equal values, hence 0.
+    """
     s, q = total.cast("double"), squares.cast("double")
-    spread = F.greatest(q - s * s / n, F.lit(0.0))
-    return F.when(n > 1, F.sqrt(spread / (n - 1)))
+    spread = q - s * s / n
+    return F.when(n > 1, F.sqrt(F.when(spread > q * 1e-12, spread).otherwise(0.0) / (n - 1)))
