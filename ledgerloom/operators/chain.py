@@ -10,6 +10,7 @@ from ledgerloom.operators.dedup import deduplicate, total_order
 from ledgerloom.operators.rolling import rolling_rows
 from ledgerloom.operators.sliding import rolling_range
 from ledgerloom.schema import ENTITY
+from ledgerloom.session import stage
 
 
 def transform_chain(df: DataFrame, frame: str = "rows", per: list[str] | None = None,
@@ -30,5 +31,7 @@ def transform_chain(df: DataFrame, frame: str = "rows", per: list[str] | None =
     out = only_confirmed(out)
     out = add_time_parts(out)
     out = add_amount_columns(out)
+    if plan.cuts is not None:
+        out = stage(out, "chain")  # the chunked windows scan these rows more than once
     roll = rolling_rows if frame == "rows" else rolling_range
     return roll(out, group, plan=plan)

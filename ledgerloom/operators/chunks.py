@@ -128,19 +128,21 @@ def _addable(df: DataFrame, name: str) -> Column:
 
 
 def running_totals(df: DataFrame, keys: list[str], order: list[Column],
-                   totals: dict[str, tuple[str, Column]], cut: bool,
-                   peers: bool = False, backward: bool = False) -> DataFrame:
+                   totals: dict[str, tuple[str, Column]], cut: bool, peers: bool = False,
+                   backward: bool = False, base: DataFrame | None = None) -> DataFrame:
     """Running sum, max or min of each key along ``order``, computed per ``_chunk``.
 
     ``totals`` maps an output name to (kind, value). ``peers`` includes all rows of equal
     order. ``backward`` states that ``order`` descends, so that later chunks come first.
+    Chunk totals are taken from ``base`` if ``df`` is the same rows with columns added at
+    some cost.
     """
     frame = Window.partitionBy(*keys, "_chunk").orderBy(*order)
     frame = (frame.rangeBetween if peers else frame.rowsBetween)(Window.unboundedPreceding, Window.currentRow)
     local = df.withColumns({name: FOLDS[kind](x).over(frame) for name, (kind, x) in totals.items()})
     if not cut:
         return local
-    pieces = df.groupBy(*keys, "_chunk").agg(*[FOLDS[kind](x).alias(name) for name, (kind, x) in totals.items()])
+    pieces = (df if base is None else base).groupBy(*keys, "_chunk").agg(*[FOLDS[kind](x).alias(name) for name, (kind, x) in totals.items()])
     before = (Window.partitionBy(*keys)
               .orderBy(F.col("_chunk").desc() if backward else F.col("_chunk").asc())
               .rowsBetween(Window.unboundedPreceding, -1))

@@ -132,6 +132,20 @@ def rejected(df: DataFrame) -> Column:
     return bad
 
 
+def accepted(df: DataFrame) -> Column:
+    """The rows that :func:`rejected` leaves, as plain conditions that reach the scan."""
+    good = F.lit(True)
+    if "amount_usd" in df.columns:
+        good = good & (F.col("amount_usd") > 0)
+        if dict(df.dtypes)["amount_usd"] in ("double", "float"):
+            good = good & ~F.isnan("amount_usd")
+    if "transaction_hash" in df.columns:
+        good = good & F.col("transaction_hash").isNotNull()
+    if "timestamp" in df.columns:
+        good = good & as_timestamp(df).isNotNull()
+    return good
+
+
 @dataclass
 class Contract:
     """A named, ordered set of rules."""
@@ -180,8 +194,7 @@ class Contract:
 
     def split(self, df: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         """Clean rows, rejected rows and the rule report."""
-        bad = rejected(df)
-        return df.where(~bad), df.where(bad), self.report(df)
+        return df.where(accepted(df)), df.where(rejected(df)), self.report(df)
 
 
 def summarize(report: DataFrame, source: str) -> DataFrame:

@@ -14,6 +14,7 @@ from ledgerloom.operators.ranks import mode_per_group, percent_rank
 from ledgerloom.operators.rolling import history, sample_stddev
 from ledgerloom.operators.sliding import DENSE_GROUP, Sliding, range_columns, sliding
 from ledgerloom.schema import ENTITY, FEATURE_GROUPS, TIME
+from ledgerloom.session import stage
 
 WEEK = 7 * DAY
 
@@ -30,14 +31,22 @@ class Thresholds:
     round_step: float = 100.0
 
 
+def plan_days(df: DataFrame, **limits) -> ChunkPlan:
+    """Chunk plan for ranks within a day."""
+    return plan_chunks(_with_day(df), "_day", ["amount_usd"], **limits)
+
+
 def add_features(df: DataFrame, groups: list[str] | None = None, as_of: datetime | None = None,
                  labels: DataFrame | None = None, limits: Thresholds = Thresholds(),
-                 plan: ChunkPlan | None = None, dense: int = DENSE_GROUP) -> DataFrame:
+                 plan: ChunkPlan | None = None, day_plan: ChunkPlan | None = None,
+                 dense: int = DENSE_GROUP) -> DataFrame:
     """Add the features of the named catalog groups (all by default).
 
     All time frames are computed together. ``as_of`` fixes account ages and preferred values;
     ``labels(address, category, risk_score)`` is needed by the network group only and its
-    features are skipped without it.
+    features are skipped without it. Plans may be measured on any superset of the rows, for
+    instance on the raw table. With oversized groups the rows are staged first, since the
+    chunked plans scan them more than once.
     """
     groups = list(FEATURE_GROUPS) if groups is None else groups
     unknown = set(groups) - set(FEATURE_GROUPS)
@@ -46,18 +55,21 @@ def add_features(df: DataFrame, groups: list[str] | None = None, as_of: datetime
     if labels is None:
         groups = [g for g in groups if g != "network"]
     plan = plan or plan_chunks(df, ENTITY, total_order(df))
-    out = df
-    if "network" in groups:
-        out = _attach_labels(out, labels)
+    if "amount_statistics" in groups:
+        day_plan = day_plan or plan_days(df)
+    base = _attach_labels(df, labels) if "network" in groups else df
+    if plan.cuts is not None or (day_plan is not None and day_plan.cuts is not None):
+        base = stage(base, "features")
+    out = base
     frames = _frames(groups)
     if frames:
         out = sliding(out, frames, ENTITY, TIME, plan, dense)
     if set(groups) & {"amount_statistics", "behavioral", "risk_signals"}:
-        out = history(out, ENTITY, "amount_usd", TIME, plan)
+        out = history(out, ENTITY, "amount_usd", TIME, plan, base)
     if "amount_statistics" in groups:
-        out = _amount_statistics(out)
+        out = _amount_statistics(out, base, day_plan)
     if "behavioral" in groups:
-        out = _behavioral(out, as_of)
+        out = _behavioral(out, base, as_of)
     if "risk_signals" in groups:
         out = _risk_signals(out, limits)
     if "network" in groups:
@@ -67,6 +79,10 @@ def add_features(df: DataFrame, groups: list[str] | None = None, as_of: datetime
     return out.select(*kept, *wanted)
 
 
+def _with_day(df: DataFrame) -> DataFrame:
+    return df.withColumn("_day", F.date_format(TIME, "yyyy-MM-dd"))
+
+
 def _frames(groups: list[str]) -> list[Sliding]:
     frames: dict[str, Sliding] = {}
     if "transaction_velocity" in groups:
@@ -100,18 +116,17 @@ def _night() -> Column:
     return F.hour(TIME) < 6
 
 
-def _amount_statistics(df: DataFrame) -> DataFrame:
+def _amount_statistics(df: DataFrame, base: DataFrame, day_plan: ChunkPlan) -> DataFrame:
     amount, n = F.col("amount_usd"), F.col("_hist_n")
     mean = F.try_divide(F.col("_hist_sum").cast("double"), n)
-    out = add_amount_columns(df).withColumns({
+    out = add_amount_columns(_with_day(df)).withColumns({
         "amount_zscore": F.try_divide(amount - mean, sample_stddev(n, F.col("_hist_sum"), F.col("_hist_squares"))),
         "amount_momentum": F.try_divide(amount, F.col("amount_mean_7d")) - 1,
-        "_day": F.date_format(TIME, "yyyy-MM-dd"),
     })
-    return percent_rank(out, "_day", "amount_usd", "amount_percentile")
+    return percent_rank(out, "_day", "amount_usd", "amount_percentile", day_plan, _with_day(base))
 
 
-def _behavioral(df: DataFrame, as_of: datetime | None) -> DataFrame:
+def _behavioral(df: DataFrame, base: DataFrame, as_of: datetime | None) -> DataFrame:
     at = F.col(TIME)
     until = F.lit(as_of).cast("timestamp_ntz") if as_of else F.current_timestamp().cast("timestamp_ntz")
     out = df.withColumns({
@@ -123,7 +138,7 @@ def _behavioral(df: DataFrame, as_of: datetime | None) -> DataFrame:
         "days_since_last_txn": F.timestamp_diff("DAY", F.col("_previous_time"), at),
         "account_age_days": F.timestamp_diff("DAY", F.col("_first_time"), until),
     })
-    seen = df.where(at <= until)
+    seen = base.where(at <= until)
     for value, name in [("chain", "preferred_chain"), ("token_symbol", "preferred_token")]:
         # One row per entity; a hot entity on the left is split by the adaptive skew join.
         out = out.join(mode_per_group(seen, [ENTITY], value, name), ENTITY, "left")

@@ -7,30 +7,31 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ledgerloom.operators.chunks import ChunkPlan, plan_chunks, running_totals
 
 
-def percent_rank(df: DataFrame, group: str, value: str, name: str, plan: ChunkPlan | None = None) -> DataFrame:
+def percent_rank(df: DataFrame, group: str, value: str, name: str, plan: ChunkPlan | None = None,
+                 base: DataFrame | None = None) -> DataFrame:
     """Share of the group's other rows with a smaller value; nulls rank last.
 
-    A group is often a whole day of data. Where it is too large for one task, equal values
-    are counted first and ranks come from running counts over chunks of the value range.
+    A group is often a whole day of data. Where one is too large for a task, equal values are
+    counted first (map-side), ranks come from running counts over chunks of the value range,
+    and rows look up their rank by value. Counts are taken from ``base`` if ``df`` is the
+    same rows with columns added at some cost.
     """
-    plan = plan or plan_chunks(df, group, [value])
-    rows = plan.assign(df)
-    spec = Window.partitionBy(group, "_chunk").orderBy(F.col(value).asc_nulls_last())
+    plan = plan or plan_chunks(df if base is None else base, group, [value])
+    known, order = F.col(group).isNotNull(), [F.col(value).asc_nulls_last()]
     if plan.cuts is None:
-        return rows.withColumn(name, F.percent_rank().over(spec)).drop("_chunk")
-
-    small = rows.where(~F.col("_cut")).withColumn(name, F.percent_rank().over(spec))
-    hot = rows.where("_cut")
-    sizes = hot.groupBy(group, value, "_chunk").agg(F.count(F.lit(1)).alias("_same"))
-    ranked = running_totals(sizes, [group], [F.col(value).asc_nulls_last()],
-                            {"_upto": ("sum", F.col("_same"))}, cut=True, peers=True)
-    whole = hot.groupBy(group).agg(F.count(F.lit(1)).alias("_all"))  # cut groups only: bounded
-    ranks = ranked.join(F.broadcast(whole), group).select(
-        F.col(group).alias("_g"), F.col(value).alias("_v"),
-        F.coalesce(F.try_divide(F.col("_upto") - F.col("_same"), F.col("_all") - 1), F.lit(0.0)).alias(name))
-    joined = hot.select(*df.columns).join(
-        ranks, (F.col(group) == F.col("_g")) & F.col(value).eqNullSafe(F.col("_v")), "left")
-    return small.select(*df.columns, name).unionByName(joined.select(*df.columns, name))
+        rank = F.percent_rank().over(Window.partitionBy(group, "_chunk").orderBy(*order))
+        return plan.assign(df).withColumn(name, F.when(known, rank)).drop("_chunk")
+
+    sizes = (plan.assign(df if base is None else base).where(known)
+             .groupBy(group, "_chunk", value).agg(F.count(F.lit(1)).alias("_same")))
+    ranked = running_totals(sizes, [group], order, {"_upto": ("sum", F.col("_same"))}, cut=True, peers=True)
+    whole = (sizes.groupBy(group, "_chunk").agg(F.sum("_same").alias("_piece"))
+             .withColumn("_all", F.sum("_piece").over(Window.partitionBy(group))))
+    share = F.coalesce(F.try_divide(F.col("_upto") - F.col("_same"), F.col("_all") - 1), F.lit(0.0))
+    ranks = ranked.join(whole, [group, "_chunk"]).select(
+        F.col(group).alias("_g"), F.col(value).alias("_v"), share.alias(name))
+    return df.join(ranks, (F.col(group) == F.col("_g")) & F.col(value).eqNullSafe(F.col("_v")),
+                   "left").drop("_g", "_v")
 
 
 def mode_per_group(df: DataFrame, group: list[str], value: str, name: str) -> DataFrame:

@@ -112,11 +112,12 @@ def _carry(rows: DataFrame, group: list[str], order: list[str], x: Column, time:
 
 
 def history(df: DataFrame, group: str | list[str] = ENTITY, amount: str = "amount_usd",
-            time: str = TIME, plan: ChunkPlan | None = None) -> DataFrame:
+            time: str = TIME, plan: ChunkPlan | None = None, base: DataFrame | None = None) -> DataFrame:
     """Running facts of each group up to and including the row.
 
     Adds ``_hist_n``, ``_hist_sum``, ``_hist_squares`` (exact decimals, so that pieces of a
-    cut group add up without drift), ``_first_time`` and ``_previous_time``.
+    cut group add up without drift), ``_first_time`` and ``_previous_time``. Chunk totals are
+    taken from ``base`` if ``df`` is the same rows with columns added at some cost.
     """
     group = as_list(group)
     order = total_order(df, time)
@@ -124,16 +125,17 @@ def history(df: DataFrame, group: str | list[str] = ENTITY, amount: str = "amoun
     cut = plan.cuts is not None
     x = F.col(amount)
     rows = plan.assign(df)
+    source = plan.assign(base) if cut and base is not None else rows
     out = running_totals(rows, group, ascending(order), {
         "_hist_n": ("sum", F.when(x.isNotNull(), 1).otherwise(0)),
         "_hist_sum": ("sum", x.cast(EXACT)),
         "_hist_squares": ("sum", (x * x).cast(EXACT)),
         "_first_time": ("min", F.col(time)),
-    }, cut)
+    }, cut, base=source)
     along = Window.partitionBy(*group, "_chunk").orderBy(*ascending(order))
     out = out.withColumn("_previous_time", F.lag(time).over(along))
     if cut:
-        ends = rows.where("_cut").groupBy(*group, "_chunk").agg(F.max(time).alias("_last_time"))
+        ends = source.where("_cut").groupBy(*group, "_chunk").agg(F.max(time).alias("_last_time"))
         before = ends.select(*group, "_chunk", F.lag("_last_time").over(
             Window.partitionBy(*group).orderBy("_chunk")).alias("_earlier_time"))
         out = out.withColumn("_nth", F.row_number().over(along))

@@ -93,17 +93,40 @@ def _finish(out: DataFrame, df: DataFrame, wanted: list[Sliding], group: list[st
 
 
 # -- sweep ---------------------------------------------------------------------------------
+#
+# Groups that fit one task carry their rows through the sweep, so those move once. For cut
+# groups the changes are summed per instant first, which also collapses any number of rows
+# at one instant, swept in chunks of time and joined back to the rows of the instant.
 
 def _sweep(df: DataFrame, wanted: list[Sliding], group: list[str], time: str, plan: ChunkPlan) -> DataFrame:
-    sums = [s for s in wanted if s.kind != "max"]
-    tops = [s for s in wanted if s.kind == "max"]
-    out = df
+    base = plan.assign(df.withColumn("_at", micros(time)), by_time=True)
+    sums, tops = [s for s in wanted if s.kind != "max"], [s for s in wanted if s.kind == "max"]
+    changes = _changes(sums)
+    rows = base
+    for value in sorted({v for m, v, _ in changes if m == "d"}):
+        rows = _next_seen(rows, value, group, plan, base)
+
+    cut = plan.cuts is not None
+    out = rows.where(~F.col("_cut")) if cut else rows
     if sums:
-        out = _sweep_sums(out, sums, group, time, plan)
-    for s in tops:
-        out = _sweep_max(out, s, group, time, plan)
+        out = _carried_sums(out, sums, changes, df.columns, group)
+    for i, s in enumerate(tops):
+        done = [x.name for x in [*sums, *tops[:i]]]
+        out = _carried_max(out, s, [c for c in df.columns if c not in done] + done, group)
+    out = out.select(*_with_names(df, wanted), "_at")
+    if cut:
+        hot = base.where("_cut").select(*[c for c in df.columns if c not in {s.name for s in wanted}], "_at")
+        if sums:
+            hot = hot.join(_instant_sums(rows.where("_cut"), sums, changes, group, plan), [*group, "_at"], "left")
+        for s in tops:
+            hot = hot.join(_instant_max(base.where("_cut"), s, group, plan), [*group, "_at"], "left")
+        out = out.unionByName(hot.select(*_with_names(df, wanted), "_at"))
+    return _finish(out, df, wanted, group)
+
+
+def _with_names(df: DataFrame, wanted: list[Sliding]) -> list[str]:
     names = [s.name for s in wanted]
-    return out.select(*[c for c in df.columns if c not in names], *names)
+    return [c for c in df.columns if c not in names] + names
 
 
 def _moments(s: Sliding) -> list[str]:
@@ -111,80 +134,84 @@ def _moments(s: Sliding) -> list[str]:
             "distinct": ["d"]}[s.kind]
 
 
-def _sweep_sums(df: DataFrame, wanted: list[Sliding], group: list[str], time: str, plan: ChunkPlan) -> DataFrame:
-    # One running change per (moment, value, span), shared by the columns that need it.
+def _changes(sums: list[Sliding]) -> dict[tuple[str, str, int], str]:
+    """One running change per (moment, value, span), shared by the columns that need it."""
     changes: dict[tuple[str, str, int], str] = {}
-    for s in wanted:
+    for s in sums:
         for m in _moments(s):
             changes.setdefault((m, s.value, s.span), f"_d{len(changes)}")
+    return changes
 
-    rows = df.withColumn("_at", micros(time))
-    rows = plan.assign(rows, by_time=True)
-    for value in sorted({v for m, v, _ in changes if m == "d"}):
-        rows = _next_seen(rows, value, group, plan)
+
+def _events(changes: dict, payload: Column | None = None, empty: Column | None = None) -> Column:
+    """A row's entry and, per frame, its exit: structs of (row,) time and changes."""
+    def kind(moment: str) -> str:
+        return "bigint" if moment in ("n", "d") else EXACT
 
     def amount(key, sign: int) -> Column:
         moment, value, _ = key
         x, known = F.col(value), F.col(value).isNotNull() & F.col("_at").isNotNull()
         if moment in ("n", "d"):
-            return F.when(known, F.lit(sign)).otherwise(0).cast("bigint")
-        x = x * x if moment == "q" else x
-        return F.coalesce(F.when(known, (x * sign).cast(EXACT)), F.lit(0).cast(EXACT))
-
-    def event(at: Column, signed: dict, payload: Column | None) -> Column:
-        zero = {k: F.lit(0).cast("bigint" if k[0] in ("n", "d") else EXACT) for k in changes}
-        fields = [at.alias("_at"), *[signed.get(k, zero[k]).alias(n) for k, n in changes.items()]]
-        return F.struct(*([payload.alias("_row")] if payload is not None else []), *fields)
-
-    def events(payload: Column | None, empty: Column | None) -> Column:
-        enter = event(F.col("_at"), {k: amount(k, 1) for k in changes}, payload)
-        leave = []
-        for span in sorted({k[2] for k in changes if k[0] != "d"}):
-            gone = {k: amount(k, -1) for k in changes if k[0] != "d" and k[2] == span}
-            leave.append(event(F.col("_at") + span + 1, gone, empty))
-        for k in changes:
-            if k[0] == "d":
-                until = F.least(F.col("_at") + k[2] + 1, F.col(f"_next_{k[1]}"))
-                leave.append(event(until, {k: amount(k, -1)}, empty))
-        return F.array(enter, *leave)
-
-    totals = {n: ("sum", F.col(n)) for n in changes.values()}
-    small = rows.where(~F.col("_cut")) if plan.cuts is not None else rows
-    columns = df.columns
-    payload = F.struct(*[F.col(c) for c in columns])
-    empty = F.lit(None).cast(small.select(payload.alias("r")).schema["r"].dataType)
+            change = F.lit(sign)
+        else:
+            change = ((x * x if moment == "q" else x) * sign).cast(EXACT)
+        return F.coalesce(F.when(known, change), F.lit(0)).cast(kind(moment))
+
+    def event(at: Column, signed: dict, body: Column | None) -> Column:
+        fields = [signed.get(k, F.lit(0).cast(kind(k[0]))).alias(n) for k, n in changes.items()]
+        return F.struct(*([] if body is None else [body.alias("_row")]), at.alias("_at"), *fields)
+
+    events = [event(F.col("_at"), {k: amount(k, 1) for k in changes}, payload)]
+    for span in sorted({k[2] for k in changes if k[0] != "d"}):
+        gone = {k: amount(k, -1) for k in changes if k[0] != "d" and k[2] == span}
+        events.append(event(F.col("_at") + span + 1, gone, empty))
+    for k in changes:
+        if k[0] == "d":  # a value leaves when it expires or when its next occurrence takes over
+            until = F.least(F.col("_at") + k[2] + 1, F.col(f"_next_{k[1]}"))
+            events.append(event(until, {k: amount(k, -1)}, empty))
+    return F.array(*events)
+
+
+def _payload(rows: DataFrame, columns: list[str]) -> tuple[Column, Column]:
+    body = F.struct(*[F.col(c) for c in columns])
+    return body, F.lit(None).cast(rows.select(body.alias("r")).schema["r"].dataType)
+
+
+def _group_columns(group: list[str]) -> tuple[list[Column], list[str]]:
+    names = [f"_g{i}" for i in range(len(group))]
+    return [F.col(c).alias(n) for c, n in zip(group, names)], names
+
+
+def _carried_sums(rows: DataFrame, sums: list[Sliding], changes: dict, columns: list[str],
+                  group: list[str]) -> DataFrame:
+    body, empty = _payload(rows, columns)
+    keys, names = _group_columns(group)
     swept = running_totals(
-        small.select(*[F.col(c).alias(f"_g{i}") for i, c in enumerate(group)], "_chunk",
-                     F.inline(events(payload, empty))),
-        [f"_g{i}" for i in range(len(group))], [F.col("_at").asc()], totals, cut=False, peers=True)
-    out = swept.where(F.col("_row").isNotNull()).select("_row.*", "_at", *changes.values())
-
-    if plan.cuts is not None:
-        out = out.unionByName(_sweep_cut(rows, events(None, None), changes, totals, columns, group, plan))
-    return _finish(out.withColumns(_values(wanted, changes)), df, wanted, group)
-
-
-def _sweep_cut(rows: DataFrame, events: Column, changes: dict, totals: dict, columns: list[str],
-               group: list[str], plan: ChunkPlan) -> DataFrame:
-    """Sweep of the cut groups: changes are summed per instant before they move, swept in
-    chunks of time, and joined back to the rows of that instant."""
-    hot = rows.where("_cut")
-    instants = (hot.select(*group, "_last", F.inline(events))
+        rows.select(*keys, "_chunk", F.inline(_events(changes, body, empty))), names,
+        [F.col("_at").asc()], {n: ("sum", F.col(n)) for n in changes.values()}, cut=False, peers=True)
+    return (swept.where(F.col("_row").isNotNull()).select("_row.*", "_at", "_chunk", *changes.values())
+            .withColumns(_values(sums, changes)).drop(*changes.values()))
+
+
+def _instant_sums(hot: DataFrame, sums: list[Sliding], changes: dict, group: list[str],
+                  plan: ChunkPlan) -> DataFrame:
+    instants = (hot.select(*group, "_last", F.inline(_events(changes)))
                 .where(F.col("_at") <= micros("_last"))
                 .groupBy(*group, "_at").agg(*[F.sum(n).alias(n) for n in changes.values()]))
-    placed = ChunkPlan(plan.group, ["_at"], plan.largest, _time_cuts(plan), plan.most_cuts).assign(instants)
-    swept = running_totals(placed, group, [F.col("_at").asc()], totals, cut=True, peers=True)
-    return hot.select(*columns, "_at").join(
-        swept.select(*group, "_at", *changes.values()), [*group, "_at"], "left")
+    placed = _by_instant(plan).assign(instants)
+    swept = running_totals(placed, group, [F.col("_at").asc()],
+                           {n: ("sum", F.col(n)) for n in changes.values()}, cut=True, peers=True)
+    return swept.select(*group, "_at", *[c.alias(n) for n, c in _values(sums, changes).items()])
 
 
-def _time_cuts(plan: ChunkPlan) -> DataFrame:
+def _by_instant(plan: ChunkPlan) -> ChunkPlan:
     """The plan's cut points as microseconds of their time alone."""
     at = F.transform("_points", lambda p: F.struct(p["n0"].alias("n0"), micros(p["k0"]).alias("k0")))
-    return plan.cuts.withColumn("_points", F.array_distinct(at)).drop("_last")
+    cuts = plan.cuts.withColumn("_points", F.array_distinct(at)).drop("_last")
+    return ChunkPlan(plan.group, ["_at"], plan.largest, cuts, plan.most_cuts)
 
 
-def _next_seen(rows: DataFrame, value: str, group: list[str], plan: ChunkPlan) -> DataFrame:
+def _next_seen(rows: DataFrame, value: str, group: list[str], plan: ChunkPlan, base: DataFrame) -> DataFrame:
     """Time at which the group's value occurs next, as ``_next_<value>``.
 
     A (group, value) pair of a cut group is followed chunk by chunk: each chunk gets one
@@ -197,7 +224,7 @@ def _next_seen(rows: DataFrame, value: str, group: list[str], plan: ChunkPlan) -
     follow = F.lead("_at").over(Window.partitionBy(*pair, spread).orderBy("_at"))
     if plan.cuts is None:
         return rows.withColumn(name, follow)
-    firsts = (rows.where(F.col("_cut") & ~unknown).groupBy(*pair).agg(F.min("_at").alias("_at"))
+    firsts = (base.where(F.col("_cut") & ~unknown).groupBy(*pair).agg(F.min("_at").alias("_at"))
               .withColumn("_chunk", F.lag("_chunk").over(Window.partitionBy(*group, value).orderBy("_chunk")))
               .where(F.col("_chunk").isNotNull())
               .withColumn("_marker", F.lit(True)))
@@ -205,12 +232,12 @@ def _next_seen(rows: DataFrame, value: str, group: list[str], plan: ChunkPlan) -
     return both.withColumn(name, follow).where(~F.col("_marker")).drop("_marker")
 
 
-def _values(wanted: list[Sliding], changes: dict) -> dict[str, Column]:
+def _values(sums: list[Sliding], changes: dict) -> dict[str, Column]:
     def total(moment: str, s: Sliding) -> Column:
         return F.col(changes[(moment, s.value, s.span)])
 
     out = {}
-    for s in wanted:
+    for s in sums:
         if s.kind == "distinct":
             out[s.name] = total("d", s)
             continue
@@ -227,52 +254,47 @@ def _values(wanted: list[Sliding], changes: dict) -> dict[str, Column]:
     return out
 
 
-def _sweep_max(df: DataFrame, s: Sliding, group: list[str], time: str, plan: ChunkPlan) -> DataFrame:
-    """Sliding maximum from two running maxima.
+# A sliding maximum comes from two running maxima. Time is divided into slots as long as the
+# frame, so a frame is the end of one slot and the start of the next. Each row leaves an echo
+# one frame later, in the next slot: the frame's part in the earlier slot is then the running
+# maximum of the echoes from the far end.
 
-    Time is divided into slots as long as the frame, so a frame is the end of one slot and
-    the start of the next. Each row leaves an echo one frame later, in the next slot: the
-    frame's part in the earlier slot is then the running maximum of echoes from the far end.
-    """
-    rows = plan.assign(df.withColumn("_at", micros(time)), by_time=True)
-    slot = F.col("_at") - F.pmod(F.col("_at"), F.lit(s.span))
+def _slot(at: Column, span: int) -> Column:
+    return at - F.pmod(at, F.lit(span))
+
+
+def _marks(rows: DataFrame, s: Sliding, body: Column | None = None, empty: Column | None = None) -> Column:
     x = F.when(F.col("_at").isNotNull(), F.col(s.value))
-    kind = dict(df.dtypes)[s.value]
-    nothing = F.lit(None).cast(kind)
-    totals = {"_begin": ("max", F.col("_now")), "_rest": ("max", F.col("_echo"))}
-
-    def pair(payload: Column | None, empty: Column | None) -> Column:
-        def mark(at, now, echo, body):
-            return F.struct(*([body.alias("_row")] if body is not None else []),
-                            at.alias("_at"), now.alias("_now"), echo.alias("_echo"))
-        return F.array(mark(F.col("_at"), x, nothing, payload),
-                       mark(F.col("_at") + s.span, nothing, x, empty))
-
-    def both_ways(marks: DataFrame, keys: list[str], cut: bool) -> DataFrame:
-        keys = [*keys, "_slot"]
-        marks = marks.withColumn("_slot", slot)
-        begin = running_totals(marks, keys, [F.col("_at").asc()], {"_begin": totals["_begin"]}, cut, peers=True)
-        done = running_totals(begin, keys, [F.col("_at").desc()], {"_rest": totals["_rest"]}, cut,
-                              peers=True, backward=True)
-        return done.withColumn(s.name, F.greatest("_begin", "_rest"))
-
-    small = rows.where(~F.col("_cut")) if plan.cuts is not None else rows
-    payload = F.struct(*[F.col(c) for c in df.columns])
-    empty = F.lit(None).cast(small.select(payload.alias("r")).schema["r"].dataType)
-    keys = [f"_g{i}" for i in range(len(group))]
-    swept = both_ways(small.select(*[F.col(c).alias(k) for c, k in zip(group, keys)], "_chunk",
-                                   F.inline(pair(payload, empty))), keys, cut=False)
-    out = swept.where(F.col("_row").isNotNull()).select("_row.*", "_at", s.name)
-    if plan.cuts is not None:
-        hot = rows.where("_cut")
-        last = micros("_last")
-        # Echoes past the group's last row count for the end of its slot, so they move there.
-        instants = (hot.select(*group, "_last", F.inline(pair(None, None)))
-                    .where(slot <= last - F.pmod(last, F.lit(s.span)))
-                    .withColumn("_at", F.least("_at", last))
-                    .groupBy(*group, "_at").agg(F.max("_now").alias("_now"), F.max("_echo").alias("_echo")))
-        placed = ChunkPlan(plan.group, ["_at"], plan.largest, _time_cuts(plan), plan.most_cuts).assign(instants)
-        swept = both_ways(placed, group, cut=True)
-        out = out.unionByName(hot.select(*df.columns, "_at").join(
-            swept.select(*group, "_at", s.name), [*group, "_at"], "left"))
-    return _finish(out, df, [s], group)
+    nothing = F.lit(None).cast(rows.schema[s.value].dataType)
+
+    def mark(at, now, echo, carried):
+        return F.struct(*([] if carried is None else [carried.alias("_row")]),
+                        at.alias("_at"), now.alias("_now"), echo.alias("_echo"))
+    return F.array(mark(F.col("_at"), x, nothing, body), mark(F.col("_at") + s.span, nothing, x, empty))
+
+
+def _running_max(marks: DataFrame, s: Sliding, keys: list[str], cut: bool) -> DataFrame:
+    marks = marks.withColumn("_slot", _slot(F.col("_at"), s.span))
+    keys = [*keys, "_slot"]
+    begun = running_totals(marks, keys, [F.col("_at").asc()], {"_begin": ("max", F.col("_now"))}, cut, peers=True)
+    both = running_totals(begun, keys, [F.col("_at").desc()], {"_rest": ("max", F.col("_echo"))}, cut,
+                          peers=True, backward=True, base=marks)
+    return both.withColumn(s.name, F.greatest("_begin", "_rest"))
+
+
+def _carried_max(rows: DataFrame, s: Sliding, columns: list[str], group: list[str]) -> DataFrame:
+    body, empty = _payload(rows, columns)
+    keys, names = _group_columns(group)
+    marks = rows.select(*keys, "_chunk", F.inline(_marks(rows, s, body, empty)))
+    return (_running_max(marks, s, names, cut=False)
+            .where(F.col("_row").isNotNull()).select("_row.*", "_at", "_chunk", s.name))
+
+
+def _instant_max(hot: DataFrame, s: Sliding, group: list[str], plan: ChunkPlan) -> DataFrame:
+    last = micros("_last")
+    # Echoes past the group's last row count for the end of its slot, so they move there.
+    instants = (hot.select(*group, "_last", F.inline(_marks(hot, s)))
+                .where(_slot(F.col("_at"), s.span) <= _slot(last, s.span))
+                .withColumn("_at", F.least("_at", last))
+                .groupBy(*group, "_at").agg(F.max("_now").alias("_now"), F.max("_echo").alias("_echo")))
+    return _running_max(_by_instant(plan).assign(instants), s, group, cut=True).select(*group, "_at", s.name)

@@ -8,7 +8,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerloom.operators.chain import transform_chain
-from ledgerloom.operators.contracts import Contract, rejected, run_counts, summarize
+from ledgerloom.operators.contracts import Contract, accepted, run_counts, summarize
 from ledgerloom.plans.feature_store import build_training_store, registry_totals
 from ledgerloom.plans.snapshots import SnapshotTable
 from ledgerloom.schema import KEY_COLUMNS, TIME
@@ -146,7 +146,7 @@ def in_day_windows(df: DataFrame, end: datetime, days_back: int, time_col: str =
 def backfill_rows(raw: DataFrame, end: datetime, days_back: int, frame: str = "rows") -> DataFrame:
     """Transformed clean rows of all windows at once; each window is processed by itself."""
     rows = in_day_windows(raw, end, days_back)
-    return transform_chain(rows.where(~rejected(rows)), frame, per=["window_start"])
+    return transform_chain(rows.where(accepted(rows)), frame, per=["window_start"])
 
 
 def backfill(raw: DataFrame, end: datetime, path: str, days_back: int = 30, frame: str = "rows") -> None:

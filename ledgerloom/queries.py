@@ -10,11 +10,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ledgerloom.functions.scalars import add_amount_columns, add_time_parts, invalid_member, only_confirmed
 from ledgerloom.operators import contracts as rules
 from ledgerloom.operators.chain import transform_chain
-from ledgerloom.operators.chunks import plan_chunks
-from ledgerloom.operators.contracts import Contract, rejected, run_counts, summarize
+from ledgerloom.operators.chunks import ROWS_PER_CHUNK, ChunkPlan, plan_chunks
+from ledgerloom.operators.contracts import Contract, accepted, rejected, run_counts, summarize
 from ledgerloom.operators.dedup import deduplicate, total_order
 from ledgerloom.operators.drift import evolve, normalize
-from ledgerloom.operators.features import Thresholds, add_features
+from ledgerloom.operators.features import Thresholds, add_features, plan_days
 from ledgerloom.operators.rolling import rolling_rows
 from ledgerloom.operators.sliding import rolling_range
 from ledgerloom.plans.feature_store import (
@@ -23,7 +23,7 @@ from ledgerloom.plans.feature_store import (
 from ledgerloom.plans.jobs import backfill, backfill_rows, day_spine, quality_gate
 from ledgerloom.plans.snapshots import SnapshotTable
 from ledgerloom.schema import CHAINS, ENTITY, FEATURE_GROUPS, STATUSES, TIME, TRANSACTION
-from ledgerloom.session import adopt, scratch_dir
+from ledgerloom.session import adopt, scratch_dir, stage
 from ledgerloom.sources.dead_letters import read_dead_letters, write_dead_letters
 from ledgerloom.sources.samples import address_labels, tx_events, tx_lineitem
 from ledgerloom.sources.windows import (
@@ -71,7 +71,7 @@ def shown(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = tx_events(spark, sf_dir)
-    return df.where(~rejected(df))
+    return df.where(accepted(df))
 
 
 def settled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,6 +79,12 @@ def settled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return only_confirmed(deduplicate(clean(spark, sf_dir), ["transaction_hash"]))
 
 
+def address_plan(spark: SparkSession, sf_dir: str, rows_per_chunk: int = ROWS_PER_CHUNK) -> ChunkPlan:
+    """Address sizes, measured on the raw rows: cheaper, and an upper bound for the rest."""
+    df = tx_events(spark, sf_dir)
+    return plan_chunks(df, ENTITY, total_order(df), rows_per_chunk)
+
+
 # -- sources -------------------------------------------------------------------------------
 
 @query
@@ -230,37 +236,37 @@ def amount_features(spark, sf_dir):
 
 @query
 def rolling_rows_frame(spark, sf_dir):
-    return shown(rolling_rows(settled(spark, sf_dir)), [*KEY, ENTITY, *ROLLED])
+    return shown(rolling_rows(settled(spark, sf_dir), plan=address_plan(spark, sf_dir)), [*KEY, ENTITY, *ROLLED])
 
 
 @query
 def rolling_rows_chunked(spark, sf_dir):
-    df = settled(spark, sf_dir)
-    plan = plan_chunks(df, ENTITY, total_order(df), rows_per_chunk=SMALL_CHUNK)
-    return shown(rolling_rows(df, plan=plan), [*KEY, ENTITY, *ROLLED])
+    plan = address_plan(spark, sf_dir, SMALL_CHUNK)
+    return shown(rolling_rows(stage(settled(spark, sf_dir), "rolling"), plan=plan), [*KEY, ENTITY, *ROLLED])
 
 
 @query
 def rolling_labels(spark, sf_dir):
     names = [f"{p}_{w}" for w in ("3h", "12h", "2d") for p in ("txn_count", "amount_sum", "amount_mean")]
-    return shown(rolling_rows(settled(spark, sf_dir), windows=[3, 12, 48]), [*KEY, ENTITY, *names])
+    out = rolling_rows(settled(spark, sf_dir), windows=[3, 12, 48], plan=address_plan(spark, sf_dir))
+    return shown(out, [*KEY, ENTITY, *names])
 
 
 @query
 def rolling_range_frame(spark, sf_dir):
-    return shown(rolling_range(settled(spark, sf_dir)), [*KEY, ENTITY, *RANGED])
+    return shown(rolling_range(settled(spark, sf_dir), plan=address_plan(spark, sf_dir)), [*KEY, ENTITY, *RANGED])
 
 
 @query
 def rolling_range_dense(spark, sf_dir):
-    return shown(rolling_range(settled(spark, sf_dir), dense=0), [*KEY, ENTITY, *RANGED])
+    out = rolling_range(settled(spark, sf_dir), plan=address_plan(spark, sf_dir), dense=0)
+    return shown(out, [*KEY, ENTITY, *RANGED])
 
 
 @query
 def rolling_range_chunked(spark, sf_dir):
-    df = settled(spark, sf_dir)
-    plan = plan_chunks(df, ENTITY, total_order(df), rows_per_chunk=SMALL_CHUNK)
-    return shown(rolling_range(df, plan=plan), [*KEY, ENTITY, *RANGED])
+    plan = address_plan(spark, sf_dir, SMALL_CHUNK)
+    return shown(rolling_range(stage(settled(spark, sf_dir), "rolling"), plan=plan), [*KEY, ENTITY, *RANGED])
 
 
 CHAINED = [*TX, "year", "month", "day", "hour", "date_partition", "hour_partition",
@@ -280,7 +286,7 @@ def transform_chain_range(spark, sf_dir):
 @query
 def transform_chain_lineitem(spark, sf_dir):
     df = tx_lineitem(spark, sf_dir)
-    return shown(transform_chain(df.where(~rejected(df))), [*KEY, ENTITY, "txn_count_7d", "date_partition"])
+    return shown(transform_chain(df.where(accepted(df))), [*KEY, ENTITY, "txn_count_7d", "date_partition"])
 
 
 # -- contracts -----------------------------------------------------------------------------
@@ -442,8 +448,10 @@ def snapshot_drift(spark, sf_dir):
 
 # -- features ------------------------------------------------------------------------------
 
-def _family(spark, sf_dir, group: str, **options) -> DataFrame:
-    out = add_features(settled(spark, sf_dir), [group], **options)
+def _family(spark, sf_dir, group: str, rows_per_chunk: int = ROWS_PER_CHUNK, **options) -> DataFrame:
+    out = add_features(settled(spark, sf_dir), [group], plan=address_plan(spark, sf_dir, rows_per_chunk),
+                       day_plan=plan_days(clean(spark, sf_dir), rows_per_chunk=rows_per_chunk)
+                       if group == "amount_statistics" else None, **options)
     return shown(out, [*KEY, ENTITY, *FEATURE_GROUPS[group]])
 
 
@@ -459,9 +467,7 @@ def feature_velocity_dense(spark, sf_dir):
 
 @query
 def feature_velocity_chunked(spark, sf_dir):
-    df = settled(spark, sf_dir)
-    plan = plan_chunks(df, ENTITY, total_order(df), rows_per_chunk=SMALL_CHUNK)
-    return _family(spark, sf_dir, "transaction_velocity", plan=plan)
+    return _family(spark, sf_dir, "transaction_velocity", SMALL_CHUNK)
 
 
 @query
@@ -471,9 +477,7 @@ def feature_amounts(spark, sf_dir):
 
 @query
 def feature_amounts_chunked(spark, sf_dir):
-    df = settled(spark, sf_dir)
-    plan = plan_chunks(df, ENTITY, total_order(df), rows_per_chunk=SMALL_CHUNK)
-    return _family(spark, sf_dir, "amount_statistics", plan=plan)
+    return _family(spark, sf_dir, "amount_statistics", SMALL_CHUNK)
 
 
 @query

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from datetime import datetime, timezone
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -58,3 +58,14 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
 def utc_now() -> datetime:
     """Current time in UTC without a zone, as the tables store it."""
     return datetime.now(timezone.utc).replace(tzinfo=None)
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the scratch folder and read it back.
+
+    Cuts the lineage of rows that several later steps scan: they then read the columns they
+    need, and a lost executor costs its tasks and not the steps before.
+    """
+    path = scratch_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ledgerloom.operators.contracts import rejected
+from ledgerloom.operators.contracts import accepted, rejected
 from ledgerloom.operators.drift import normalize
 from ledgerloom.plans.snapshots import SnapshotTable
 from ledgerloom.schema import TIME, TRANSACTION
@@ -34,9 +34,8 @@ def ingest_stream(stream: DataFrame, root: str, name: str, checkpoint: str,
         spark = batch.sparkSession
         batch_id = f"{name}-{number:012d}"
         batch = normalize(batch)
-        bad = rejected(batch)
-        write_dead_letters(batch.where(bad), f"{root}/dead_letters", name, batch_id)
-        SnapshotTable(spark, f"{root}/transactions").write(batch.where(~bad), batch_id=batch_id)
+        write_dead_letters(batch.where(rejected(batch)), f"{root}/dead_letters", name, batch_id)
+        SnapshotTable(spark, f"{root}/transactions").write(batch.where(accepted(batch)), batch_id=batch_id)
 
     writer = stream.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint).queryName(name)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)
