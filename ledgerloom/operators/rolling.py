@@ -135,7 +135,8 @@ def history(df: DataFrame, group: str | list[str] = ENTITY, amount: str = "amoun
     along = Window.partitionBy(*group, "_chunk").orderBy(*ascending(order))
     out = out.withColumn("_previous_time", F.lag(time).over(along))
     if cut:
-        ends = source.where("_cut").groupBy(*group, "_chunk").agg(F.max(time).alias("_last_time"))
+        ends = source.where("_cut").groupBy(*group, "_chunk").agg(
+            F.when(F.count_if(F.col(time).isNull()) == 0, F.max(time)).alias("_last_time"))  # nulls come last
         before = ends.select(*group, "_chunk", F.lag("_last_time").over(
             Window.partitionBy(*group).orderBy("_chunk")).alias("_earlier_time"))
         out = out.withColumn("_nth", F.row_number().over(along))

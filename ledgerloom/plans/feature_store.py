@@ -95,14 +95,28 @@ class FeatureStore:
     def register(self, group_name: str, features: list[str], entity_col: str = ENTITY,
                  event_time_col: str = TIME, description: str = "") -> None:
         """Register a group or replace its registration."""
-        row = (group_name, features, entity_col, event_time_col, description, utc_now())
-        (self.spark.createDataFrame([row], REGISTRATION).coalesce(1)
-         .write.mode("overwrite").json(f"{self.root}/registry/group={group_name}"))
+        self._append([(group_name, features, entity_col, event_time_col, description, utc_now())])
+
+    def register_catalog(self, catalog: dict[str, list[str]]) -> None:
+        """Register all groups of a catalog that are not registered like this yet."""
+        known = {r.group_name: r for r in self.registry().collect()}
+        new = [(name, features, ENTITY, TIME, "", utc_now()) for name, features in catalog.items()
+               if name not in known or (known[name].features, known[name].entity_col,
+                                        known[name].event_time_col) != (features, ENTITY, TIME)]
+        if new:
+            self._append(new)
+
+    def _append(self, rows: list[tuple]) -> None:
+        (self.spark.createDataFrame(rows, REGISTRATION).coalesce(1)
+         .write.mode("append").json(f"{self.root}/registry"))
 
     def registry(self) -> DataFrame:
+        """The last registration of each group."""
         if not exists(self.spark, f"{self.root}/registry"):
             return self.spark.createDataFrame([], REGISTRATION)
-        return self.spark.read.schema(REGISTRATION).json(f"{self.root}/registry/*")
+        rows = self.spark.read.schema(REGISTRATION).json(f"{self.root}/registry")
+        newest = F.max_by(F.struct(*rows.columns), "registered_at").alias("r")
+        return rows.groupBy(F.col("group_name").alias("g")).agg(newest).select("r.*")
 
     def _registration(self, group_name: str):
         row = self.registry().where(F.col("group_name") == group_name).first()
@@ -160,8 +174,8 @@ class FeatureStore:
     def describe(self) -> DataFrame:
         """One row per group: number of features, and of records from its commits."""
         registered = self.registry().select("group_name", F.size("features").alias("features"))
-        counts = [self.table(r[0]).history().select(F.lit(r[0]).alias("group_name"), "num_records")
-                  for r in registered.select("group_name").collect()]
+        names = [r[0] for r in registered.select("group_name").collect()]
+        counts = [self.table(n).history().select(F.lit(n).alias("group_name"), "num_records") for n in names]
         if not counts:
             return registered.withColumn("records", F.lit(0).cast("bigint"))
         records = reduce(DataFrame.union, counts).groupBy("group_name").agg(F.sum("num_records").alias("records"))
@@ -181,8 +195,8 @@ def build_training_store(spark: SparkSession, df: DataFrame, root: str, batch_id
                          stamp: datetime | None = None) -> FeatureStore:
     """Register every catalog group and ingest those with at least one computed feature."""
     store = FeatureStore(spark, root)
+    store.register_catalog(catalog)
     for name, features in catalog.items():
-        store.register(name, features)
         found = available(features, df.columns)
         if found and ENTITY in df.columns:
             store.ingest(name, df.select(ENTITY, TIME, *found), batch_id, stamp)

@@ -65,13 +65,14 @@ class SnapshotTable:
         """
         if mode not in ("append", "overwrite"):
             raise ValueError(f"mode must be 'append' or 'overwrite', not {mode!r}")
-        last, done = self.history().agg(
+        last, done, schema = self.history().agg(
             F.coalesce(F.max("version"), F.lit(0)),
-            F.max(F.when(F.col("batch_id") == F.lit(batch_id), F.col("version")))).first()
+            F.max(F.when(F.col("batch_id") == F.lit(batch_id), F.col("version"))),
+            F.max_by("schema", "version")).first()
         if done is not None:
             return done
         version = last + 1
-        if mode == "append" and version > 1:
+        if mode == "append" and version > 1 and schema != df.schema.json():
             self._check_types(df, last)
         counted = Observation()
         (df.observe(counted, F.count(F.lit(1)).alias("n"))
@@ -106,13 +107,15 @@ class SnapshotTable:
 
         ``keep_version`` keeps ``_v``, the version that added the row.
         """
-        current = self.version
+        upto = F.lit(True) if version is None else F.col("version") <= version
+        current, floor = self.history().agg(
+            F.coalesce(F.max("version"), F.lit(0)),
+            F.coalesce(F.max(F.when(upto & (F.col("operation") == "OVERWRITE"), F.col("version"))), F.lit(1))).first()
         version = current if version is None else version
         if version > current:
             raise ValueError(f"version {version} does not exist (current: {current})")
         if version <= 0:
             return self.spark.createDataFrame([], T.StructType([]))
-        floor = self._floor(version)
         if floor < self._pruned_below():
             raise ValueError(f"version {version} has been vacuumed")
         schema = T.StructType([*self._fields(floor, version), T.StructField("_v", T.LongType())])

@@ -17,11 +17,16 @@ MARKS = "source string, batch_id string, end timestamp_ntz"
 
 @dataclass(frozen=True)
 class SourceConfig:
-    """A named source: parquet location and the chains it contributes (all if empty)."""
+    """A named source: parquet location and the chains it contributes (all if empty).
+
+    ``day_column`` names the partition column that holds the day of a row, if the location is
+    laid out by day: windows then list and open only the folders they need.
+    """
 
     name: str
     path: str = ""
     chains: list[str] = field(default_factory=list)
+    day_column: str | None = None
 
 
 def default_sources(root: str) -> list[SourceConfig]:
@@ -53,6 +58,8 @@ def extract_window(source: SourceConfig, start: datetime, end: datetime,
         spark = spark or SparkSession.active()
         records = spark.read.parquet(source.path)
     rows = in_window(records, start, end)
+    if source.day_column:
+        rows = rows.where(F.col(source.day_column).cast("date").between(F.lit(start.date()), F.lit(end.date())))
     if source.chains:
         rows = rows.where(F.col("chain").isin(source.chains))
     return rows.withColumn("_source", F.lit(source.name))
