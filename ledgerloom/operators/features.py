@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ledgerloom.functions.scalars import DAY, add_amount_columns
 from ledgerloom.operators.chunks import ChunkPlan, plan_chunks
 from ledgerloom.operators.dedup import total_order
-from ledgerloom.operators.ranks import mode_per_group, percent_rank
+from ledgerloom.operators.ranks import modes_per_group, percent_rank
 from ledgerloom.operators.rolling import history, sample_stddev
 from ledgerloom.operators.sliding import DENSE_GROUP, Sliding, range_columns, sliding
 from ledgerloom.schema import ENTITY, FEATURE_GROUPS, TIME
@@ -138,11 +138,10 @@ def _behavioral(df: DataFrame, base: DataFrame, as_of: datetime | None) -> DataF
         "days_since_last_txn": F.timestamp_diff("DAY", F.col("_previous_time"), at),
         "account_age_days": F.timestamp_diff("DAY", F.col("_first_time"), until),
     })
-    seen = base.where(at <= until)
-    for value, name in [("chain", "preferred_chain"), ("token_symbol", "preferred_token")]:
-        # One row per entity; a hot entity on the left is split by the adaptive skew join.
-        out = out.join(mode_per_group(seen, [ENTITY], value, name), ENTITY, "left")
-    return out
+    preferred = modes_per_group(base.where(at <= until), [ENTITY],
+                                {"preferred_chain": "chain", "preferred_token": "token_symbol"})
+    # One row per entity, and one join only: the adaptive skew join can then split a hot entity.
+    return out.join(preferred, ENTITY, "left")
 
 
 def _risk_signals(df: DataFrame, limits: Thresholds) -> DataFrame:

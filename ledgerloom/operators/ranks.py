@@ -34,8 +34,15 @@ def percent_rank(df: DataFrame, group: str, value: str, name: str, plan: ChunkPl
                    "left").drop("_g", "_v")
 
 
-def mode_per_group(df: DataFrame, group: list[str], value: str, name: str) -> DataFrame:
-    """Most frequent non-null value of each group, the larger one on a tie."""
-    return (df.where(F.col(value).isNotNull())
-            .groupBy(*group, value).agg(F.count(F.lit(1)).alias("_n"))
-            .groupBy(*group).agg(F.max_by(value, F.struct("_n", value)).alias(name)))
+def modes_per_group(df: DataFrame, group: list[str], columns: dict[str, str]) -> DataFrame:
+    """Most frequent non-null value of each text column per group, the larger one on a tie.
+
+    ``columns`` maps output names to columns. All columns are counted in one pass, combined
+    map-side, so a hot group moves one row per value and task.
+    """
+    pairs = F.array(*[F.struct(F.lit(name).alias("_name"), F.col(c).alias("_value")) for name, c in columns.items()])
+    counts = (df.select(*group, F.inline(pairs)).where(F.col("_value").isNotNull())
+              .groupBy(*group, "_name", "_value").agg(F.count(F.lit(1)).alias("_n")))
+    return counts.groupBy(*group).agg(*[
+        F.max_by("_value", F.when(F.col("_name") == name, F.struct("_n", "_value"))).alias(name)
+        for name in columns])

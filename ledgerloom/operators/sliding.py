@@ -18,6 +18,7 @@ from ledgerloom.operators.chunks import NULL_GROUP_SPREAD, ChunkPlan, plan_chunk
 from ledgerloom.operators.dedup import total_order
 from ledgerloom.operators.rolling import EXACT, as_list, in_group, sample_stddev
 from ledgerloom.schema import ENTITY, TIME
+from ledgerloom.session import stage
 
 FRAMES = {"1h": HOUR, "24h": DAY, "7d": 7 * DAY}
 DENSE_GROUP = 2_000
@@ -102,12 +103,11 @@ def _sweep(df: DataFrame, wanted: list[Sliding], group: list[str], time: str, pl
     base = plan.assign(df.withColumn("_at", micros(time)), by_time=True)
     sums, tops = [s for s in wanted if s.kind != "max"], [s for s in wanted if s.kind == "max"]
     changes = _changes(sums)
-    rows = base
-    for value in sorted({v for m, v, _ in changes if m == "d"}):
-        rows = _next_seen(rows, value, group, plan, base)
-
+    distinct = sorted({v for m, v, _ in changes if m == "d"})
     cut = plan.cuts is not None
-    out = rows.where(~F.col("_cut")) if cut else rows
+    out = base.where(~F.col("_cut")) if cut else base
+    for value in distinct:
+        out = _next_seen(out, value, group)
     if sums:
         out = _carried_sums(out, sums, changes, df.columns, group)
     for i, s in enumerate(tops):
@@ -115,12 +115,21 @@ def _sweep(df: DataFrame, wanted: list[Sliding], group: list[str], time: str, pl
         out = _carried_max(out, s, [c for c in df.columns if c not in done] + done, group)
     out = out.select(*_with_names(df, wanted), "_at")
     if cut:
-        hot = base.where("_cut").select(*[c for c in df.columns if c not in {s.name for s in wanted}], "_at")
+        hot = base.where("_cut")
+        rows = hot.select(*[c for c in df.columns if c not in {s.name for s in wanted}], "_at")
+        parts = []
         if sums:
-            hot = hot.join(_instant_sums(rows.where("_cut"), sums, changes, group, plan), [*group, "_at"], "left")
-        for s in tops:
-            hot = hot.join(_instant_max(base.where("_cut"), s, group, plan), [*group, "_at"], "left")
-        out = out.unionByName(hot.select(*_with_names(df, wanted), "_at"))
+            followed = hot
+            for value in distinct:
+                followed = _next_seen(followed, value, group, hot)
+            parts.append(_instant_sums(followed, sums, changes, group, plan))
+        parts += [_instant_max(hot, s, group, plan) for s in tops]
+        results = parts[0]
+        for part in parts[1:]:  # every part has all instants of rows
+            results = results.join(part, [*group, "_at"])
+        # One join with the rows, so that the adaptive skew join can split a crowded instant.
+        rows = rows.join(results, [*group, "_at"], "left")
+        out = out.unionByName(rows.select(*_with_names(df, wanted), "_at"))
     return _finish(out, df, wanted, group)
 
 
@@ -151,14 +160,12 @@ def _events(changes: dict, payload: Column | None = None, empty: Column | None =
     def amount(key, sign: int) -> Column:
         moment, value, _ = key
         x, known = F.col(value), F.col(value).isNotNull() & F.col("_at").isNotNull()
-        if moment in ("n", "d"):
-            change = F.lit(sign)
-        else:
-            change = ((x * x if moment == "q" else x) * sign).cast(EXACT)
-        return F.coalesce(F.when(known, change), F.lit(0)).cast(kind(moment))
+        change = F.lit(sign) if moment in ("n", "d") else (x * x if moment == "q" else x) * sign
+        return F.when(known, change.cast(kind(moment)))
 
     def event(at: Column, signed: dict, body: Column | None) -> Column:
-        fields = [signed.get(k, F.lit(0).cast(kind(k[0]))).alias(n) for k, n in changes.items()]
+        # No change is NULL rather than 0: sums skip it.
+        fields = [signed.get(k, F.lit(None).cast(kind(k[0]))).alias(n) for k, n in changes.items()]
         return F.struct(*([] if body is None else [body.alias("_row")]), at.alias("_at"), *fields)
 
     events = [event(F.col("_at"), {k: amount(k, 1) for k in changes}, payload)]
@@ -198,7 +205,7 @@ def _instant_sums(hot: DataFrame, sums: list[Sliding], changes: dict, group: lis
     instants = (hot.select(*group, "_last", F.inline(_events(changes)))
                 .where(F.col("_at") <= micros("_last"))
                 .groupBy(*group, "_at").agg(*[F.sum(n).alias(n) for n in changes.values()]))
-    placed = _by_instant(plan).assign(instants)
+    placed = stage(_by_instant(plan).assign(instants), "instants")  # read for totals and for the sweep
     swept = running_totals(placed, group, [F.col("_at").asc()],
                            {n: ("sum", F.col(n)) for n in changes.values()}, cut=True, peers=True)
     return swept.select(*group, "_at", *[c.alias(n) for n, c in _values(sums, changes).items()])
@@ -211,20 +218,20 @@ def _by_instant(plan: ChunkPlan) -> ChunkPlan:
     return ChunkPlan(plan.group, ["_at"], plan.largest, cuts, plan.most_cuts)
 
 
-def _next_seen(rows: DataFrame, value: str, group: list[str], plan: ChunkPlan, base: DataFrame) -> DataFrame:
+def _next_seen(rows: DataFrame, value: str, group: list[str], base: DataFrame | None = None) -> DataFrame:
     """Time at which the group's value occurs next, as ``_next_<value>``.
 
-    A (group, value) pair of a cut group is followed chunk by chunk: each chunk gets one
-    marker row with the first time of the next chunk the pair occurs in.
+    With ``base``, the rows of cut groups, a (group, value) pair is followed chunk by chunk:
+    each chunk gets one marker row with the first time of the pair's next chunk.
     """
     name = f"_next_{value}"
     pair = [*group, value, "_chunk"]
     unknown = F.col(value).isNull()
     spread = F.when(unknown, F.pmod(F.hash("_at"), F.lit(NULL_GROUP_SPREAD))).otherwise(0)
     follow = F.lead("_at").over(Window.partitionBy(*pair, spread).orderBy("_at"))
-    if plan.cuts is None:
+    if base is None:
         return rows.withColumn(name, follow)
-    firsts = (base.where(F.col("_cut") & ~unknown).groupBy(*pair).agg(F.min("_at").alias("_at"))
+    firsts = (base.where(~unknown).groupBy(*pair).agg(F.min("_at").alias("_at"))
               .withColumn("_chunk", F.lag("_chunk").over(Window.partitionBy(*group, value).orderBy("_chunk")))
               .where(F.col("_chunk").isNotNull())
               .withColumn("_marker", F.lit(True)))
@@ -239,9 +246,9 @@ def _values(sums: list[Sliding], changes: dict) -> dict[str, Column]:
     out = {}
     for s in sums:
         if s.kind == "distinct":
-            out[s.name] = total("d", s)
+            out[s.name] = F.coalesce(total("d", s), F.lit(0).cast("bigint"))
             continue
-        n = total("n", s)
+        n = F.coalesce(total("n", s), F.lit(0).cast("bigint"))
         if s.kind == "count":
             out[s.name] = n
         elif s.kind == "sum":
@@ -297,4 +304,5 @@ def _instant_max(hot: DataFrame, s: Sliding, group: list[str], plan: ChunkPlan)
                 .where(_slot(F.col("_at"), s.span) <= _slot(last, s.span))
                 .withColumn("_at", F.least("_at", last))
                 .groupBy(*group, "_at").agg(F.max("_now").alias("_now"), F.max("_echo").alias("_echo")))
-    return _running_max(_by_instant(plan).assign(instants), s, group, cut=True).select(*group, "_at", s.name)
+    placed = stage(_by_instant(plan).assign(instants), "instants")
+    return _running_max(placed, s, group, cut=True).select(*group, "_at", s.name)

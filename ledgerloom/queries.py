@@ -496,7 +496,7 @@ def feature_network(spark, sf_dir):
 
 
 def _store(spark, sf_dir) -> FeatureStore:
-    rows = transform_chain(clean(spark, sf_dir))
+    rows = stage(transform_chain(clean(spark, sf_dir)), "rows")  # ingested group by group
     store = build_training_store(spark, rows, scratch_dir(spark, "features"), "batch-1", stamp=STAMP)
     velocity = available(FEATURE_GROUPS["transaction_velocity"], rows.columns)
     store.ingest("transaction_velocity", rows.select(ENTITY, TIME, *velocity), "batch-1")  # repeated: no-op
