@@ -21,7 +21,10 @@ NULL_GROUP_SPREAD = 4096
 
 @dataclass(frozen=True)
 class ChunkPlan:
-    """Cut points of the oversized groups of one DataFrame; ``cuts`` is None if there are none."""
+    """Cut points of the oversized groups of one DataFrame; ``cuts`` is None if there are none.
+
+    A plan also fits any subset of the rows it was measured on, never later rows.
+    """
 
     group: list[str]
     order: list[str]
