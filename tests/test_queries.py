@@ -4,8 +4,8 @@ import pytest
 
 import __spark_entry__ as entry_points
 from compare import connect, differences
-
-QUERIES, ORACLES = entry_points.queries(), entry_points.oracle_sql()
+from ledgerloom.oracles import ORACLES
+from ledgerloom.queries import QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -22,5 +22,10 @@ def test_every_query_has_sql():
     assert QUERIES.keys() == ORACLES.keys()
 
 
+def test_entry_points_hold_every_query():
+    assert QUERIES.keys() <= entry_points.queries().keys()
+    assert ORACLES.keys() <= entry_points.oracle_sql().keys() <= entry_points.queries().keys()
+
+
 def test_flagship(spark):
     assert entry_points.entry(spark).count() == 571
