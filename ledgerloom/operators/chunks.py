@@ -8,15 +8,17 @@ totals, which are small.
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 ROWS_PER_CHUNK = 2_000_000   # larger groups are cut
-MAX_CHUNKS = 20_000          # bounds the broadcast cut points whatever the data size
 SAMPLES_PER_CHUNK = 32
-NULL_GROUP_SPREAD = 4096
+
+
+def null_spread(df: DataFrame) -> int:
+    """Parts that rows without a group are spread over: as many as a shuffle has partitions, times four."""
+    return 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 @dataclass(frozen=True)
@@ -31,6 +33,7 @@ class ChunkPlan:
     largest: int = 0
     cuts: DataFrame | None = None
     most_cuts: int = 0
+    time_cuts: DataFrame | None = None      # the same points by the first order column alone
 
     def _known(self) -> Column:
         known = F.lit(True)
@@ -44,15 +47,12 @@ class ChunkPlan:
         ``by_time`` compares the first order column only, which keeps rows of equal time in
         one chunk. Rows with a null group belong to no group: they are only spread out.
         """
-        spread = F.pmod(F.xxhash64(*self.order), F.lit(NULL_GROUP_SPREAD)).cast("int")
+        spread = F.pmod(F.xxhash64(*self.order), F.lit(null_spread(df))).cast("int")
         if self.cuts is None:
             return df.withColumn("_chunk", F.when(self._known(), F.lit(0)).otherwise(spread))
-        if by_time:
-            points = F.array_distinct(F.transform("_points", lambda p: F.struct(p["n0"], p["k0"])))
-            key = order_key(self.order[:1])
-        else:
-            points, key = F.col("_points"), order_key(self.order)
-        marked = df.join(F.broadcast(self.cuts), self.group, "left").withColumn("_points", points)
+        cuts, key = (self.time_cuts, order_key(self.order[:1])) if by_time else (self.cuts, order_key(self.order))
+        # A point per ROWS_PER_CHUNK rows of cut groups, already on the driver: 1e12 rows have 500,000.
+        marked = df.join(F.broadcast(cuts), self.group, "left")
         return marked.withColumns({
             "_chunk": F.when(~self._known(), spread).when(
                 F.col("_points").isNotNull(), _position("_points", key, self.most_cuts)).otherwise(0),
@@ -78,22 +78,21 @@ def _position(points: str, key: Column, most: int) -> Column:
 
 
 def plan_chunks(df: DataFrame, group: str | list[str], order: list[str],
-                rows_per_chunk: int = ROWS_PER_CHUNK, max_chunks: int = MAX_CHUNKS) -> ChunkPlan:
+                rows_per_chunk: int = ROWS_PER_CHUNK) -> ChunkPlan:
     """Measure group sizes and cut the oversized ones at sampled quantiles of their order.
 
     The size pass reads only the group columns and combines map-side. No cut point is taken
-    unless a group is oversized, so ordinary data pays for that one narrow aggregate. At
-    most ``max_chunks`` cut points reach the driver, however large the data. Sampling only
-    places the cuts; results do not depend on where they fall.
+    unless a group is oversized, so ordinary data pays for that one narrow aggregate. One
+    small cut point per ``rows_per_chunk`` rows of oversized groups reaches the driver.
+    Sampling only places the cuts; results do not depend on where they fall.
     """
     group = [group] if isinstance(group, str) else list(group)
     known = df
     for c in group:
         known = known.where(F.col(c).isNotNull())
     sizes = known.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
-    total, largest = sizes.agg(F.sum("_n"), F.max("_n")).first()
-    total, largest = total or 0, largest or 0
-    limit = max(rows_per_chunk, math.ceil(total / max_chunks))
+    largest = sizes.agg(F.max("_n")).first()[0] or 0
+    limit = rows_per_chunk
     if largest <= limit:
         return ChunkPlan(group, order, largest)
 
@@ -109,31 +108,48 @@ def plan_chunks(df: DataFrame, group: str | list[str], order: list[str],
     if not rows:
         return ChunkPlan(group, order, largest)
     local = df.sparkSession.createDataFrame(rows, cuts.schema)
-    return ChunkPlan(group, order, largest, local, max(len(r["_points"]) for r in rows))
+    # Points by time alone, made once here: per row of a cut group it would be quadratic work.
+    by_time = F.array_distinct(F.transform("_points", lambda p: F.struct(p["n0"].alias("n0"), p["k0"].alias("k0"))))
+    shorter = local.withColumn("_points", by_time)
+    timed = df.sparkSession.createDataFrame(shorter.collect(), shorter.schema)
+    return ChunkPlan(group, order, largest, local, max(len(r["_points"]) for r in rows), timed)
 
 
 FOLDS = {"sum": F.sum, "max": F.max, "min": F.min}
+MOMENTS = "struct<n:bigint,mean:double,m2:double>"
+
+
+def fold(kind: str, x: Column, over: Window | None = None) -> Column:
+    """The aggregate of a kind. ``moments`` are count, mean and squared deviations from the mean."""
+    place = (lambda c: c.over(over)) if over is not None else (lambda c: c)
+    if kind != "moments":
+        return place(FOLDS[kind](x))
+    v = x.cast("double")
+    n = place(F.count(v))
+    return F.struct(n.alias("n"), place(F.avg(v)).alias("mean"), (place(F.var_pop(v)) * n).alias("m2"))
 
 
 def combine(kind: str, a: Column, b: Column) -> Column:
-    """Merge two partial aggregates; NULL is the aggregate of no rows."""
+    """Merge two partial aggregates; NULL is the aggregate of no rows. Nothing is subtracted from a total."""
     if kind == "sum":
         return F.coalesce(a + b, a, b)
+    if kind == "moments":
+        n, apart = a["n"] + b["n"], b["mean"] - a["mean"]
+        both = F.struct(n.alias("n"), (a["mean"] + apart * (b["n"] / n)).alias("mean"),
+                        (a["m2"] + b["m2"] + apart * apart * (a["n"] * (b["n"] / n))).alias("m2"))
+        return F.when(b.isNull() | (b["n"] == 0), a).when(a.isNull() | (a["n"] == 0), b).otherwise(both)
     return (F.greatest if kind == "max" else F.least)(a, b)
 
 
-def _addable(df: DataFrame, name: str) -> Column:
-    """Decimals with one digit of headroom, so that adding two keeps the scale."""
-    dtype = df.schema[name].dataType
-    if isinstance(dtype, T.DecimalType):
-        return F.col(name).cast(T.DecimalType(min(dtype.precision, 37), dtype.scale))
-    return F.col(name)
+def deviation(moments: Column) -> Column:
+    """Sample standard deviation; NULL below two values."""
+    return F.when(moments["n"] > 1, F.sqrt(moments["m2"] / (moments["n"] - 1)))
 
 
 def running_totals(df: DataFrame, keys: list[str], order: list[Column],
                    totals: dict[str, tuple[str, Column]], cut: bool, peers: bool = False,
                    backward: bool = False, base: DataFrame | None = None) -> DataFrame:
-    """Running sum, max or min of each key along ``order``, computed per ``_chunk``.
+    """Running sum, max, min or moments of each key along ``order``, computed per ``_chunk``.
 
     ``totals`` maps an output name to (kind, value). ``peers`` includes all rows of equal
     order. ``backward`` states that ``order`` descends, so that later chunks come first.
@@ -142,17 +158,25 @@ def running_totals(df: DataFrame, keys: list[str], order: list[Column],
     """
     frame = Window.partitionBy(*keys, "_chunk").orderBy(*order)
     frame = (frame.rangeBetween if peers else frame.rowsBetween)(Window.unboundedPreceding, Window.currentRow)
-    local = df.withColumns({name: FOLDS[kind](x).over(frame) for name, (kind, x) in totals.items()})
+    local = df.withColumns({name: fold(kind, x, frame) for name, (kind, x) in totals.items()})
     if not cut:
         return local
-    pieces = (df if base is None else base).groupBy(*keys, "_chunk").agg(*[FOLDS[kind](x).alias(name) for name, (kind, x) in totals.items()])
+    pieces = (df if base is None else base).groupBy(*keys, "_chunk").agg(*[fold(kind, x).alias(name) for name, (kind, x) in totals.items()])
     before = (Window.partitionBy(*keys)
               .orderBy(F.col("_chunk").desc() if backward else F.col("_chunk").asc())
               .rowsBetween(Window.unboundedPreceding, -1))
+
+    def earlier(kind: str, name: str) -> Column:
+        if kind != "moments":
+            return FOLDS[kind](name).over(before)
+        # A key has a chunk per ROWS_PER_CHUNK rows: their moments are merged one after the other.
+        return F.aggregate(F.collect_list(name).over(before), F.lit(None).cast(MOMENTS),
+                           lambda a, b: combine("moments", a, b))
+
     carried = pieces.select(*keys, "_chunk", *[
-        FOLDS[kind](name).over(before).alias(f"_before_{name}") for name, (kind, _) in totals.items()])
+        earlier(kind, name).alias(f"_before_{name}") for name, (kind, _) in totals.items()])
     # The window left the rows partitioned by these join keys: only the totals move.
     return (local.join(carried, [*keys, "_chunk"], "left")
-            .withColumns({name: combine(kind, _addable(local, name), _addable(carried, f"_before_{name}"))
+            .withColumns({name: combine(kind, F.col(name), F.col(f"_before_{name}"))
                           for name, (kind, _) in totals.items()})
             .drop(*[f"_before_{name}" for name in totals]))

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ledgerloom.functions.scalars import invalid_member
 from ledgerloom.schema import CHAINS, EARLIEST_TIMESTAMP, KEY_COLUMNS, STATUSES
 
-REPORT_COLUMNS = ["position", "rule", "passed", "details", "note"]
+REPORT_COLUMNS = ["position", "rule", "passed", "details", "note", "total_records"]
 
 
 @dataclass(frozen=True)
@@ -41,6 +41,13 @@ def as_timestamp(df: DataFrame, name: str = "timestamp") -> Column:
     return F.col(name)
 
 
+def as_amount(df: DataFrame, name: str = "amount_usd") -> Column:
+    """The column as a number; text that is not one becomes NULL."""
+    if dict(df.dtypes)[name] == "string":
+        return F.col(name).try_cast("double")
+    return F.col(name)
+
+
 def key_nulls() -> Rule:
     return Rule(
         "no_nulls_in_key_columns", KEY_COLUMNS,
@@ -51,7 +58,9 @@ def key_nulls() -> Rule:
 
 
 def amount_positive() -> Rule:
-    invalid = F.count_if(F.col("amount_usd") <= 0)
+    # Text and number columns share one expression: a double casts to itself.
+    amount = F.col("amount_usd").try_cast("double")
+    invalid = F.count_if((amount <= 0) | (F.col("amount_usd").isNotNull() & amount.isNull()))
     share = F.round(100.0 * invalid / F.greatest(F.count(F.lit(1)), F.lit(1)), 3)
     return Rule(
         "amount_usd_positive", ["amount_usd"],
@@ -121,8 +130,8 @@ def rejected(df: DataFrame) -> Column:
     """
     bad = F.lit(False)
     if "amount_usd" in df.columns:
-        amount = F.col("amount_usd")
-        if dict(df.dtypes)["amount_usd"] in ("double", "float"):
+        amount = as_amount(df)
+        if dict(df.dtypes)["amount_usd"] in ("double", "float", "string"):
             bad = bad | F.coalesce(F.isnan(amount), F.lit(False))
         bad = bad | F.coalesce(amount <= 0, F.lit(True))
     if "transaction_hash" in df.columns:
@@ -136,9 +145,9 @@ def accepted(df: DataFrame) -> Column:
     """The rows that :func:`rejected` leaves, as plain conditions that reach the scan."""
     good = F.lit(True)
     if "amount_usd" in df.columns:
-        good = good & (F.col("amount_usd") > 0)
-        if dict(df.dtypes)["amount_usd"] in ("double", "float"):
-            good = good & ~F.isnan("amount_usd")
+        good = good & (as_amount(df) > 0)
+        if dict(df.dtypes)["amount_usd"] in ("double", "float", "string"):
+            good = good & ~F.isnan(as_amount(df))
     if "transaction_hash" in df.columns:
         good = good & F.col("transaction_hash").isNotNull()
     if "timestamp" in df.columns:
@@ -166,7 +175,8 @@ class Contract:
         aggregates, cells, parts = [], [], []
         for position, rule in enumerate(self.rules):
             if not isinstance(rule, Rule):
-                parts.append(rule(df).select(F.lit(position).alias("position"), *REPORT_COLUMNS[1:]))
+                parts.append(rule(df).select(F.lit(position).alias("position"), *REPORT_COLUMNS[1:-1],
+                                             F.lit(None).cast("bigint").alias("total_records")))
                 continue
             have = [c for c in rule.needs if c in df.columns]
             metrics = rule.metrics(have) if have else {}
@@ -183,7 +193,7 @@ class Contract:
                 F.lit(position).alias("position"), F.lit(name).alias("rule"),
                 verdict.alias("passed"),
                 (F.create_map(*details) if details else F.create_map().cast("map<string,double>")).alias("details"),
-                F.lit(note).alias("note")))
+                F.lit(note).alias("note"), F.col("_total").alias("total_records")))
         if cells:
             shared = df.agg(F.count(F.lit(1)).alias("_total"), *aggregates)
             parts.append(shared.select(F.inline(F.array(*cells))))
@@ -193,13 +203,28 @@ class Contract:
         return result
 
     def split(self, df: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """Clean rows, rejected rows and the rule report."""
-        return df.where(accepted(df)), df.where(rejected(df)), self.report(df)
-
+        """Clean rows, rejected rows and the rule report.
 
-def summarize(report: DataFrame, source: str) -> DataFrame:
-    """Rule totals as one row."""
+        Clean rows have a number as amount and a timestamp as time, whatever they came as;
+        rejected rows are left as they are.
+        """
+        clean, kinds = df.where(accepted(df)), dict(df.dtypes)
+        if kinds.get("amount_usd") == "string":
+            clean = clean.withColumn("amount_usd", as_amount(df))
+        if kinds.get("timestamp") == "string":
+            clean = clean.withColumn("timestamp", as_timestamp(df))
+        return clean, df.where(rejected(df)), self.report(df)
+
+
+def summarize(report: DataFrame, source: str, at: datetime | None = None) -> DataFrame:
+    """Rule totals as one row, with the details of each failed rule; ``at`` is the time of the report."""
+    # Maps have no order, their entries do.
+    failed = F.when(~F.col("passed"), F.struct("position", "rule", F.map_entries("details").alias("details"), "note"))
     return report.agg(
+        (F.lit(at) if at else F.current_timestamp()).cast("timestamp_ntz").alias("evaluated_at"),
+        F.max("total_records").alias("total_records"),
+        F.transform(F.sort_array(F.collect_list(failed)), lambda f: F.struct(
+            f["rule"].alias("rule"), F.map_from_entries(f["details"]).alias("details"), f["note"].alias("note"))).alias("failures"),
         F.lit(source).alias("source"),
         F.count_if("passed").alias("rules_passed"),
         F.count_if(~F.col("passed")).alias("rules_failed"),

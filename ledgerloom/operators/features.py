@@ -8,10 +8,10 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerloom.functions.scalars import DAY, add_amount_columns
-from ledgerloom.operators.chunks import ChunkPlan, plan_chunks
+from ledgerloom.operators.chunks import ChunkPlan, deviation, plan_chunks
 from ledgerloom.operators.dedup import total_order
 from ledgerloom.operators.ranks import modes_per_group, percent_rank
-from ledgerloom.operators.rolling import history, sample_stddev
+from ledgerloom.operators.rolling import history
 from ledgerloom.operators.sliding import DENSE_GROUP, Sliding, range_columns, sliding
 from ledgerloom.schema import ENTITY, FEATURE_GROUPS, TIME
 from ledgerloom.session import stage
@@ -117,10 +117,9 @@ def _night() -> Column:
 
 
 def _amount_statistics(df: DataFrame, base: DataFrame, day_plan: ChunkPlan) -> DataFrame:
-    amount, n = F.col("amount_usd"), F.col("_hist_n")
-    mean = F.try_divide(F.col("_hist_sum").cast("double"), n)
+    amount, seen = F.col("amount_usd"), F.col("_hist")
     out = add_amount_columns(_with_day(df)).withColumns({
-        "amount_zscore": F.try_divide(amount - mean, sample_stddev(n, F.col("_hist_sum"), F.col("_hist_squares"))),
+        "amount_zscore": F.try_divide(amount - seen["mean"], deviation(seen)),
         "amount_momentum": F.try_divide(amount, F.col("amount_mean_7d")) - 1,
     })
     return percent_rank(out, "_day", "amount_usd", "amount_percentile", day_plan, _with_day(base))

@@ -9,7 +9,6 @@ from ledgerloom.operators.dedup import ascending, descending, total_order
 from ledgerloom.schema import ENTITY, TIME
 
 WINDOWS = [1, 24, 168]
-EXACT = "decimal(38,12)"
 
 
 def window_label(rows: int) -> str:
@@ -115,9 +114,9 @@ def history(df: DataFrame, group: str | list[str] = ENTITY, amount: str = "amoun
             time: str = TIME, plan: ChunkPlan | None = None, base: DataFrame | None = None) -> DataFrame:
     """Running facts of each group up to and including the row.
 
-    Adds ``_hist_n``, ``_hist_sum``, ``_hist_squares`` (exact decimals, so that pieces of a
-    cut group add up without drift), ``_first_time`` and ``_previous_time``. Chunk totals are
-    taken from ``base`` if ``df`` is the same rows with columns added at some cost.
+    Adds ``_hist`` (count, mean and squared deviations of the amounts, merged from the pieces
+    of a cut group), ``_first_time`` and ``_previous_time``. Chunk totals are taken from
+    ``base`` if ``df`` is the same rows with columns added at some cost.
     """
     group = as_list(group)
     order = total_order(df, time)
@@ -127,9 +126,7 @@ def history(df: DataFrame, group: str | list[str] = ENTITY, amount: str = "amoun
     rows = plan.assign(df)
     source = plan.assign(base) if cut and base is not None else rows
     out = running_totals(rows, group, ascending(order), {
-        "_hist_n": ("sum", F.when(x.isNotNull(), 1).otherwise(0)),
-        "_hist_sum": ("sum", x.cast(EXACT)),
-        "_hist_squares": ("sum", (x * x).cast(EXACT)),
+        "_hist": ("moments", x),
         "_first_time": ("min", F.col(time)),
     }, cut, base=source)
     along = Window.partitionBy(*group, "_chunk").orderBy(*ascending(order))
@@ -145,14 +142,4 @@ def history(df: DataFrame, group: str | list[str] = ENTITY, amount: str = "amoun
             F.when(F.col("_nth") == 1, F.col("_earlier_time")).otherwise(F.col("_previous_time")))
     return out.select(*df.columns, *[
         in_group(group, F.col(c)).alias(c)
-        for c in ["_hist_n", "_hist_sum", "_hist_squares", "_first_time", "_previous_time"]])
-
-
-def sample_stddev(n: Column, total: Column, squares: Column) -> Column:
-    """Sample standard deviation from a count and exact sums; NULL below two values.
-
-    A variance below 1e-12 of the mean square is the rounding of equal values, hence 0.
-    """
-    s, q = total.cast("double"), squares.cast("double")
-    spread = q - s * s / n
-    return F.when(n > 1, F.sqrt(F.when(spread > q * 1e-12, spread).otherwise(0.0) / (n - 1)))
+        for c in ["_hist", "_first_time", "_previous_time"]])

@@ -1,10 +1,10 @@
 """Aggregates over a time frame that ends at the row, e.g. the last seven days.
 
 Two plans give the same values. Groups of few rows use Spark's RANGE windows, which recompute
-the frame for each row. Once a group is dense that costs rows x frame, so the frames become a
-sweep: a row adds its value when it happens and takes it back when it leaves the frame, and a
-running sum over those changes is the aggregate. Sums are exact decimals; n rows cost
-n log n whatever the frame. Groups too large for one task are swept in chunks.
+the frame for each row. Once a group is dense that costs rows x frame, so frames become running
+aggregates: n rows cost n log n whatever the frame. Both work in doubles and take nothing back
+from a total, so which plan a group gets does not show in its values. Groups too large for one
+task are swept in chunks.
 """
 
 from __future__ import annotations
@@ -14,9 +14,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerloom.functions.scalars import DAY, HOUR, micros
-from ledgerloom.operators.chunks import NULL_GROUP_SPREAD, ChunkPlan, plan_chunks, running_totals
+from ledgerloom.operators.chunks import ChunkPlan, combine, deviation, null_spread, plan_chunks, running_totals
 from ledgerloom.operators.dedup import total_order
-from ledgerloom.operators.rolling import EXACT, as_list, in_group, sample_stddev
+from ledgerloom.operators.rolling import as_list, in_group
 from ledgerloom.schema import ENTITY, TIME
 from ledgerloom.session import stage
 
@@ -95,35 +95,46 @@ def _finish(out: DataFrame, df: DataFrame, wanted: list[Sliding], group: list[st
 
 # -- sweep ---------------------------------------------------------------------------------
 #
-# Groups that fit one task carry their rows through the sweep, so those move once. For cut
-# groups the changes are summed per instant first, which also collapses any number of rows
-# at one instant, swept in chunks of time and joined back to the rows of the instant.
+# Counts are swept: a row adds one when it happens and takes it back when it leaves the frame,
+# in whole numbers. Everything else is merged, never taken back: time is divided into slots as
+# long as the frame, so a frame is the end of one slot and the start of the next. Each row
+# leaves an echo one frame later, in the next slot; the frame's part in the earlier slot is
+# then the running aggregate of the echoes from the far end.
+#
+# Groups that fit one task carry their rows through all passes after one exchange. For cut
+# groups only the values move, in chunks of time, and the results of each instant are joined
+# back to the rows of the instant.
+
+SWEPT = ("count", "distinct")
+
 
 def _sweep(df: DataFrame, wanted: list[Sliding], group: list[str], time: str, plan: ChunkPlan) -> DataFrame:
     base = plan.assign(df.withColumn("_at", micros(time)), by_time=True)
-    sums, tops = [s for s in wanted if s.kind != "max"], [s for s in wanted if s.kind == "max"]
-    changes = _changes(sums)
+    swept, merged = [s for s in wanted if s.kind in SWEPT], [s for s in wanted if s.kind not in SWEPT]
+    spans = sorted({s.span for s in merged})
+    changes = _changes(swept)
     distinct = sorted({v for m, v, _ in changes if m == "d"})
     cut = plan.cuts is not None
-    out = base.where(~F.col("_cut")) if cut else base
+    # All windows below are partitioned by these columns and others, so none of them moves rows again.
+    out = (base.where(~F.col("_cut")) if cut else base).repartition(*group, "_chunk")
     for value in distinct:
         out = _next_seen(out, value, group)
-    if sums:
-        out = _carried_sums(out, sums, changes, df.columns, group)
-    for i, s in enumerate(tops):
-        done = [x.name for x in [*sums, *tops[:i]]]
-        out = _carried_max(out, s, [c for c in df.columns if c not in done] + done, group)
+    if swept:
+        out = _carried_counts(out, swept, changes, df.columns, group)
+    for i, span in enumerate(spans):
+        done = [x.name for x in [*swept, *[m for m in merged if m.span in spans[:i]]]]
+        out = _carried_merges(out, [m for m in merged if m.span == span], span, [c for c in df.columns if c not in done] + done, group)
     out = out.select(*_with_names(df, wanted), "_at")
     if cut:
         hot = base.where("_cut")
         rows = hot.select(*[c for c in df.columns if c not in {s.name for s in wanted}], "_at")
         parts = []
-        if sums:
+        if swept:
             followed = hot
             for value in distinct:
                 followed = _next_seen(followed, value, group, hot)
-            parts.append(_instant_sums(followed, sums, changes, group, plan))
-        parts += [_instant_max(hot, s, group, plan) for s in tops]
+            parts.append(_instant_counts(followed, swept, changes, group, plan))
+        parts += [_instant_merges(hot, [m for m in merged if m.span == span], span, group, plan) for span in spans]
         results = parts[0]
         for part in parts[1:]:  # every part has all instants of rows
             results = results.join(part, [*group, "_at"])
@@ -138,34 +149,22 @@ def _with_names(df: DataFrame, wanted: list[Sliding]) -> list[str]:
     return [c for c in df.columns if c not in names] + names
 
 
-def _moments(s: Sliding) -> list[str]:
-    return {"count": ["n"], "sum": ["n", "s"], "mean": ["n", "s"], "cv": ["n", "s", "q"],
-            "distinct": ["d"]}[s.kind]
-
-
 def _changes(sums: list[Sliding]) -> dict[tuple[str, str, int], str]:
-    """One running change per (moment, value, span), shared by the columns that need it."""
+    """One running change per (c or d, value, span), shared by the columns that need it."""
     changes: dict[tuple[str, str, int], str] = {}
     for s in sums:
-        for m in _moments(s):
-            changes.setdefault((m, s.value, s.span), f"_d{len(changes)}")
+        changes.setdefault((s.kind[0], s.value, s.span), f"_d{len(changes)}")
     return changes
 
 
 def _events(changes: dict, payload: Column | None = None, empty: Column | None = None) -> Column:
     """A row's entry and, per frame, its exit: structs of (row,) time and changes."""
-    def kind(moment: str) -> str:
-        return "bigint" if moment in ("n", "d") else EXACT
-
     def amount(key, sign: int) -> Column:
-        moment, value, _ = key
-        x, known = F.col(value), F.col(value).isNotNull() & F.col("_at").isNotNull()
-        change = F.lit(sign) if moment in ("n", "d") else (x * x if moment == "q" else x) * sign
-        return F.when(known, change.cast(kind(moment)))
+        return F.when(F.col(key[1]).isNotNull() & F.col("_at").isNotNull(), F.lit(sign).cast("bigint"))
 
     def event(at: Column, signed: dict, body: Column | None) -> Column:
         # No change is NULL rather than 0: sums skip it.
-        fields = [signed.get(k, F.lit(None).cast(kind(k[0]))).alias(n) for k, n in changes.items()]
+        fields = [signed.get(k, F.lit(None).cast("bigint")).alias(n) for k, n in changes.items()]
         return F.struct(*([] if body is None else [body.alias("_row")]), at.alias("_at"), *fields)
 
     events = [event(F.col("_at"), {k: amount(k, 1) for k in changes}, payload)]
@@ -180,42 +179,39 @@ def _events(changes: dict, payload: Column | None = None, empty: Column | None =
 
 
 def _payload(rows: DataFrame, columns: list[str]) -> tuple[Column, Column]:
-    body = F.struct(*[F.col(c) for c in columns])
+    body = F.struct(*[F.col(c) for c in columns]) if columns else F.struct(F.lit(True).alias("_none"))
     return body, F.lit(None).cast(rows.select(body.alias("r")).schema["r"].dataType)
 
 
-def _group_columns(group: list[str]) -> tuple[list[Column], list[str]]:
-    names = [f"_g{i}" for i in range(len(group))]
-    return [F.col(c).alias(n) for c, n in zip(group, names)], names
-
-
-def _carried_sums(rows: DataFrame, sums: list[Sliding], changes: dict, columns: list[str],
-                  group: list[str]) -> DataFrame:
-    body, empty = _payload(rows, columns)
-    keys, names = _group_columns(group)
-    swept = running_totals(
-        rows.select(*keys, "_chunk", F.inline(_events(changes, body, empty))), names,
-        [F.col("_at").asc()], {n: ("sum", F.col(n)) for n in changes.values()}, cut=False, peers=True)
-    return (swept.where(F.col("_row").isNotNull()).select("_row.*", "_at", "_chunk", *changes.values())
-            .withColumns(_values(sums, changes)).drop(*changes.values()))
+def _carried_counts(rows: DataFrame, swept: list[Sliding], changes: dict, columns: list[str],
+                    group: list[str]) -> DataFrame:
+    body, empty = _payload(rows, [c for c in columns if c not in group])
+    # The group keeps its columns, so that the rows count as partitioned by them all the way.
+    events = rows.select(*group, "_chunk", F.inline(_events(changes, body, empty)))
+    found = running_totals(events, group, [F.col("_at").asc()], {n: ("sum", F.col(n)) for n in changes.values()},
+                           cut=False, peers=True)
+    return (found.where(F.col("_row").isNotNull()).select(*group, "_chunk", "_at", "_row.*", *changes.values())
+            .withColumns(_counts(swept, changes)).drop(*changes.values(), "_none"))
 
 
-def _instant_sums(hot: DataFrame, sums: list[Sliding], changes: dict, group: list[str],
-                  plan: ChunkPlan) -> DataFrame:
+def _instant_counts(hot: DataFrame, swept: list[Sliding], changes: dict, group: list[str],
+                    plan: ChunkPlan) -> DataFrame:
     instants = (hot.select(*group, "_last", F.inline(_events(changes)))
                 .where(F.col("_at") <= micros("_last"))
                 .groupBy(*group, "_at").agg(*[F.sum(n).alias(n) for n in changes.values()]))
     placed = stage(_by_instant(plan).assign(instants), "instants")  # read for totals and for the sweep
-    swept = running_totals(placed, group, [F.col("_at").asc()],
+    found = running_totals(placed, group, [F.col("_at").asc()],
                            {n: ("sum", F.col(n)) for n in changes.values()}, cut=True, peers=True)
-    return swept.select(*group, "_at", *[c.alias(n) for n, c in _values(sums, changes).items()])
+    return found.select(*group, "_at", *[c.alias(n) for n, c in _counts(swept, changes).items()])
 
 
 def _by_instant(plan: ChunkPlan) -> ChunkPlan:
     """The plan's cut points as microseconds of their time alone."""
     at = F.transform("_points", lambda p: F.struct(p["n0"].alias("n0"), micros(p["k0"]).alias("k0")))
-    cuts = plan.cuts.withColumn("_points", F.array_distinct(at)).drop("_last")
-    return ChunkPlan(plan.group, ["_at"], plan.largest, cuts, plan.most_cuts)
+    spark = plan.time_cuts.sparkSession
+    cuts = plan.time_cuts.withColumn("_points", F.array_distinct(at)).drop("_last")
+    local = spark.createDataFrame(cuts.collect(), cuts.schema)  # made once, as small as the plan itself
+    return ChunkPlan(plan.group, ["_at"], plan.largest, local, plan.most_cuts, local)
 
 
 def _next_seen(rows: DataFrame, value: str, group: list[str], base: DataFrame | None = None) -> DataFrame:
@@ -227,7 +223,7 @@ def _next_seen(rows: DataFrame, value: str, group: list[str], base: DataFrame |
     name = f"_next_{value}"
     pair = [*group, value, "_chunk"]
     unknown = F.col(value).isNull()
-    spread = F.when(unknown, F.pmod(F.hash("_at"), F.lit(NULL_GROUP_SPREAD))).otherwise(0)
+    spread = F.when(unknown, F.pmod(F.hash("_at"), F.lit(null_spread(rows)))).otherwise(0)
     follow = F.lead("_at").over(Window.partitionBy(*pair, spread).orderBy("_at"))
     if base is None:
         return rows.withColumn(name, follow)
@@ -239,70 +235,74 @@ def _next_seen(rows: DataFrame, value: str, group: list[str], base: DataFrame |
     return both.withColumn(name, follow).where(~F.col("_marker")).drop("_marker")
 
 
-def _values(sums: list[Sliding], changes: dict) -> dict[str, Column]:
-    def total(moment: str, s: Sliding) -> Column:
-        return F.col(changes[(moment, s.value, s.span)])
+def _counts(swept: list[Sliding], changes: dict) -> dict[str, Column]:
+    return {s.name: F.coalesce(changes[(s.kind[0], s.value, s.span)], F.lit(0).cast("bigint")) for s in swept}
 
+
+# -- merged aggregates ---------------------------------------------------------------------
+
+def _parts(merged: list[Sliding]) -> dict[tuple[str, str], str]:
+    """One running aggregate per (fold, value), shared by the columns that need it."""
+    folds = {"sum": "sum", "mean": "moments", "cv": "moments", "max": "max"}
+    parts: dict[tuple[str, str], str] = {}
+    for s in merged:
+        parts.setdefault((folds[s.kind], s.value), f"_p{len(parts)}")
+    return parts
+
+
+def _merged(merged: list[Sliding], parts: dict[tuple[str, str], str]) -> dict[str, Column]:
     out = {}
-    for s in sums:
-        if s.kind == "distinct":
-            out[s.name] = F.coalesce(total("d", s), F.lit(0).cast("bigint"))
+    for s in merged:
+        if s.kind in ("sum", "max"):
+            out[s.name] = F.col(parts[(s.kind, s.value)])
             continue
-        n = F.coalesce(total("n", s), F.lit(0).cast("bigint"))
-        if s.kind == "count":
-            out[s.name] = n
-        elif s.kind == "sum":
-            out[s.name] = F.when(n > 0, total("s", s).cast("double"))
-        elif s.kind == "mean":
-            out[s.name] = F.try_divide(total("s", s).cast("double"), n)
-        else:
-            mean = F.try_divide(total("s", s).cast("double"), n)
-            out[s.name] = F.try_divide(sample_stddev(n, total("s", s), total("q", s)), mean)
+        moments = F.col(parts[("moments", s.value)])
+        out[s.name] = moments["mean"] if s.kind == "mean" else F.try_divide(deviation(moments), moments["mean"])
     return out
 
 
-# A sliding maximum comes from two running maxima. Time is divided into slots as long as the
-# frame, so a frame is the end of one slot and the start of the next. Each row leaves an echo
-# one frame later, in the next slot: the frame's part in the earlier slot is then the running
-# maximum of the echoes from the far end.
-
 def _slot(at: Column, span: int) -> Column:
     return at - F.pmod(at, F.lit(span))
 
 
-def _marks(rows: DataFrame, s: Sliding, body: Column | None = None, empty: Column | None = None) -> Column:
-    x = F.when(F.col("_at").isNotNull(), F.col(s.value))
-    nothing = F.lit(None).cast(rows.schema[s.value].dataType)
-
-    def mark(at, now, echo, carried):
-        return F.struct(*([] if carried is None else [carried.alias("_row")]),
-                        at.alias("_at"), now.alias("_now"), echo.alias("_echo"))
-    return F.array(mark(F.col("_at"), x, nothing, body), mark(F.col("_at") + s.span, nothing, x, empty))
+def _marks(rows: DataFrame, parts: dict[tuple[str, str], str], span: int, body: Column | None = None,
+           empty: Column | None = None) -> Column:
+    """A row's values when it happens, and their echo one frame later."""
+    def mark(at: Column, echo: bool, carried: Column | None) -> Column:
+        fields = []
+        for (kind, value), name in parts.items():
+            x = F.when(F.col("_at").isNotNull(), F.col(value) if kind == "max" else F.col(value).cast("double"))
+            nothing = F.lit(None).cast(rows.schema[value].dataType if kind == "max" else "double")
+            fields += [(nothing if echo else x).alias(f"{name}_now"), (x if echo else nothing).alias(f"{name}_echo")]
+        return F.struct(*([] if carried is None else [carried.alias("_row")]), at.alias("_at"), *fields)
+    return F.array(mark(F.col("_at"), False, body), mark(F.col("_at") + span, True, empty))
 
 
-def _running_max(marks: DataFrame, s: Sliding, keys: list[str], cut: bool) -> DataFrame:
-    marks = marks.withColumn("_slot", _slot(F.col("_at"), s.span))
+def _two_sided(marks: DataFrame, parts: dict[tuple[str, str], str], span: int, keys: list[str], cut: bool) -> DataFrame:
+    marks = marks.withColumn("_slot", _slot(F.col("_at"), span))
     keys = [*keys, "_slot"]
-    begun = running_totals(marks, keys, [F.col("_at").asc()], {"_begin": ("max", F.col("_now"))}, cut, peers=True)
-    both = running_totals(begun, keys, [F.col("_at").desc()], {"_rest": ("max", F.col("_echo"))}, cut,
-                          peers=True, backward=True, base=marks)
-    return both.withColumn(s.name, F.greatest("_begin", "_rest"))
+    begun = running_totals(marks, keys, [F.col("_at").asc()], {
+        f"{n}_begin": (kind, F.col(f"{n}_now")) for (kind, _), n in parts.items()}, cut, peers=True)
+    both = running_totals(begun, keys, [F.col("_at").desc()], {
+        f"{n}_rest": (kind, F.col(f"{n}_echo")) for (kind, _), n in parts.items()}, cut, peers=True, backward=True, base=marks)
+    return both.withColumns({n: combine(kind, F.col(f"{n}_rest"), F.col(f"{n}_begin")) for (kind, _), n in parts.items()})
 
 
-def _carried_max(rows: DataFrame, s: Sliding, columns: list[str], group: list[str]) -> DataFrame:
-    body, empty = _payload(rows, columns)
-    keys, names = _group_columns(group)
-    marks = rows.select(*keys, "_chunk", F.inline(_marks(rows, s, body, empty)))
-    return (_running_max(marks, s, names, cut=False)
-            .where(F.col("_row").isNotNull()).select("_row.*", "_at", "_chunk", s.name))
+def _carried_merges(rows: DataFrame, merged: list[Sliding], span: int, columns: list[str], group: list[str]) -> DataFrame:
+    parts = _parts(merged)
+    body, empty = _payload(rows, [c for c in columns if c not in group])
+    marks = rows.select(*group, "_chunk", F.inline(_marks(rows, parts, span, body, empty)))
+    return (_two_sided(marks, parts, span, group, cut=False).where(F.col("_row").isNotNull())
+            .select(*group, "_chunk", "_at", "_row.*", *[c.alias(n) for n, c in _merged(merged, parts).items()]).drop("_none"))
 
 
-def _instant_max(hot: DataFrame, s: Sliding, group: list[str], plan: ChunkPlan) -> DataFrame:
-    last = micros("_last")
+def _instant_merges(hot: DataFrame, merged: list[Sliding], span: int, group: list[str], plan: ChunkPlan) -> DataFrame:
+    parts, last = _parts(merged), micros("_last")
     # Echoes past the group's last row count for the end of its slot, so they move there.
-    instants = (hot.select(*group, "_last", F.inline(_marks(hot, s)))
-                .where(_slot(F.col("_at"), s.span) <= _slot(last, s.span))
-                .withColumn("_at", F.least("_at", last))
-                .groupBy(*group, "_at").agg(F.max("_now").alias("_now"), F.max("_echo").alias("_echo")))
-    placed = stage(_by_instant(plan).assign(instants), "instants")
-    return _running_max(placed, s, group, cut=True).select(*group, "_at", s.name)
+    marks = (hot.select(*group, "_last", F.inline(_marks(hot, parts, span)))
+             .where(_slot(F.col("_at"), span) <= _slot(last, span))
+             .withColumn("_at", F.least("_at", last)).drop("_last"))
+    placed = stage(_by_instant(plan).assign(marks), "instants")
+    found = _two_sided(placed, parts, span, group, cut=True)
+    return found.select(*group, "_at", *[c.alias(n) for n, c in _merged(merged, parts).items()]).groupBy(*group, "_at").agg(
+        *[F.max(s.name).alias(s.name) for s in merged])

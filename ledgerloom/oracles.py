@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerloom.queries import AMOUNTS, KEY, RANGED, ROLLED, TX, VELOCITY
+from ledgerloom.queries import AMOUNTS, KEY, SCALES, TX, VELOCITY
 from ledgerloom.schema import FEATURE_GROUPS
 from ledgerloom.sources.samples import ADDRESS_LABELS, TX_EVENTS, TX_LINEITEM
 
@@ -178,6 +178,32 @@ def backfilled(start: str, days: int, rolled_columns: str) -> str:
   SELECT window_start, {KEYS}, from_address, {rolled_columns} FROM settled"""
 
 
+TEXT = f"""{EV}, text AS (SELECT transaction_hash, block_number,
+    CASE WHEN token_symbol = 'MATIC' THEN NULL ELSE timestamp END AS timestamp,
+    CASE WHEN tx_type = 'burn' THEN NULL ELSE amount_usd END AS amount_usd,
+    CASE WHEN tx_type = 'burn' THEN 'n/a' END AS said FROM tx)"""
+
+JOBS = f"""WITH tx AS ({TX_EVENTS}),
+  win AS (SELECT *, time_bucket(INTERVAL 3 DAY, timestamp, TIMESTAMP '2024-01-05') AS window_start FROM tx
+          WHERE timestamp >= TIMESTAMP '2024-01-05' AND timestamp < TIMESTAMP '2024-01-11'),
+  good AS (SELECT * FROM win WHERE NOT {BAD}),
+  settled AS (SELECT * FROM ({deduped('good', keys='transaction_hash, window_start')}) WHERE status = 'confirmed')"""
+
+
+def scaled_sql() -> str:
+    parts = []
+    for name, (factor, base) in SCALES.items():
+        shift = "1e6" if name == "near" else "1e0"
+        parts.append(f"""SELECT '{name}' AS scale, {KEYS}, from_address, round({shift} * sd7 / nullif(m7, 0) + 1e-9, 2) + 0e0 AS cv,
+          round((x - m) / nullif(sd, 0) + 1e-9, 2) + 0e0 AS zscore FROM (
+          SELECT *, avg(x) {HISTORY} AS m, stddev_samp(x) {HISTORY} AS sd, avg(x) {within('7 DAYS')} AS m7, stddev_samp(x) {within('7 DAYS')} AS sd7
+          FROM (SELECT *, amount_usd * {factor!r}::DOUBLE + {base!r}::DOUBLE AS x FROM settled))""")
+    return f"{EV} " + " UNION ALL ".join(parts)
+
+
+SCALES_SQL = scaled_sql()
+
+
 def sources_sql() -> str:
     parts = [f"SELECT {', '.join(TX[:-1])}, '{n}' AS _source FROM tx WHERE chain = '{c}'" for n, c in
              [("ethereum_mainnet", "ethereum"), ("bitcoin_mainnet", "bitcoin"),
@@ -212,13 +238,13 @@ ORACLES: dict[str, str] = {
     "asof_filter": f"{EV} SELECT {ALL} FROM tx WHERE timestamp <= TIMESTAMP '2024-01-15'",
     "entity_filter": f"{EV} SELECT {ALL} FROM tx WHERE from_address IN ('0x1', '0x2', '0x3')",
     "entity_semi_join": f"""{EV} SELECT {ALL} FROM tx WHERE from_address IN
-        (SELECT from_address FROM tx WHERE tx_type = 'stake')""",
+        (SELECT from_address FROM tx WHERE status = 'unknown')""",
     "feature_projection": f"""{EV} SELECT from_address, {digits('ln(1 + amount_usd)')} AS amount_log,
         {digits('amount_usd + gas_fee_usd')} AS total_cost_usd FROM clean""",
     "dedup_last": f"{EV} SELECT {ALL} FROM ({deduped('tx')})",
     "dedup_first": f"{EV} SELECT {ALL} FROM ({deduped('tx', 'first')})",
     "dedup_none": f"{EV} SELECT {ALL} FROM ({deduped('tx', 'none')})",
-    "dedup_last_lineitem": f"{LI} SELECT {KEYS} FROM ({deduped('tx')})",
+    "dedup_last_lineitem": f"{LI} SELECT {ALL} FROM ({deduped('tx')})",
     "dedup_none_lineitem": f"{LI} SELECT {ALL} FROM ({deduped('tx', 'none')})",
     "time_features": f"{EV} SELECT {KEYS}, {TIME_PARTS} FROM tx",
     "amount_features": f"{EV} SELECT {KEYS}, {AMOUNT_PARTS} FROM clean",
@@ -231,9 +257,22 @@ ORACLES: dict[str, str] = {
     "transform_chain_rows": f"{EV} SELECT {ALL}, {TIME_PARTS}, {AMOUNT_PARTS}, {rolled(STANDARD)} FROM settled",
     "transform_chain_range": f"""{EV} SELECT {KEYS}, from_address, {digits('ln(1 + amount_usd)')} AS amount_log,
         {ranged()} FROM settled""",
-    "transform_chain_lineitem": f"""{LI} SELECT {KEYS}, from_address,
-        count(timestamp) OVER (PARTITION BY from_address ORDER BY {EARLIEST_FIRST} ROWS UNBOUNDED PRECEDING) AS txn_count_7d,
-        strftime(timestamp, '%Y-%m-%d') AS date_partition FROM settled""",
+    "transform_chain_lineitem": f"{LI} SELECT {ALL}, {TIME_PARTS}, {AMOUNT_PARTS}, {rolled(STANDARD)} FROM settled",
+    "transform_chain_rows_chunked": f"{EV} SELECT {ALL}, {TIME_PARTS}, {AMOUNT_PARTS}, {rolled(STANDARD)} FROM settled",
+    "transform_chain_range_chunked": f"""{EV} SELECT {KEYS}, from_address, {digits('ln(1 + amount_usd)')} AS amount_log,
+        {ranged()} FROM settled""",
+    "rolling_range_hot": f"""{EV}, hot AS (SELECT * REPLACE (CASE WHEN tx_type IN ('transfer', 'swap', 'stake') THEN '0xhot'
+        ELSE from_address END AS from_address) FROM settled) SELECT {KEYS}, from_address, {ranged()} FROM hot""",
+    "contract_failures": f"""{REPORT} SELECT TIMESTAMP '2024-02-01' AS evaluated_at, (SELECT count(*) FROM tx) AS total_records,
+        rule, findings FROM r WHERE findings > 0""",
+    "contract_text_columns": f"""{TEXT} SELECT transaction_hash, block_number, timestamp, {digits('amount_usd')} AS amount_usd,
+        CASE WHEN {BAD} THEN 'rejected' ELSE 'clean' END AS outcome FROM text""",
+    "rule_text_columns": f"""{TEXT} SELECT 'amount_usd_positive' AS rule, f = 0 AS passed, f AS findings, n AS total_records
+        FROM (SELECT count(*) FILTER (amount_usd <= 0 OR said = 'n/a') AS f, count(*) AS n FROM text)
+        UNION ALL SELECT 'timestamp_in_valid_range', f = 0, f, n FROM (SELECT {FUTURE} + {TOO_OLD} AS f, count(*) AS n FROM text)""",
+    "dead_letters_drift": f"""{TEXT} SELECT {KEYS}, {digits('amount_usd')} AS amount_usd, CAST(NULL AS VARCHAR) AS said,
+        '20240101' AS batch_id FROM tx WHERE {BAD}
+        UNION ALL SELECT transaction_hash, block_number, timestamp, {digits('amount_usd')}, said, '20240102' FROM text WHERE {BAD}""",
     "rule_nulls": rule(EV, "no_nulls_in_key_columns", NULLS,
                        "count(*) FILTER (transaction_hash IS NULL) AS null_hashes, "
                        "count(*) FILTER (timestamp IS NULL) AS null_times, count(*) FILTER (chain IS NULL) AS null_chains"),
@@ -281,8 +320,34 @@ ORACLES: dict[str, str] = {
     "feature_amounts": AMOUNTS_SQL,
     "feature_amounts_chunked": AMOUNTS_SQL,
     "feature_behavioral": BEHAVIORAL_SQL,
+    "feature_behavioral_chunked": BEHAVIORAL_SQL,
     "feature_risk": RISK_SQL,
+    "feature_risk_dense": RISK_SQL,
+    "feature_risk_chunked": RISK_SQL,
     "feature_network": NETWORK_SQL,
+    "feature_network_dense": NETWORK_SQL,
+    "feature_network_chunked": NETWORK_SQL,
+    "amount_scales": SCALES_SQL,
+    "amount_scales_dense": SCALES_SQL,
+    "amount_scales_chunked": SCALES_SQL,
+    "job_run": f"""{JOBS} SELECT {cols(TX[:-1])}, 'all' AS _source, {TIME_PARTS}, {AMOUNT_PARTS},
+        {rolled(STANDARD, 'from_address, window_start')} FROM settled""",
+    "job_runs": f"""{JOBS}, w AS (SELECT window_start, count(*) AS raw, count(*) FILTER (NOT {BAD}) AS good FROM win GROUP BY window_start),
+        l AS (SELECT window_start, count(*) AS loaded FROM settled GROUP BY window_start),
+        f AS (SELECT a.window_start, 5 * sum(b.loaded) AS records FROM l a JOIN l b ON b.window_start <= a.window_start GROUP BY a.window_start)
+        SELECT w.window_start AS start_time, w.window_start + INTERVAL 3 DAY AS end_time, status,
+        CASE WHEN status = 'success' THEN raw END AS raw_records, CASE WHEN status = 'success' THEN good END AS clean_records,
+        CASE WHEN status = 'success' THEN raw - good END AS rejected_records,
+        CAST(CASE WHEN status = 'success' THEN CASE w.window_start WHEN TIMESTAMP '2024-01-05' THEN 1 ELSE 2 END END AS BIGINT) AS snapshot_version,
+        CAST(CASE WHEN status = 'success' THEN 5 END AS BIGINT) AS feature_groups,
+        CAST(CASE WHEN status = 'success' THEN records END AS BIGINT) AS feature_records,
+        CAST(CASE WHEN status = 'success' THEN 0 ELSE 1 END AS BIGINT) AS errors
+        FROM w JOIN f ON w.window_start = f.window_start
+        JOIN (VALUES (TIMESTAMP '2024-01-05', 'success'), (TIMESTAMP '2024-01-08', 'failed'), (TIMESTAMP '2024-01-08', 'success')) s(began, status)
+        ON w.window_start = s.began""",
+    "job_features": f"""{JOBS}, g(group_name, features) AS (VALUES {', '.join(f"('{g}', {len(f)})" for g, f in FEATURE_GROUPS.items())})
+        SELECT group_name, CAST(features AS BIGINT) AS features, (SELECT count(*) FROM settled) AS records FROM g""",
+    "snapshot_compacted": f"""{EV}, {SPANS} SELECT CAST(5 AS BIGINT) AS _v, {ALL} FROM parts JOIN members USING (part) WHERE version = 4""",
     "feature_history": f"{FEATURES} SELECT from_address, timestamp, {V}, TIMESTAMP '2024-02-01' AS _ingested_at FROM known",
     "feature_named": f"{FEATURES} SELECT from_address, fee_ratio FROM known WHERE from_address IN ('0x1', '0x2', '0x3')",
     "feature_latest": f"{FEATURES} SELECT from_address, timestamp, {V} FROM latest",
@@ -303,6 +368,8 @@ ORACLES: dict[str, str] = {
         + " AS amount_sum_7d"),
     "load_check": f"""{EV} SELECT count(*) AS records, CAST(0 AS BIGINT) AS null_keys, CAST(0 AS BIGINT) AS repeated_hashes,
         count(*) AS expected_records, true AS passed FROM settled""",
+    "load_check_failing": f"""{EV} SELECT count(*) AS records, {NULLS} AS null_keys, (SELECT s FROM {SURPLUS}) AS repeated_hashes,
+        (SELECT count(*) FROM clean) AS expected_records, false AS passed FROM tx""",
     "stream_ingest": f"{EV} SELECT CASE WHEN {BAD} THEN 'rejected' ELSE 'clean' END AS outcome, {ALL} FROM tx",
     "stream_dedup": f"{EV} SELECT DISTINCT transaction_hash FROM clean",
 }

@@ -2,69 +2,108 @@
 
 from __future__ import annotations
 
+import json
 import time
+import traceback
 from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerloom.operators.chain import transform_chain
 from ledgerloom.operators.contracts import Contract, accepted, run_counts, summarize
+from ledgerloom.operators.features import Thresholds, add_features
 from ledgerloom.plans.feature_store import build_training_store, registry_totals
 from ledgerloom.plans.snapshots import SnapshotTable
-from ledgerloom.schema import KEY_COLUMNS, TIME
+from ledgerloom.schema import ENTITY, KEY_COLUMNS, TIME
 from ledgerloom.session import utc_now
 from ledgerloom.sources.dead_letters import write_dead_letters
-from ledgerloom.sources.files import exists
-from ledgerloom.sources.windows import SourceConfig, advance_mark, extract_all, in_window, read_mark
+from ledgerloom.sources.files import create, exists
+from ledgerloom.sources.windows import STAMP, SourceConfig, advance_mark, extract_all, in_window, read_mark
 
 RUN = """run_id string, start_time timestamp_ntz, end_time timestamp_ntz, status string,
          metrics map<string,double>, errors array<struct<at: timestamp_ntz, error: string>>"""
 
 
 def batch_name(start: datetime, end: datetime) -> str:
-    return f"{start:%Y%m%dT%H%M%S%f}-{end:%Y%m%dT%H%M%S%f}"
+    return f"{start.strftime(STAMP)}-{end.strftime(STAMP)}"
 
 
 class LedgerJob:
     """Loads time windows of the sources into the tables below ``root``.
 
     Every write is keyed by the window, so a run can be repeated after any failure: finished
-    steps are no-ops and unfinished ones are replaced.
+    steps are no-ops and unfinished ones are replaced. A window that the job chose itself is
+    written down before work starts, and a later run replays it as it was, whatever the time.
+
+    ``all_features`` fills every group of the catalog instead of those that the chain's own
+    columns belong to: frames read the table back to ``lookback`` before the window (seven
+    days make them exact), and lifetime facts are those of that span. ``labels`` are those of
+    ``add_features``.
     """
 
     def __init__(self, spark: SparkSession, sources: list[SourceConfig], root: str,
-                 name: str = "ledger", contract: Contract | None = None, frame: str = "rows"):
+                 name: str = "ledger", contract: Contract | None = None, frame: str = "rows",
+                 all_features: bool = False, labels: DataFrame | None = None,
+                 limits: Thresholds = Thresholds(), lookback: timedelta = timedelta(days=7)):
         self.spark = spark
         self.sources = sources
         self.root = root.rstrip("/")
         self.name = name
         self.contract = contract or Contract(name)
         self.frame = frame
+        self.all_features = all_features
+        self.labels = labels
+        self.limits = limits
+        self.lookback = lookback
         self.table = SnapshotTable(spark, f"{self.root}/transactions")
 
     def run(self, start: datetime | None = None, end: datetime | None = None) -> dict:
         """Load ``[start, end)``; by default from the last mark, or one hour, up to now.
 
-        Returns the run record that is also appended to ``runs``. A failed run is recorded,
+        Without ``start``, a window that was begun from this mark and not finished is replayed
+        with the end it had then; the next run goes on from there. Returns the run record that is also appended to ``runs``. A failed run is recorded,
         leaves the mark where it was and raises.
         """
         end = end or utc_now()
-        start = start or read_mark(self.spark, f"{self.root}/marks", self.name) or end - timedelta(hours=1)
+        if start is None:
+            start, end = self._intended(read_mark(self.spark, f"{self.root}/marks", self.name), end)
         batch = batch_name(start, end)
         record = {"run_id": f"run-{utc_now():%Y%m%dT%H%M%S%f}", "start_time": start, "end_time": end,
                   "status": "running", "metrics": {}, "errors": []}
         try:
             record["metrics"] = self._load(start, end, batch)
             record["status"] = "success"
-            advance_mark(self.spark, f"{self.root}/marks", self.name, batch, end)
-        except Exception as problem:
+            advance_mark(self.spark, f"{self.root}/marks", self.name, end)
+        except Exception:
             record["status"] = "failed"
-            record["errors"].append((utc_now(), str(problem)))
+            record["errors"].append((utc_now(), traceback.format_exc()))
             raise
         finally:
             self._record(record)
         return record
 
+    def _intended(self, mark: datetime | None, end: datetime) -> tuple[datetime, datetime]:
+        """The window that starts at the mark, as the first run that began it wrote it down."""
+        start = mark or end - timedelta(hours=1)
+        path = f"{self.root}/windows/{self.name}@{mark.strftime(STAMP) if mark else 'first'}.json"
+        window = {"start": start.isoformat(), "end": end.isoformat()}
+        if not create(self.spark, path, json.dumps(window)):
+            window = self.spark.read.schema("start string, end string").json(path).first()
+        return datetime.fromisoformat(window["start"]), datetime.fromisoformat(window["end"])
+
+    def _with_features(self, version: int, start: datetime) -> DataFrame:
+        """The rows that a version added, with all features; earlier rows of their entities count in frames."""
+        rows = self.table.read(version, keep_version=True)
+        rows = rows.where(F.col(TIME) >= F.lit(start - self.lookback).cast("timestamp_ntz"))
+        fresh = rows.where(F.col("_v") == version).select(ENTITY).distinct()
+        context = rows.join(fresh, ENTITY, "left_semi")
+        return add_features(context, labels=self.labels, limits=self.limits).where(F.col("_v") == version).drop("_v")
+
+    def _publish(self, version: int, start: datetime, batch: str) -> DataFrame:
+        """Ingest a version's features; returns the store's description."""
+        loaded = self._with_features(version, start) if self.all_features else self.table.read_batch(version)
+        return build_training_store(self.spark, loaded, f"{self.root}/features", batch).describe()
+
     def _load(self, start: datetime, end: datetime, batch: str) -> dict[str, float]:
         began = time.monotonic()
         # The extract is read again by each step instead of being cached: every step needs
@@ -72,15 +111,15 @@ class LedgerJob:
         raw = extract_all(self.sources, start, end)
         clean, bad, report = self.contract.split(raw)
         counts = run_counts(raw).first()
-        verdict = summarize(report, self.name).first()
+        verdict = summarize(report, self.name, utc_now()).first()
         if counts.rejected_records:
             write_dead_letters(bad, f"{self.root}/dead_letters", self.name, batch)
         version = self.table.write(
             transform_chain(clean, self.frame), "append",
             {"run_start": start.isoformat(), "run_end": end.isoformat()}, batch)
-        loaded = self.table.read_batch(version)
-        store = build_training_store(self.spark, loaded, f"{self.root}/features", batch)
-        totals = registry_totals(store.describe()).first()
+        described = self._publish(version, start, batch)
+        totals = registry_totals(described).first()
+        by_group = {f"feature_records.{r.group_name}": float(r.records) for r in described.collect()}
         return {
             "raw_records": float(counts.raw_records),
             "clean_records": float(counts.clean_records),
@@ -90,6 +129,8 @@ class LedgerJob:
             "feature_groups": float(totals.feature_groups),
             "feature_records": float(totals.total_records),
             "validation_passed": float(verdict.passed),
+            "rules_failed": float(verdict.rules_failed),
+            **by_group,
             "elapsed_seconds": round(time.monotonic() - began, 2),
         }
 

@@ -20,7 +20,7 @@ from ledgerloom.operators.sliding import rolling_range
 from ledgerloom.plans.feature_store import (
     FeatureStore, as_of_rows, available, build_training_store, latest_per_entity, only_entities,
     project_features, registry_totals)
-from ledgerloom.plans.jobs import backfill, backfill_rows, day_spine, quality_gate
+from ledgerloom.plans.jobs import LedgerJob, backfill, backfill_rows, day_spine, quality_gate
 from ledgerloom.plans.snapshots import SnapshotTable
 from ledgerloom.schema import CHAINS, ENTITY, FEATURE_GROUPS, STATUSES, TIME, TRANSACTION
 from ledgerloom.session import adopt, scratch_dir, stage
@@ -97,7 +97,7 @@ def src_window(spark, sf_dir):
 def src_incremental(spark, sf_dir):
     marks = scratch_dir(spark, "marks")
     for day in (10, 12):
-        advance_mark(spark, marks, "everything", f"day-{day}", datetime(2024, 1, day))
+        advance_mark(spark, marks, "everything", datetime(2024, 1, day))
     mark = read_mark(spark, marks, "everything")
     source, df = SourceConfig("everything"), tx_events(spark, sf_dir)
     since = extract_incremental(source, datetime(2024, 1, 20), mark, records=df)
@@ -181,8 +181,8 @@ def entity_filter(spark, sf_dir):
 @query
 def entity_semi_join(spark, sf_dir):
     df = tx_events(spark, sf_dir)
-    stakers = df.where(F.col("tx_type") == "stake").select(ENTITY).distinct()
-    return shown(only_entities(df, stakers), TX)
+    unsure = df.where(F.col("status") == "unknown").select(ENTITY).distinct()
+    return shown(only_entities(df, unsure), TX)
 
 
 @query
@@ -211,7 +211,8 @@ def dedup_none(spark, sf_dir):
 
 @query
 def dedup_last_lineitem(spark, sf_dir):
-    return deduplicate(tx_lineitem(spark, sf_dir), ["transaction_hash"], "last").select(*KEY)
+    df = tx_lineitem(spark, sf_dir)
+    return shown(deduplicate(df, ["transaction_hash"], "last"), TX)
 
 
 @query
@@ -286,7 +287,18 @@ def transform_chain_range(spark, sf_dir):
 @query
 def transform_chain_lineitem(spark, sf_dir):
     df = tx_lineitem(spark, sf_dir)
-    return shown(transform_chain(df.where(accepted(df))), [*KEY, ENTITY, "txn_count_7d", "date_partition"])
+    return shown(transform_chain(df.where(accepted(df))), CHAINED)
+
+
+@query
+def transform_chain_rows_chunked(spark, sf_dir):
+    return shown(transform_chain(clean(spark, sf_dir), rows_per_chunk=SMALL_CHUNK), CHAINED)
+
+
+@query
+def transform_chain_range_chunked(spark, sf_dir):
+    out = transform_chain(clean(spark, sf_dir), frame="range", rows_per_chunk=SMALL_CHUNK)
+    return shown(out, [*KEY, ENTITY, "amount_log", *RANGED])
 
 
 # -- contracts -----------------------------------------------------------------------------
@@ -364,6 +376,49 @@ def contract_custom_rule(spark, sf_dir):
         F.array_join("failed_rules", ",").alias("failed_rules"))
 
 
+@query
+def contract_failures(spark, sf_dir):
+    report = Contract("ledger", rules.default_rules(NOW)).report(tx_events(spark, sf_dir))
+    found = summarize(report, "ledger", STAMP)
+    return found.select("evaluated_at", "total_records", F.explode("failures").alias("f")).select(
+        "evaluated_at", "total_records", "f.rule", F.aggregate(
+            F.map_values(F.map_filter("f.details", lambda k, _: k != "pct")), F.lit(0.0), lambda a, v: a + v).cast("bigint").alias("findings"))
+
+
+def _text(spark, sf_dir) -> DataFrame:
+    """The transactions with amounts and times as text, some of which says neither."""
+    unreadable = F.col("tx_type") == "burn"
+    return tx_events(spark, sf_dir).withColumns({
+        "amount_usd": F.when(unreadable, F.lit("n/a")).otherwise(F.col("amount_usd").cast("string")),
+        "timestamp": F.when(F.col("token_symbol") == "MATIC", F.lit("soon")).otherwise(F.col(TIME).cast("string"))})
+
+
+@query
+def contract_text_columns(spark, sf_dir):
+    good, bad, _ = Contract("ledger").split(normalize(_text(spark, sf_dir)))
+    return shown(good.select(*KEY, "amount_usd", F.lit("clean").alias("outcome")).unionByName(bad.select(
+        *KEY[:2], F.col(TIME).try_cast("timestamp_ntz").alias(TIME), F.col("amount_usd").try_cast("double").alias("amount_usd"),
+        F.lit("rejected").alias("outcome"))), [*KEY, "amount_usd", "outcome"])
+
+
+@query
+def rule_text_columns(spark, sf_dir):
+    report = Contract("ledger", [rules.amount_positive(), rules.time_range(NOW)]).report(_text(spark, sf_dir))
+    findings = F.aggregate(F.map_values(F.map_filter("details", lambda k, _: k != "pct")), F.lit(0.0), lambda a, v: a + v)
+    return report.select("rule", "passed", findings.cast("bigint").alias("findings"), "total_records")
+
+
+@query
+def dead_letters_drift(spark, sf_dir):
+    """Batches that disagree on the type of a column are still read together."""
+    df, text, root = tx_events(spark, sf_dir), _text(spark, sf_dir), scratch_dir(spark, "dead_letters")
+    write_dead_letters(df.where(rejected(df)), root, "ledger", "20240101")
+    write_dead_letters(text.where(rejected(text)), root, "ledger", "20240102")
+    out = read_dead_letters(spark, root)
+    return shown(out.withColumn("said", F.col("payload")["amount_usd"]).withColumn(
+        "said", F.when(F.col("amount_usd").isNull(), F.col("said"))), [*KEY, "amount_usd", "said", "batch_id"])
+
+
 @query
 def run_metrics(spark, sf_dir):
     return run_counts(tx_events(spark, sf_dir))
@@ -485,16 +540,87 @@ def feature_behavioral(spark, sf_dir):
     return _family(spark, sf_dir, "behavioral", as_of=AS_OF)
 
 
+@query
+def feature_behavioral_chunked(spark, sf_dir):
+    return _family(spark, sf_dir, "behavioral", SMALL_CHUNK, as_of=AS_OF)
+
+
 @query
 def feature_risk(spark, sf_dir):
     return _family(spark, sf_dir, "risk_signals", limits=LIMITS)
 
 
+@query
+def feature_risk_dense(spark, sf_dir):
+    return _family(spark, sf_dir, "risk_signals", limits=LIMITS, dense=0)
+
+
+@query
+def feature_risk_chunked(spark, sf_dir):
+    return _family(spark, sf_dir, "risk_signals", SMALL_CHUNK, limits=LIMITS)
+
+
 @query
 def feature_network(spark, sf_dir):
     return _family(spark, sf_dir, "network", labels=address_labels(spark, sf_dir))
 
 
+@query
+def feature_network_dense(spark, sf_dir):
+    return _family(spark, sf_dir, "network", labels=address_labels(spark, sf_dir), dense=0)
+
+
+@query
+def feature_network_chunked(spark, sf_dir):
+    return _family(spark, sf_dir, "network", SMALL_CHUNK, labels=address_labels(spark, sf_dir))
+
+
+def _hot(df: DataFrame) -> DataFrame:
+    """Most rows under one address."""
+    return df.withColumn(ENTITY, F.when(F.col("tx_type").isin("transfer", "swap", "stake"), F.lit("0xhot")).otherwise(F.col(ENTITY)))
+
+
+@query
+def rolling_range_hot(spark, sf_dir):
+    """One address with most rows, cut into chunks of a few rows: hundreds of cut points."""
+    rows = stage(_hot(settled(spark, sf_dir)), "hot")
+    plan = plan_chunks(rows, ENTITY, total_order(rows), SMALL_CHUNK)
+    return shown(rolling_range(rows, plan=plan), [*KEY, ENTITY, *RANGED])
+
+
+SCALES = {"dust": (1e-9, 0.0), "near": (1e-3, 1e5), "large": (1e12, 0.0)}
+
+
+def _scaled(spark, sf_dir, rows_per_chunk: int = ROWS_PER_CHUNK, dense: int | None = None) -> DataFrame:
+    """Scale-free statistics of amounts that are tiny, nearly equal, or very large."""
+    options = {} if dense is None else {"dense": dense}
+    rows, plan, parts = settled(spark, sf_dir), address_plan(spark, sf_dir, rows_per_chunk), []
+    for name, (factor, base) in SCALES.items():
+        df = rows.withColumn("amount_usd", F.col("amount_usd") * F.lit(factor) + F.lit(base))
+        out = add_features(df, ["amount_statistics"], plan=plan, **options)
+        shift = 1e6 if name == "near" else 1.0
+        parts.append(out.select(F.lit(name).alias("scale"), *KEY, ENTITY, (F.col("amount_cv_7d") * shift).alias("cv"),
+                                F.col("amount_zscore").alias("zscore")))
+    out = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    # Near-equal doubles carry few digits of their differences.
+    return out.select("scale", *KEY, ENTITY, F.round(F.col("cv") + 1e-9, 2).alias("cv"), F.round(F.col("zscore") + 1e-9, 2).alias("zscore"))
+
+
+@query
+def amount_scales(spark, sf_dir):
+    return _scaled(spark, sf_dir)
+
+
+@query
+def amount_scales_dense(spark, sf_dir):
+    return _scaled(spark, sf_dir, dense=0)
+
+
+@query
+def amount_scales_chunked(spark, sf_dir):
+    return _scaled(spark, sf_dir, SMALL_CHUNK)
+
+
 def _store(spark, sf_dir) -> FeatureStore:
     rows = stage(transform_chain(clean(spark, sf_dir)), "rows")  # ingested group by group
     store = build_training_store(spark, rows, scratch_dir(spark, "features"), "batch-1", stamp=STAMP)
@@ -578,10 +704,68 @@ def load_check(spark, sf_dir):
     return quality_gate(table.read(version), committed)
 
 
+@query
+def load_check_failing(spark, sf_dir):
+    """Rows with repeated and missing keys, checked against a number that is not theirs."""
+    df = tx_events(spark, sf_dir)
+    return quality_gate(df, clean(spark, sf_dir).agg(F.count(F.lit(1))))
+
+
+class _Interrupted(LedgerJob):
+    """A job that fails after its commit."""
+
+    def _publish(self, *_):
+        raise RuntimeError("interrupted")
+
+
+def _jobs(spark, sf_dir) -> LedgerJob:
+    """Three days; three more that fail after the commit; a retry that asks for a later end."""
+    root, inbox = scratch_dir(spark, "job"), scratch_dir(spark, "landed")
+    tx_events(spark, sf_dir).write.parquet(inbox)
+    sources = [SourceConfig("all", inbox)]
+    job = LedgerJob(spark, sources, root, all_features=True, labels=address_labels(spark, sf_dir), limits=LIMITS)
+    job.run(datetime(2024, 1, 5), datetime(2024, 1, 8))
+    try:
+        _Interrupted(spark, sources, root).run(end=datetime(2024, 1, 11))
+    except RuntimeError:
+        pass
+    job.run(end=datetime(2024, 1, 12))
+    return job
+
+
+@query
+def job_run(spark, sf_dir):
+    return shown(_jobs(spark, sf_dir).table.read(), CHAINED)
+
+
+@query
+def job_runs(spark, sf_dir):
+    metric = F.col("metrics")
+    return _jobs(spark, sf_dir).runs().select(
+        "start_time", "end_time", "status", *[metric[m].cast("bigint").alias(m) for m in (
+            "raw_records", "clean_records", "rejected_records", "snapshot_version", "feature_groups", "feature_records")],
+        F.size("errors").cast("bigint").alias("errors"))
+
+
+@query
+def job_features(spark, sf_dir):
+    """Every group of the catalog holds every loaded row, once."""
+    store = FeatureStore(spark, f"{_jobs(spark, sf_dir).root}/features")
+    out = store.describe()
+    return out.select("group_name", F.col("features").cast("bigint").alias("features"), "records")
+
+
+@query
+def snapshot_compacted(spark, sf_dir):
+    table = _versions(spark, sf_dir)
+    table.compact()
+    return shown(table.read(keep_version=True), ["_v", *TX])
+
+
 @query
 def stream_ingest(spark, sf_dir):
     root, inbox = scratch_dir(spark, "stream"), scratch_dir(spark, "inbox")
-    tx_events(spark, sf_dir).repartition(4, "block_number").write.parquet(inbox)
+    tx_events(spark, sf_dir).hint("rebalance").write.parquet(inbox)
     for _ in range(2):  # the second run finds nothing new
         ingest_stream(read_stream(spark, inbox, files_per_batch=2), root, "loader", f"{root}/checkpoint").awaitTermination()
     loaded = SnapshotTable(spark, f"{root}/transactions").read().select(F.lit("clean").alias("outcome"), *TX)
@@ -593,8 +777,8 @@ def stream_ingest(spark, sf_dir):
 def stream_dedup(spark, sf_dir):
     root, inbox = scratch_dir(spark, "stream"), scratch_dir(spark, "inbox")
     clean(spark, sf_dir).write.parquet(inbox)
-    unique = deduplicate_stream(read_stream(spark, inbox), ["transaction_hash"], "40 days")
+    unique = deduplicate_stream(read_stream(spark, inbox), ["transaction_hash"], "2 days")
     (unique.select("transaction_hash").writeStream.format("parquet").outputMode("append")
      .option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True)
      .start(f"{root}/unique").awaitTermination())
-    return spark.read.parquet(f"{root}/unique")
+    return spark.read.parquet(f"{root}/unique").select("transaction_hash")

@@ -5,14 +5,15 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from datetime import datetime, timedelta
 from functools import reduce
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerloom.operators.drift import normalize
 from ledgerloom.schema import TIME
-from ledgerloom.sources.files import exists
+from ledgerloom.sources.files import create, names, remove
 
-MARKS = "source string, batch_id string, end timestamp_ntz"
+STAMP = "%Y%m%dT%H%M%S%f"
 
 
 @dataclass(frozen=True)
@@ -29,16 +30,16 @@ class SourceConfig:
     day_column: str | None = None
 
 
-def default_sources(root: str) -> list[SourceConfig]:
-    """The standard sources below ``root``, one folder each."""
+def default_sources(root: str, day_column: str | None = "day") -> list[SourceConfig]:
+    """The standard sources below ``root``, one folder each, laid out by day."""
     # Source names and the chain each one carries.
-    named = {
+    chains = {
         "ethereum_mainnet": ["ethereum"],
         "bitcoin_mainnet": ["bitcoin"],
         "polygon_matic": ["polygon"],
         "solana_mainnet": ["solana"],
     }
-    return [SourceConfig(n, f"{root.rstrip('/')}/{n}", c) for n, c in named.items()]
+    return [SourceConfig(n, f"{root.rstrip('/')}/{n}", c, day_column) for n, c in chains.items()]
 
 
 def in_window(df: DataFrame, start: datetime, end: datetime, time: str = TIME) -> DataFrame:
@@ -58,8 +59,9 @@ def extract_window(source: SourceConfig, start: datetime, end: datetime,
         spark = spark or SparkSession.active()
         records = spark.read.parquet(source.path)
     rows = in_window(records, start, end)
-    if source.day_column:
-        rows = rows.where(F.col(source.day_column).cast("date").between(F.lit(start.date()), F.lit(end.date())))
+    if source.day_column and source.day_column in rows.columns:
+        last = end - timedelta(microseconds=1)
+        rows = rows.where(F.col(source.day_column).cast("date").between(F.lit(start.date()), F.lit(last.date())))
     if source.chains:
         rows = rows.where(F.col("chain").isin(source.chains))
     return rows.withColumn("_source", F.lit(source.name))
@@ -74,26 +76,36 @@ def extract_incremental(source: SourceConfig, end: datetime, last_mark: datetime
 
 def extract_all(sources: list[SourceConfig], start: datetime, end: datetime,
                 records: DataFrame | None = None) -> DataFrame:
-    """Every source's rows of one window, united by column name and normalized."""
+    """Every source's rows of one window, united by column name and normalized.
+
+    Shared ``records`` are scanned once: a row comes once for each source that takes its chain.
+    """
+    if records is not None:
+        takes = [F.col("chain").isin(s.chains) if s.chains else F.lit(True) for s in sources]
+        whose = F.array_compact(F.array(*[F.when(t, F.lit(s.name)) for s, t in zip(sources, takes)]))
+        rows = in_window(records, start, end).where(reduce(lambda a, b: a | b, takes))
+        return normalize(rows.withColumn("_source", F.explode(whose)))
     parts = [extract_window(s, start, end, records) for s in sources]
     return normalize(reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts))
 
 
+def _marks(spark: SparkSession, path: str, source: str) -> list[tuple[datetime, str]]:
+    """The marks of a source: each is a file named by the source and the end it has reached."""
+    lead = f"{quote(source, safe='')}@"
+    return sorted((datetime.strptime(n.removeprefix(lead), STAMP), n) for n in names(spark, path) if n.startswith(lead))
+
+
 def read_mark(spark: SparkSession, path: str, source: str) -> datetime | None:
     """Latest window end recorded for the source."""
-    marks = _marks(spark, path)
-    if marks is None:
-        return None
-    return marks.where(F.col("source") == source).agg(F.max("end")).first()[0]
-
+    marks = _marks(spark, path, source)
+    return marks[-1][0] if marks else None
 
-def advance_mark(spark: SparkSession, path: str, source: str, batch_id: str, end: datetime) -> None:
-    """Record that the source is loaded up to ``end``; repeating a batch changes nothing."""
-    row = spark.createDataFrame([(source, batch_id, end)], MARKS).coalesce(1)
-    row.write.mode("overwrite").json(f"{path}/mark={source}.{batch_id}")
 
+def advance_mark(spark: SparkSession, path: str, source: str, end: datetime) -> None:
+    """Record that the source is loaded up to ``end``; repeating it changes nothing.
 
-def _marks(spark: SparkSession, path: str) -> DataFrame | None:
-    if not exists(spark, path):
-        return None
-    return spark.read.schema(MARKS).json(f"{path}/*")
+    Marks before the latest are deleted, so their number does not grow.
+    """
+    create(spark, f"{path}/{quote(source, safe='')}@{end.strftime(STAMP)}", "")
+    for _, name in _marks(spark, path, source)[:-1]:
+        remove(spark, f"{path}/{name}")

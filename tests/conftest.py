@@ -30,13 +30,14 @@ def sf():
 
 @pytest.fixture
 def small(spark):
-    """Four hourly transactions, one hash twice."""
-    start = datetime(2024, 1, 1)
+    """Five transactions of one morning, one hash twice."""
+    day = datetime(2024, 3, 10)
     rows = [
-        ("0xaaa", start, 100.0, 1.0, "confirmed", "0x1"),
-        ("0xbbb", start + timedelta(hours=1), 200.0, 2.0, "failed", "0x2"),
-        ("0xaaa", start + timedelta(hours=2), 100.0, 1.0, "confirmed", "0x1"),
-        ("0xccc", start + timedelta(hours=3), 50.0, 0.5, "confirmed", "0x3"),
+        ("0x5e1", day + timedelta(hours=6, minutes=15), 12.5, 0.25, "confirmed", "0xa7"),
+        ("0x88d", day + timedelta(hours=7, minutes=40), 310.0, 1.5, "pending", "0xb2"),
+        ("0x5e1", day + timedelta(hours=9, minutes=5), 12.5, 0.25, "confirmed", "0xa7"),
+        ("0xc30", day + timedelta(hours=11, minutes=30), 47.0, 0.1, "confirmed", "0xd9"),
+        ("0x2fa", day + timedelta(hours=12, minutes=55), 8.0, 0.05, "failed", "0xb2"),
     ]
     return spark.createDataFrame(rows, """transaction_hash string, timestamp timestamp_ntz, amount_usd double,
         gas_fee_usd double, status string, from_address string""")

@@ -16,28 +16,40 @@ def verdicts(df, contract=None):
 
 
 def test_clean_records_pass(records):
-    df = records(("0xaaa", D1, "ethereum", 100.0, "confirmed"), ("0xbbb", D2, "bitcoin", 100.0, "failed"))
-    summary = summarize(Contract("test").report(df), "test").first()
+    df = records(("0x71", D2, "solana", 0.75, "pending"), ("0x72", D1, "polygon", 4200.0, "confirmed"),
+                 ("0x73", D1, "avalanche", 18.0, "failed"))
+    summary = summarize(Contract("test").report(df), "test", D2).first()
     assert (summary.rules_passed, summary.rules_failed, summary.passed) == (6, 0, True)
-    assert summary.failed_rules == []
+    assert summary.failed_rules == [] and summary.failures == []
+    assert (summary.total_records, summary.evaluated_at) == (3, D2)
 
 
-def test_negative_amount_fails(records):
-    found = verdicts(records(("0xaaa", D1, "ethereum", -50.0, "confirmed")))
-    assert not found["amount_usd_positive"].passed
-    assert found["amount_usd_positive"].details == {"invalid_count": 1.0, "pct": 100.0}
+def test_amounts_that_are_not_positive_fail(records):
+    df = records(("0x74", D1, "bitcoin", -0.01, "confirmed"), ("0x75", D1, "bitcoin", 0.0, "failed"), ("0x76", D2, "bitcoin", 9.0, "failed"))
+    found = verdicts(df)["amount_usd_positive"]
+    assert not found.passed and found.details == {"invalid_count": 2.0, "pct": 66.667}
+    failure = summarize(Contract("test").report(df), "test").first().failures
+    assert [(f.rule, f.details["invalid_count"]) for f in failure] == [("amount_usd_positive", 2.0)]
 
 
-def test_duplicate_hashes_fail(records):
-    found = verdicts(records(("0xaaa", D1, "ethereum", 1.0, "confirmed"), ("0xaaa", D2, "ethereum", 2.0, "confirmed")))
-    assert not found["transaction_hash_unique"].passed
-    assert found["transaction_hash_unique"].details == {"duplicate_count": 1.0}
+def test_repeated_hashes_fail(records):
+    df = records(*[("0x77", D1, "solana", float(n), "pending") for n in (3, 5, 8)], ("0x78", D2, "solana", 1.5, "failed"))
+    found = verdicts(df)["transaction_hash_unique"]
+    assert not found.passed and found.details == {"duplicate_count": 2.0}
 
 
 def test_split(records):
-    clean, bad, _ = Contract("test").split(
-        records(("0xaaa", D1, "ethereum", 100.0, "confirmed"), ("0xbbb", D2, "ethereum", -5.0, "confirmed")))
-    assert (clean.count(), bad.count()) == (1, 1)
+    clean, bad, _ = Contract("test").split(records(
+        ("0x79", D2, "arbitrum", 64.0, "pending"), ("0x7a", D1, "arbitrum", -7.5, "pending"), ("0x7b", D1, "polygon", 2.25, "failed")))
+    assert ([r.transaction_hash for r in clean.collect()], bad.count()) == (["0x79", "0x7b"], 1)
+
+
+def test_text_amounts(spark):
+    df = spark.createDataFrame([("a", "12.5"), ("b", "twelve"), ("c", "-1"), ("d", None)], "transaction_hash string, amount_usd string")
+    clean, bad, report = Contract("test").split(df)
+    assert [tuple(r) for r in clean.collect()] == [("a", 12.5)]
+    assert sorted(r.transaction_hash for r in bad.collect()) == ["b", "c", "d"]
+    assert {r.rule: r for r in report.collect()}["amount_usd_positive"].details["invalid_count"] == 2.0
 
 
 def test_split_covers_every_row_once(records):
@@ -128,3 +140,12 @@ def test_dead_letters_are_kept_per_batch_and_replayable(spark, records, tmp_path
     write_dead_letters(b, root, "one", "b2")
     rows = read_dead_letters(spark, root).groupBy("source", "batch_id").count().collect()
     assert {(r.source, r.batch_id): r["count"] for r in rows} == {("one", "b1"): 1, ("one", "b2"): 2}
+
+
+def test_dead_letters_of_different_types_are_read_together(spark, tmp_path):
+    root = str(tmp_path / "dead")
+    write_dead_letters(spark.createDataFrame([("a", -1.5)], "transaction_hash string, amount_usd double"), root, "one", "20240101")
+    write_dead_letters(spark.createDataFrame([("b", "none", 3)], "transaction_hash string, amount_usd string, extra int"), root, "one", "20240102")
+    rows = {r.transaction_hash: r for r in read_dead_letters(spark, root).collect()}
+    assert (rows["a"].amount_usd, rows["a"].batch_id) == (-1.5, "20240101")
+    assert rows["b"].amount_usd is None and rows["b"].payload == {"transaction_hash": "b", "amount_usd": "none", "extra": "3"}

@@ -7,6 +7,7 @@ from ledgerloom.plans.jobs import LedgerJob, backfill, backfill_rows, day_spine,
 from ledgerloom.plans.snapshots import SnapshotTable
 from ledgerloom.session import scratch_dir
 from ledgerloom.sources.dead_letters import read_dead_letters
+from ledgerloom.sources.files import names
 from ledgerloom.sources.samples import tx_events
 from ledgerloom.sources.windows import (
     SourceConfig, advance_mark, default_sources, extract_all, extract_incremental, extract_window, in_window, read_mark)
@@ -24,8 +25,8 @@ def landed(spark, sf):
 
 
 def test_windows_are_half_open(small):
-    at = datetime(2024, 1, 1, 1)
-    assert in_window(small, datetime(2024, 1, 1), at).count() + in_window(small, at, datetime(2024, 1, 2)).count() == 4
+    at = datetime(2024, 3, 10, 9, 5)
+    assert in_window(small, datetime(2024, 3, 10), at).count() + in_window(small, at, datetime(2024, 3, 11)).count() == 5
     assert in_window(small, at, at + timedelta(hours=1)).count() == 1
 
 
@@ -62,11 +63,12 @@ def test_several_sources(spark, landed):
 def test_marks(spark):
     path = scratch_dir(spark, "marks")
     assert read_mark(spark, path, "s") is None
-    advance_mark(spark, path, "s", "b1", START)
-    advance_mark(spark, path, "s", "b2", END)
-    advance_mark(spark, path, "s", "b1", START)
-    advance_mark(spark, path, "other", "b1", datetime(2030, 1, 1))
+    advance_mark(spark, path, "s", START)
+    advance_mark(spark, path, "s", END)
+    advance_mark(spark, path, "s", START)
+    advance_mark(spark, path, "other/one", datetime(2030, 1, 1))
     assert read_mark(spark, path, "s") == END
+    assert len(names(spark, path)) == 2  # earlier marks are gone
 
 
 def test_incremental(landed):
@@ -97,6 +99,39 @@ def test_run_end_to_end_and_replay(spark, landed):
     assert [r.status for r in job.runs().collect()] == ["success"] * 3
 
 
+def test_retry_after_the_commit_adds_no_row(spark, landed, monkeypatch):
+    from ledgerloom.plans import jobs
+    job = LedgerJob(spark, [SourceConfig("all", landed)], scratch_dir(spark, "job"))
+    job.run(START, START + timedelta(days=1))
+
+    def broken(*_):
+        raise RuntimeError("after the commit")
+    with monkeypatch.context() as patched:
+        patched.setattr(jobs, "build_training_store", broken)
+        with pytest.raises(RuntimeError):
+            job.run(end=END)
+    assert job.table.version == 2
+    again = job.run(end=END + timedelta(hours=5))
+    assert (again["start_time"], again["end_time"]) == (START + timedelta(days=1), END)
+    rows = job.table.read()
+    assert job.table.version == 2 and rows.count() == rows.select("transaction_hash").distinct().count()
+    assert job.run(end=END + timedelta(hours=5))["start_time"] == END
+    failed = job.runs().where("status = 'failed'").first()
+    assert "after the commit" in failed.errors[0].error and "Traceback" in failed.errors[0].error
+
+
+def test_job_fills_all_groups(spark, landed, sf):
+    from ledgerloom.plans.feature_store import FeatureStore
+    from ledgerloom.sources.samples import address_labels
+    job = LedgerJob(spark, [SourceConfig("all", landed)], scratch_dir(spark, "job"), all_features=True,
+                    labels=address_labels(spark, sf))
+    job.run(START, START + timedelta(days=2))
+    job.run(end=END)
+    rows = job.table.read().count()
+    described = FeatureStore(spark, f"{job.root}/features").describe().collect()
+    assert len(described) == 5 and {r.records for r in described} == {rows}
+
+
 def test_failed_run_is_recorded_and_keeps_the_mark(spark):
     job = LedgerJob(spark, [SourceConfig("none", "/tmp/no-such-folder-of-records")], scratch_dir(spark, "job"))
     with pytest.raises(Exception):
@@ -108,11 +143,11 @@ def test_failed_run_is_recorded_and_keeps_the_mark(spark):
 
 def test_quality_gate(small, spark):
     rows = small.withColumn("chain", F.lit("ethereum"))
-    assert not quality_gate(rows, 4).first().passed  # a repeated hash
+    assert not quality_gate(rows, 5).first().passed  # a repeated hash
     unique = rows.dropDuplicates(["transaction_hash"])
-    assert quality_gate(unique, 3).first().passed
-    assert not quality_gate(unique, 2).first().passed
-    assert quality_gate(unique, spark.range(3).agg(F.count("*"))).first().passed
+    assert quality_gate(unique, 4).first().passed
+    assert not quality_gate(unique, 3).first().passed
+    assert quality_gate(unique, spark.range(4).agg(F.count("*"))).first().passed
 
 
 def test_day_spine(spark):

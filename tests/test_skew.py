@@ -140,8 +140,21 @@ def test_all_features_chunked(spark, data, plans):
     assert_same(plain, cut)
 
 
-def test_cut_points_are_bounded(data):
-    plan = plan_chunks(data[1], "from_address", ORDER, rows_per_chunk=1, max_chunks=8)
-    assert plan.cuts is not None
-    assert plan.cuts.agg(F.sum(F.size("_points"))).first()[0] <= 24
+def test_no_cut_points_without_rows(data):
     assert plan_chunks(data[1].where("false"), "from_address", ORDER).cuts is None
+
+
+def test_work_per_cut_point_is_linear(spark):
+    """By-time cut points are made once: many of them cost a row no more than few."""
+    import time
+    df = spark.range(40_000).select(F.lit("hot").alias("from_address"), F.expr("timestamp_ntz '2024-01-01' + make_dt_interval(0, 0, 0, id)").alias("timestamp"),
+                                    F.col("id").alias("block_number"), F.col("id").cast("string").alias("transaction_hash"))
+    seconds = {}
+    for rows_per_chunk in (2000, 100):
+        plan = plan_chunks(df, "from_address", ORDER, rows_per_chunk=rows_per_chunk)
+        for _ in range(2):  # the second one counts
+            began = time.perf_counter()
+            chunks = plan.assign(df, by_time=True).select("_chunk").distinct().count()
+            seconds[rows_per_chunk] = time.perf_counter() - began
+        assert chunks > 40_000 / rows_per_chunk / 2
+    assert seconds[100] < 4 * seconds[2000] + 2

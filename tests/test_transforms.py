@@ -13,13 +13,13 @@ from ledgerloom.operators.rolling import rolling_rows, window_label
 
 def test_deduplicate_keeps_one_row_per_key(small):
     out = deduplicate(small, ["transaction_hash"])
-    assert out.count() == 3
-    assert out.select("transaction_hash").distinct().count() == 3
+    assert out.count() == 4
+    assert out.select("transaction_hash").distinct().count() == 4
 
 
-@pytest.mark.parametrize("keep, hour", [("last", 2), ("first", 0)])
+@pytest.mark.parametrize("keep, hour", [("last", 9), ("first", 6)])
 def test_deduplicate_keep(small, keep, hour):
-    row = deduplicate(small, ["transaction_hash"], keep).where("transaction_hash = '0xaaa'").first()
+    row = deduplicate(small, ["transaction_hash"], keep).where("transaction_hash = '0x5e1'").first()
     assert row.timestamp.hour == hour
 
 
@@ -52,8 +52,8 @@ def test_filter_confirmed(small, spark):
 def test_time_parts(small):
     out = add_time_parts(small)
     row = out.orderBy("timestamp").collect()[1]
-    assert (row.year, row.month, row.day, row.hour) == (2024, 1, 1, 1)
-    assert row.date_partition == "2024-01-01" and row.hour_partition == "2024-01-01-01"
+    assert (row.year, row.month, row.day, row.hour) == (2024, 3, 10, 7)
+    assert row.date_partition == "2024-03-10" and row.hour_partition == "2024-03-10-07"
 
 
 def test_time_parts_of_text(spark):
@@ -64,9 +64,9 @@ def test_time_parts_of_text(spark):
 def test_amount_columns(small):
     rows = add_amount_columns(small).collect()
     assert all(r.amount_log >= 0 for r in rows)
-    assert rows[0].amount_log == pytest.approx(math.log1p(100.0))
-    assert rows[0].fee_ratio == pytest.approx(1.0 / (100.0 + 1e-6))
-    assert rows[0].total_cost_usd == 101.0
+    assert rows[0].amount_log == pytest.approx(math.log1p(12.5))
+    assert rows[0].fee_ratio == pytest.approx(0.25 / (12.5 + 1e-6))
+    assert rows[0].total_cost_usd == 12.75
 
 
 def test_window_labels():
