@@ -4,7 +4,8 @@ A shared random walk embeds a text: it writes the current character again and ag
 to the next one when a random bit of (step, character) says so. After a few edits the walks of
 two texts meet again with good odds, so a small edit distance becomes a small Hamming distance
 (Chakraborty, Goldenberg and Koucky, "Streaming algorithms for embedding and computing edit
-distance", 2016). The fingerprint keeps the embedding at sampled steps, the same for all texts
+distance", 2016). A single walk may be unlucky and stay apart, so there are three, and the best
+of them counts. The fingerprint keeps the embeddings at sampled steps, the same for all texts
 of a level. The level is the text's length in powers of two; each text is sampled for its own
 level and the next, so that texts within twice each other's length share one. Bands of
 consecutive samples are keys for near texts (Zhang and Zhang, "EmbedJoin", 2017), which are
@@ -29,16 +30,17 @@ from ledgerloom.llm.graph import components
 from ledgerloom.llm.runs import over_runs, split_hot, stars
 from ledgerloom.session import stage
 
-SAMPLES = 128       # steps sampled for a level; each is one hexadecimal digit, 0 after the end
+WALKS = 3
+SAMPLES = 64        # steps sampled for a level and walk; each is one hexadecimal digit, 0 after the end
 PERIOD = 1 << 13    # the walk's random bits repeat after so many steps
 SEED = 20_240_601
 TOP_LEVEL = 48
 CELLS = 2_000_000   # characters walked at once
 
 
-def _jumps() -> np.ndarray:
-    """Steps until the walk leaves a character: by character class (256) and step."""
-    bits = np.random.default_rng(SEED).random((256, PERIOD)) < 0.5
+def _jumps(walk: int) -> np.ndarray:
+    """Steps until a walk leaves a character: by character class (256) and step."""
+    bits = np.random.default_rng([SEED, walk]).random((256, PERIOD)) < 0.5
     bits[:, 0] = True  # so that every row has one
     out = np.zeros((256, PERIOD), np.int64)
     gap = np.zeros(256, np.int64)
@@ -53,15 +55,15 @@ _state: dict[str, object] = {}
 
 def _tables():
     if not _state:
-        _state["jumps"] = _jumps().ravel()
-        _state["lists"] = None
+        _state["jumps"] = [_jumps(w).ravel() for w in range(WALKS)]
+        _state["lists"] = [j.reshape(256, PERIOD).tolist() for j in _state["jumps"]]
         _state["steps"] = {}
-    return _state["jumps"], _state["steps"]
+    return _state["jumps"], _state["lists"], _state["steps"]
 
 
 def sampled_steps(level: int) -> np.ndarray:
     """The sampled steps of a level, ascending; even over the 3 x 2^level steps a walk may take."""
-    _, known = _tables()
+    known = _tables()[2]
     if level not in known:
         known[level] = np.sort((np.random.default_rng([SEED, level]).random(SAMPLES) * 3 * 2.0 ** level).astype(np.int64))
     return known[level]
@@ -71,23 +73,29 @@ def level_of(n: int) -> int:
     return max(0, (n - 1).bit_length()) if n else 0
 
 
-def _classes(text: str) -> np.ndarray:
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _classes(codes: np.ndarray) -> np.ndarray:
+    """The class of each character that steers the walk."""
     return ((codes * np.uint32(2_654_435_761)) >> np.uint32(24)).astype(np.int32)
 
 
-def _digits(classes: np.ndarray, ends: np.ndarray, level: int) -> str:
-    """Samples of one walk; ``ends[i]`` is the first step after character i."""
-    at = np.searchsorted(ends, np.concatenate([sampled_steps(level), sampled_steps(level + 1)]), side="right")
-    values = np.append(classes % 15 + 1, 0)[at]
+def _digits(codes: np.ndarray, walks: list[np.ndarray], level: int) -> str:
+    """Samples of the walks, by level and walk; ``walks[w][i]`` is the first step after character i."""
+    steps = (sampled_steps(level), sampled_steps(level + 1))
+    at = np.concatenate([np.searchsorted(ends, s, side="right") for s in steps for ends in walks])
+    values = np.append(codes % 15 + 1, 0)[at]  # neighbours in the alphabet get different digits
     return f"{level:02x}" + "".join(map("0123456789abcdef".__getitem__, values.tolist()))
 
 
 def fingerprints(texts: list[str | None]) -> list[str]:
     """Fingerprints of whole texts; texts of like length walk side by side."""
-    jumps, _ = _tables()
+    jumps, lists, _ = _tables()
     out = [""] * len(texts)
-    classes = [_classes(t or "") for t in texts]
+    codes = [_codes(t or "") for t in texts]
+    classes = [_classes(c) for c in codes]
     order = sorted(range(len(texts)), key=lambda i: len(classes[i]))
     at = 0
     while at < len(order):
@@ -97,48 +105,47 @@ def fingerprints(texts: list[str | None]) -> list[str]:
             stop += 1
         some, at = order[at:stop], stop
         if len(some) < 24:
-            if _state["lists"] is None:
-                _state["lists"] = jumps.reshape(256, PERIOD).tolist()
-            rows = _state["lists"]
             for i in some:
-                step, ends = 0, []
-                for c in classes[i].tolist():
-                    step += rows[c][step & (PERIOD - 1)]
-                    ends.append(step)
-                out[i] = _digits(classes[i], np.array(ends, np.int64), level_of(len(ends)))
+                walks, characters = [], classes[i].tolist()
+                for rows in lists:
+                    step, ends = 0, []
+                    for c in characters:
+                        step += rows[c][step & (PERIOD - 1)]
+                        ends.append(step)
+                    walks.append(np.array(ends, np.int64))
+                out[i] = _digits(codes[i], walks, level_of(len(characters)))
             continue
         cells = np.zeros((longest, len(some)), np.int32)
         for k, i in enumerate(some):
             cells[:len(classes[i]), k] = classes[i]
         cells *= PERIOD
-        ends = np.empty((longest, len(some)), np.int32)
-        step = np.zeros(len(some), np.int32)
-        for k in range(longest):
-            step = step + jumps.take(cells[k] + (step & (PERIOD - 1)))
-            ends[k] = step
-        ends = np.ascontiguousarray(ends.T)
+        walked = []
+        for table in jumps:
+            ends = np.empty((longest, len(some)), np.int32)
+            step = np.zeros(len(some), np.int32)
+            for k in range(longest):
+                step = step + table.take(cells[k] + (step & (PERIOD - 1)))
+                ends[k] = step
+            walked.append(np.ascontiguousarray(ends.T))
         for k, i in enumerate(some):
             n = len(classes[i])
-            out[i] = _digits(classes[i], ends[k, :n], level_of(n))
+            out[i] = _digits(codes[i], [ends[k, :n] for ends in walked], level_of(n))
     return out
 
 
 def likeness(a: str, b: str) -> float:
-    """Share of agreeing samples among those that are in either text, on the levels both have."""
+    """Share of agreeing samples among those that are in either text, on the levels both have, by the best walk."""
     if a == b:
         return 1.0
     la, lb = int(a[:2], 16), int(b[:2], 16)
     if abs(la - lb) > 1:
         return 0.0
-    if la == lb:
-        x, y = a[2:], b[2:]
-    elif la < lb:
-        x, y = a[2 + SAMPLES:], b[2:2 + SAMPLES]
-    else:
-        x, y = a[2:2 + SAMPLES], b[2 + SAMPLES:]
-    u, v = np.frombuffer(x.encode(), np.uint8), np.frombuffer(y.encode(), np.uint8)
+    u, v = (np.frombuffer(x[2:].encode(), np.uint8).reshape(2, WALKS, SAMPLES) for x in (a, b))
+    if la != lb:
+        u, v = (u[1:], v[:1]) if la < lb else (u[:1], v[1:])
     either = (u != 48) | (v != 48)
-    return float(((u == v) & either).sum() / either.sum()) if either.any() else 0.0
+    present = either.sum(axis=(0, 2))
+    return float((((u == v) & either).sum(axis=(0, 2)) / np.maximum(present, 1)).max())
 
 
 # -- each document, its edited text and the next document ----------------------------------
@@ -225,8 +232,9 @@ def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text: str = "text
 def edit_classes(df: DataFrame, id_col: str = "doc_id", text: str = "text", near: float = 0.8, band: int = 8) -> DataFrame:
     """(id, fingerprint, class_id) for every row: classes of texts whose fingerprints agree in ``near`` or more.
 
-    Candidates share ``band`` consecutive samples of a level; of two fingerprints that agree in
-    0.8 of 128 samples, 97% share one of the 16 bands of 8. Verified links leave a bucket as
+    Candidates share ``band`` consecutive samples of a walk on a level; of two fingerprints of
+    which one walk agrees in 0.9 of 64 samples, 99% share one of its 8 bands of 8, and most
+    have three walks and two levels to meet on. Verified links leave a bucket as
     stars; buckets over the block size are split so that their members still meet.
     """
     @F.pandas_udf("string")
@@ -242,9 +250,10 @@ def edit_classes(df: DataFrame, id_col: str = "doc_id", text: str = "text", near
             keys, items, values = [], [], []
             for value, node in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 level = int(value[:2], 16)
+                size = WALKS * SAMPLES
                 for k in (0, 1):
-                    part = value[2 + k * SAMPLES:2 + (k + 1) * SAMPLES]
-                    for at in range(0, SAMPLES, band):
+                    part = value[2 + k * size:2 + (k + 1) * size]
+                    for at in range(0, size, band):
                         some = part[at:at + band]
                         if level == 0 or some.strip("0"):
                             digest = hashlib.blake2b(f"{level + k}:{at}:{some}".encode(), digest_size=8).digest()

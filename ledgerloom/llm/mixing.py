@@ -56,9 +56,10 @@ def mix(df: DataFrame, source: str = "source", id_col: str = "doc_id", weights:
         epochs: float = 3.0, seed: int = 42) -> DataFrame:
     """Add source_size, target, whole (copies) and extra (words of a further, partial copy) to rows with a ``size``.
 
-    Three narrow aggregates (sources, hash buckets) and one window over bounded buckets. The
+    Columns of these names are replaced. Three narrow aggregates (sources, hash buckets) and one window over bounded buckets. The
     table of sources has one row per source and is joined as Spark sees fit by its size.
     """
+    df = df.drop("source_size", "target", "whole", "extra")
     targets = source_targets(df.select(source, "size"), source, weights, epochs) \
         .withColumnRenamed(source, "_mix_source")
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string"), F.col("size").cast("string")))

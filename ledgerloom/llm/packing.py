@@ -146,10 +146,11 @@ def _pack(df: DataFrame, capacity: int, groups: int, last: bool) -> DataFrame:
 def pack(items: DataFrame, capacity: int = 2048, rounds: int = 3) -> DataFrame:
     """Add sequence_id and offset to rows with a ``length`` of 1 to ``capacity``.
 
-    ``items`` are scanned once; what each round leaves is written to the shared folder. The
+    Columns named sequence_id, offset, bin or final are replaced or dropped. ``items`` are scanned once; what each round leaves is written to the shared folder. The
     number of groups follows the number of rows. Sequence numbers say the round, the group and
     the bin, so they never meet.
     """
+    items = items.drop("sequence_id", "offset", "bin", "final")
     left, done = items, None
     n = items.count()
     for turn in range(rounds):
