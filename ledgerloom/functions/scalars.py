@@ -52,3 +52,10 @@ def add_amount_columns(df: DataFrame, amount: str = "amount_usd", fee: str = "ga
 
 def only_confirmed(df: DataFrame, status: str = "status") -> DataFrame:
     return df.where(F.col(status) == "confirmed")
+
+
+def iso_text(c: str | Column) -> Column:
+    """A timestamp as ISO 8601 text, with six digits of a second's fraction if it has one."""
+    at = F.col(c) if isinstance(c, str) else c
+    whole = F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss")
+    return F.when(at == F.date_trunc("second", at), whole).otherwise(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"))

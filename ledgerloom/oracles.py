@@ -247,6 +247,9 @@ ORACLES: dict[str, str] = {
     "dedup_last_lineitem": f"{LI} SELECT {ALL} FROM ({deduped('tx')})",
     "dedup_none_lineitem": f"{LI} SELECT {ALL} FROM ({deduped('tx', 'none')})",
     "time_features": f"{EV} SELECT {KEYS}, {TIME_PARTS} FROM tx",
+    "time_iso": f"""{EV} SELECT block_number, CASE WHEN timestamp = date_trunc('second', timestamp)
+        THEN strftime(timestamp, '%Y-%m-%dT%H:%M:%S') ELSE strftime(timestamp, '%Y-%m-%dT%H:%M:%S.%f') END AS iso, strftime(date_trunc('hour', timestamp), '%Y-%m-%dT%H:%M:%S') AS hour FROM tx""",
+    "time_features_text": f"{EV} SELECT block_number, {TIME_PARTS} FROM tx WHERE timestamp IS NOT NULL",
     "amount_features": f"{EV} SELECT {KEYS}, {AMOUNT_PARTS} FROM clean",
     "rolling_rows_frame": ROWS_FRAME,
     "rolling_rows_chunked": ROWS_FRAME,
@@ -371,5 +374,6 @@ ORACLES: dict[str, str] = {
     "load_check_failing": f"""{EV} SELECT count(*) AS records, {NULLS} AS null_keys, (SELECT s FROM {SURPLUS}) AS repeated_hashes,
         (SELECT count(*) FROM clean) AS expected_records, false AS passed FROM tx""",
     "stream_ingest": f"{EV} SELECT CASE WHEN {BAD} THEN 'rejected' ELSE 'clean' END AS outcome, {ALL} FROM tx",
+    "stream_report": f"{REPORT} SELECT rule, findings, (SELECT count(*) FROM tx) AS total_records FROM r WHERE rule <> 'transaction_hash_unique'",
     "stream_dedup": f"{EV} SELECT DISTINCT transaction_hash FROM clean",
 }

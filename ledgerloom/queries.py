@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from ledgerloom.functions.scalars import add_amount_columns, add_time_parts, invalid_member, only_confirmed
+from ledgerloom.functions.scalars import add_amount_columns, add_time_parts, invalid_member, iso_text, only_confirmed
 from ledgerloom.operators import contracts as rules
 from ledgerloom.operators.chain import transform_chain
 from ledgerloom.operators.chunks import ROWS_PER_CHUNK, ChunkPlan, plan_chunks
@@ -28,7 +28,7 @@ from ledgerloom.sources.dead_letters import read_dead_letters, write_dead_letter
 from ledgerloom.sources.samples import address_labels, tx_events, tx_lineitem
 from ledgerloom.sources.windows import (
     SourceConfig, advance_mark, default_sources, extract_all, extract_incremental, extract_window, read_mark)
-from ledgerloom.streaming.ingest import deduplicate_stream, ingest_stream, read_stream
+from ledgerloom.streaming.ingest import deduplicate_stream, ingest_stream, read_reports, read_stream
 
 AS_OF = datetime(2024, 1, 15)
 NOW = datetime(2024, 1, 20)
@@ -228,6 +228,18 @@ def time_features(spark, sf_dir):
                  [*KEY, "year", "month", "day", "hour", "date_partition", "hour_partition"])
 
 
+@query
+def time_iso(spark, sf_dir):
+    return tx_events(spark, sf_dir).select("block_number", iso_text(TIME).alias("iso"), iso_text(F.date_trunc("hour", TIME).cast("timestamp_ntz")).alias("hour"))
+
+
+@query
+def time_features_text(spark, sf_dir):
+    """Calendar parts of times that came as text."""
+    df = tx_events(spark, sf_dir).where(F.col(TIME).isNotNull()).withColumn(TIME, F.col(TIME).cast("string"))
+    return shown(add_time_parts(df), ["block_number", "year", "month", "day", "hour", "date_partition", "hour_partition"])
+
+
 @query
 def amount_features(spark, sf_dir):
     return shown(add_amount_columns(clean(spark, sf_dir)), [*KEY, "amount_log", "fee_ratio", "total_cost_usd"])
@@ -773,6 +785,18 @@ def stream_ingest(spark, sf_dir):
     return shown(loaded.unionByName(dropped), ["outcome", *TX])
 
 
+@query
+def stream_report(spark, sf_dir):
+    """Findings of the row rules, added up over the micro-batches."""
+    root, inbox = scratch_dir(spark, "stream"), scratch_dir(spark, "inbox")
+    tx_events(spark, sf_dir).repartition(4).write.parquet(inbox)
+    contract = Contract("ledger", rules.default_rules(NOW))
+    ingest_stream(read_stream(spark, inbox, files_per_batch=1), root, "loader", f"{root}/checkpoint", contract=contract).awaitTermination()
+    row_rules = read_reports(spark, root).where(F.col("total_records").isNotNull())
+    findings = F.aggregate(F.map_values(F.map_filter("details", lambda k, _: k != "pct")), F.lit(0.0), lambda a, v: a + v)
+    return row_rules.groupBy("rule").agg(F.sum(findings).cast("bigint").alias("findings"), F.sum("total_records").alias("total_records"))
+
+
 @query
 def stream_dedup(spark, sf_dir):
     root, inbox = scratch_dir(spark, "stream"), scratch_dir(spark, "inbox")

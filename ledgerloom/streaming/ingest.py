@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from ledgerloom.operators.contracts import accepted, rejected
+from ledgerloom.operators.contracts import Contract, accepted, rejected
 from ledgerloom.operators.drift import normalize
 from ledgerloom.plans.snapshots import SnapshotTable
 from ledgerloom.schema import TIME, TRANSACTION
 from ledgerloom.sources.dead_letters import write_dead_letters
 
 
+REPORT = """position int, rule string, passed boolean, details map<string,double>, note string, total_records bigint,
+            source string, batch_id string"""
+
+
 def read_stream(spark: SparkSession, path: str, schema: T.StructType = TRANSACTION,
                 files_per_batch: int | None = None) -> DataFrame:
     """Parquet files of ``path`` as a stream; ``files_per_batch`` bounds a micro-batch."""
@@ -22,18 +26,21 @@ def read_stream(spark: SparkSession, path: str, schema: T.StructType = TRANSACTI
 
 
 def ingest_stream(stream: DataFrame, root: str, name: str, checkpoint: str,
-                  available_now: bool = True, interval: str = "1 minute") -> StreamingQuery:
-    """Append each micro-batch's clean rows to ``transactions`` and its others to
-    ``dead_letters`` below ``root``.
+                  available_now: bool = True, interval: str = "1 minute", contract: Contract | None = None) -> StreamingQuery:
+    """Append each micro-batch's clean rows to ``transactions``, its others to ``dead_letters``
+    and the report of its contract to ``reports``, all below ``root``.
 
     The checkpoint is the high-water mark. Commits are keyed by stream name and batch number,
     so a batch replayed after a failure is not added twice; use a new name with a new
     checkpoint.
     """
+    contract = contract or Contract(name)
+
     def load(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
         batch_id = f"{name}-{number:012d}"
         batch = normalize(batch)
+        contract.report(batch).write.mode("overwrite").parquet(f"{root}/reports/source={name}/batch_id={batch_id}")
         write_dead_letters(batch.where(rejected(batch)), f"{root}/dead_letters", name, batch_id)
         SnapshotTable(spark, f"{root}/transactions").write(batch.where(accepted(batch)), batch_id=batch_id)
 
@@ -42,6 +49,11 @@ def ingest_stream(stream: DataFrame, root: str, name: str, checkpoint: str,
     return writer.start()
 
 
+def read_reports(spark: SparkSession, root: str) -> DataFrame:
+    """The rule reports of all micro-batches, with ``source`` and ``batch_id``."""
+    return spark.read.schema(REPORT).parquet(f"{root}/reports")
+
+
 def deduplicate_stream(stream: DataFrame, keys: list[str], delay: str, time: str = TIME) -> DataFrame:
     """First row of each key seen within ``delay`` of its time.
 
