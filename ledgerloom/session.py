@@ -42,6 +42,8 @@ def build_session(app: str = "ledgerloom", master: str | None = None, **conf) ->
 def adopt(spark: SparkSession) -> SparkSession:
     """Set what the operators rely on in a session built elsewhere."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     return spark
 
 
