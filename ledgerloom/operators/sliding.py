@@ -4,7 +4,7 @@ Two plans give the same values. Groups of few rows use Spark's RANGE windows, wh
 the frame for each row. Once a group is dense that costs rows x frame, so frames become running
 aggregates: n rows cost n log n whatever the frame. Both work in doubles and take nothing back
 from a total, so which plan a group gets does not show in its values. Groups too large for one
-task are swept in chunks.
+task are swept in chunks. Each group of a table takes the plan that suits its size.
 """
 
 from __future__ import annotations
@@ -50,7 +50,7 @@ def sliding(df: DataFrame, wanted: list[Sliding], group: str | list[str] = ENTIT
     plan = plan or plan_chunks(df, group, total_order(df, time))
     if plan.cuts is None and plan.largest <= dense:
         return _windows(df, wanted, group, time, plan)
-    return _sweep(df, wanted, group, time, plan)
+    return _sweep(df, wanted, group, time, plan, dense)
 
 
 def rolling_range(df: DataFrame, group: str | list[str] = ENTITY, amount: str = "amount_usd",
@@ -69,8 +69,12 @@ def range_columns(amount: str = "amount_usd", time: str = TIME,
 
 
 def _windows(df: DataFrame, wanted: list[Sliding], group: list[str], time: str, plan: ChunkPlan) -> DataFrame:
+    out = _range_windows(plan.assign(df).withColumn("_at", micros(time)), wanted, group)
+    return _finish(out, df, wanted, group)
+
+
+def _range_windows(rows: DataFrame, wanted: list[Sliding], group: list[str]) -> DataFrame:
     spec = Window.partitionBy(*group, "_chunk").orderBy("_at")
-    rows = plan.assign(df).withColumn("_at", micros(time))
     built = {}
     for s in wanted:
         frame, x = spec.rangeBetween(-s.span, 0), F.col(s.value)
@@ -81,8 +85,7 @@ def _windows(df: DataFrame, wanted: list[Sliding], group: list[str], time: str,
         else:
             value = {"count": F.count, "sum": F.sum, "mean": F.avg, "max": F.max}[s.kind](x).over(frame)
         built[s.name] = value
-    out = rows.withColumns(built)
-    return _finish(out, df, wanted, group)
+    return rows.withColumns(built)
 
 
 def _finish(out: DataFrame, df: DataFrame, wanted: list[Sliding], group: list[str]) -> DataFrame:
@@ -108,7 +111,7 @@ def _finish(out: DataFrame, df: DataFrame, wanted: list[Sliding], group: list[st
 SWEPT = ("count", "distinct")
 
 
-def _sweep(df: DataFrame, wanted: list[Sliding], group: list[str], time: str, plan: ChunkPlan) -> DataFrame:
+def _sweep(df: DataFrame, wanted: list[Sliding], group: list[str], time: str, plan: ChunkPlan, dense: int) -> DataFrame:
     base = plan.assign(df.withColumn("_at", micros(time)), by_time=True)
     swept, merged = [s for s in wanted if s.kind in SWEPT], [s for s in wanted if s.kind not in SWEPT]
     spans = sorted({s.span for s in merged})
@@ -117,6 +120,12 @@ def _sweep(df: DataFrame, wanted: list[Sliding], group: list[str], time: str, pl
     cut = plan.cuts is not None
     # All windows below are partitioned by these columns and others, so none of them moves rows again.
     out = (base.where(~F.col("_cut")) if cut else base).repartition(*group, "_chunk")
+    sparse = None
+    if dense > 0:  # each group takes the plan that suits it, after the same exchange
+        sized = out.withColumn("_size", F.count(F.lit(1)).over(Window.partitionBy(*group, "_chunk")))
+        few = sized.where(F.col("_size") <= dense)
+        sparse = _range_windows(few.select(*[c for c in out.columns if c not in {s.name for s in wanted}]), wanted, group)
+        out = sized.where(F.col("_size") > dense).drop("_size")
     for value in distinct:
         out = _next_seen(out, value, group)
     if swept:
@@ -125,6 +134,8 @@ def _sweep(df: DataFrame, wanted: list[Sliding], group: list[str], time: str, pl
         done = [x.name for x in [*swept, *[m for m in merged if m.span in spans[:i]]]]
         out = _carried_merges(out, [m for m in merged if m.span == span], span, [c for c in df.columns if c not in done] + done, group)
     out = out.select(*_with_names(df, wanted), "_at")
+    if sparse is not None:
+        out = out.unionByName(sparse.select(*_with_names(df, wanted), "_at"))
     if cut:
         hot = base.where("_cut")
         rows = hot.select(*[c for c in df.columns if c not in {s.name for s in wanted}], "_at")

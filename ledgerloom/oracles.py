@@ -256,6 +256,7 @@ ORACLES: dict[str, str] = {
     "rolling_labels": f"{EV} SELECT {KEYS}, from_address, {rolled({'3h': 3, '12h': 12, '2d': 48})} FROM settled",
     "rolling_range_frame": RANGE_FRAME,
     "rolling_range_dense": RANGE_FRAME,
+    "rolling_range_mixed": RANGE_FRAME,
     "rolling_range_chunked": RANGE_FRAME,
     "transform_chain_rows": f"{EV} SELECT {ALL}, {TIME_PARTS}, {AMOUNT_PARTS}, {rolled(STANDARD)} FROM settled",
     "transform_chain_range": f"""{EV} SELECT {KEYS}, from_address, {digits('ln(1 + amount_usd)')} AS amount_log,

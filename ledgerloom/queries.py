@@ -276,6 +276,13 @@ def rolling_range_dense(spark, sf_dir):
     return shown(out, [*KEY, ENTITY, *RANGED])
 
 
+@query
+def rolling_range_mixed(spark, sf_dir):
+    """Small groups by RANGE windows, larger ones by running aggregates."""
+    out = rolling_range(settled(spark, sf_dir), plan=address_plan(spark, sf_dir), dense=36)
+    return shown(out, [*KEY, ENTITY, *RANGED])
+
+
 @query
 def rolling_range_chunked(spark, sf_dir):
     plan = address_plan(spark, sf_dir, SMALL_CHUNK)
