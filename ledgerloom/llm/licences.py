@@ -15,6 +15,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ledgerloom.session import stage
+
 # Equivalent spellings, as whole words of the canonical form.
 SPELLINGS = {
     "licence": "license", "licences": "licenses", "licenced": "licensed", "sublicence": "sublicense", "organisation": "organization",
@@ -101,9 +103,11 @@ def known_licences(spark: SparkSession, known: list[tuple[str, str]] | None = No
 def scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, digest, license, notices): the licence that the whole text is, and those whose text is one of its lines.
 
-    The known table has one row per known licence and is a list kept by hand; Spark broadcasts
-    it while its measured size allows and otherwise hash-joins on the digest.
+    The known table has one row per known licence and is a list kept by hand. It is written
+    first, so that Spark knows its size when it plans: it broadcasts the table while that
+    allows, and otherwise hash-joins on the digest.
     """
+    known = stage(known, "known")
     kept = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text"), F.xxhash64(text).alias("_hash"))
     whole = kept.select("_id", "_hash", digest("_text").alias("digest"))
     lines = kept.select("_id", "_hash", F.explode(F.split("_text", "\n")).alias("_line"))
