@@ -21,7 +21,7 @@ HEADLINE = [
     "dedup_last", "dedup_last_lineitem", "transform_chain_rows", "transform_chain_range", "transform_chain_lineitem",
     "rolling_rows_frame", "rolling_range_frame", "rolling_range_dense", "feature_velocity", "feature_amounts", "feature_behavioral", "feature_risk",
     "feature_network", "feature_join", "snapshot_read", "backfill_transform", "load_check", "stream_ingest",
-    "rolling_rows_chunked", "rolling_range_chunked", "rolling_range_hot", "feature_velocity_chunked", "feature_amounts_chunked", "job_run",
+    "rolling_range_hot",
 ]
 
 
