@@ -229,6 +229,91 @@ def edited_fingerprints(df: DataFrame, id_col: str = "doc_id", text: str = "text
 
 # -- near texts ----------------------------------------------------------------------------
 
+def _settled(df: DataFrame, name: str) -> DataFrame:
+    """``stage``, after which Spark deletes the shuffle files of the step: nothing reads them again."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, None)
+    conf.set(key, "true")
+    try:
+        return stage(df, name)
+    finally:
+        conf.unset(key) if before is None else conf.set(key, before)
+
+
+def _digits_of(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Levels, and samples by row, level, walk and step, of fingerprints as rows of bytes."""
+    digits = np.stack([codes[:, 1:] >> 4, codes[:, 1:] & 15], axis=2)
+    return codes[:, 0].astype(np.int64), digits.reshape(len(codes), 2, WALKS, SAMPLES)
+
+
+def _likeness_to(levels: np.ndarray, digits: np.ndarray, ended: np.ndarray, i: int, rest: np.ndarray) -> np.ndarray:
+    """``likeness`` of row i to each of the rows ``rest``; ``ended`` counts the zeros of every level and walk.
+
+    Zeros follow the end of a walk only, so the samples in neither text are the fewer zeros of the two.
+    """
+    out = np.zeros(len(rest))
+    for shift, u, v in ((0, slice(0, 2), slice(0, 2)), (1, slice(1, 2), slice(0, 1)), (-1, slice(0, 1), slice(1, 2))):
+        some = np.flatnonzero(levels[rest] - levels[i] == shift)
+        if not len(some):
+            continue
+        same = digits[rest[some], v] == digits[i, u]
+        # Eight truth values are added at a time as one word; its bytes stay below 256.
+        words = np.ascontiguousarray(same).view(np.uint64).sum(axis=(1, 3), dtype=np.uint64)
+        same = ((words.view(np.uint8).reshape(*words.shape, 8)).sum(axis=2)).astype(np.int64)
+        neither = np.minimum(ended[rest[some], v], ended[i, u]).sum(axis=1)
+        present = (u.stop - u.start) * SAMPLES - neither
+        out[some] = ((same - neither) / np.maximum(present, 1)).max(axis=1)
+    return out
+
+
+def _classes_of(marked: DataFrame, id_col: str, near: float, band: int) -> DataFrame:
+    """(fingerprint, class_id), one row per fingerprint of the staged table ``marked``.
+
+    Bands are first met as bare keys; a fingerprint is moved only to those that it shares with
+    another one, as bytes.
+    """
+    least = marked.groupBy("fingerprint").agg(F.min(id_col).alias("_least"))
+    nodes = _settled(least.select("fingerprint", "_least", F.xxhash64("fingerprint").alias("node")), "nodes")
+
+    def bands(batches):
+        size = WALKS * SAMPLES
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            codes = np.frombuffer(bytes.fromhex("".join(batch.column(0).to_pylist())), np.uint8)
+            levels, digits = _digits_of(codes.reshape(batch.num_rows, -1))
+            node = batch.column(1).to_numpy()
+            for k in (0, 1):
+                part = digits[:, k].reshape(-1, size)
+                for at in range(0, size, band):
+                    some = part[:, at:at + band]
+                    key = (levels + k).astype(np.uint64) * np.uint64(size) + np.uint64(at)
+                    for column in some.T:
+                        key = (key ^ column) * np.uint64(0x9E3779B97F4A7C15)
+                        key ^= key >> np.uint64(29)
+                    kept = (levels == 0) | some.any(axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)[kept]), pa.array(node[kept])], names=["key", "node"])
+
+    def connect(run):
+        items, first = np.unique(run["node"], return_index=True)
+        if len(items) == 1:
+            return None
+        codes = np.frombuffer(b"".join(run["code"][first]), np.uint8).reshape(len(items), -1)
+        levels, digits = _digits_of(codes)
+        ended = (digits == 0).sum(axis=3)
+        return list(stars(items, lambda _, i, rest: _likeness_to(levels, digits, ended, i, rest) >= near))
+
+    banded = nodes.select("fingerprint", "node").mapInArrow(bands, "key long, node long")
+    shared = _settled(banded.groupBy("key").count().where("count > 1").select("key"), "shared")
+    met = _settled(banded.join(shared, "key", "left_semi"), "met")
+    met = split_hot(met, "node").join(nodes.select("node", F.unhex("fingerprint").alias("code")), "node")
+    links = _settled(over_runs(met.select("key", "_part", "node", "code"), ["key", "_part"], connect, "a long, b long").distinct(), "linked")
+    roots = components(links)
+    rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = rooted.groupBy("root").agg(F.min("_least").alias("class_id"))
+    return _settled(rooted.join(named, "root").select("fingerprint", "class_id"), "classes")
+
+
 def edit_classes(df: DataFrame, id_col: str = "doc_id", text: str = "text", near: float = 0.8, band: int = 8) -> DataFrame:
     """(id, fingerprint, class_id) for every row: classes of texts whose fingerprints agree in ``near`` or more.
 
@@ -242,40 +327,10 @@ def edit_classes(df: DataFrame, id_col: str = "doc_id", text: str = "text", near
         return pd.Series(fingerprints(texts.tolist()))
 
     marked = stage(df.select(F.col(id_col), compute(text).alias("fingerprint")), "edits")
-    least = marked.groupBy("fingerprint").agg(F.min(id_col).alias("_least"))
-    nodes = stage(least.select("fingerprint", "_least", F.xxhash64("fingerprint").alias("node")), "nodes")
-
-    def bands(batches):
-        for batch in batches:
-            keys, items, values = [], [], []
-            for value, node in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                level = int(value[:2], 16)
-                size = WALKS * SAMPLES
-                for k in (0, 1):
-                    part = value[2 + k * size:2 + (k + 1) * size]
-                    for at in range(0, size, band):
-                        some = part[at:at + band]
-                        if level == 0 or some.strip("0"):
-                            digest = hashlib.blake2b(f"{level + k}:{at}:{some}".encode(), digest_size=8).digest()
-                            keys.append(int.from_bytes(digest, "little", signed=True))
-                            items.append(node)
-                            values.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(items, pa.int64()), pa.array(values, pa.string())],
-                                             names=["key", "node", "fingerprint"])
+    return marked.join(_classes_of(marked, id_col, near, band), "fingerprint").select(id_col, "fingerprint", "class_id")
 
-    def connect(run):
-        items, first = np.unique(run["node"], return_index=True)
-        if len(items) == 1:
-            return None
-        values = run["fingerprint"][first]
-
-        def alike(_, i, rest):
-            return np.array([likeness(values[i], values[j]) >= near for j in rest], dtype=bool)
-        return list(stars(items, alike))
 
-    met = split_hot(nodes.select("fingerprint", "node").mapInArrow(bands, "key long, node long, fingerprint string"), "node")
-    roots = components(over_runs(met, ["key", "_part"], connect, "a long, b long"))
-    rooted = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = rooted.groupBy("root").agg(F.min("_least").alias("class_id"))
-    names = stage(rooted.join(named, "root").select("fingerprint", "class_id"), "classes")
-    return marked.join(names, "fingerprint").select(id_col, "fingerprint", "class_id")
+def classed_fingerprints(df: DataFrame, id_col: str = "doc_id", text: str = "text", near: float = 0.8, band: int = 8) -> DataFrame:
+    """The rows of ``edited_fingerprints`` with the ``class_id`` of ``edit_classes``; texts are walked once."""
+    made = _settled(edited_fingerprints(df, id_col, text), "edited")
+    return made.join(_classes_of(made, "doc_id", near, band), "fingerprint").select(*made.columns, "class_id")

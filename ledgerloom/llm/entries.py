@@ -22,7 +22,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_edit_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edits.edited_fingerprints(table(spark, sf_dir, "documents"))
+    return edits.classed_fingerprints(table(spark, sf_dir, "documents"))
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
