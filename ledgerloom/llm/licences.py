@@ -1,6 +1,6 @@
 """Licence scans by canonical digest lookup.
 
-A text is brought to a canonical form: lower case, copyright lines dropped, equivalent
+A text is brought to a canonical form: lower case, copyright statements dropped, equivalent
 spellings made one, all but letters and digits made single spaces. Its SHA-256 is looked up
 among the digests of known licences by a hash join. The whole text of a document is looked up,
 and so is each of its lines, where notices stand; only lines that match are moved. Rows with
@@ -63,16 +63,40 @@ KNOWN = [
     ("BSD-2-Clause", "SPDX-License-Identifier: BSD-2-Clause"),
 ]
 
-COPYRIGHT_LINE = r"(?m)^[^\n]*(copyright (\(c\) ?|© ?)?[0-9]{4}|© ?[0-9]{4}|\(c\) ?[0-9]{4}|all rights reserved)[^\n]*$"
+COPYRIGHT_LINE = r"(?m)^[^\n]*(copyright (\(c\) ?|© ?)?[0-9]{4}|© ?[0-9]{4}|\(c\) ?[0-9]{4}|all rights reserved)[^\n]*$"  # of canonical_sql only
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
+# Copyright statements, in lower case. A licence's own prose speaks of "copyright notices" and the like.
+_PROSE = (r"(?!(?:notices?|holders?|owners?|licen[cs]es?|licensing|laws?|interests?|statements?|acts?|protections?|treat(?:y|ies)|rights?|permissions?|"
+          r"disclaimers?|claims?|infringements?|restrictions?|terms|and|or|in|on|of|to|for|with|as|is|if|at|that|which|the|this|under|information|file)\b)")
+_YEAR = r"(?=[0-9]{4}\b|[<\[{]\s*(?:years?|yyyy)\b)"
+_MARK = (r"(?:\bcopyright[ \t:]*(?:\(c\)|©|&copy;)|(?:©|&copy;|\(c\))[ \t]*copyright\b|©|&copy;|\(c\)[ \t]*" + _YEAR
+         + r"|\bcopyright[ \t:]*(?:by[ \t]+)?" + _YEAR + ")")
+_OPENING = (r"\b(?:permission (?:is|to)\b|licen[cs]ed\b|released under|distributed under|redistribution and|spdx-license|everyone is permitted|"
+            r"this (?:software|work|program|file|library|project|source)\b|(?:the )?(?:mit|isc|apache|bsd(?: [0-9][- ]clause)?) licen[cs]e|gnu (?:lesser )?general)")
+_SENTENCE_END = r"(?<!\b(?:inc|ltd|co|corp|llc|jr|sr|dr|\p{L}))\.(?=\s|$)"
+_START = r"(?m)^[ \t#*/;%.\-\"!<>|]*(?:portions )?"
+# A short line from its mark to the licence's opening words or its end.
+_SHORT_LINE = _START + "(?:" + _MARK + r"|copyright[ \t:]+" + _PROSE + r"(?=[\p{L}<\[{]))[^\n]{0,100}?(?=[ \t]*$|" + _OPENING + ")"
+_SHORT_C = _START + r"\(c\)[ \t]+[^\n]{1,100}?(?=[ \t]*$|" + _OPENING + ")"
+# Elsewhere the statement to its sentence's end or the opening words, or if neither is near, the mark and its years.
+_STATEMENT = ("(?m)(?:" + _MARK + r"|\bcopyright[ \t:]+" + _PROSE + r"(?=[^\n.]{1,60}?\b[0-9]{4}\b|[^\n.]{1,80}?" + _OPENING + "))"
+              r"(?:[^\n]{0,200}?(?:" + _SENTENCE_END + "|(?=$|" + _OPENING + r"))|[ \t]*(?:[0-9][0-9, \t-]*)?)")
+_RESERVED = r"(?m)^(?:(?!" + _OPENING + r")[^\n]){0,100}?\ball rights reserved\b[^\n\p{L}\p{N}]*$|\ball rights reserved\b"
+
 
 def canonical(text: str | Column) -> Column:
-    """The canonical form. Most texts have no copyright line, which a plain search finds out sooner."""
+    """The canonical form. Most texts have no copyright line, which a plain search finds out sooner.
+
+    A line that starts with a bare (c) is a statement unless the text has a (b) before: items of lists.
+    """
     out = F.lower(F.col(text) if isinstance(text, str) else text)
     marked = F.contains(out, F.lit("copyright")) | F.contains(out, F.lit("\u00a9")) | F.contains(out, F.lit("(c)")) \
-        | F.contains(out, F.lit("all rights reserved"))
-    out = F.when(marked, F.regexp_replace(out, COPYRIGHT_LINE, " ")).otherwise(out)
+        | F.contains(out, F.lit("&copy;")) | F.contains(out, F.lit("all rights reserved"))
+    stated = F.regexp_replace(out, _SHORT_LINE, " ")
+    stated = F.when(F.contains(out, F.lit("(c)")) & ~F.contains(out, F.lit("(b)")), F.regexp_replace(stated, _SHORT_C, " ")).otherwise(stated)
+    stated = F.regexp_replace(F.regexp_replace(stated, _STATEMENT, " "), _RESERVED, " ")
+    out = F.when(marked, stated).otherwise(out)
     out = F.concat(F.lit(" "), F.trim(F.regexp_replace(out, NOT_WORD, " ")), F.lit(" "))
     for said, meant in SPELLINGS.items():
         out = F.replace(out, F.lit(f" {said} "), F.lit(f" {meant} "))
@@ -80,7 +104,7 @@ def canonical(text: str | Column) -> Column:
 
 
 def canonical_sql(text: str) -> str:
-    """The same as an SQL expression for DuckDB."""
+    """The SQL expression of the tests for DuckDB; of copyright statements it knows whole lines with a year only."""
     out = f"regexp_replace(lower({text}), '{COPYRIGHT_LINE}', ' ', 'g')"
     out = f"(' ' || trim(regexp_replace({out}, '{NOT_WORD}', ' ', 'g')) || ' ')"
     for said, meant in SPELLINGS.items():
