@@ -13,6 +13,9 @@ canonical form are one licence, the first by name. An empty table gives an empty
 
 from __future__ import annotations
 
+import re
+from importlib.resources import files
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ledgerloom.session import stage
@@ -41,7 +44,7 @@ MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPEC
 OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER
 TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
 
-# Public licence texts and the notices that stand for them.
+# Public licence texts and the notices that stand for them; longer texts are in licence_texts.
 KNOWN = [
     ("MIT", _MIT),
     ("MIT", "MIT License\n" + _MIT),
@@ -117,9 +120,29 @@ def digest(text: str | Column) -> Column:
     return F.when(form != "", F.sha2(form, 256))
 
 
+def known_texts() -> list[tuple[str, str]]:
+    """(licence, text) of the packaged whole texts, and the forms they are met in.
+
+    With and without the title of a BSD licence, the numbers of its clauses and Apache's appendix.
+    """
+    out = []
+    for file in sorted(files("ledgerloom.llm").joinpath("licence_texts").iterdir(), key=lambda f: f.name):
+        name, text = file.name.removesuffix(".txt"), file.read_text(encoding="utf-8")
+        forms = [text]
+        if name == "Apache-2.0":
+            forms.append(text[:text.index("APPENDIX:")])
+            forms.append(text[:text.index("END OF TERMS")])
+        if name.startswith("BSD"):
+            body = text[text.index("Redistribution and use"):]
+            title = f"BSD {name[4]}-Clause License\n"
+            forms = [t + b for b in (body, re.sub(r"(?m)^\s*[0-9]\.\s+", "", body)) for t in ("", title, "The " + title)]
+        out += [(name, f) for f in forms]
+    return out
+
+
 def known_licences(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
     """(digest, license), one row per digest."""
-    rows = spark.createDataFrame(list(known or KNOWN), "license string, text string")
+    rows = spark.createDataFrame(list(known or KNOWN + known_texts()), "license string, text string")
     return rows.select(digest("text").alias("digest"), "license").where("digest IS NOT NULL").groupBy("digest").agg(
         F.min("license").alias("license"))
 

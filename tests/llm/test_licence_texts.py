@@ -25,3 +25,14 @@ def test_statements_leave_notices_and_prose(spark):
     assert scanned(spark, texts) == {0: ("CC-BY-NC-4.0", "CC-BY-NC-4.0"), 1: ("MIT", "MIT"), 2: (None, None)}
     listed = spark.createDataFrame([("(b) one\n(c) you must retain",)], "text string")
     assert listed.select(licences.canonical("text")).first()[0] == "b one c you must retain"
+
+
+def test_whole_texts(spark):
+    texts = licences.known_texts()
+    found = scanned(spark, [t for _, t in texts] + [" ".join(t.split()) for n, t in texts if n.startswith(("BSD", "Unl"))])
+    names = [n for n, _ in texts] + [n for n, _ in texts if n.startswith(("BSD", "Unl"))]
+    assert [found[k][0] for k in range(len(names))] == names
+    assert {"Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0-only", "GPL-3.0-only", "LGPL-3.0-only", "MPL-2.0", "Unlicense", "CC0-1.0"} <= set(names)
+    bsd = next(t for n, t in texts if n == "BSD-3-Clause")
+    dressed = "BSD 3-Clause License\n\nCopyright (c) 2021, Jane Doe\nAll rights reserved.\n\n" + bsd.replace("\n1. ", "\n* ").replace("\n2. ", "\n* ").replace("\n3. ", "\n* ")
+    assert scanned(spark, [dressed])[0][0] == "BSD-3-Clause"
