@@ -5,7 +5,8 @@ within white-space-delimited chunks. So the ids of a text are the ids of its chu
 the other, and each distinct chunk is encoded by the tokenizers library once and remembered.
 Chunks of plain Latin letters, with closing stops or commas, skip the normalizer and go to the
 library's BPE model directly: on them the normalizer only lower-cases and the splitter keeps
-the letters as one piece and the stops as another. Everything else is encoded as it is.
+the letters as one piece and the stops as another. Everything else is encoded as it is, special
+strings such as <|endoftext|> as the library does by default: they hold no white space.
 """
 
 from __future__ import annotations
@@ -45,7 +46,6 @@ class ChunkEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # control strings in a text are ordinary text
         self.model = self.tokenizer.model
         self.chars = _ByteChars()
         self.chunks: dict[str, bytes] = {}
