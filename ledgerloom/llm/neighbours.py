@@ -5,7 +5,8 @@ A table has ``functions`` hash functions floor((a.x + b) / width) with Gaussian
 others, 2004). A query looks into its own bucket of each table and into perturbed ones, in
 order of their estimated chance (Lv and others, "Multi-probe LSH", 2007): the sum of squared
 distances to the borders crossed. What the buckets of all tables hold is merged and ranked by
-the exact cosine of the original vectors, in double precision.
+the exact cosine of the original vectors, in double precision. A product of matrices finds the
+pairs that may count; their scores are sums in a fixed order, which depend on the two vectors only.
 
 Defined results: vectors that are null, of length 0, or that hold a null or a component that
 is not finite take no part. A query finds every row but those of its own id; ties go to the
@@ -25,6 +26,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ledgerloom.llm.runs import over_runs
 
 CELL = 512      # vectors of one bucket compared by one task run; larger buckets are split
+SCORES = 1 << 20    # scores held at once
+PAIRS = 1 << 16     # pairs scored exactly at once
+MARGIN = 1e-11      # above the rounding of a product; pairs so close to the k-th are scored in fixed order
 
 
 @dataclass(frozen=True)
@@ -146,19 +150,30 @@ def nearest(df: DataFrame, queries: DataFrame, hashing: Hashing, id_col: str = "
         q = run["query"].astype(bool)
         if q.all() or not q.any():
             return None
-        mine = run["id"][~q]
-        a, b = run["vec"][q], run["vec"][~q]
-        scores = cosines(a, b)
-        out = ([], [], [])
-        for row, own in zip(scores, run["id"][q]):
-            row = np.where(mine == own, -np.inf, row)
-            keep = np.flatnonzero(row >= np.partition(row, -k)[-k]) if len(row) > k else np.arange(len(row))
-            keep = keep[row[keep] > -np.inf]
-            keep = keep[np.lexsort((mine[keep], -row[keep]))][:k]
-            out[0].append(np.full(len(keep), own))
-            out[1].append(mine[keep])
-            out[2].append(row[keep])
-        return [np.concatenate(c) for c in out]
+        a, owns = run["vec"][q], run["id"][q]
+        order = np.argsort(run["id"][~q], kind="stable")
+        mine, b = run["id"][~q][order], run["vec"][~q][order]
+        starts = np.flatnonzero(np.r_[True, mine[1:] != mine[:-1]])
+        out, step = [], max(1, SCORES // len(mine))
+        for at in range(0, len(a), step):
+            own = owns[at:at + step]
+            rough = cosines(a[at:at + step], b)
+            rough[own[:, None] == mine] = -np.inf
+            ids = rough if len(starts) == len(mine) else np.maximum.reduceat(rough, starts, axis=1)
+            least = np.partition(ids, -k, axis=1)[:, -k] - MARGIN if len(starts) > k else np.full(len(own), -np.inf)
+            row, col = np.nonzero((rough >= least[:, None]) & (rough > -np.inf))
+            score = np.concatenate([np.empty(0), *(pair_cosines(a[at + row[i:i + PAIRS]], b[col[i:i + PAIRS]]) for i in range(0, len(row), PAIRS))])
+            # The best of each id, then the k best ids of each query, smaller ids first.
+            sort = np.lexsort((-score, mine[col], row))
+            row, col, score = row[sort], col[sort], score[sort]
+            new = np.ones(len(row), dtype=bool)
+            new[1:] = (row[1:] != row[:-1]) | (mine[col[1:]] != mine[col[:-1]])
+            row, col, score = row[new], col[new], score[new]
+            sort = np.lexsort((mine[col], -score, row))
+            row, col, score = row[sort], col[sort], score[sort]
+            keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+            out.append((own[row[keep]], mine[col[keep]], score[keep]))
+        return [np.concatenate(c) for c in zip(*out)]
 
     found = over_runs(index.unionByName(asked), ["key", "cell"], best, "query_id long, id long, score double")
     # An id found in several tables counts once; a group has at most k rows per bucket visited.
@@ -173,3 +188,15 @@ def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     a = a / np.abs(a).max(axis=1, keepdims=True)
     b = b / np.abs(b).max(axis=1, keepdims=True)
     return (a @ b.T) / (np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)[None, :])
+
+
+def pair_cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosines of the rows of a with the same rows of b, each a sum in order of the components."""
+    a = a / np.abs(a).max(axis=1, keepdims=True)
+    b = b / np.abs(b).max(axis=1, keepdims=True)
+    dot, na, nb = np.zeros(len(a)), np.zeros(len(a)), np.zeros(len(a))
+    for x, y in zip(a.T, b.T):
+        dot += x * y
+        na += x * x
+        nb += y * y
+    return dot / (np.sqrt(na) * np.sqrt(nb))
