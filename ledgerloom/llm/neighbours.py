@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ledgerloom.llm.runs import over_runs
 
 CELL = 512      # vectors of one bucket compared by one task run; larger buckets are split
+QUERIES = 4096  # queries of one bucket met by one task run; the same
 SCORES = 1 << 20    # scores held at once
 PAIRS = 1 << 16     # pairs scored exactly at once
 MARGIN = 1e-11      # above the rounding of a product; pairs so close to the k-th are scored in fixed order
@@ -103,12 +104,26 @@ def usable(vec: str) -> F.Column:
     return F.coalesce(v.isNotNull() & fine & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
+def _dealt(rows: DataFrame, query: bool, cells: F.Column, blocks: F.Column) -> DataFrame:
+    """Add ``cell`` and ``block``: vectors go to one cell of every block, queries to one block of every cell."""
+    def one(n, salt):
+        return F.pmod(F.xxhash64(F.lit(salt), "id"), n).cast("int")
+
+    def each(n):
+        return F.explode(F.sequence(F.lit(0), n - 1))
+
+    if query:
+        return rows.withColumn("cell", each(cells.cast("int"))).withColumn("block", one(blocks, 11))
+    return rows.withColumn("block", each(blocks.cast("int"))).withColumn("cell", one(cells, 7))
+
+
 def nearest(df: DataFrame, queries: DataFrame, hashing: Hashing, id_col: str = "vec_id", vec: str = "embedding", k: int = 5) -> DataFrame:
     """(query_id, rank, id, score): the ``k`` nearest found among ``df`` for each row of ``queries``.
 
     Vectors go to the buckets they are in, once per table; queries to those they visit. A run
     of equal keys is one bucket: its queries keep their ``k`` best of it, and these are merged.
-    Buckets over ``CELL`` vectors are split by vector, and their queries sent to every part.
+    Buckets over ``CELL`` vectors or ``QUERIES`` queries are split by vector and by query: a run
+    is one cell of vectors and one block of queries, and every cell meets every block.
     """
     def hashed(query: bool):
         def task(batches):
@@ -139,12 +154,15 @@ def nearest(df: DataFrame, queries: DataFrame, hashing: Hashing, id_col: str = "
 
     index = ready(df).mapInArrow(hashed(False), schema)
     asked = ready(queries).mapInArrow(hashed(True), schema)
-    # Split what is over CELL: one aggregate over the keys, joined as Spark sees fit by its size.
-    large = index.groupBy("key").count().where(F.col("count") > CELL).select("key", F.ceil(F.col("count") / CELL).alias("_cells"))
-    cell = F.when(F.col("_cells").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("id"), F.col("_cells"))).cast("int")
-    index = index.join(large, "key", "left").withColumn("cell", cell).drop("_cells")
-    asked = asked.join(large, "key", "left").withColumn(
-        "cell", F.explode(F.sequence(F.lit(0), (F.coalesce("_cells", F.lit(1)) - 1).cast("int")))).drop("_cells")
+    # Split what is over CELL or QUERIES: two aggregates over the keys, joined as Spark sees fit by their size.
+    cells = index.groupBy("key").count().where(F.col("count") > CELL).select("key", F.ceil(F.col("count") / CELL).cast("int").alias("_cells"))
+    blocks = asked.groupBy("key").count().where(F.col("count") > QUERIES).select("key", F.ceil(F.col("count") / QUERIES).cast("int").alias("_blocks"))
+
+    def dealt(rows: DataFrame, query: bool) -> DataFrame:
+        rows = rows.join(cells, "key", "left").join(blocks, "key", "left")
+        return _dealt(rows, query, F.coalesce("_cells", F.lit(1)), F.coalesce("_blocks", F.lit(1))).drop("_cells", "_blocks")
+
+    index, asked = dealt(index, False), dealt(asked, True)
 
     def best(run):
         q = run["query"].astype(bool)
@@ -175,7 +193,7 @@ def nearest(df: DataFrame, queries: DataFrame, hashing: Hashing, id_col: str = "
             out.append((own[row[keep]], mine[col[keep]], score[keep]))
         return [np.concatenate(c) for c in zip(*out)]
 
-    found = over_runs(index.unionByName(asked), ["key", "cell"], best, "query_id long, id long, score double")
+    found = over_runs(index.unionByName(asked), ["key", "cell", "block"], best, "query_id long, id long, score double")
     # An id found in several tables counts once; a group has at most k rows per bucket visited.
     found = found.groupBy("query_id", "id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")

@@ -27,3 +27,19 @@ def test_copies_tie_by_id_across_cells(spark):
         assert [v for v, _ in got[q]] == [k for k in range(6) if k != q][:5]
         assert len({s for _, s in got[q]}) == 1
     assert len({s for q in range(0, 1400, 100) for _, s in got[q]}) == 1
+
+
+def test_query_blocks_bound_a_run_and_change_nothing(spark, monkeypatch):
+    rng = np.random.default_rng(22)
+    df = table(spark, [(k, v) for k, v in enumerate(rng.normal(size=(300, 64)))])
+    whole = found(df, df)
+    sizes, own = [], neighbours.over_runs
+
+    def watched(rows, keys, *rest):
+        sizes.append(rows.where("query").groupBy(*keys).count().agg({"count": "max"}).first()[0])
+        return own(rows, keys, *rest)
+
+    monkeypatch.setattr(neighbours, "over_runs", watched)
+    monkeypatch.setattr(neighbours, "QUERIES", 20)
+    monkeypatch.setattr(neighbours, "CELL", 40)
+    assert found(df, df) == whole and sizes[0] < 60
