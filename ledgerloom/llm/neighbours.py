@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ledgerloom.llm.runs import over_runs
+from ledgerloom.session import stage
 
 CELL = 512      # vectors of one bucket compared by one task run; larger buckets are split
 QUERIES = 4096  # queries of one bucket met by one task run; the same
@@ -123,7 +124,8 @@ def nearest(df: DataFrame, queries: DataFrame, hashing: Hashing, id_col: str = "
     Vectors go to the buckets they are in, once per table; queries to those they visit. A run
     of equal keys is one bucket: its queries keep their ``k`` best of it, and these are merged.
     Buckets over ``CELL`` vectors or ``QUERIES`` queries are split by vector and by query: a run
-    is one cell of vectors and one block of queries, and every cell meets every block.
+    is one cell of vectors and one block of queries, and every cell meets every block. A query
+    that finds fewer than ``k`` ids so is compared with all rows.
     """
     def hashed(query: bool):
         def task(batches):
@@ -193,12 +195,27 @@ def nearest(df: DataFrame, queries: DataFrame, hashing: Hashing, id_col: str = "
             out.append((own[row[keep]], mine[col[keep]], score[keep]))
         return [np.concatenate(c) for c in zip(*out)]
 
-    found = over_runs(index.unionByName(asked), ["key", "cell", "block"], best, "query_id long, id long, score double")
-    # An id found in several tables counts once; a group has at most k rows per bucket visited.
-    found = found.groupBy("query_id", "id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(
-        "query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(id_col), "score")
+    def ranked(rows: DataFrame) -> DataFrame:
+        found = over_runs(rows, ["key", "cell", "block"], best, "query_id long, id long, score double")
+        # An id found in several tables counts once; a group has at most k rows per bucket visited.
+        found = found.groupBy("query_id", "id").agg(F.max("score").alias("score"))
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+        return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(
+            "query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(id_col), "score")
+
+    found = stage(ranked(index.unionByName(asked)), "neighbours")
+    # Queries whose buckets held fewer than k ids meet all rows, in blocks.
+    full = found.where(F.col("rank") == k).select(F.col("query_id").alias("id"))
+    short = stage(ready(queries).join(full, "id", "left_anti"), "short")
+    n = short.count()
+    if not n:
+        return found
+    everything = ready(df)
+    cells = F.lit(-(-everything.count() // CELL))
+    rows = [_dealt(x.select(F.lit(0).cast("long").alias("key"), F.lit(q).alias("query"), "id", "vec"), q, cells, F.lit(-(-n // QUERIES)))
+            for x, q in ((everything, False), (short, True))]
+    exact = ranked(rows[0].unionByName(rows[1]))
+    return found.join(short.select(F.col("id").alias("query_id")).distinct(), "query_id", "left_anti").unionByName(exact)
 
 
 def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:

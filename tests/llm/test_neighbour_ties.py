@@ -43,3 +43,12 @@ def test_query_blocks_bound_a_run_and_change_nothing(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "QUERIES", 20)
     monkeypatch.setattr(neighbours, "CELL", 40)
     assert found(df, df) == whole and sizes[0] < 60
+
+
+def test_small_tables_find_every_row(spark):
+    for n in range(2, 7):
+        vectors = np.random.default_rng(n).normal(size=(n, 64))
+        vectors[-1] = -vectors[0]
+        df = table(spark, list(enumerate(vectors)))
+        got = found(df, df)
+        assert {q: {v for v, _ in rows} for q, rows in got.items()} == {q: set(range(n)) - {q} for q in range(n)}
