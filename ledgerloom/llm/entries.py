@@ -7,7 +7,8 @@ import hashlib
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ledgerloom.llm import chat, edits, licences, mixing, neighbours, packing, quality, simhash, token_files, tokens, url_filters
+from ledgerloom.llm import (
+    byte_bpe, chat, edits, licences, mixing, neighbours, packing, quality, resampling, simhash, token_files, tokens, url_filters, whitening)
 from ledgerloom.llm.workers import importable
 from ledgerloom.session import adopt, scratch_dir, stage
 
@@ -87,9 +88,26 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, pattern = byte_bpe.rank_file(), byte_bpe.rank_pattern()
+    docs = byte_bpe.encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), path, pattern).drop("text")
+    return byte_bpe.decoded(docs, path, pattern).select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_edit_fingerprints, op2_best_fit_packing, op3_chat_formatting, op4_source_mixing, op5_nearest_neighbours,
-    op6_licence_scan, op7_token_files, op8_url_filter, op9_simhash, op10_quality_classifier)}
+    op6_licence_scan, op7_token_files, op8_url_filter, op9_simhash, op10_quality_classifier, op11_byte_bpe,
+    op12_embedding_whitening, op13_importance_resampling)}
 
 
 _MIX_SQL = r"""
