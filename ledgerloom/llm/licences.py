@@ -69,6 +69,10 @@ KNOWN = [
 COPYRIGHT_LINE = r"(?m)^[^\n]*(copyright (\(c\) ?|© ?)?[0-9]{4}|© ?[0-9]{4}|\(c\) ?[0-9]{4}|all rights reserved)[^\n]*$"  # of canonical_sql only
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
+# Every known form holds one of these within a word. Dropping statements, punctuation and spellings
+# never makes one, so a line without any of them, in lower case, is no known text.
+ANCHOR = "(licen|permission|redistribution)"
+
 # Copyright statements, in lower case. A licence's own prose speaks of "copyright notices" and the like.
 _PROSE = (r"(?!(?:notices?|holders?|owners?|licen[cs]es?|licensing|laws?|interests?|statements?|acts?|protections?|treat(?:y|ies)|rights?|permissions?|"
           r"disclaimers?|claims?|infringements?|restrictions?|terms|and|or|in|on|of|to|for|with|as|is|if|at|that|which|the|this|under|information|file)\b)")
@@ -141,10 +145,21 @@ def known_texts() -> list[tuple[str, str]]:
 
 
 def known_licences(spark: SparkSession, known: list[tuple[str, str]] | None = None) -> DataFrame:
-    """(digest, license), one row per digest."""
+    """(digest, license, anchor), one row per digest; ``anchor`` is part of every text with that digest, or null."""
     rows = spark.createDataFrame(list(known or KNOWN + known_texts()), "license string, text string")
-    return rows.select(digest("text").alias("digest"), "license").where("digest IS NOT NULL").groupBy("digest").agg(
-        F.min("license").alias("license"))
+    anchor = F.regexp_extract(canonical("text"), ANCHOR, 1)
+    return rows.select(digest("text").alias("digest"), "license", F.when(anchor != "", anchor).alias("anchor")).where(
+        "digest IS NOT NULL").groupBy("digest").agg(F.min("license").alias("license"), F.min("anchor").alias("anchor"))
+
+
+def worth_a_look(text: str | Column, anchors: list[str | None]) -> Column:
+    """Whether a text can be one of those the anchors are from; a null anchor is met by any text."""
+    if None in anchors:
+        return F.lit(True)
+    low, out = F.lower(text), F.lit(False)
+    for anchor in anchors:
+        out = out | F.contains(low, F.lit(anchor))
+    return out
 
 
 def scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -152,13 +167,16 @@ def scan(docs: DataFrame, known: DataFrame, id_col: str = "doc_id", text: str =
 
     The known table has one row per known licence and is a list kept by hand. It is written
     first, so that Spark knows its size when it plans: it broadcasts the table while that
-    allows, and otherwise hash-joins on the digest.
+    allows, and otherwise hash-joins on the digest. Lines are brought to their canonical form
+    only if they hold an anchor of the table: at most the few of ``ANCHOR`` are collected.
     """
-    known = stage(known, "known")
+    known = stage(known if "anchor" in known.columns else known.withColumn("anchor", F.lit(None).cast("string")), "known")
+    anchors = [r.anchor for r in known.select("anchor").distinct().collect()]
+    known = known.drop("anchor")
     kept = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text"), F.xxhash64(text).alias("_hash"))
     whole = kept.select("_id", "_hash", digest("_text").alias("digest"))
-    lines = kept.select("_id", "_hash", F.explode(F.split("_text", "\n")).alias("_line"))
-    lines = lines.select(F.col("_id").alias("_i"), F.col("_hash").alias("_h"), digest("_line").alias("digest")).join(known, "digest")
+    lines = kept.where(worth_a_look("_text", anchors)).select("_id", "_hash", F.explode(F.split("_text", "\n")).alias("_line"))
+    lines = lines.where(worth_a_look("_line", anchors)).select(F.col("_id").alias("_i"), F.col("_hash").alias("_h"), digest("_line").alias("digest")).join(known, "digest")
     lines = lines.groupBy("_i", "_h").agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("notices"))
     return whole.join(known, "digest", "left").join(
         lines, F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_hash") == F.col("_h")), "left").select(

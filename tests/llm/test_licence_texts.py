@@ -36,3 +36,27 @@ def test_whole_texts(spark):
     bsd = next(t for n, t in texts if n == "BSD-3-Clause")
     dressed = "BSD 3-Clause License\n\nCopyright (c) 2021, Jane Doe\nAll rights reserved.\n\n" + bsd.replace("\n1. ", "\n* ").replace("\n2. ", "\n* ").replace("\n3. ", "\n* ")
     assert scanned(spark, [dressed])[0][0] == "BSD-3-Clause"
+
+
+def test_anchors_lose_no_line(spark):
+    """All known texts as one line, in other spellings, cases and dresses: looked at, and found as without anchors."""
+    texts = [" ".join(t.split()) for _, t in licences.KNOWN + licences.known_texts()]
+    swapped = []
+    for t in texts:
+        for said, meant in licences.SPELLINGS.items():
+            t = t.replace(meant, said)
+        swapped.append(t)
+    lines = [*texts, *[t.upper() for t in texts], *swapped, *[f"Copyright (c) 2020 Jane Doe. {t}" for t in texts], *[t.replace(" ", " -- ") for t in texts]]
+    docs = importable(spark).createDataFrame([(i, f"before\n{t}\nafter") for i, t in enumerate(lines)], "doc_id long, text string")
+    known = licences.known_licences(spark)
+    anchors = {r.anchor for r in known.select("anchor").collect()}
+    assert anchors == {"licen", "permission", "redistribution"}
+    with_anchors = {r.doc_id: r.notices for r in licences.scan(docs, known).collect()}
+    without = {r.doc_id: r.notices for r in licences.scan(docs, known.drop("anchor")).collect()}
+    assert with_anchors == without and sum(n is not None for n in without.values()) > 3 * len(texts)
+
+
+def test_known_texts_without_an_anchor_are_found(spark):
+    docs = importable(spark).createDataFrame([(1, "x\nDo as you like.\ny")], "doc_id long, text string")
+    known = licences.known_licences(spark, [("Own", "Do as you like"), ("MIT", "MIT license")])
+    assert [r.notices for r in licences.scan(docs, known).collect()] == ["Own"]
