@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerloom.functions.scalars import DAY, add_amount_columns
-from ledgerloom.operators.chunks import ChunkPlan, deviation, plan_chunks
+from ledgerloom.operators.chunks import ChunkPlan, combine, deviation, plan_chunks
 from ledgerloom.operators.dedup import total_order
 from ledgerloom.operators.ranks import modes_per_group, percent_rank
 from ledgerloom.operators.rolling import history
@@ -16,7 +16,8 @@ from ledgerloom.operators.sliding import DENSE_GROUP, Sliding, range_columns, sl
 from ledgerloom.schema import ENTITY, FEATURE_GROUPS, TIME
 from ledgerloom.session import stage
 
-WEEK = 7 * DAY
+WEEK = 7 * DAY                                                       # the longest frame of any feature
+MODES = {"preferred_chain": "chain", "preferred_token": "token_symbol"}
 
 
 @dataclass(frozen=True)
@@ -31,6 +32,20 @@ class Thresholds:
     round_step: float = 100.0
 
 
+@dataclass(frozen=True)
+class Prior:
+    """What is known of the entities from before the new rows.
+
+    ``facts(entity, first_time, last_time, moments)`` has one row per entity, ``counts(entity,
+    name, value, n)`` one per value of the columns with modes. ``fresh`` names a column that is
+    true for the new rows. Others are there for frames and ranks only: they are in the facts.
+    """
+
+    facts: DataFrame
+    counts: DataFrame
+    fresh: str
+
+
 def plan_days(df: DataFrame, **limits) -> ChunkPlan:
     """Chunk plan for ranks within a day."""
     return plan_chunks(_with_day(df), "_day", ["amount_usd"], **limits)
@@ -39,12 +54,13 @@ def plan_days(df: DataFrame, **limits) -> ChunkPlan:
 def add_features(df: DataFrame, groups: list[str] | None = None, as_of: datetime | None = None,
                  labels: DataFrame | None = None, limits: Thresholds = Thresholds(),
                  plan: ChunkPlan | None = None, day_plan: ChunkPlan | None = None,
-                 dense: int = DENSE_GROUP) -> DataFrame:
+                 dense: int = DENSE_GROUP, prior: Prior | None = None) -> DataFrame:
     """Add the features of the named catalog groups (all by default).
 
     All time frames are computed together. ``as_of`` fixes account ages and preferred values;
     ``labels(address, category, risk_score)`` is needed by the network group only and its
-    features are skipped without it. Plans may be measured on any superset of the rows, for
+    features are skipped without it. With ``prior`` the facts of a lifetime go on from there;
+    frames and ranks need their rows in ``df``. Plans may be measured on any superset of the rows, for
     instance on the raw table. With oversized groups the rows are staged first, since the
     chunked plans scan them more than once.
     """
@@ -58,6 +74,8 @@ def add_features(df: DataFrame, groups: list[str] | None = None, as_of: datetime
     if "amount_statistics" in groups:
         day_plan = day_plan or plan_days(df)
     base = _attach_labels(df, labels) if "network" in groups else df
+    if prior is not None:
+        base = base.withColumn("_counted", F.when(F.col(prior.fresh), F.col("amount_usd")))
     if plan.cuts is not None or (day_plan is not None and day_plan.cuts is not None):
         base = stage(base, "features")
     out = base
@@ -65,11 +83,13 @@ def add_features(df: DataFrame, groups: list[str] | None = None, as_of: datetime
     if frames:
         out = sliding(out, frames, ENTITY, TIME, plan, dense)
     if set(groups) & {"amount_statistics", "behavioral", "risk_signals"}:
-        out = history(out, ENTITY, "amount_usd", TIME, plan, base)
+        out = history(out, ENTITY, "amount_usd" if prior is None else "_counted", TIME, plan, base)
+        if prior is not None:
+            out = _after(out, prior)
     if "amount_statistics" in groups:
         out = _amount_statistics(out, base, day_plan)
     if "behavioral" in groups:
-        out = _behavioral(out, base, as_of)
+        out = _behavioral(out, base, as_of, prior)
     if "risk_signals" in groups:
         out = _risk_signals(out, limits)
     if "network" in groups:
@@ -79,6 +99,16 @@ def add_features(df: DataFrame, groups: list[str] | None = None, as_of: datetime
     return out.select(*kept, *wanted)
 
 
+def _after(df: DataFrame, prior: Prior) -> DataFrame:
+    """Merge the facts from before into the running ones. One row per entity: a hot one can be split by the skew join."""
+    facts = prior.facts.select(ENTITY, F.struct("first_time", "last_time", "moments").alias("_before"))
+    return df.join(facts, ENTITY, "left").withColumns({
+        "_hist": combine("moments", F.col("_hist"), F.col("_before.moments")),
+        "_first_time": F.least("_first_time", "_before.first_time"),
+        "_previous_time": F.coalesce("_previous_time", "_before.last_time"),
+    }).drop("_before")
+
+
 def _with_day(df: DataFrame) -> DataFrame:
     return df.withColumn("_day", F.date_format(TIME, "yyyy-MM-dd"))
 
@@ -125,7 +155,7 @@ def _amount_statistics(df: DataFrame, base: DataFrame, day_plan: ChunkPlan) -> D
     return percent_rank(out, "_day", "amount_usd", "amount_percentile", day_plan, _with_day(base))
 
 
-def _behavioral(df: DataFrame, base: DataFrame, as_of: datetime | None) -> DataFrame:
+def _behavioral(df: DataFrame, base: DataFrame, as_of: datetime | None, prior: Prior | None) -> DataFrame:
     at = F.col(TIME)
     until = F.lit(as_of).cast("timestamp_ntz") if as_of else F.current_timestamp().cast("timestamp_ntz")
     out = df.withColumns({
@@ -137,8 +167,10 @@ def _behavioral(df: DataFrame, base: DataFrame, as_of: datetime | None) -> DataF
         "days_since_last_txn": F.timestamp_diff("DAY", F.col("_previous_time"), at),
         "account_age_days": F.timestamp_diff("DAY", F.col("_first_time"), until),
     })
-    preferred = modes_per_group(base.where(at <= until), [ENTITY],
-                                {"preferred_chain": "chain", "preferred_token": "token_symbol"})
+    known = base.where(at <= until)
+    if prior is not None:
+        known = known.where(prior.fresh)
+    preferred = modes_per_group(known, [ENTITY], MODES, prior.counts if prior is not None else None)
     # One row per entity, and one join only: the adaptive skew join can then split a hot entity.
     return out.join(preferred, ENTITY, "left")
 

@@ -34,15 +34,25 @@ def percent_rank(df: DataFrame, group: str, value: str, name: str, plan: ChunkPl
                    "left").drop("_g", "_v")
 
 
-def modes_per_group(df: DataFrame, group: list[str], columns: dict[str, str]) -> DataFrame:
+def value_counts(df: DataFrame, group: list[str], columns: dict[str, str]) -> DataFrame:
+    """(group, name, value, n): how often each non-null value of the columns occurs per group.
+
+    ``columns`` maps names to columns. All are counted in one pass, combined map-side, so a
+    hot group moves one row per value and task.
+    """
+    pairs = F.array(*[F.struct(F.lit(name).alias("name"), F.col(c).alias("value")) for name, c in columns.items()])
+    return (df.select(*group, F.inline(pairs)).where(F.col("value").isNotNull())
+            .groupBy(*group, "name", "value").agg(F.count(F.lit(1)).alias("n")))
+
+
+def modes_per_group(df: DataFrame, group: list[str], columns: dict[str, str], more: DataFrame | None = None) -> DataFrame:
     """Most frequent non-null value of each text column per group, the larger one on a tie.
 
-    ``columns`` maps output names to columns. All columns are counted in one pass, combined
-    map-side, so a hot group moves one row per value and task.
+    ``more`` are counts of other rows of the groups, as ``value_counts`` makes them.
     """
-    pairs = F.array(*[F.struct(F.lit(name).alias("_name"), F.col(c).alias("_value")) for name, c in columns.items()])
-    counts = (df.select(*group, F.inline(pairs)).where(F.col("_value").isNotNull())
-              .groupBy(*group, "_name", "_value").agg(F.count(F.lit(1)).alias("_n")))
+    counts = value_counts(df, group, columns)
+    if more is not None:
+        counts = counts.unionByName(more).groupBy(*group, "name", "value").agg(F.sum("n").alias("n"))
     return counts.groupBy(*group).agg(*[
-        F.max_by("_value", F.when(F.col("_name") == name, F.struct("_n", "_value"))).alias(name)
+        F.max_by("value", F.when(F.col("name") == name, F.struct("n", "value"))).alias(name)
         for name in columns])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerloom.queries import AMOUNTS, KEY, SCALES, TX, VELOCITY
+from ledgerloom.queries import AMOUNTS, APART, KEY, SCALES, TX, VELOCITY
 from ledgerloom.schema import FEATURE_GROUPS
 from ledgerloom.sources.samples import ADDRESS_LABELS, TX_EVENTS, TX_LINEITEM
 
@@ -183,6 +183,26 @@ TEXT = f"""{EV}, text AS (SELECT transaction_hash, block_number,
     CASE WHEN tx_type = 'burn' THEN NULL ELSE amount_usd END AS amount_usd,
     CASE WHEN tx_type = 'burn' THEN 'n/a' END AS said FROM tx)"""
 
+def asked_sql(view: str, oldest: str) -> str:
+    """Each event that did not go through with its address's latest features at that time."""
+    found = ", ".join([*VELOCITY, "f.amount_log AS amount_statistics_amount_log", "fee_ratio", "total_cost_usd"])
+    return f"""{view}, f AS (SELECT from_address, timestamp, {rolled(STANDARD)}, {AMOUNT_PARTS} FROM settled),
+      asked AS (SELECT from_address, timestamp AS asked_at, block_number, {digits('amount_usd')} AS amount_log FROM tx WHERE status <> 'confirmed')
+      SELECT a.from_address, a.asked_at, a.block_number, a.amount_log, {found} FROM asked a
+      LEFT JOIN LATERAL (SELECT * FROM f WHERE f.from_address = a.from_address AND f.timestamp <= a.asked_at {oldest}
+        ORDER BY f.timestamp DESC LIMIT 1) f ON true"""
+
+
+HOT = "CASE WHEN tx_type IN ('transfer', 'swap', 'stake') THEN '0xhot' ELSE from_address END AS from_address"
+
+REPLAYS = f"""WITH tx AS ({TX_EVENTS}),
+  landed AS (SELECT * FROM tx UNION ALL SELECT * REPLACE (timestamp + INTERVAL 4 DAY AS timestamp, block_number + 1000000 AS block_number)
+    FROM tx WHERE block_number % 3 = 0),
+  win AS (SELECT *, time_bucket(INTERVAL 4 DAY, timestamp, TIMESTAMP '2024-01-05') AS window_start FROM landed
+    WHERE NOT {BAD} AND timestamp >= TIMESTAMP '2024-01-05' AND timestamp < TIMESTAMP '2024-01-17'),
+  loadable AS (SELECT * FROM ({deduped('win', keys='transaction_hash, window_start')}) WHERE status = 'confirmed'),
+  settled AS (SELECT * EXCLUDE (nth) FROM (SELECT *, row_number() OVER (PARTITION BY transaction_hash ORDER BY window_start) AS nth FROM loadable) WHERE nth = 1)"""
+
 JOBS = f"""WITH tx AS ({TX_EVENTS}),
   win AS (SELECT *, time_bucket(INTERVAL 3 DAY, timestamp, TIMESTAMP '2024-01-05') AS window_start FROM tx
           WHERE timestamp >= TIMESTAMP '2024-01-05' AND timestamp < TIMESTAMP '2024-01-11'),
@@ -190,6 +210,53 @@ JOBS = f"""WITH tx AS ({TX_EVENTS}),
   settled AS (SELECT * FROM ({deduped('good', keys='transaction_hash, window_start')}) WHERE status = 'confirmed')"""
 
 
+def job_feature_values_sql() -> str:
+    """All rows at once; ``until`` is the end of a row's window."""
+    users = "CAST(substr(from_address, 3) AS BIGINT) % 3"
+    windows = ", ".join(f"(TIMESTAMP '{a}', TIMESTAMP '{b}')" for a, b in zip(APART, APART[1:]))
+
+    def preferred(value: str, name: str) -> str:
+        return f"""{name} AS (SELECT until, from_address, {value} AS {name} FROM (
+          SELECT w.until, from_address, {value}, row_number() OVER (PARTITION BY w.until, from_address ORDER BY count(*) DESC, {value} DESC) AS rn
+          FROM windows w JOIN settled s ON s.timestamp < w.until GROUP BY w.until, from_address, {value}) WHERE rn = 1)"""
+
+    return f"""WITH tx AS ({TX_EVENTS}),
+  moved AS (SELECT * REPLACE (timestamp + CASE WHEN timestamp < TIMESTAMP '2024-01-15' THEN INTERVAL 0 DAY
+      WHEN {users} = 0 THEN INTERVAL 45 DAY WHEN {users} = 1 THEN INTERVAL 10 DAY ELSE INTERVAL 0 DAY END AS timestamp) FROM tx),
+  windows(since, until) AS (VALUES {windows}),
+  good AS (SELECT moved.*, since, until FROM moved JOIN windows ON timestamp >= since AND timestamp < until WHERE NOT {BAD}),
+  settled AS (SELECT * FROM ({deduped('good', keys='transaction_hash, until')}) WHERE status = 'confirmed'),
+  labels AS ({ADDRESS_LABELS}), {preferred('chain', 'preferred_chain')}, {preferred('token_symbol', 'preferred_token')},
+  days AS (SELECT a.from_address, a.timestamp, a.block_number, count(CASE WHEN b.amount_usd < a.amount_usd THEN 1 END) AS smaller, count(*) AS n
+    FROM settled a JOIN settled b ON date_trunc('day', a.timestamp) = date_trunc('day', b.timestamp) AND b.timestamp < a.until GROUP BY ALL),
+  w AS (SELECT settled.*, category, risk_score, min(timestamp) OVER (PARTITION BY from_address) AS first_at, {LAST_SEEN} AS last_at,
+    count(timestamp) {within('24 HOURS')} AS c24, count(DISTINCT chain) {within('24 HOURS')} AS u24,
+    avg(amount_usd) {HISTORY} AS m, stddev_samp(amount_usd) {HISTORY} AS sd,
+    avg(amount_usd) {within('7 DAYS')} AS m7, stddev_samp(amount_usd) {within('7 DAYS')} AS sd7, max(amount_usd) {within('7 DAYS')} AS x7
+    FROM settled LEFT JOIN labels ON to_address = address)
+  SELECT w.from_address, w.timestamp, {ranged()},
+    count(DISTINCT to_address) {within('24 HOURS')} AS unique_recipients_24h, u24 AS unique_chains_24h,
+    {AMOUNT_PARTS}, {digits('(amount_usd - m) / nullif(sd, 0)')} AS amount_zscore,
+    {digits('coalesce(smaller / nullif(n - 1, 0), 0)')} AS amount_percentile,
+    {digits('amount_usd / m7 - 1')} AS amount_momentum, {digits('x7')} AS max_single_txn_7d, {digits('sd7 / nullif(m7, 0)')} AS amount_cv_7d,
+    CAST(hour(timestamp) AS BIGINT) AS hour_of_day, CAST(isodow(timestamp) - 1 AS BIGINT) AS day_of_week, isodow(timestamp) >= 6 AS is_weekend,
+    hour(timestamp) < 6 AS is_night, preferred_chain, preferred_token,
+    date_sub('day', first_at, timestamp) AS days_since_first_txn, date_sub('day', last_at, timestamp) AS days_since_last_txn,
+    date_sub('day', first_at, until) AS account_age_days,
+    {digits('c24 * amount_usd')} AS velocity_x_amount, u24 > 1 AS cross_chain_activity, amount_usd > 100 AS high_value_flag,
+    coalesce(date_sub('second', last_at, timestamp) < 3600, false) AS rapid_succession_flag,
+    coalesce(date_sub('second', last_at, timestamp) > 2 * 86400, false) AS dormant_account_flag,
+    date_sub('second', first_at, timestamp) < 86400 AS new_address_flag,
+    amount_usd >= 10 AND amount_usd % 5 = 0 AS large_round_amount_flag, hour(timestamp) < 6 AND amount_usd > 100 AS off_hours_large_txn,
+    count(DISTINCT to_address) {within('7 DAYS')} AS unique_counterparties_7d, {digits(f"avg(risk_score) {within('7 DAYS')}")} AS counterparty_risk_score_avg,
+    count(CASE WHEN category = 'risky' THEN 1 END) {within('7 DAYS')} > 0 AS known_risky_address,
+    count(CASE WHEN category = 'mixer' THEN 1 END) {within('7 DAYS')} > 0 AS mixer_interaction,
+    {digits(f"100.0 * sum(CASE WHEN category = 'exchange' THEN amount_usd ELSE 0 END) {within('7 DAYS')} / sum(amount_usd) {within('7 DAYS')}")}
+      AS exchange_volume_pct
+  FROM w JOIN days USING (from_address, timestamp, block_number)
+  LEFT JOIN preferred_chain USING (until, from_address) LEFT JOIN preferred_token USING (until, from_address)"""
+
+
 def scaled_sql() -> str:
     parts = []
     for name, (factor, base) in SCALES.items():
@@ -351,6 +418,10 @@ ORACLES: dict[str, str] = {
         ON w.window_start = s.began""",
     "job_features": f"""{JOBS}, g(group_name, features) AS (VALUES {', '.join(f"('{g}', {len(f)})" for g, f in FEATURE_GROUPS.items())})
         SELECT group_name, CAST(features AS BIGINT) AS features, (SELECT count(*) FROM settled) AS records FROM g""",
+    "job_unique": f"{REPLAYS} SELECT {KEYS}, from_address, status, {rolled(STANDARD, 'from_address, window_start')} FROM settled",
+    "feature_asof_join": asked_sql(EV, "AND f.timestamp >= a.asked_at - INTERVAL 3 DAY"),
+    "feature_asof_join_hot": asked_sql(over(f"SELECT * REPLACE ({HOT}) FROM ({TX_EVENTS})"), ""),
+    "job_feature_values": job_feature_values_sql(),
     "snapshot_compacted": f"""{EV}, {SPANS} SELECT CAST(5 AS BIGINT) AS _v, {ALL} FROM parts JOIN members USING (part) WHERE version = 4""",
     "feature_history": f"{FEATURES} SELECT from_address, timestamp, {V}, TIMESTAMP '2024-02-01' AS _ingested_at FROM known",
     "feature_named": f"{FEATURES} SELECT from_address, fee_ratio FROM known WHERE from_address IN ('0x1', '0x2', '0x3')",

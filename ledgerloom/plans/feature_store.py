@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
+from ledgerloom.operators.asof import asof_join
+from ledgerloom.operators.chunks import ROWS_PER_CHUNK
 from ledgerloom.plans.snapshots import SnapshotTable
 from ledgerloom.schema import ENTITY, FEATURE_GROUPS, TIME
 from ledgerloom.session import utc_now
@@ -171,6 +173,22 @@ class FeatureStore:
             return self.spark.createDataFrame([], T.StructType([]))
         return join_latest(frames, entity, TIME)
 
+    def asof_features(self, rows: DataFrame, group_names: list[str], entity: str = ENTITY, time: str = TIME,
+                      max_age: timedelta | None = None, rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
+        """``rows`` with each group's features as they were known at every row's own time.
+
+        Only history of the rows' entities up to the last row's time is read. Groups without data are left out; an
+        unregistered group is an error.
+        """
+        last = rows.agg(F.max(time)).first()[0]
+        histories = {}
+        for name in group_names:
+            info = self._registration(name)
+            df = self.get_features(name, rows.select(F.col(entity).alias(info.entity_col)).distinct(), None, last)
+            if df.columns:
+                histories[name] = df.drop(STAMP).withColumnsRenamed({info.entity_col: entity, info.event_time_col: TIME})
+        return asof_join(rows, histories, entity, time, TIME, max_age, rows_per_chunk)
+
     def describe(self) -> DataFrame:
         """One row per group: number of features, and of records from its commits."""
         registered = self.registry().select("group_name", F.size("features").alias("features"))

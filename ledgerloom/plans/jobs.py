@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ledgerloom.operators.chain import transform_chain
 from ledgerloom.operators.contracts import Contract, accepted, run_counts, summarize
-from ledgerloom.operators.features import Thresholds, add_features
+from ledgerloom.operators.features import WEEK, Prior, Thresholds, add_features
+from ledgerloom.plans.entity_state import EntityState
 from ledgerloom.plans.feature_store import build_training_store, registry_totals
+from ledgerloom.plans.seen_keys import SeenKeys
 from ledgerloom.plans.snapshots import SnapshotTable
 from ledgerloom.schema import ENTITY, KEY_COLUMNS, TIME
-from ledgerloom.session import utc_now
+from ledgerloom.session import stage, utc_now
 from ledgerloom.sources.dead_letters import write_dead_letters
 from ledgerloom.sources.files import create, exists
 from ledgerloom.sources.windows import STAMP, SourceConfig, advance_mark, extract_all, in_window, read_mark
@@ -36,15 +38,17 @@ class LedgerJob:
     written down before work starts, and a later run replays it as it was, whatever the time.
 
     ``all_features`` fills every group of the catalog instead of those that the chain's own
-    columns belong to: frames read the table back to ``lookback`` before the window (seven
-    days make them exact), and lifetime facts are those of that span. ``labels`` are those of
-    ``add_features``.
+    columns belong to. Frames read the table back by the longest of them, lifetime facts go on
+    from the state that earlier windows left, so windows give the values that one window over
+    all rows gives. Ages, preferred values and ranks within a day are as known at the window's
+    end. ``labels`` are those of ``add_features``. With ``unique`` a hash that an earlier window
+    has loaded is not loaded again; without, hashes are unique per window only.
     """
 
     def __init__(self, spark: SparkSession, sources: list[SourceConfig], root: str,
                  name: str = "ledger", contract: Contract | None = None, frame: str = "rows",
                  all_features: bool = False, labels: DataFrame | None = None,
-                 limits: Thresholds = Thresholds(), lookback: timedelta = timedelta(days=7)):
+                 limits: Thresholds = Thresholds(), unique: bool = False):
         self.spark = spark
         self.sources = sources
         self.root = root.rstrip("/")
@@ -54,8 +58,9 @@ class LedgerJob:
         self.all_features = all_features
         self.labels = labels
         self.limits = limits
-        self.lookback = lookback
         self.table = SnapshotTable(spark, f"{self.root}/transactions")
+        self.state = EntityState(spark, f"{self.root}/state")
+        self.seen = SeenKeys(spark, f"{self.root}/keys", self.table, "transaction_hash") if unique else None
 
     def run(self, start: datetime | None = None, end: datetime | None = None) -> dict:
         """Load ``[start, end)``; by default from the last mark, or one hour, up to now.
@@ -91,18 +96,31 @@ class LedgerJob:
             window = self.spark.read.schema("start string, end string").json(path).first()
         return datetime.fromisoformat(window["start"]), datetime.fromisoformat(window["end"])
 
-    def _with_features(self, version: int, start: datetime) -> DataFrame:
-        """The rows that a version added, with all features; earlier rows of their entities count in frames."""
-        rows = self.table.read(version, keep_version=True)
-        rows = rows.where(F.col(TIME) >= F.lit(start - self.lookback).cast("timestamp_ntz"))
-        fresh = rows.where(F.col("_v") == version).select(ENTITY).distinct()
-        context = rows.join(fresh, ENTITY, "left_semi")
-        return add_features(context, labels=self.labels, limits=self.limits).where(F.col("_v") == version).drop("_v")
+    def _with_features(self, version: int, start: datetime, end: datetime, batch: str) -> DataFrame:
+        """The rows that a version added, with all features.
 
-    def _publish(self, version: int, start: datetime, batch: str) -> DataFrame:
+        Earlier rows are there for the frames of their entities, and those of the window's
+        first day for ranks within the day.
+        """
+        from_time, until = F.lit(start - timedelta(microseconds=WEEK)).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")
+        rows = self.table.read(version, keep_version=True).where(F.col(TIME) < until).withColumn("_fresh", F.col("_v") == version)
+        entities = rows.where("_fresh").select(ENTITY).distinct().withColumn("_known", F.lit(True))
+        facts, counts = self.state.before(batch, start, entities, rows)
+        day = F.lit(datetime(start.year, start.month, start.day)).cast("timestamp_ntz")
+        context = rows.where(F.col(TIME) >= from_time).join(entities, ENTITY, "left").where(
+            F.col("_known") | (F.col(TIME) >= day)).drop("_known", "_v")
+        return add_features(context, as_of=end, labels=self.labels, limits=self.limits,
+                            prior=Prior(facts, counts, "_fresh")).where("_fresh").drop("_fresh")
+
+    def _publish(self, version: int, start: datetime, end: datetime, batch: str) -> DataFrame:
         """Ingest a version's features; returns the store's description."""
-        loaded = self._with_features(version, start) if self.all_features else self.table.read_batch(version)
-        return build_training_store(self.spark, loaded, f"{self.root}/features", batch).describe()
+        loaded = self.table.read_batch(version)
+        # Every group reads its columns of the staged rows.
+        featured = stage(self._with_features(version, start, end, batch), "features") if self.all_features else loaded
+        described = build_training_store(self.spark, featured, f"{self.root}/features", batch).describe()
+        if self.all_features:
+            self.state.record(batch, loaded, end)
+        return described
 
     def _load(self, start: datetime, end: datetime, batch: str) -> dict[str, float]:
         began = time.monotonic()
@@ -114,10 +132,8 @@ class LedgerJob:
         verdict = summarize(report, self.name, utc_now()).first()
         if counts.rejected_records:
             write_dead_letters(bad, f"{self.root}/dead_letters", self.name, batch)
-        version = self.table.write(
-            transform_chain(clean, self.frame), "append",
-            {"run_start": start.isoformat(), "run_end": end.isoformat()}, batch)
-        described = self._publish(version, start, batch)
+        version, repeats = self._commit(clean, start, end, batch)
+        described = self._publish(version, start, end, batch)
         totals = registry_totals(described).first()
         by_group = {f"feature_records.{r.group_name}": float(r.records) for r in described.collect()}
         return {
@@ -130,10 +146,23 @@ class LedgerJob:
             "feature_records": float(totals.total_records),
             "validation_passed": float(verdict.passed),
             "rules_failed": float(verdict.rules_failed),
+            **repeats,
             **by_group,
             "elapsed_seconds": round(time.monotonic() - began, 2),
         }
 
+    def _commit(self, clean: DataFrame, start: datetime, end: datetime, batch: str) -> tuple[int, dict[str, float]]:
+        """Transform and commit the clean rows; the version, and what was found of hashes loaded before."""
+        done = self.table.batch_version(batch)
+        if done is not None:
+            return done, {}
+        repeats = {}
+        if self.seen is not None:
+            clean, asked, found = self.seen.split(clean)
+            repeats = {"hashes_looked_up": float(asked), "hashes_repeated": float(found)}
+        return self.table.write(transform_chain(clean, self.frame), "append",
+                                {"run_start": start.isoformat(), "run_end": end.isoformat()}, batch), repeats
+
     def _record(self, record: dict) -> None:
         row = tuple(record[k] for k in ("run_id", "start_time", "end_time", "status", "metrics", "errors"))
         (self.spark.createDataFrame([row], RUN).coalesce(1)

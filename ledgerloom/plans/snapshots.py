@@ -1,37 +1,26 @@
 """Versioned snapshots of a parquet dataset, readable at a version or a point in time.
 
 Every attempt to write puts its rows into a folder of its own, ``data/_a=<attempt>``, and then
-creates the file ``log/<version>.json`` that names the folder. A version exists once that file
-does, and readers open only folders that commits name, so what a failed or a beaten writer has
-left is never seen. The first writer to create a version's file wins; another one that appends
-takes the next version. An overwrite replaces all earlier rows: the rows of version v are the
-folders from the latest overwrite up to v.
-
-Every ``CHECKPOINT`` commits the log is written as one parquet folder, and the files of
-commits well before it are deleted: a reader lists a bounded number of names however many
-commits there are.
+appends one row to ``commits`` that names the folder and the version. Readers open only folders
+that commits name, so what a failed writer has left is never seen. An overwrite replaces all
+earlier rows: the rows of version v are the folders from the latest overwrite up to v.
+
+A table has one writer at a time; keeping writers apart is left to whatever schedules them.
 """
 
 from __future__ import annotations
 
 import json
-import re
 import uuid
 from datetime import datetime
 
-from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, Observation, Row, SparkSession, functions as F, types as T
 
 from ledgerloom.session import utc_now
-from ledgerloom.sources.files import create, exists, names, remove
+from ledgerloom.sources.files import exists, names, remove
 
 COMMIT = """version bigint, committed_at timestamp_ntz, operation string, num_records bigint,
             schema string, metadata map<string,string>, batch_id string, folder string"""
-CHECKPOINT = 50     # commits between two checkpoints of the log; as many files stay before one
-_FILE, _POINT = re.compile(r"(\d{12})\.json"), re.compile(r"checkpoint-(\d{12})")
-
-
-class CommitConflict(RuntimeError):
-    """Another writer has committed the version this write was based on."""
 
 
 class SnapshotTable:
@@ -45,23 +34,9 @@ class SnapshotTable:
 
     def history(self) -> DataFrame:
         """All commits. Order by ``version`` to list them; data of vacuumed versions is gone."""
-        point, files = self._log()
-        parts = []
-        if point:
-            parts.append(self.spark.read.schema(COMMIT).parquet(f"{self.root}/log/checkpoint-{point:012d}"))
-        if files:
-            parts.append(self.spark.read.schema(COMMIT).json([f"{self.root}/log/{v:012d}.json" for v in files]))
-        if not parts:
+        if not exists(self.spark, f"{self.root}/commits"):
             return self.spark.createDataFrame([], COMMIT)
-        return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-
-    def _log(self) -> tuple[int, list[int]]:
-        """Version of the last checkpoint (0: none) and the versions committed after it."""
-        found = names(self.spark, f"{self.root}/log")
-        points = [int(m[1]) for n in found if (m := _POINT.fullmatch(n))]
-        point = next((p for p in sorted(points, reverse=True)
-                      if exists(self.spark, f"{self.root}/log/checkpoint-{p:012d}/_SUCCESS")), 0)
-        return point, [v for n in found if (m := _FILE.fullmatch(n)) and (v := int(m[1])) > point]
+        return self.spark.read.schema(COMMIT).json(f"{self.root}/commits")
 
     def current(self) -> DataFrame:
         """The current version as one row, 0 for an empty table."""
@@ -69,8 +44,7 @@ class SnapshotTable:
 
     @property
     def version(self) -> int:
-        point, files = self._log()
-        return max([point, *files])
+        return self.current().first()[0]
 
     def version_as_of(self, ts: datetime) -> int:
         """Last version committed at or before ``ts``, 0 if there is none."""
@@ -78,109 +52,63 @@ class SnapshotTable:
         return self.history().where(F.col("committed_at") <= at).agg(
             F.coalesce(F.max("version"), F.lit(0))).first()[0]
 
+    def batch_version(self, batch_id: str) -> int | None:
+        """The version that committed a batch."""
+        return self.history().where(F.col("batch_id") == batch_id).agg(F.max("version")).first()[0]
+
     def _floor(self, version: int) -> int:
         """First version whose rows are still part of ``version``."""
         return self.history().where((F.col("version") <= version) & (F.col("operation") == "OVERWRITE")).agg(
             F.coalesce(F.max("version"), F.lit(1))).first()[0]
 
-    def _live(self, floor: int, version: int) -> list:
-        """Version and folder of the commits whose rows make up a version: bounded metadata."""
-        return self.history().where(F.col("version").between(floor, version)).select("version", "folder") \
+    def _live(self, floor: int, version: int) -> list[Row]:
+        """The commits whose rows make up a version: bounded metadata."""
+        return self.history().where(F.col("version").between(floor, version)).select("version", "folder", "schema") \
             .orderBy("version").collect()
 
     # -- write -----------------------------------------------------------------------------
 
     def write(self, df: DataFrame, mode: str = "append", metadata: dict[str, str] | None = None,
-              batch_id: str | None = None, committed_at: datetime | None = None, base: int | None = None) -> int:
-        """Write the next version and return it; a batch that is already committed is a no-op.
-
-        With ``base`` the write is refused unless that is still the current version when it
-        commits.
-        """
+              batch_id: str | None = None, committed_at: datetime | None = None) -> int:
+        """Write the next version and return it; a batch that is already committed is a no-op."""
         if mode not in ("append", "overwrite"):
             raise ValueError(f"mode must be 'append' or 'overwrite', not {mode!r}")
-        last, done, schema = self._state(batch_id)
+        last, done, schema = self.history().agg(
+            F.coalesce(F.max("version"), F.lit(0)),
+            F.max(F.when(F.col("batch_id") == F.lit(batch_id), F.col("version"))),
+            F.max_by("schema", "version")).first()
         if done is not None:
             return done
-        folder = f"_a={uuid.uuid4().hex}"
         if mode == "append" and last:
             self._check_types(df, last, schema)
-        counted = Observation()
+        folder, counted = f"_a={uuid.uuid4().hex}", Observation()
         df.observe(counted, F.count(F.lit(1)).alias("n")).write.mode("error").parquet(f"{self.root}/data/{folder}")
-        commit = {"operation": mode.upper(), "num_records": counted.get["n"], "schema": df.schema.json(),
-                  "metadata": {k: str(v) for k, v in (metadata or {}).items()}, "folder": folder}
-        if batch_id is not None:
-            commit["batch_id"] = batch_id
-        while True:
-            if base is not None and last != base:
-                remove(self.spark, f"{self.root}/data/{folder}")
-                raise CommitConflict(f"the table is at version {last}, not {base}")
-            version = last + 1
-            commit |= {"version": version, "committed_at": (committed_at or utc_now()).isoformat()}
-            if create(self.spark, f"{self.root}/log/{version:012d}.json", json.dumps(commit)):
-                if self._log()[0] >= version:  # a checkpoint has closed this version: it is not in it
-                    remove(self.spark, f"{self.root}/log/{version:012d}.json")
-                else:
-                    break
-            # Beaten: the same rows go to a later version, unless the winner wrote this batch.
-            last, done, schema = self._state(batch_id)
-            if done is not None:
-                remove(self.spark, f"{self.root}/data/{folder}")
-                return done
-            if mode == "append":
-                self._check_types(df, last, schema)
-        if version % CHECKPOINT == 0:
-            self.checkpoint()
-        return version
-
-    def _state(self, batch_id: str | None) -> tuple[int, int | None, str | None]:
-        """Current version, the version of the batch if it is committed, and the current schema."""
-        if self._log() == (0, []):
-            return 0, None, None
-        return tuple(self.history().agg(
-            F.coalesce(F.max("version"), F.lit(0)),
-            F.max(F.when(F.col("batch_id") == F.lit(batch_id), F.col("version"))),
-            F.max_by("schema", "version")).first())
+        commit = (last + 1, committed_at or utc_now(), mode.upper(), counted.get["n"], df.schema.json(),
+                  {k: str(v) for k, v in (metadata or {}).items()}, batch_id, folder)
+        self.spark.createDataFrame([commit], COMMIT).coalesce(1).write.mode("append").json(f"{self.root}/commits")
+        return last + 1
 
     def _check_types(self, df: DataFrame, version: int, schema: str | None) -> None:
         if schema == df.schema.json():
             return
-        known = {f.name: f.dataType for f in self._fields(self._floor(version), version)}
+        known = {f.name: f.dataType for f in self._fields(self._live(self._floor(version), version))}
         for f in df.schema:
-            if f.name in known and known[f.name] != f.dataType:
+            if f.name in known and known[f.name].simpleString() != f.dataType.simpleString():
                 raise ValueError(f"column {f.name} is {known[f.name].simpleString()} in the table and "
                                  f"{f.dataType.simpleString()} in the batch; cast it before writing")
 
-    def checkpoint(self) -> None:
-        """Write the log as one parquet folder and delete commit files that it has long held."""
-        point, files = self._log()
-        if not files or files != list(range(point + 1, files[-1] + 1)):
-            return
-        last = files[-1]
-        path = f"{self.root}/log/checkpoint-{last:012d}"
-        if exists(self.spark, path):
-            return  # another writer is at it, or has failed and the next checkpoint will do
-        self.history().where(F.col("version") <= last).coalesce(1).write.mode("error").parquet(path)
-        for name in names(self.spark, f"{self.root}/log"):
-            file, old = _FILE.fullmatch(name), _POINT.fullmatch(name)
-            if (file and int(file[1]) <= last - CHECKPOINT) or (old and int(old[1]) < point):
-                remove(self.spark, f"{self.root}/log/{name}")
-
     def compact(self) -> int:
-        """Rewrite the live rows as one version of few files; fails if another write comes first."""
+        """Rewrite the live rows as one version of few files."""
         at = self.version
-        rows = self.read(at)
-        return self.write(rows.hint("rebalance"), "overwrite", {"compacted": str(at)}, base=at) if at else 0
+        return self.write(self.read(at).hint("rebalance"), "overwrite", {"compacted": str(at)}) if at else 0
 
     # -- read ------------------------------------------------------------------------------
 
-    def _fields(self, floor: int, version: int) -> list[T.StructField]:
+    def _fields(self, live: list[Row]) -> list[T.StructField]:
         """Columns of all live versions, from the commits rather than file footers."""
-        rows = (self.history().where(F.col("version").between(floor, version))
-                .groupBy("schema").agg(F.min("version").alias("since")).orderBy("since").collect())
         fields: dict[str, T.StructField] = {}
-        for row in rows:
-            for f in T.StructType.fromJson(json.loads(row["schema"])).fields:
+        for schema in dict.fromkeys(row.schema for row in live):
+            for f in T.StructType.fromJson(json.loads(schema)).fields:
                 fields.setdefault(f.name, T.StructField(f.name, f.dataType, True))
         return list(fields.values())
 
@@ -198,16 +126,17 @@ class SnapshotTable:
             raise ValueError(f"version {version} does not exist (current: {current})")
         if version <= 0:
             return self.spark.createDataFrame([], T.StructType([]))
-        if floor < self._pruned_below():
-            raise ValueError(f"version {version} has been vacuumed")
         live = self._live(floor, version)
-        schema = T.StructType([*self._fields(floor, version), T.StructField("_a", T.StringType())])
+        # Vacuum removes the oldest folder of a version first.
+        if not exists(self.spark, f"{self.root}/data/{live[0].folder}"):
+            raise ValueError(f"version {version} has been vacuumed")
+        schema = T.StructType([*self._fields(live), T.StructField("_a", T.StringType())])
         rows = self.spark.read.schema(schema).option("basePath", f"{self.root}/data").parquet(
             *[f"{self.root}/data/{r.folder}" for r in live])
         if not keep_version:
             return rows.drop("_a")
         added = self.spark.createDataFrame([(r.folder.removeprefix("_a="), r.version) for r in live], "_a string, _v bigint")
-        return rows.join(added, "_a").drop("_a")
+        return rows.join(F.broadcast(added), "_a").drop("_a")
 
     def read_as_of(self, ts: datetime) -> DataFrame:
         return self.read(self.version_as_of(ts))
@@ -226,18 +155,10 @@ class SnapshotTable:
         return self.history().where(F.col("version") < self._floor(oldest)).select("version")
 
     def vacuum(self, retain_versions: int = 10) -> list[int]:
-        """Delete the data of expired versions and return them; the commits stay."""
-        below = self._pruned_below()
-        gone = [r[0] for r in self.expired(retain_versions).where(F.col("version") >= below)
-                .orderBy("version").collect()]
-        if not gone:
-            return []
-        # The mark comes first: a reader may refuse too early, but never read half a version.
-        create(self.spark, f"{self.root}/pruned/{gone[-1] + 1:012d}", "")
-        for row in self._live(gone[0], gone[-1]):
+        """Delete the data of expired versions, oldest first, and return them; the commits stay."""
+        there = set(names(self.spark, f"{self.root}/data"))
+        gone = [r for r in self.history().join(self.expired(retain_versions), "version").select("version", "folder")
+                .orderBy("version").collect() if r.folder in there]
+        for row in gone:
             remove(self.spark, f"{self.root}/data/{row.folder}")
-        return gone
-
-    def _pruned_below(self) -> int:
-        marks = [int(n) for n in names(self.spark, f"{self.root}/pruned") if n.isdigit()]
-        return max(marks, default=1)
+        return [r.version for r in gone]

@@ -677,6 +677,32 @@ def feature_join(spark, sf_dir):
     return shown(out, [ENTITY, *VELOCITY, *AMOUNTS])
 
 
+def _asked(df: DataFrame) -> DataFrame:
+    """Rows that didn't go through, as events that ask for features."""
+    return df.where(F.col("status") != "confirmed").select(ENTITY, F.col(TIME).alias("asked_at"), "block_number", F.col("amount_usd").alias("amount_log"))
+
+
+ASKED = [ENTITY, "asked_at", "block_number", "amount_log", *VELOCITY, "amount_statistics_amount_log", "fee_ratio", "total_cost_usd"]
+
+
+@query
+def feature_asof_join(spark, sf_dir):
+    """Features of two groups as known at each event's own time, at most three days old; one name is taken."""
+    out = _store(spark, sf_dir).asof_features(_asked(tx_events(spark, sf_dir)), ["transaction_velocity", "amount_statistics", "behavioral"],
+                                              time="asked_at", max_age=timedelta(days=3))
+    return shown(out, ASKED)
+
+
+@query
+def feature_asof_join_hot(spark, sf_dir):
+    """Most rows of both sides under one address, which is cut into chunks."""
+    rows = stage(transform_chain(_hot(clean(spark, sf_dir))), "rows")
+    store = build_training_store(spark, rows, scratch_dir(spark, "features"), "batch-1", stamp=STAMP)
+    out = store.asof_features(_asked(_hot(tx_events(spark, sf_dir))), ["transaction_velocity", "amount_statistics"],
+                              time="asked_at", rows_per_chunk=SMALL_CHUNK)
+    return shown(out, ASKED)
+
+
 @query
 def feature_describe(spark, sf_dir):
     out = _store(spark, sf_dir).describe()
@@ -774,6 +800,48 @@ def job_features(spark, sf_dir):
     return out.select("group_name", F.col("features").cast("bigint").alias("features"), "records")
 
 
+def _apart(df: DataFrame) -> DataFrame:
+    """The rows from 15 January on: a third of the addresses is silent for 45 more days, a third for 10."""
+    user = F.substring(ENTITY, 3, 20).cast("bigint") % 3
+    days = F.when(F.col(TIME) < F.lit(datetime(2024, 1, 15)).cast("timestamp_ntz"), 0).when(user == 0, 45).when(user == 1, 10).otherwise(0)
+    return df.withColumn(TIME, F.col(TIME) + F.make_dt_interval(days))
+
+
+APART = [datetime(2024, 1, 1), datetime(2024, 1, 10, 12), datetime(2024, 2, 5), datetime(2024, 4, 1)]
+
+
+@query
+def job_feature_values(spark, sf_dir):
+    """All features of three windows, one of which begins within a day; gaps of 10 and 45 days lie between rows."""
+    root, inbox = scratch_dir(spark, "job"), scratch_dir(spark, "landed")
+    _apart(tx_events(spark, sf_dir)).write.parquet(inbox)
+    job = LedgerJob(spark, [SourceConfig("all", inbox)], root, all_features=True, labels=address_labels(spark, sf_dir), limits=LIMITS)
+    for start, end in zip(APART, APART[1:]):
+        job.run(start, end)
+    store = FeatureStore(spark, f"{root}/features")
+    out = None
+    for group in FEATURE_GROUPS:
+        part = store.get_features(group).drop("_ingested_at")
+        out = part if out is None else out.join(part, [ENTITY, TIME])
+    return shown(out, [ENTITY, TIME, *[f for g in FEATURE_GROUPS.values() for f in g]])
+
+
+REPLAYED = [datetime(2024, 1, 5), datetime(2024, 1, 9), datetime(2024, 1, 13), datetime(2024, 1, 17)]
+
+
+@query
+def job_unique(spark, sf_dir):
+    """Three windows; every third row comes again four days later, often in the next window."""
+    root, inbox = scratch_dir(spark, "job"), scratch_dir(spark, "landed")
+    df = tx_events(spark, sf_dir)
+    again = df.where("block_number % 3 = 0").withColumns({TIME: F.col(TIME) + F.make_dt_interval(F.lit(4)), "block_number": F.col("block_number") + 1_000_000})
+    df.unionByName(again).write.parquet(inbox)
+    job = LedgerJob(spark, [SourceConfig("all", inbox)], root, unique=True)
+    for start, end in zip(REPLAYED, REPLAYED[1:]):
+        job.run(start, end)
+    return shown(job.table.read(), [*KEY, ENTITY, "status", *ROLLED])
+
+
 @query
 def snapshot_compacted(spark, sf_dir):
     table = _versions(spark, sf_dir)

@@ -6,11 +6,10 @@ from pyspark.sql import functions as F
 from ledgerloom.plans.feature_store import (
     FeatureStore, available, build_training_store, join_latest, latest_per_entity, only_entities,
     project_features, registry_totals)
-from ledgerloom.plans import snapshots
-from ledgerloom.plans.snapshots import CommitConflict, SnapshotTable
+from ledgerloom.plans.snapshots import SnapshotTable
 from ledgerloom.schema import FEATURE_GROUPS
 from ledgerloom.session import scratch_dir
-from ledgerloom.sources.files import exists, names
+from ledgerloom.sources.files import exists
 
 
 @pytest.fixture
@@ -118,45 +117,12 @@ def test_vacuum_after_overwrite(spark, table):
         table.vacuum(0)
 
 
-def test_a_beaten_append_takes_the_next_version(spark, table, monkeypatch):
-    table.write(numbers(spark, 1))
-    slow = SnapshotTable(spark, table.root)
-    seen, stale = slow._state, [slow._state(None)]
-    monkeypatch.setattr(slow, "_state", lambda batch: stale.pop() if stale else seen(batch))
-    table.write(numbers(spark, 2))              # commits version 2 after the other one has read the log
-    assert slow.write(numbers(spark, 3)) == 3
-    assert [ids(table.read(v)) for v in (1, 2, 3)] == [[1], [1, 2], [1, 2, 3]]
-    stale.append((2, None, table.history().first().schema))
-    with pytest.raises(CommitConflict):
-        slow.write(numbers(spark, 9), "overwrite", base=2)
-    assert ids(table.read()) == [1, 2, 3]
-
-
-def test_a_batch_written_twice_at_once_is_added_once(spark, table, monkeypatch):
-    slow = SnapshotTable(spark, table.root)
-    seen, stale = slow._state, [(0, None, None)]
-    monkeypatch.setattr(slow, "_state", lambda batch: stale.pop() if stale else seen(batch))
-    table.write(numbers(spark, 1), batch_id="b")
-    assert slow.write(numbers(spark, 1), batch_id="b") == 1
-    assert ids(table.read()) == [1]
-
-
 def test_leftovers_of_a_commit_do_not_lock_the_table(spark, table):
-    spark.range(1).coalesce(1).write.json(f"{table.root}/log/_temporary")
+    spark.range(1).coalesce(1).write.json(f"{table.root}/commits/_temporary")
     assert table.version == 0 and table.history().isEmpty() and table.read().isEmpty()
     assert table.write(numbers(spark, 1)) == 1 and ids(table.read()) == [1]
 
 
-def test_log_checkpoints(spark, table, monkeypatch):
-    monkeypatch.setattr(snapshots, "CHECKPOINT", 3)
-    for v in range(1, 9):
-        table.write(numbers(spark, v), batch_id=f"b{v}")
-    assert table.version == 8 and ids(table.read()) == list(range(1, 9)) and ids(table.read(2)) == [1, 2]
-    assert sorted(r.version for r in table.history().collect()) == list(range(1, 9))
-    assert table.write(numbers(spark, 1), batch_id="b1") == 1
-    assert [n for n in names(spark, f"{table.root}/log") if n.endswith(".json")] == [f"{v:012d}.json" for v in range(4, 9)]
-
-
 def test_compaction(spark, table):
     for v in range(1, 5):
         table.write(numbers(spark, v))
