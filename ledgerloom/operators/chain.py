@@ -14,18 +14,19 @@ from ledgerloom.session import stage
 
 
 def transform_chain(df: DataFrame, frame: str = "rows", per: list[str] | None = None,
-                    plan: ChunkPlan | None = None, rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
+                    plan: ChunkPlan | None = None, rows_per_chunk: int = ROWS_PER_CHUNK, across: bool = False) -> DataFrame:
     """Deduplicate by hash, keep confirmed rows, add time, amount and rolling columns.
 
     Duplicates go first, so a later failed copy hides an earlier confirmed one. ``frame`` is
     ``rows`` (last w rows) or ``range`` (true time frames). ``per`` adds columns that separate
-    independent runs, such as backfill windows. Group sizes are measured on the input, ahead
+    independent runs, such as backfill windows; with ``across`` they separate duplicates only,
+    and frames reach over them. Group sizes are measured on the input, ahead
     of the deduplication shuffle: both steps only remove rows, so that is an upper bound.
     """
     if frame not in ("rows", "range"):
         raise ValueError(f"frame must be 'rows' or 'range', not {frame!r}")
     per = per or []
-    group = [ENTITY, *per]
+    group = [ENTITY] if across else [ENTITY, *per]
     plan = plan or plan_chunks(df, group, total_order(df), rows_per_chunk)
     out = deduplicate(df, ["transaction_hash", *per])
     out = only_confirmed(out)

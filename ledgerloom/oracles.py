@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerloom.queries import AMOUNTS, APART, KEY, SCALES, TX, VELOCITY
+from ledgerloom.queries import AMOUNTS, APART, KEY, PROFILED, SCALES, TX, VELOCITY
 from ledgerloom.schema import FEATURE_GROUPS
 from ledgerloom.sources.samples import ADDRESS_LABELS, TX_EVENTS, TX_LINEITEM
 
@@ -257,6 +257,54 @@ def job_feature_values_sql() -> str:
   LEFT JOIN preferred_chain USING (until, from_address) LEFT JOIN preferred_token USING (until, from_address)"""
 
 
+NUMBERS = {"amount_usd", "gas_fee_usd", "block_number"}
+
+
+def profile_sql() -> str:
+    parts = []
+    for c in PROFILED:
+        number = c in NUMBERS
+        low, high = (f"{digits(f'CAST({pick}({c}) AS DOUBLE)')}" if number else "CAST(NULL AS DOUBLE)" for pick in ("min", "max"))
+        first, last = ("CAST(NULL AS VARCHAR)" if number else f"{pick}({c})" for pick in ("min", "max"))
+        shares = ", ".join((digits(f"quantile_disc(CAST({c} AS DOUBLE), {p})") if number else "CAST(NULL AS DOUBLE)") + f" AS q{p * 100:.0f}" for p in (0.1, 0.5, 0.9))
+        parts.append(f"""SELECT '{c}' AS "column", count(*) AS records, count(*) - count({c}) AS nulls, {low} AS low, {high} AS high,
+          {first} AS first, {last} AS last, {f"count(DISTINCT {c})" if not number else "CAST(NULL AS BIGINT)"} AS members, {shares} FROM span""")
+    return f"""{EV}, span AS (SELECT * FROM tx WHERE timestamp >= TIMESTAMP '2024-01-05' AND timestamp < TIMESTAMP '2024-01-21') """ + " UNION ALL ".join(parts)
+
+
+def drift_sql() -> str:
+    parts = []
+    for c in PROFILED:
+        if c == "to_address":
+            parts.append("""SELECT 'to_address' AS "column", true AS one_sided, false AS shifted, CAST(NULL AS DOUBLE) AS null_change,
+              CAST(NULL AS BIGINT) AS new_members, CAST(NULL AS DOUBLE) AS overlap, false AS passed""")
+            continue
+        q = lambda side, p: f"(SELECT quantile_disc({c}, {round(p, 2)}) FROM {side})"
+        shifted = " OR ".join(f"{q('later', p)} < {q('early', p - 0.05)} OR {q('later', p)} > {q('early', p + 0.05)}"
+                              for p in (0.1, 0.25, 0.5, 0.75, 0.9)) if c in NUMBERS else "false"
+        nulls = lambda side: f"(SELECT (count(*) - count({c})) * 1e0 / count(*) FROM {side})"
+        common = f"(SELECT count(*) FROM (SELECT DISTINCT {c} FROM later WHERE {c} IS NOT NULL INTERSECT SELECT DISTINCT {c} FROM early))"
+        every = f"(SELECT count(*) FROM (SELECT {c} FROM later WHERE {c} IS NOT NULL UNION SELECT {c} FROM early WHERE {c} IS NOT NULL))"
+        mine = f"(SELECT count(DISTINCT {c}) FROM later)"
+        overlap = "CAST(NULL AS DOUBLE)" if c in NUMBERS else f"{common} * 1e0 / {every}"
+        parts.append(f"""SELECT *, NOT shifted AND abs(change) <= 0.01 AND coalesce(share, 1) >= 0.5 AS ok FROM (
+          SELECT '{c}' AS name, false AS one, coalesce({shifted}, false) AS shifted, {nulls('later')} - {nulls('early')} AS change,
+          {"CAST(NULL AS BIGINT)" if c in NUMBERS else f"{mine} - {common}"} AS fresh, {overlap} AS share)""")
+    return f"""{EV}, early AS (SELECT * FROM tx WHERE timestamp < TIMESTAMP '2024-01-16'),
+      later AS (SELECT * REPLACE (amount_usd * 1.5 AS amount_usd, CASE WHEN token_symbol <> 'BTC' THEN token_symbol END AS token_symbol,
+        CASE WHEN chain IN ('solana', 'polygon') THEN chain ELSE 'l2-' || chain END AS chain) FROM tx WHERE timestamp >= TIMESTAMP '2024-01-16')
+      SELECT "column", one_sided, shifted, {digits('null_change')} AS null_change, new_members, {digits('overlap')} AS overlap, passed FROM (
+      {parts[0].replace("SELECT *", 'SELECT name AS "column", one AS one_sided, shifted, change AS null_change, fresh AS new_members, share AS overlap', 1).replace("AS ok", "AS passed")}
+      UNION ALL {' UNION ALL '.join(parts[1:])})"""
+
+
+PAYLOADS = """WITH p AS (SELECT event_id, strftime(ts, '%Y-%m-%d') AS day, day(ts) AS kind, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k,
+    event_id % 50 = 3 AS broken FROM events),
+  fields AS (SELECT day, 'k' AS field, CASE WHEN kind <= 10 THEN 'BIGINT' WHEN kind <= 20 THEN 'STRING' ELSE 'OBJECT<v: BIGINT>' END AS type,
+      count(*) AS n FROM p WHERE NOT broken GROUP BY day, kind
+    UNION ALL SELECT day, 'tag', 'BOOLEAN', count(*) FROM p WHERE NOT broken AND kind > 10 GROUP BY day)"""
+
+
 def scaled_sql() -> str:
     parts = []
     for name, (factor, base) in SCALES.items():
@@ -418,6 +466,46 @@ ORACLES: dict[str, str] = {
         ON w.window_start = s.began""",
     "job_features": f"""{JOBS}, g(group_name, features) AS (VALUES {', '.join(f"('{g}', {len(f)})" for g, f in FEATURE_GROUPS.items())})
         SELECT group_name, CAST(features AS BIGINT) AS features, (SELECT count(*) FROM settled) AS records FROM g""",
+    "snapshot_changes": f"""{EV}, {SPANS.split('members(')[0].rstrip().rstrip(',')},
+        held(version, part, n) AS (VALUES (1, 1, 1), (2, 1, 1), (2, 2, 1), (3, 2, 2), (3, 3, 1), (4, 1, 1), (4, 2, 2), (4, 3, 1), (5, 1, 1), (5, 2, 2), (5, 3, 1)),
+        spans(span, since, until) AS (VALUES ('1-2', 1, 2), ('2-3', 2, 3), ('1-4', 1, 4), ('4-5', 4, 5)),
+        moved AS (SELECT span, p.part, CAST(coalesce(b.n, 0) - coalesce(a.n, 0) AS BIGINT) AS n FROM spans CROSS JOIN (VALUES (1), (2), (3)) p(part)
+          LEFT JOIN held a ON a.version = since AND a.part = p.part LEFT JOIN held b ON b.version = until AND b.part = p.part)
+        SELECT span, {ALL}, CASE WHEN n > 0 THEN 'added' ELSE 'removed' END AS change, abs(n) AS copies FROM parts JOIN moved USING (part) WHERE n <> 0""",
+    "network_risk_hops": f"""{EV.replace('WITH', 'WITH RECURSIVE', 1)}, labels AS (SELECT address, risk_score + 0.1E0 AS risk FROM ({ADDRESS_LABELS})
+          WHERE category IN ('risky', 'mixer') AND CAST(substr(address, 3) AS BIGINT) % 4 = 1),
+        edges AS (SELECT DISTINCT CASE WHEN tx_type = 'mint' THEN '0xhub' ELSE '0x' || CAST(substr(from_address, 3) AS BIGINT) % 40 END AS payer,
+          CASE tx_type WHEN 'stake' THEN '0xhub' WHEN 'swap' THEN '0xfar' || to_address ELSE '0x' || CAST(substr(to_address, 3) AS BIGINT) % 40 END AS paid FROM clean),
+        r(address, risk, hops) AS (SELECT address, risk, 0 FROM labels
+          UNION SELECT payer, risk * 0.5E0, hops + 1 FROM r JOIN edges ON paid = r.address WHERE hops < 3)
+        SELECT address, {digits('risk')} AS risk, CAST(hops AS BIGINT) AS hops FROM
+        (SELECT *, row_number() OVER (PARTITION BY address ORDER BY risk DESC, hops) AS rn FROM r) WHERE rn = 1""",
+    "backfill_after_changes": f"""WITH tx AS (SELECT * REPLACE (CASE WHEN block_number = 500 THEN amount_usd + 7 ELSE amount_usd END AS amount_usd)
+          FROM ({TX_EVENTS})),
+        win AS (SELECT *, date_trunc('day', timestamp) AS window_start FROM tx WHERE NOT {BAD} AND timestamp >= TIMESTAMP '2024-01-01'
+          AND timestamp < TIMESTAMP '2024-01-31' AND NOT (timestamp >= TIMESTAMP '2024-01-20' AND timestamp < TIMESTAMP '2024-01-21')),
+        settled AS (SELECT * FROM ({deduped('win', keys='transaction_hash, window_start')}) WHERE status = 'confirmed'),
+        changed(day) AS (SELECT TIMESTAMP '2024-01-20' UNION SELECT date_trunc('day', timestamp) FROM tx WHERE block_number = 500)
+        SELECT CAST(window_start AS TIMESTAMP) AS window_start, EXISTS (SELECT 1 FROM changed WHERE window_start >= day AND window_start <= day + INTERVAL 7 DAY) AS redone,
+          {KEYS}, from_address, {ranged()} FROM settled""",
+    "schema_variant": f"{PAYLOADS} SELECT day, field, type, n FROM fields",
+    "schema_variant_drift": f"""{PAYLOADS} SELECT field, string_agg(DISTINCT type, ' | ' ORDER BY type) AS types, count(*) AS batches,
+        (SELECT count(DISTINCT day) FROM fields) - count(*) AS missing FROM fields GROUP BY field
+        HAVING count(DISTINCT type) > 1 OR count(*) < (SELECT count(DISTINCT day) FROM fields)""",
+    "payload_typed": f"""{PAYLOADS} SELECT event_id, broken, CASE WHEN NOT broken AND kind <= 10 THEN k END AS number,
+        CASE WHEN NOT broken AND kind > 20 THEN k END AS nested,
+        CASE WHEN NOT broken AND kind <= 10 THEN CAST(k AS VARCHAR) WHEN NOT broken AND kind <= 20 THEN 'n' || k END AS said,
+        CASE WHEN NOT broken AND kind > 10 THEN kind <= 20 END AS tag FROM p""",
+    "stream_activity": f"""{EV}, hourly AS (SELECT from_address, date_trunc('hour', timestamp) AS pane, amount_usd FROM clean WHERE from_address IS NOT NULL),
+        spans AS (SELECT from_address, unnest(generate_series(pane - INTERVAL 23 HOUR, pane, INTERVAL 1 HOUR)) AS window_start, amount_usd FROM hourly)
+        SELECT window_start, window_start + INTERVAL 24 HOUR AS window_end, from_address, count(*) AS txn_count, {digits('sum(amount_usd)')} AS amount_sum,
+        {digits('max(amount_usd)')} AS max_single_txn, count(*) >= 5 AS busy_flag, max(amount_usd) > 100 AS high_value_flag FROM spans GROUP BY ALL""",
+    "stream_sessions": f"""{EV}, gaps AS (SELECT *, coalesce(timestamp - {LAST_SEEN} >= INTERVAL 2 DAY, true) AS begins FROM clean WHERE from_address IS NOT NULL),
+        numbered AS (SELECT *, sum(CAST(begins AS INTEGER)) OVER (PARTITION BY from_address ORDER BY {EARLIEST_FIRST} ROWS UNBOUNDED PRECEDING) AS session FROM gaps)
+        SELECT from_address, min(timestamp) AS first_time, max(timestamp) AS last_time, max(timestamp) + INTERVAL 2 DAY AS dormant_at,
+        count(*) AS txn_count, {digits('sum(amount_usd)')} AS amount_sum FROM numbered GROUP BY from_address, session""",
+    "contract_profile": profile_sql(),
+    "contract_drift": drift_sql(),
     "job_unique": f"{REPLAYS} SELECT {KEYS}, from_address, status, {rolled(STANDARD, 'from_address, window_start')} FROM settled",
     "feature_asof_join": asked_sql(EV, "AND f.timestamp >= a.asked_at - INTERVAL 3 DAY"),
     "feature_asof_join_hot": asked_sql(over(f"SELECT * REPLACE ({HOT}) FROM ({TX_EVENTS})"), ""),

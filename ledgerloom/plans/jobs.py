@@ -7,10 +7,11 @@ import time
 import traceback
 from datetime import datetime, timedelta
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ledgerloom.operators.chain import transform_chain
 from ledgerloom.operators.contracts import Contract, accepted, run_counts, summarize
+from ledgerloom.operators.profile import merge_profiles, profile
 from ledgerloom.operators.features import WEEK, Prior, Thresholds, add_features
 from ledgerloom.plans.entity_state import EntityState
 from ledgerloom.plans.feature_store import build_training_store, registry_totals
@@ -19,7 +20,7 @@ from ledgerloom.plans.snapshots import SnapshotTable
 from ledgerloom.schema import ENTITY, KEY_COLUMNS, TIME
 from ledgerloom.session import stage, utc_now
 from ledgerloom.sources.dead_letters import write_dead_letters
-from ledgerloom.sources.files import create, exists
+from ledgerloom.sources.files import create, exists, remove
 from ledgerloom.sources.windows import STAMP, SourceConfig, advance_mark, extract_all, in_window, read_mark
 
 RUN = """run_id string, start_time timestamp_ntz, end_time timestamp_ntz, status string,
@@ -42,13 +43,14 @@ class LedgerJob:
     from the state that earlier windows left, so windows give the values that one window over
     all rows gives. Ages, preferred values and ranks within a day are as known at the window's
     end. ``labels`` are those of ``add_features``. With ``unique`` a hash that an earlier window
-    has loaded is not loaded again; without, hashes are unique per window only.
+    has loaded is not loaded again; without, hashes are unique per window only. With
+    ``profiles`` the sketches of each raw window are kept, and ``profile`` merges those of a span.
     """
 
     def __init__(self, spark: SparkSession, sources: list[SourceConfig], root: str,
                  name: str = "ledger", contract: Contract | None = None, frame: str = "rows",
                  all_features: bool = False, labels: DataFrame | None = None,
-                 limits: Thresholds = Thresholds(), unique: bool = False):
+                 limits: Thresholds = Thresholds(), unique: bool = False, profiles: bool = False):
         self.spark = spark
         self.sources = sources
         self.root = root.rstrip("/")
@@ -60,6 +62,7 @@ class LedgerJob:
         self.limits = limits
         self.table = SnapshotTable(spark, f"{self.root}/transactions")
         self.state = EntityState(spark, f"{self.root}/state")
+        self.profiles = SnapshotTable(spark, f"{self.root}/profiles") if profiles else None
         self.seen = SeenKeys(spark, f"{self.root}/keys", self.table, "transaction_hash") if unique else None
 
     def run(self, start: datetime | None = None, end: datetime | None = None) -> dict:
@@ -132,6 +135,9 @@ class LedgerJob:
         verdict = summarize(report, self.name, utc_now()).first()
         if counts.rejected_records:
             write_dead_letters(bad, f"{self.root}/dead_letters", self.name, batch)
+        if self.profiles is not None:
+            window = [F.lit(t).cast("timestamp_ntz").alias(n) for t, n in ((start, "window_start"), (end, "window_end"))]
+            self.profiles.write(profile(raw).select(*window, "*"), batch_id=batch)
         version, repeats = self._commit(clean, start, end, batch)
         described = self._publish(version, start, end, batch)
         totals = registry_totals(described).first()
@@ -168,6 +174,12 @@ class LedgerJob:
         (self.spark.createDataFrame([row], RUN).coalesce(1)
          .write.mode("append").json(f"{self.root}/runs"))
 
+    def profile(self, start: datetime, end: datetime) -> DataFrame:
+        """The profile of all raw rows of the windows within a span, from their sketches."""
+        since, until = (F.lit(t).cast("timestamp_ntz") for t in (start, end))
+        parts = self.profiles.read().where((F.col("window_start") >= since) & (F.col("window_end") <= until))
+        return merge_profiles(parts.drop("window_start", "window_end"))
+
     def runs(self) -> DataFrame:
         """All run records."""
         if not exists(self.spark, f"{self.root}/runs"):
@@ -213,10 +225,34 @@ def in_day_windows(df: DataFrame, end: datetime, days_back: int, time_col: str =
     return rows.withColumn("window_start", window["start"])
 
 
-def backfill_rows(raw: DataFrame, end: datetime, days_back: int, frame: str = "rows") -> DataFrame:
-    """Transformed clean rows of all windows at once; each window is processed by itself."""
+def backfill_rows(raw: DataFrame, end: datetime, days_back: int, frame: str = "rows", across: bool = False,
+                  only: list[datetime] | None = None) -> DataFrame:
+    """Transformed clean rows of all windows at once; each window is processed by itself.
+
+    With ``across`` the time frames of a row reach back into earlier windows. ``only`` limits the
+    work to windows of that start: no others are read, but for those their frames reach into.
+    """
     rows = in_day_windows(raw, end, days_back)
-    return transform_chain(rows.where(accepted(rows)), frame, per=["window_start"])
+    if only is not None:
+        needed = {w - timedelta(days=k) for w in only for k in range(REACH + 1 if across else 1)}
+        rows = rows.where(_within_days(sorted(needed)))
+    out = transform_chain(rows.where(accepted(rows)), frame, per=["window_start"], across=across)
+    return out if only is None else out.where(F.col("window_start").isin([F.lit(w).cast("timestamp_ntz") for w in only]))
+
+
+REACH = 7       # days that the longest time frame reaches back
+
+
+def _within_days(starts: list[datetime]) -> Column:
+    """Condition on the time itself, one range per run of days, so that it reaches the scan."""
+    found, at = F.lit(False), 0
+    while at < len(starts):
+        last = at
+        while last + 1 < len(starts) and starts[last + 1] == starts[last] + timedelta(days=1):
+            last += 1
+        since, until = (F.lit(t).cast("timestamp_ntz") for t in (starts[at], starts[last] + timedelta(days=1)))
+        found, at = found | ((F.col(TIME) >= since) & (F.col(TIME) < until)), last + 1
+    return found
 
 
 def backfill(raw: DataFrame, end: datetime, path: str, days_back: int = 30, frame: str = "rows") -> None:
@@ -225,8 +261,65 @@ def backfill(raw: DataFrame, end: datetime, path: str, days_back: int = 30, fram
     Only the partitions of the windows are replaced, so a backfill can be repeated. The
     rebalance gives every partition few files and splits one that is too large for a task.
     """
-    (backfill_rows(raw, end, days_back, frame)
-     .withColumn("window", F.date_format("window_start", "yyyyMMdd'T'HHmmss"))
+    _write_windows(backfill_rows(raw, end, days_back, frame), path)
+
+
+def _write_windows(rows: DataFrame, path: str) -> None:
+    (rows.withColumn("window", F.date_format("window_start", WINDOW_NAME))
      .hint("rebalance", "window")
      .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("window").parquet(path))
+
+
+WINDOW_NAME = "yyyyMMdd'T'HHmmss"
+
+
+def window_digests(raw: DataFrame, end: datetime, days_back: int) -> DataFrame:
+    """(window_start, records, mixed, total): digests of each window's rows that don't depend on their order.
+
+    One aggregate, combined map-side. A row's digest covers all columns and which of them are null.
+    """
+    rows, columns = in_day_windows(raw, end, days_back), sorted(raw.columns)
+    row, gaps = F.struct(*columns), F.array(*[F.col(c).isNull() for c in columns])
+    digest, other = F.xxhash64(row, gaps), F.xxhash64(F.lit("other"), gaps, row)
+    return rows.groupBy("window_start").agg(
+        F.count(F.lit(1)).alias("records"), F.bit_xor(digest).alias("mixed"), F.sum(F.pmod(other, F.lit(1 << 40))).alias("total"))
+
+
+def backfill_changed(raw: DataFrame, end: datetime, path: str, days_back: int = 30, frame: str = "rows",
+                     across: bool = False) -> list[datetime]:
+    """Backfill only what has changed since the last call with this ``path``; the starts of those windows.
+
+    A window has changed if its digest is another one, or is new or gone. With ``across`` the
+    windows whose frames reach into it are made again too, and those it reaches into are read.
+    Results equal a full backfill. Digests are kept in ``<path>-digests`` and written last: a
+    run that fails is made up for by the next one.
+    """
+    spark, start = raw.sparkSession, end - timedelta(days=days_back)
+    known = SnapshotTable(spark, f"{path.rstrip('/')}-digests")
+    now = stage(window_digests(raw, end, days_back), "digests")
+    last = known.read()
+    if last.columns:
+        before, since = last.where(F.col("window_start") >= F.lit(start).cast("timestamp_ntz")), F.lit(end).cast("timestamp_ntz")
+        both = now.alias("a").join(before.where(F.col("window_start") < since).alias("b"), "window_start", "full")
+        same = F.lit(True)
+        for c in ("records", "mixed", "total"):
+            same = same & F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}"))
+        moved = both.where(~same)
+    else:
+        moved = now
+    # At most one value per window of the span.
+    changed = {r.window_start for r in moved.select("window_start").collect()}
+    redo = sorted({w + timedelta(days=k) for w in changed for k in range(REACH + 1 if across else 1)
+                   if w + timedelta(days=k) < end})
+    if redo:
+        rows = stage(backfill_rows(raw, end, days_back, frame, across, redo), "backfill")
+        filled = {r.window_start for r in rows.select("window_start").distinct().collect()}
+        if filled:
+            _write_windows(rows, path)
+        for window in set(redo) - filled:
+            remove(spark, f"{path.rstrip('/')}/window={window.strftime('%Y%m%dT%H%M%S')}")
+        kept = now if not last.columns else now.unionByName(last.join(now.select("window_start"), "window_start", "left_anti").where(
+            (F.col("window_start") < F.lit(start).cast("timestamp_ntz")) | (F.col("window_start") >= F.lit(end).cast("timestamp_ntz"))))
+        known.write(kept, "overwrite")
+    return redo

@@ -145,6 +145,38 @@ class SnapshotTable:
         """Only the rows that ``version`` added."""
         return self.spark.read.parquet(f"{self.root}/data/{self._live(version, version)[0].folder}")
 
+    def changes(self, since: int, until: int) -> DataFrame:
+        """Rows that ``until`` has and ``since`` has not or the other way round: columns, ``change``, ``copies``.
+
+        Folders that both versions share are not read. The others are a multiset difference:
+        rows meet by two 64-bit digests of all columns, each copy of ``until`` counting one up
+        and each of ``since`` one down, combined map-side, so many copies move as one row per task. Columns
+        that a version doesn't have count as null.
+        """
+        floors = [self._floor(v) for v in (since, until)]
+        live = [self._live(f, v) if v else [] for f, v in zip(floors, (since, until))]
+        if max(since, until) > self.version:
+            raise ValueError(f"version {max(since, until)} does not exist (current: {self.version})")
+        fields = self._fields(sorted([*live[0], *live[1]], key=lambda r: r.version))
+        schema = T.StructType([*fields, T.StructField("change", T.StringType()), T.StructField("copies", T.LongType())])
+        shared = {r.folder for r in live[0]} & {r.folder for r in live[1]}
+        sides = []
+        for rows, sign in zip(live, (-1, 1)):
+            paths = [f"{self.root}/data/{r.folder}" for r in rows if r.folder not in shared]
+            if paths:
+                sides.append(self.spark.read.schema(T.StructType(fields)).parquet(*paths).withColumn("_sign", F.lit(sign)))
+        if not sides:
+            return self.spark.createDataFrame([], schema)
+        both = sides[0] if len(sides) == 1 else sides[0].unionByName(sides[1])
+        names = [f.name for f in fields]
+        row = F.struct(*[F.col(f"`{n}`") for n in names])
+        # Nulls are skipped by the hash: which columns are null is hashed with the values.
+        gaps = F.array(*[F.col(f"`{n}`").isNull() for n in names])
+        counted = both.groupBy(F.xxhash64(row, gaps).alias("_a"), F.xxhash64(F.lit("other"), gaps, row).alias("_b")).agg(
+            F.any_value(row).alias("_row"), F.sum("_sign").alias("_n")).where(F.col("_n") != 0)
+        return counted.select(*[F.col(f"_row.`{n}`").alias(n) for n in names],
+                              F.when(F.col("_n") > 0, "added").otherwise("removed").alias("change"), F.abs("_n").alias("copies"))
+
     # -- vacuum ----------------------------------------------------------------------------
 
     def expired(self, retain_versions: int = 10) -> DataFrame:

@@ -15,12 +15,15 @@ from ledgerloom.operators.contracts import Contract, accepted, rejected, run_cou
 from ledgerloom.operators.dedup import deduplicate, total_order
 from ledgerloom.operators.drift import evolve, normalize
 from ledgerloom.operators.features import Thresholds, add_features, plan_days
+from ledgerloom.operators.network import spread_risk
+from ledgerloom.operators.payloads import drifting_fields, payload_columns, payload_fields, with_payload
+from ledgerloom.operators.profile import drift, estimates, merge_profiles, profile
 from ledgerloom.operators.rolling import rolling_rows
 from ledgerloom.operators.sliding import rolling_range
 from ledgerloom.plans.feature_store import (
     FeatureStore, as_of_rows, available, build_training_store, latest_per_entity, only_entities,
     project_features, registry_totals)
-from ledgerloom.plans.jobs import LedgerJob, backfill, backfill_rows, day_spine, quality_gate
+from ledgerloom.plans.jobs import LedgerJob, backfill, backfill_changed, backfill_rows, day_spine, quality_gate
 from ledgerloom.plans.snapshots import SnapshotTable
 from ledgerloom.schema import CHAINS, ENTITY, FEATURE_GROUPS, STATUSES, TIME, TRANSACTION
 from ledgerloom.session import adopt, scratch_dir, stage
@@ -28,6 +31,7 @@ from ledgerloom.sources.dead_letters import read_dead_letters, write_dead_letter
 from ledgerloom.sources.samples import address_labels, tx_events, tx_lineitem
 from ledgerloom.sources.windows import (
     SourceConfig, advance_mark, default_sources, extract_all, extract_incremental, extract_window, read_mark)
+from ledgerloom.streaming.activity import activity, sessions
 from ledgerloom.streaming.ingest import deduplicate_stream, ingest_stream, read_reports, read_stream
 
 AS_OF = datetime(2024, 1, 15)
@@ -142,6 +146,36 @@ def schema_defaults(spark, sf_dir):
     return shown(out, ["block_number", "rate", "hops", "memo", "raw", "flag", "other"])
 
 
+def _payloads(spark, sf_dir) -> DataFrame:
+    """The events' payloads, whose fields change from week to week: a number, then text, then an object; some are broken."""
+    df = spark.read.parquet(f"{sf_dir}/events.parquet").select(
+        "event_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), F.get_json_object("props", "$.k").cast("bigint").alias("k"))
+    number, kind = F.col("k").cast("string"), F.dayofmonth(F.to_date("day"))
+    text = (F.when(F.col("event_id") % 50 == 3, F.concat(F.lit('{"k": '), number))
+            .when(kind <= 10, F.concat(F.lit('{"k": '), number, F.lit("}")))
+            .when(kind <= 20, F.concat(F.lit('{"k": "n'), number, F.lit('", "tag": true}')))
+            .otherwise(F.concat(F.lit('{"k": {"v": '), number, F.lit('}, "tag": false}'))))
+    return with_payload(df.withColumn("props", text), "props")
+
+
+@query
+def schema_variant(spark, sf_dir):
+    """Fields and types of each day's payloads, inferred in one aggregate."""
+    return shown(payload_fields(_payloads(spark, sf_dir), by=["day"]), ["day", "field", "type", "n"])
+
+
+@query
+def schema_variant_drift(spark, sf_dir):
+    out = drifting_fields(payload_fields(_payloads(spark, sf_dir), by=["day"]), ["day"])
+    return out.select("field", F.array_join("types", " | ").alias("types"), "batches", "missing")
+
+
+@query
+def payload_typed(spark, sf_dir):
+    out = payload_columns(_payloads(spark, sf_dir), {"number": ("$.k", "bigint"), "nested": ("$.k.v", "bigint"), "said": ("$.k", "string"), "tag": ("$.tag", "boolean")})
+    return out.select("event_id", F.col("payload").isNull().alias("broken"), "number", "nested", F.when(F.col("nested").isNull(), F.col("said")).alias("said"), "tag")
+
+
 # -- filters -------------------------------------------------------------------------------
 
 @query
@@ -404,6 +438,34 @@ def contract_failures(spark, sf_dir):
             F.map_values(F.map_filter("f.details", lambda k, _: k != "pct")), F.lit(0.0), lambda a, v: a + v).cast("bigint").alias("findings"))
 
 
+PROFILED = ["amount_usd", "gas_fee_usd", "block_number", "chain", "token_symbol", "status", "from_address", "to_address"]
+EXACT = 32_768      # sketches that hold all values of the samples up to that many rows
+
+
+@query
+def contract_profile(spark, sf_dir):
+    """Sketches of each day, kept and merged over a span of days."""
+    df = tx_events(spark, sf_dir).withColumn("day", F.date_format(TIME, "yyyy-MM-dd"))
+    parts = stage(profile(df, PROFILED, ["day"], EXACT), "profiles")
+    out = estimates(merge_profiles(parts.where(F.col("day").between("2024-01-05", "2024-01-20"))), [0.1, 0.5, 0.9])
+    few = F.when(F.col("low").isNull(), F.col("members")).alias("members")  # of numbers there are more than the sketch holds
+    return shown(out.select("column", "records", "nulls", "low", "high", "first", "last", few,
+                            *[F.col("quantiles")[i].alias(n) for i, n in enumerate(("q10", "q50", "q90"))]),
+                 ["column", "records", "nulls", "low", "high", "first", "last", "members", "q10", "q50", "q90"])
+
+
+@query
+def contract_drift(spark, sf_dir):
+    """The second half of the month against the first, with larger amounts, missing tokens and other chains."""
+    df, cut = tx_events(spark, sf_dir), F.lit(datetime(2024, 1, 16)).cast("timestamp_ntz")
+    later = df.where(F.col(TIME) >= cut).withColumns({
+        "amount_usd": F.col("amount_usd") * 1.5, "token_symbol": F.when(F.col("token_symbol") != "BTC", F.col("token_symbol")),
+        "chain": F.when(F.col("chain").isin("solana", "polygon"), F.col("chain")).otherwise(F.concat(F.lit("l2-"), "chain"))})
+    out = drift(profile(df.where(F.col(TIME) < cut), PROFILED, None, EXACT), profile(later.drop("to_address"), [c for c in PROFILED if c != "to_address"], None, EXACT))
+    return shown(out.withColumn("new_members", F.when(~F.col("column").isin("amount_usd", "gas_fee_usd", "block_number"), F.col("new_members"))),
+                 ["column", "one_sided", "shifted", "null_change", "new_members", "overlap", "passed"])
+
+
 def _text(spark, sf_dir) -> DataFrame:
     """The transactions with amounts and times as text, some of which says neither."""
     unreadable = F.col("tx_type") == "burn"
@@ -740,6 +802,19 @@ def backfill_shifted(spark, sf_dir):
     return shown(out, ["window_start", *KEY, ENTITY, "txn_count_7d", "amount_sum_7d"])
 
 
+@query
+def backfill_after_changes(spark, sf_dir):
+    """Backfilled, then again after one row has changed and one day has lost all its rows: only their windows, and those that look back on them."""
+    path, df = scratch_dir(spark, "backfill"), tx_events(spark, sf_dir)
+    backfill_changed(df, BACKFILL_END, path, 30, "range", across=True)
+    other = df.withColumn("amount_usd", F.when(F.col("block_number") == 500, F.col("amount_usd") + 7.0).otherwise(F.col("amount_usd")))
+    other = other.where(F.coalesce(F.date_format(TIME, "yyyy-MM-dd") != "2024-01-20", F.lit(True)))
+    redone = backfill_changed(other, BACKFILL_END, path, 30, "range", across=True)
+    backfill_changed(other, BACKFILL_END, path, 30, "range", across=True)  # nothing has changed
+    again = F.col("window_start").isin([F.lit(w).cast("timestamp_ntz") for w in redone]).alias("redone")
+    return shown(spark.read.parquet(path).select("*", again), ["window_start", "redone", *KEY, ENTITY, *RANGED])
+
+
 @query
 def load_check(spark, sf_dir):
     rows = clean(spark, sf_dir)
@@ -849,6 +924,32 @@ def snapshot_compacted(spark, sf_dir):
     return shown(table.read(keep_version=True), ["_v", *TX])
 
 
+@query
+def snapshot_changes(spark, sf_dir):
+    """Row changes over an append, over an overwrite with repeated rows, and over a compaction, which has none."""
+    table = SnapshotTable(spark, scratch_dir(spark, "snapshots"))
+    first, second, third = _slices(spark, sf_dir)
+    for rows, mode in [(first, "append"), (second, "append"), (third.unionByName(second).unionByName(second), "overwrite"), (first, "append")]:
+        table.write(rows, mode)
+    table.compact()
+    spans = [(1, 2), (2, 3), (1, 4), (4, 5)]
+    parts = [table.changes(a, b).select(F.lit(f"{a}-{b}").alias("span"), *TX, "change", "copies") for a, b in spans]
+    return shown(parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3]), ["span", *TX, "change", "copies"])
+
+
+@query
+def network_risk_hops(spark, sf_dir):
+    """Risk of labelled addresses, spread to those that pay them over three hops; one address pays and is paid by many."""
+    address = lambda c: F.concat(F.lit("0x"), (F.substring(c, 3, 20).cast("bigint") % 40).cast("string"))
+    rows = clean(spark, sf_dir)
+    rows = rows.select(F.when(F.col("tx_type") == "mint", F.lit("0xhub")).otherwise(address(ENTITY)).alias(ENTITY),
+                       F.when(F.col("tx_type") == "stake", F.lit("0xhub")).when(F.col("tx_type") == "swap", F.concat(F.lit("0xfar"), "to_address"))
+                       .otherwise(address("to_address")).alias("to_address"))
+    labels = address_labels(spark, sf_dir).where("category IN ('risky', 'mixer')").withColumn("risk_score", F.col("risk_score") + 0.1)
+    labels = labels.where(F.substring("address", 3, 20).cast("bigint") % 4 == 1)
+    return shown(spread_risk(rows, labels, 3, 0.5), ["address", "risk", "hops"])
+
+
 @query
 def stream_ingest(spark, sf_dir):
     root, inbox = scratch_dir(spark, "stream"), scratch_dir(spark, "inbox")
@@ -881,3 +982,41 @@ def stream_dedup(spark, sf_dir):
      .option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True)
      .start(f"{root}/unique").awaitTermination())
     return spark.read.parquet(f"{root}/unique").select("transaction_hash")
+
+
+FLUSH = datetime(2025, 1, 1)
+
+
+def _delivered(spark, sf_dir) -> DataFrame:
+    """A stream of three deliveries: the rows in two of them, then one that is weeks late and one that lets every window close."""
+    inbox, rows = scratch_dir(spark, "inbox"), clean(spark, sf_dir)
+    half = F.lit(datetime(2024, 1, 16)).cast("timestamp_ntz")
+    late = rows.where("block_number = 100").limit(1)
+    last = late.withColumn(TIME, F.lit(datetime(2024, 1, 3)).cast("timestamp_ntz")).unionByName(
+        late.withColumns({TIME: F.lit(FLUSH).cast("timestamp_ntz"), ENTITY: F.lit("0xflush")}))
+    for part in (rows.where(F.col(TIME) < half), rows.where(F.col(TIME) >= half), last):
+        part.coalesce(1).write.mode("append").parquet(inbox)
+    return read_stream(spark, inbox, files_per_batch=1)
+
+
+def _closed(stream: DataFrame) -> DataFrame:
+    """What the stream has put out when it has read all there is."""
+    spark = stream.sparkSession
+    root = scratch_dir(spark, "closed")
+    (stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{root}/checkpoint")
+     .trigger(availableNow=True).start(f"{root}/rows").awaitTermination())
+    return spark.read.schema(stream.schema).parquet(f"{root}/rows")
+
+
+@query
+def stream_activity(spark, sf_dir):
+    """Each address over 24 hours, hour by hour, from panes of one hour."""
+    out = _closed(activity(_delivered(spark, sf_dir), "2 days", busy=5, high_value=100.0))
+    return shown(out, ["window_start", "window_end", ENTITY, "txn_count", "amount_sum", "max_single_txn", "busy_flag", "high_value_flag"])
+
+
+@query
+def stream_sessions(spark, sf_dir):
+    """Sessions that ended with two days of silence."""
+    out = _closed(sessions(_delivered(spark, sf_dir), "2 days", "2 days"))
+    return shown(out, [ENTITY, "first_time", "last_time", "dormant_at", "txn_count", "amount_sum"])

@@ -36,13 +36,14 @@ def ingest_stream(stream: DataFrame, root: str, name: str, checkpoint: str,
     """
     contract = contract or Contract(name)
 
-    def load(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
+    def load(rows: DataFrame, number: int) -> None:
+        spark = rows.sparkSession
         batch_id = f"{name}-{number:012d}"
-        batch = normalize(batch)
+        batch = normalize(rows.persist())  # every step below reads it; the source is read once
         contract.report(batch).write.mode("overwrite").parquet(f"{root}/reports/source={name}/batch_id={batch_id}")
         write_dead_letters(batch.where(rejected(batch)), f"{root}/dead_letters", name, batch_id)
         SnapshotTable(spark, f"{root}/transactions").write(batch.where(accepted(batch)), batch_id=batch_id)
+        rows.unpersist()
 
     writer = stream.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint).queryName(name)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=interval)
