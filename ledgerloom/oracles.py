@@ -512,6 +512,8 @@ ORACLES: dict[str, str] = {
     "job_feature_values": job_feature_values_sql(),
     "snapshot_compacted": f"""{EV}, {SPANS} SELECT CAST(5 AS BIGINT) AS _v, {ALL} FROM parts JOIN members USING (part) WHERE version = 4""",
     "feature_history": f"{FEATURES} SELECT from_address, timestamp, {V}, TIMESTAMP '2024-02-01' AS _ingested_at FROM known",
+    "feature_clustered": f"""{FEATURES} SELECT from_address, timestamp, {V}, TIMESTAMP '2024-02-01' AS _ingested_at FROM known
+        WHERE from_address IN ('0x1', '0x2', '0x3')""",
     "feature_named": f"{FEATURES} SELECT from_address, fee_ratio FROM known WHERE from_address IN ('0x1', '0x2', '0x3')",
     "feature_latest": f"{FEATURES} SELECT from_address, timestamp, {V} FROM latest",
     "feature_join": f"{FEATURES} SELECT from_address, {V}, {', '.join(AMOUNTS)} FROM latest",

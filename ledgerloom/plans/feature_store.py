@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types a
 
 from ledgerloom.operators.asof import asof_join
 from ledgerloom.operators.chunks import ROWS_PER_CHUNK
-from ledgerloom.plans.snapshots import SnapshotTable
+from ledgerloom.plans.snapshots import Layout, SnapshotTable
 from ledgerloom.schema import ENTITY, FEATURE_GROUPS, TIME
 from ledgerloom.session import utc_now
 from ledgerloom.sources.files import exists
@@ -86,11 +86,17 @@ def join_latest(groups: dict[str, DataFrame], entity: str = ENTITY, time: str =
 
 
 class FeatureStore:
-    """Feature groups below ``root``."""
+    """Feature groups below ``root``.
 
-    def __init__(self, spark: SparkSession, root: str):
+    A ``clustered`` store keeps each group in folders by day of its event time and in ranges of
+    its entity, with Bloom filters: lookups of few entities or of a past time skip the rest. A
+    store stays as it was made; what is ingested is read twice, once to sample the ranges.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, clustered: bool = False):
         self.spark = spark
         self.root = root.rstrip("/")
+        self.clustered = clustered
 
     # -- registry --------------------------------------------------------------------------
 
@@ -130,7 +136,9 @@ class FeatureStore:
 
     def table(self, group_name: str) -> SnapshotTable:
         """The group's rows: a snapshot table, so batches, schemas and counts are on record."""
-        return SnapshotTable(self.spark, f"{self.root}/groups/{group_name}")
+        info = self._registration(group_name) if self.clustered else None
+        layout = Layout(info.event_time_col, (info.entity_col, info.event_time_col)) if info else None
+        return SnapshotTable(self.spark, f"{self.root}/groups/{group_name}", layout)
 
     def ingest(self, group_name: str, df: DataFrame, batch_id: str | None = None,
                stamp: datetime | None = None) -> None:
@@ -146,7 +154,7 @@ class FeatureStore:
         Conditions and projection reach the parquet scan.
         """
         info = self._registration(group_name)
-        df = self.table(group_name).read()
+        df = self.table(group_name).read(until=as_of)
         if not df.columns:
             return df
         if as_of is not None and info.event_time_col in df.columns:
@@ -210,9 +218,9 @@ def registry_totals(described: DataFrame) -> DataFrame:
 
 def build_training_store(spark: SparkSession, df: DataFrame, root: str, batch_id: str,
                          catalog: dict[str, list[str]] = FEATURE_GROUPS,
-                         stamp: datetime | None = None) -> FeatureStore:
+                         stamp: datetime | None = None, clustered: bool = False) -> FeatureStore:
     """Register every catalog group and ingest those with at least one computed feature."""
-    store = FeatureStore(spark, root)
+    store = FeatureStore(spark, root, clustered)
     store.register_catalog(catalog)
     for name, features in catalog.items():
         found = available(features, df.columns)

@@ -16,7 +16,7 @@ from ledgerloom.operators.features import WEEK, Prior, Thresholds, add_features
 from ledgerloom.plans.entity_state import EntityState
 from ledgerloom.plans.feature_store import build_training_store, registry_totals
 from ledgerloom.plans.seen_keys import SeenKeys
-from ledgerloom.plans.snapshots import SnapshotTable
+from ledgerloom.plans.snapshots import Layout, SnapshotTable
 from ledgerloom.schema import ENTITY, KEY_COLUMNS, TIME
 from ledgerloom.session import stage, utc_now
 from ledgerloom.sources.dead_letters import write_dead_letters
@@ -60,7 +60,7 @@ class LedgerJob:
         self.all_features = all_features
         self.labels = labels
         self.limits = limits
-        self.table = SnapshotTable(spark, f"{self.root}/transactions")
+        self.table = SnapshotTable(spark, f"{self.root}/transactions", Layout(TIME))
         self.state = EntityState(spark, f"{self.root}/state")
         self.profiles = SnapshotTable(spark, f"{self.root}/profiles") if profiles else None
         self.seen = SeenKeys(spark, f"{self.root}/keys", self.table, "transaction_hash") if unique else None
@@ -105,13 +105,13 @@ class LedgerJob:
         Earlier rows are there for the frames of their entities, and those of the window's
         first day for ranks within the day.
         """
-        from_time, until = F.lit(start - timedelta(microseconds=WEEK)).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz")
-        rows = self.table.read(version, keep_version=True).where(F.col(TIME) < until).withColumn("_fresh", F.col("_v") == version)
-        entities = rows.where("_fresh").select(ENTITY).distinct().withColumn("_known", F.lit(True))
-        facts, counts = self.state.before(batch, start, entities, rows)
+        until = F.col(TIME) < F.lit(end).cast("timestamp_ntz")
+        # Of the table only the days are opened that frames reach into.
+        rows = self.table.read(version, True, start - timedelta(microseconds=WEEK), end).where(until).withColumn("_fresh", F.col("_v") == version)
+        entities = self.table.read_batch(version).select(ENTITY).distinct().withColumn("_known", F.lit(True))
+        facts, counts = self.state.before(batch, start, entities.select(ENTITY), self.table.read(version, until=start).where(until))
         day = F.lit(datetime(start.year, start.month, start.day)).cast("timestamp_ntz")
-        context = rows.where(F.col(TIME) >= from_time).join(entities, ENTITY, "left").where(
-            F.col("_known") | (F.col(TIME) >= day)).drop("_known", "_v")
+        context = rows.join(entities, ENTITY, "left").where(F.col("_known") | (F.col(TIME) >= day)).drop("_known", "_v")
         return add_features(context, as_of=end, labels=self.labels, limits=self.limits,
                             prior=Prior(facts, counts, "_fresh")).where("_fresh").drop("_fresh")
 

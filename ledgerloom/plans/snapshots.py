@@ -6,12 +6,17 @@ that commits name, so what a failed writer has left is never seen. An overwrite
 earlier rows: the rows of version v are the folders from the latest overwrite up to v.
 
 A table has one writer at a time; keeping writers apart is left to whatever schedules them.
+
+With a ``Layout`` an attempt's rows lie in folders by day, which reads of a span of time skip, and
+in ranges of the cluster columns, sorted, with parquet Bloom filters on the first of them: a
+lookup of few entities reads the row groups that may hold them. A table keeps its layout.
 """
 
 from __future__ import annotations
 
 import json
 import uuid
+from dataclasses import dataclass
 from datetime import datetime
 
 from pyspark.sql import DataFrame, Observation, Row, SparkSession, functions as F, types as T
@@ -23,12 +28,41 @@ COMMIT = """version bigint, committed_at timestamp_ntz, operation string, num_re
             schema string, metadata map<string,string>, batch_id string, folder string"""
 
 
+DAY = "_day"
+
+
+@dataclass(frozen=True)
+class Layout:
+    """``day`` is the time column that day folders are made of, ``cluster`` the columns rows are sorted by.
+
+    Ranges of the cluster columns are sampled, so the rows should be cheap to read twice.
+    ``entities`` is the number of distinct values the Bloom filter of a row group is made for.
+    """
+
+    day: str
+    cluster: tuple[str, ...] = ()
+    entities: int = 100_000
+
+    def dealt(self, df: DataFrame) -> DataFrame:
+        out = df.withColumn(DAY, F.date_format(self.day, "yyyy-MM-dd"))
+        if not self.cluster:
+            return out.hint("rebalance", DAY)
+        return out.repartitionByRange(DAY, *self.cluster).sortWithinPartitions(DAY, *self.cluster)
+
+    def options(self) -> dict[str, str]:
+        if not self.cluster:
+            return {}
+        return {f"parquet.bloom.filter.enabled#{self.cluster[0]}": "true",
+                f"parquet.bloom.filter.expected.ndv#{self.cluster[0]}": str(self.entities)}
+
+
 class SnapshotTable:
     """A dataset at ``root``; all state is on disk and read afresh."""
 
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, layout: Layout | None = None):
         self.spark = spark
         self.root = root.rstrip("/")
+        self.layout = layout
 
     # -- commits ---------------------------------------------------------------------------
 
@@ -82,7 +116,12 @@ class SnapshotTable:
         if mode == "append" and last:
             self._check_types(df, last, schema)
         folder, counted = f"_a={uuid.uuid4().hex}", Observation()
-        df.observe(counted, F.count(F.lit(1)).alias("n")).write.mode("error").parquet(f"{self.root}/data/{folder}")
+        rows = df.observe(counted, F.count(F.lit(1)).alias("n"))
+        if self.layout is None:
+            rows.write.mode("error").parquet(f"{self.root}/data/{folder}")
+        else:
+            (self.layout.dealt(rows).write.mode("error").options(**self.layout.options())
+             .partitionBy(DAY).parquet(f"{self.root}/data/{folder}"))
         commit = (last + 1, committed_at or utc_now(), mode.upper(), counted.get["n"], df.schema.json(),
                   {k: str(v) for k, v in (metadata or {}).items()}, batch_id, folder)
         self.spark.createDataFrame([commit], COMMIT).coalesce(1).write.mode("append").json(f"{self.root}/commits")
@@ -100,7 +139,10 @@ class SnapshotTable:
     def compact(self) -> int:
         """Rewrite the live rows as one version of few files."""
         at = self.version
-        return self.write(self.read(at).hint("rebalance"), "overwrite", {"compacted": str(at)}) if at else 0
+        if not at:
+            return 0
+        rows = self.read(at)
+        return self.write(rows if self.layout else rows.hint("rebalance"), "overwrite", {"compacted": str(at)})
 
     # -- read ------------------------------------------------------------------------------
 
@@ -112,10 +154,25 @@ class SnapshotTable:
                 fields.setdefault(f.name, T.StructField(f.name, f.dataType, True))
         return list(fields.values())
 
-    def read(self, version: int | None = None, keep_version: bool = False) -> DataFrame:
+    def _rows(self, fields: list[T.StructField], folders: list[str], since: datetime | None = None, until: datetime | None = None) -> DataFrame:
+        """Rows of some folders, with ``_a``; of a span of time, with a layout, only its days are opened."""
+        inside = [T.StructField("_a", T.StringType()), *([T.StructField(DAY, T.StringType())] if self.layout else [])]
+        rows = self.spark.read.schema(T.StructType([*fields, *inside])).option("basePath", f"{self.root}/data").parquet(
+            *[f"{self.root}/data/{f}" for f in folders])
+        if self.layout is None:
+            return rows
+        at = F.col(self.layout.day)
+        for edge, compare in ((since, "__ge__"), (until, "__le__")):
+            if edge is not None:
+                rows = rows.where(getattr(F.col(DAY), compare)(f"{edge:%Y-%m-%d}") & getattr(at, compare)(F.lit(edge).cast("timestamp_ntz")))
+        return rows.drop(DAY)
+
+    def read(self, version: int | None = None, keep_version: bool = False,
+             since: datetime | None = None, until: datetime | None = None) -> DataFrame:
         """Rows of a version (the current one by default); missing columns read as NULL.
 
-        ``keep_version`` keeps ``_v``, the version that added the row.
+        ``keep_version`` keeps ``_v``, the version that added the row. Rows of ``since`` to
+        ``until``, both inclusive, need a layout: rows without a time are in no span.
         """
         upto = F.lit(True) if version is None else F.col("version") <= version
         current, floor = self.history().agg(
@@ -130,9 +187,7 @@ class SnapshotTable:
         # Vacuum removes the oldest folder of a version first.
         if not exists(self.spark, f"{self.root}/data/{live[0].folder}"):
             raise ValueError(f"version {version} has been vacuumed")
-        schema = T.StructType([*self._fields(live), T.StructField("_a", T.StringType())])
-        rows = self.spark.read.schema(schema).option("basePath", f"{self.root}/data").parquet(
-            *[f"{self.root}/data/{r.folder}" for r in live])
+        rows = self._rows(self._fields(live), [r.folder for r in live], since, until)
         if not keep_version:
             return rows.drop("_a")
         added = self.spark.createDataFrame([(r.folder.removeprefix("_a="), r.version) for r in live], "_a string, _v bigint")
@@ -143,7 +198,8 @@ class SnapshotTable:
 
     def read_batch(self, version: int) -> DataFrame:
         """Only the rows that ``version`` added."""
-        return self.spark.read.parquet(f"{self.root}/data/{self._live(version, version)[0].folder}")
+        live = self._live(version, version)
+        return self._rows(self._fields(live), [live[0].folder]).drop("_a")
 
     def changes(self, since: int, until: int) -> DataFrame:
         """Rows that ``until`` has and ``since`` has not or the other way round: columns, ``change``, ``copies``.
@@ -162,9 +218,9 @@ class SnapshotTable:
         shared = {r.folder for r in live[0]} & {r.folder for r in live[1]}
         sides = []
         for rows, sign in zip(live, (-1, 1)):
-            paths = [f"{self.root}/data/{r.folder}" for r in rows if r.folder not in shared]
-            if paths:
-                sides.append(self.spark.read.schema(T.StructType(fields)).parquet(*paths).withColumn("_sign", F.lit(sign)))
+            folders = [r.folder for r in rows if r.folder not in shared]
+            if folders:
+                sides.append(self._rows(fields, folders).drop("_a").withColumn("_sign", F.lit(sign)))
         if not sides:
             return self.spark.createDataFrame([], schema)
         both = sides[0] if len(sides) == 1 else sides[0].unionByName(sides[1])

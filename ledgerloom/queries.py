@@ -765,6 +765,14 @@ def feature_asof_join_hot(spark, sf_dir):
     return shown(out, ASKED)
 
 
+@query
+def feature_clustered(spark, sf_dir):
+    """Three entities at a past time, from a store clustered by day and entity."""
+    rows = stage(transform_chain(clean(spark, sf_dir)), "rows")
+    store = build_training_store(spark, rows, scratch_dir(spark, "features"), "batch-1", stamp=STAMP, clustered=True)
+    return shown(store.get_features("transaction_velocity", ENTITIES, as_of=AS_OF), [ENTITY, TIME, *VELOCITY, "_ingested_at"])
+
+
 @query
 def feature_describe(spark, sf_dir):
     out = _store(spark, sf_dir).describe()

@@ -1,12 +1,13 @@
 from datetime import datetime
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.plans.feature_store import (
     FeatureStore, available, build_training_store, join_latest, latest_per_entity, only_entities,
     project_features, registry_totals)
-from ledgerloom.plans.snapshots import SnapshotTable
+from ledgerloom.plans.snapshots import Layout, SnapshotTable
 from ledgerloom.schema import FEATURE_GROUPS
 from ledgerloom.session import scratch_dir
 from ledgerloom.sources.files import exists
@@ -234,3 +235,53 @@ def test_training_store_keeps_available_columns(spark):
     assert filled == {"transaction_velocity", "amount_statistics"}
     assert available(["b", "a"], ["a", "b", "c"]) == ["b", "a"]
     assert project_features(df, None).columns == df.columns
+
+
+# -- layout --------------------------------------------------------------------------------
+
+def scanned(df):
+    """Plan, rows and files that the scan of a query without exchanges has read."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    leaf = plan.collectLeaves().head()
+    return plan.toString(), leaf.metrics().apply("numOutputRows").value(), leaf.metrics().apply("numFiles").value()
+
+
+def test_a_clustered_store_skips_days_and_row_groups(spark, monkeypatch):
+    rows = spark.range(60_000).select(
+        F.concat(F.lit("e"), F.xxhash64("id") % 5000).alias("from_address"),
+        (F.lit(datetime(2024, 1, 1)).cast("timestamp_ntz") + F.make_dt_interval((F.col("id") % 6).cast("int"))).alias("timestamp"), F.col("id").cast("double").alias("x"))
+    rows.write.parquet(path := scratch_dir(spark, "rows"))
+    rows, stores = spark.read.parquet(path), {}
+    # Pages of a size that suits so few rows.
+    monkeypatch.setattr(Layout, "options", lambda self, whole=Layout.options: {**whole(self), "parquet.page.row.count.limit": "100"})
+    for clustered in (False, True):
+        store = stores[clustered] = FeatureStore(spark, scratch_dir(spark, "store"), clustered)
+        store.register("g", ["x"])
+        for day in range(0, 6, 3):
+            store.ingest("g", rows.where(F.dayofmonth("timestamp").between(day + 1, day + 3)), f"b{day}", T1)
+        store.ingest("g", rows.limit(5), "b0", T1)
+    three, until = [r[0] for r in rows.select("from_address").limit(3).collect()], datetime(2024, 1, 2)
+    plain, laid = (stores[c].get_features("g", three, as_of=until) for c in (False, True))
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, laid.collect())) and plain.count() > 0
+    assert stores[True].get_features("g").exceptAll(stores[False].get_features("g")).isEmpty()
+    text, read, files = scanned(laid)
+    assert "PartitionFilters: [isnotnull(_day" in text.replace("\n", "")
+    _, all_read, all_files = scanned(plain)
+    every = scanned(stores[True].get_features("g"))
+    # Two days of six, and of those the ranges that hold the entities.
+    assert read < 0.05 * 60_000 < all_read and files < every[2] and every[1] == 60_000
+    file = pq.ParquetFile(stores[True].get_features("g").inputFiles()[0].removeprefix("file://"))
+    assert file.metadata.row_group(0).column(0).path_in_schema == "from_address"
+
+
+def test_a_layout_survives_nulls_versions_and_compaction(spark):
+    table = SnapshotTable(spark, scratch_dir(spark, "table"), Layout("t", ("k",)))
+    rows = spark.createDataFrame([("a", T1), ("b", None), (None, T3)], "k string, t timestamp_ntz")
+    table.write(rows)
+    table.write(spark.createDataFrame([("c", T2, 1)], "k string, t timestamp_ntz, extra int"))
+    found = lambda **span: sorted((r.k or "") for r in table.read(**span).collect())
+    assert found() == ["", "a", "b", "c"] and found(since=T2) == ["", "c"] and found(until=T2) == ["a", "c"] and found(version=1, since=T2) == [""]
+    assert table.read_batch(1).columns == ["k", "t"] and table.read().columns == ["k", "t", "extra"]
+    assert [(r.k, r.change) for r in table.changes(1, 2).collect()] == [("c", "added")]
+    assert table.compact() == 3 and found(since=T2) == ["", "c"] and table.changes(2, 3).isEmpty()
