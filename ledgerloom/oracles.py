@@ -537,5 +537,6 @@ ORACLES: dict[str, str] = {
         (SELECT count(*) FROM clean) AS expected_records, false AS passed FROM tx""",
     "stream_ingest": f"{EV} SELECT CASE WHEN {BAD} THEN 'rejected' ELSE 'clean' END AS outcome, {ALL} FROM tx",
     "stream_report": f"{REPORT} SELECT rule, findings, (SELECT count(*) FROM tx) AS total_records FROM r WHERE rule <> 'transaction_hash_unique'",
+    "stream_dedup_rows": f"{EV} SELECT {ALL} FROM ({deduped('clean', 'first')})",
     "stream_dedup": f"{EV} SELECT DISTINCT transaction_hash FROM clean",
 }

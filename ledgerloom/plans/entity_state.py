@@ -82,6 +82,5 @@ class EntityState:
         """Add the part of a batch; ``rows`` are those it loaded."""
         for table, part, merge in ((self.facts, facts_of(rows), merge_facts), (self.counts, counts_of(rows), merge_counts)):
             table.write(part, "append", {"until": until.isoformat()}, batch_id)
-            floor, at = table.history().agg(F.max(F.when(F.col("operation") == "OVERWRITE", F.col("version"))), F.max("version")).first()
-            if at - (floor or 0) >= self.merge_every:
-                table.write(merge(table.read(at)), "overwrite", {"until": until.isoformat()}, f"merged-{at}")
+            if table.live_commits() >= self.merge_every:
+                table.write(merge(table.read()), "overwrite", {"until": until.isoformat()})

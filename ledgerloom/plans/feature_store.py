@@ -136,16 +136,22 @@ class FeatureStore:
 
     def table(self, group_name: str) -> SnapshotTable:
         """The group's rows: a snapshot table, so batches, schemas and counts are on record."""
-        info = self._registration(group_name) if self.clustered else None
-        layout = Layout(info.event_time_col, (info.entity_col, info.event_time_col)) if info else None
+        info = self._registration(group_name)
+        return self._table(group_name, info.entity_col, info.event_time_col)
+
+    def _table(self, group_name: str, entity: str, time: str) -> SnapshotTable:
+        layout = Layout(time, (entity, time)) if self.clustered else None
         return SnapshotTable(self.spark, f"{self.root}/groups/{group_name}", layout)
 
     def ingest(self, group_name: str, df: DataFrame, batch_id: str | None = None,
                stamp: datetime | None = None) -> None:
         """Append rows to a group; a batch that was ingested before is not added again."""
-        self._registration(group_name)
+        info = self._registration(group_name)
+        self._append_rows(group_name, df, batch_id, stamp, info.entity_col, info.event_time_col)
+
+    def _append_rows(self, group_name: str, df: DataFrame, batch_id: str | None, stamp: datetime | None, entity: str, time: str) -> None:
         at = F.lit(stamp) if stamp else F.current_timestamp()
-        self.table(group_name).write(df.withColumn(STAMP, at.cast("timestamp_ntz")), batch_id=batch_id)
+        self._table(group_name, entity, time).write(df.withColumn(STAMP, at.cast("timestamp_ntz")), batch_id=batch_id)
 
     def get_features(self, group_name: str, entity_ids: list | DataFrame | None = None,
                      feature_names: list[str] | None = None, as_of: datetime | None = None) -> DataFrame:
@@ -154,7 +160,7 @@ class FeatureStore:
         Conditions and projection reach the parquet scan.
         """
         info = self._registration(group_name)
-        df = self.table(group_name).read(until=as_of)
+        df = self._table(group_name, info.entity_col, info.event_time_col).read(until=as_of)
         if not df.columns:
             return df
         if as_of is not None and info.event_time_col in df.columns:
@@ -201,7 +207,7 @@ class FeatureStore:
         """One row per group: number of features, and of records from its commits."""
         registered = self.registry().select("group_name", F.size("features").alias("features"))
         names = [r[0] for r in registered.select("group_name").collect()]
-        counts = [self.table(n).history().select(F.lit(n).alias("group_name"), "num_records") for n in names]
+        counts = [self._table(n, ENTITY, TIME).history().select(F.lit(n).alias("group_name"), "num_records") for n in names]
         if not counts:
             return registered.withColumn("records", F.lit(0).cast("bigint"))
         records = reduce(DataFrame.union, counts).groupBy("group_name").agg(F.sum("num_records").alias("records"))
@@ -225,5 +231,5 @@ def build_training_store(spark: SparkSession, df: DataFrame, root: str, batch_id
     for name, features in catalog.items():
         found = available(features, df.columns)
         if found and ENTITY in df.columns:
-            store.ingest(name, df.select(ENTITY, TIME, *found), batch_id, stamp)
+            store._append_rows(name, df.select(ENTITY, TIME, *found), batch_id, stamp, ENTITY, TIME)
     return store

@@ -67,9 +67,8 @@ class SeenKeys:
         missing = self.table.history().join(done, "version", "left_anti").select("version").orderBy("version").collect()
         for row in missing:
             self.filters.write(key_filter(self.table.read_batch(row.version), self.key, self.blocks), "append", None, str(row.version))
-        floor, at = self.filters.history().agg(F.max(F.when(F.col("operation") == "OVERWRITE", F.col("version"))), F.max("version")).first()
-        if at is not None and at - (floor or 0) > self.merge_every:
-            self.filters.write(merge_filters(self.filters.read(at)), "overwrite")
+        if self.filters.live_commits() > self.merge_every:
+            self.filters.write(merge_filters(self.filters.read()), "overwrite")
 
     def maybe(self, df: DataFrame) -> DataFrame:
         """Keys of ``df`` whose bits are all set: every key that was loaded, and few others."""

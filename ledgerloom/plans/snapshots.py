@@ -76,9 +76,15 @@ class SnapshotTable:
         """The current version as one row, 0 for an empty table."""
         return self.history().agg(F.coalesce(F.max("version"), F.lit(0)).alias("version"))
 
+    def _commits(self) -> list[Row]:
+        """Number, kind, batch and folder of all commits, in order: one narrow pass over a few bytes a commit."""
+        if not exists(self.spark, f"{self.root}/commits"):
+            return []
+        return sorted(self.history().select("version", "operation", "batch_id", "folder").collect(), key=lambda r: r.version)
+
     @property
     def version(self) -> int:
-        return self.current().first()[0]
+        return max((r.version for r in self._commits()), default=0)
 
     def version_as_of(self, ts: datetime) -> int:
         """Last version committed at or before ``ts``, 0 if there is none."""
@@ -88,17 +94,19 @@ class SnapshotTable:
 
     def batch_version(self, batch_id: str) -> int | None:
         """The version that committed a batch."""
-        return self.history().where(F.col("batch_id") == batch_id).agg(F.max("version")).first()[0]
+        return next((r.version for r in self._commits() if r.batch_id == batch_id), None)
 
-    def _floor(self, version: int) -> int:
-        """First version whose rows are still part of ``version``."""
-        return self.history().where((F.col("version") <= version) & (F.col("operation") == "OVERWRITE")).agg(
-            F.coalesce(F.max("version"), F.lit(1))).first()[0]
+    @staticmethod
+    def _live(commits: list[Row], version: int) -> list[Row]:
+        """The commits whose rows make up a version."""
+        upto = [r for r in commits if r.version <= version]
+        floor = max((r.version for r in upto if r.operation == "OVERWRITE"), default=1)
+        return [r for r in upto if r.version >= floor]
 
-    def _live(self, floor: int, version: int) -> list[Row]:
-        """The commits whose rows make up a version: bounded metadata."""
-        return self.history().where(F.col("version").between(floor, version)).select("version", "folder", "schema") \
-            .orderBy("version").collect()
+    def live_commits(self) -> int:
+        """How many commits the rows of the current version lie in."""
+        commits = self._commits()
+        return len(self._live(commits, commits[-1].version)) if commits else 0
 
     # -- write -----------------------------------------------------------------------------
 
@@ -107,14 +115,13 @@ class SnapshotTable:
         """Write the next version and return it; a batch that is already committed is a no-op."""
         if mode not in ("append", "overwrite"):
             raise ValueError(f"mode must be 'append' or 'overwrite', not {mode!r}")
-        last, done, schema = self.history().agg(
-            F.coalesce(F.max("version"), F.lit(0)),
-            F.max(F.when(F.col("batch_id") == F.lit(batch_id), F.col("version"))),
-            F.max_by("schema", "version")).first()
+        commits = self._commits()
+        done = next((r.version for r in commits if batch_id is not None and r.batch_id == batch_id), None)
         if done is not None:
             return done
+        last = commits[-1].version if commits else 0
         if mode == "append" and last:
-            self._check_types(df, last, schema)
+            self._check_types(df, self._live(commits, last))
         folder, counted = f"_a={uuid.uuid4().hex}", Observation()
         rows = df.observe(counted, F.count(F.lit(1)).alias("n"))
         if self.layout is None:
@@ -127,10 +134,11 @@ class SnapshotTable:
         self.spark.createDataFrame([commit], COMMIT).coalesce(1).write.mode("append").json(f"{self.root}/commits")
         return last + 1
 
-    def _check_types(self, df: DataFrame, version: int, schema: str | None) -> None:
-        if schema == df.schema.json():
+    def _check_types(self, df: DataFrame, live: list[Row]) -> None:
+        kinds = [(f.name, f.dataType.simpleString()) for f in self._fields(live[-1:])]
+        if kinds == [(f.name, f.dataType.simpleString()) for f in df.schema]:
             return
-        known = {f.name: f.dataType for f in self._fields(self._live(self._floor(version), version))}
+        known = {f.name: f.dataType for f in self._fields(live)}
         for f in df.schema:
             if f.name in known and known[f.name].simpleString() != f.dataType.simpleString():
                 raise ValueError(f"column {f.name} is {known[f.name].simpleString()} in the table and "
@@ -147,9 +155,10 @@ class SnapshotTable:
     # -- read ------------------------------------------------------------------------------
 
     def _fields(self, live: list[Row]) -> list[T.StructField]:
-        """Columns of all live versions, from the commits rather than file footers."""
+        """Columns of the commits, oldest first, from what they wrote down rather than from file footers."""
+        found = self.history().where(F.col("version").between(live[0].version, live[-1].version)).select("version", "schema").collect()
         fields: dict[str, T.StructField] = {}
-        for schema in dict.fromkeys(row.schema for row in live):
+        for schema in dict.fromkeys(r.schema for r in sorted(found, key=lambda r: r.version)):
             for f in T.StructType.fromJson(json.loads(schema)).fields:
                 fields.setdefault(f.name, T.StructField(f.name, f.dataType, True))
         return list(fields.values())
@@ -174,16 +183,14 @@ class SnapshotTable:
         ``keep_version`` keeps ``_v``, the version that added the row. Rows of ``since`` to
         ``until``, both inclusive, need a layout: rows without a time are in no span.
         """
-        upto = F.lit(True) if version is None else F.col("version") <= version
-        current, floor = self.history().agg(
-            F.coalesce(F.max("version"), F.lit(0)),
-            F.coalesce(F.max(F.when(upto & (F.col("operation") == "OVERWRITE"), F.col("version"))), F.lit(1))).first()
+        commits = self._commits()
+        current = commits[-1].version if commits else 0
         version = current if version is None else version
         if version > current:
             raise ValueError(f"version {version} does not exist (current: {current})")
         if version <= 0:
             return self.spark.createDataFrame([], T.StructType([]))
-        live = self._live(floor, version)
+        live = self._live(commits, version)
         # Vacuum removes the oldest folder of a version first.
         if not exists(self.spark, f"{self.root}/data/{live[0].folder}"):
             raise ValueError(f"version {version} has been vacuumed")
@@ -198,8 +205,8 @@ class SnapshotTable:
 
     def read_batch(self, version: int) -> DataFrame:
         """Only the rows that ``version`` added."""
-        live = self._live(version, version)
-        return self._rows(self._fields(live), [live[0].folder]).drop("_a")
+        commit = [r for r in self._commits() if r.version == version]
+        return self._rows(self._fields(commit), [commit[0].folder]).drop("_a")
 
     def changes(self, since: int, until: int) -> DataFrame:
         """Rows that ``until`` has and ``since`` has not or the other way round: columns, ``change``, ``copies``.
@@ -209,11 +216,12 @@ class SnapshotTable:
         and each of ``since`` one down, combined map-side, so many copies move as one row per task. Columns
         that a version doesn't have count as null.
         """
-        floors = [self._floor(v) for v in (since, until)]
-        live = [self._live(f, v) if v else [] for f, v in zip(floors, (since, until))]
-        if max(since, until) > self.version:
-            raise ValueError(f"version {max(since, until)} does not exist (current: {self.version})")
-        fields = self._fields(sorted([*live[0], *live[1]], key=lambda r: r.version))
+        commits = self._commits()
+        if max(since, until) > (commits[-1].version if commits else 0):
+            raise ValueError(f"there is no version {max(since, until)}")
+        live = [self._live(commits, v) for v in (since, until)]
+        known = sorted([*live[0], *live[1]], key=lambda r: r.version)
+        fields = self._fields(known) if known else []
         schema = T.StructType([*fields, T.StructField("change", T.StringType()), T.StructField("copies", T.LongType())])
         shared = {r.folder for r in live[0]} & {r.folder for r in live[1]}
         sides = []
@@ -239,8 +247,9 @@ class SnapshotTable:
         """Versions whose rows no retained version can reach."""
         if retain_versions < 1:
             raise ValueError("at least one version must be retained")
-        oldest = max(self.version - retain_versions + 1, 1)
-        return self.history().where(F.col("version") < self._floor(oldest)).select("version")
+        commits = self._commits()
+        live = self._live(commits, max((commits[-1].version if commits else 0) - retain_versions + 1, 1))
+        return self.history().where(F.col("version") < (live[0].version if live else 1)).select("version")
 
     def vacuum(self, retain_versions: int = 10) -> list[int]:
         """Delete the data of expired versions, oldest first, and return them; the commits stay."""

@@ -992,6 +992,18 @@ def stream_dedup(spark, sf_dir):
     return spark.read.parquet(f"{root}/unique").select("transaction_hash")
 
 
+@query
+def stream_dedup_rows(spark, sf_dir):
+    """Whole rows: each comes again an hour later with another amount, and a new one comes a month late."""
+    inbox, rows = scratch_dir(spark, "inbox"), deduplicate(clean(spark, sf_dir), ["transaction_hash"], "first")
+    again = rows.withColumns({TIME: F.col(TIME) + F.make_dt_interval(F.lit(0), F.lit(1)), "amount_usd": F.col("amount_usd") + 1.0})
+    late = rows.where("block_number = 1").withColumns({"transaction_hash": F.lit("0xlate"), TIME: F.lit(datetime(2023, 12, 1)).cast("timestamp_ntz")})
+    for part in (rows, again, late):
+        part.coalesce(1).write.mode("append").parquet(inbox)
+    out = _closed(deduplicate_stream(read_stream(spark, inbox, files_per_batch=1), ["transaction_hash"], "3 days"))
+    return shown(out.withColumn(TIME, F.col(TIME).cast("timestamp_ntz")), TX)
+
+
 FLUSH = datetime(2025, 1, 1)
 
 

@@ -5,6 +5,8 @@ Both texts run unchanged in Spark SQL and DuckDB.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 TX_EVENTS = """
@@ -66,9 +68,10 @@ FROM supplier
 
 
 def _view(spark: SparkSession, sf_dir: str, text: str, tables: list[str]) -> DataFrame:
+    """The text over the sample tables, which are given to it as arguments: no view of the session is replaced."""
     for table in tables:
-        spark.read.parquet(f"{sf_dir}/{table}.parquet").createOrReplaceTempView(table)
-    return spark.sql(text)
+        text = re.sub(rf"\b(FROM|JOIN) {table}\b", rf"\1 {{{table}}}", text)
+    return spark.sql(text, **{table: spark.read.parquet(f"{sf_dir}/{table}.parquet") for table in tables})
 
 
 def tx_events(spark: SparkSession, sf_dir: str) -> DataFrame:
