@@ -61,7 +61,8 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
-    dims = vectors.where(neighbours.usable("embedding")).agg(F.max(F.size("embedding"))).first()[0]
+    sizes = vectors.where(neighbours.usable("embedding")).groupBy(F.size("embedding").alias("dims")).agg(F.count("*").alias("n"))
+    dims = sizes.agg(F.max_by("dims", F.struct("n", "dims"))).first()[0]
     return neighbours.nearest(vectors, vectors.where("vec_id % 50 = 0"), neighbours.Hashing(dims or 1))
 
 

@@ -11,8 +11,8 @@ pairs that may count; their scores are sums in a fixed order, which depend on th
 Defined results: vectors that are null, of length 0, or that hold a null or a component that
 is not finite take no part. A query finds every row but those of its own id; ties go to the
 smaller id. Rows that repeat are candidates once each, so an id may be found twice. Rows with a
-null id are not found. An empty table gives an empty result. Vectors are expected to have the
-same number of components.
+null id are not found. An empty table gives an empty result. Vectors whose number of components
+is not ``Hashing.dims`` take no part; the query sets that to the most frequent one.
 """
 
 from __future__ import annotations
@@ -152,7 +152,7 @@ def nearest(df: DataFrame, queries: DataFrame, hashing: Hashing, id_col: str = "
 
     def ready(rows: DataFrame) -> DataFrame:
         return rows.select(F.col(id_col).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("vec")).where(
-            F.col("id").isNotNull() & usable("vec"))
+            F.col("id").isNotNull() & (F.size("vec") == hashing.dims) & usable("vec"))
 
     index = ready(df).mapInArrow(hashed(False), schema)
     asked = ready(queries).mapInArrow(hashed(True), schema)

@@ -4,8 +4,8 @@ A cascade stores which of a finite universe of keys are listed, without error (L
 others, "CRLite", 2017): level 0 encodes the listed keys, level 1 the unlisted keys of the
 universe that level 0 mistakes for listed, level 2 the listed ones that level 1 mistakes, and
 so on until no level is mistaken. A key of the universe is looked up until a level says no.
-The universe is all keys of the corpus: every domain suffix of every host, with every path
-prefix of a length that some rule has. One pass over the corpus finds the few keys that level
+The universe is all keys of the corpus: every domain suffix of every host that is no longer than
+the longest rule's host, with every path prefix of a length that some rule has. One pass over the corpus finds the few keys that level
 0 mistakes; all further levels are built from those. URLs are then judged without a join.
 
 A level's size follows from the number of rules and the logarithm of the size of the universe,
@@ -41,10 +41,15 @@ def path_of(url: str | Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def keys_of(host: str, path: str, lengths: list[int]) -> list[str]:
-    """Keys that a rule fitting the URL could have, the longest first, of equal length the longer host first."""
-    labels = host.split(".")
-    hosts = [".".join(labels[i:]) for i in range(len(labels))]
+def keys_of(host: str, path: str, lengths: list[int], widest: int) -> list[str]:
+    """Keys that a rule fitting the URL could have, the longest first, of equal length the longer host first.
+
+    No rule's host is longer than ``widest``, so longer suffixes need no look: a host of any length has few keys.
+    """
+    tail = host[max(0, len(host) - widest - 1):]
+    hosts = [tail[i + 1:] for i, c in enumerate(tail) if c == "."]
+    if len(host) <= widest:
+        hosts.append(host)
     paths = [path[:n] for n in lengths if n <= len(path)]
     return sorted({h + "\0" + p for h in hosts for p in paths}, key=lambda k: (-len(k), k.index("\0") * -1, k))
 
@@ -114,12 +119,13 @@ def finish(first: Bloom, listed: list[str], mistaken: list[str]) -> Cascade:
     return Cascade(levels)
 
 
-def cascades(urls: DataFrame, listings: list[list[Rule]], lengths: list[int]) -> list[Cascade]:
+def cascades(urls: DataFrame, listings: list[list[Rule]], lengths: list[int], widest: int) -> list[Cascade]:
     """One cascade per list of rules, exact on all keys of (host, path) rows.
 
-    The universe is counted (approximately, for the sizes only), and the mistaken keys of level
-    0 are found in one pass and made distinct before they leave the tasks' shuffle. They are
-    expected to be fewer than the rules, whatever the size of the corpus.
+    The universe is counted (approximately, for the sizes only). The keys that level 0 says yes
+    to are found in one pass and made distinct, and the listed ones are taken off by a join: tasks hold
+    filters, not rules. What is left, the mistaken keys, are expected to be fewer than the
+    rules, whatever the size of the corpus.
     """
     listed = [[f"{h}\0{p}" for h, p in sorted(set(rules))] for rules in listings]
 
@@ -127,21 +133,23 @@ def cascades(urls: DataFrame, listings: list[list[Rule]], lengths: list[int]) ->
         for batch in batches:
             keys = set()
             for host, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                keys.update(keys_of(host, path, lengths))
+                keys.update(keys_of(host, path, lengths, widest))
             yield pa.RecordBatch.from_arrays([pa.array(sorted(keys), pa.string())], names=["key"])
 
     keys = urls.select("host", "path").mapInArrow(universe, "key string")
     size = keys.agg(F.approx_count_distinct("key")).first()[0]
     firsts = [first_level(keys, size) for keys in listed]
 
-    def mistaken(batches):
+    def passed(batches):
         for batch in batches:
             some = batch.column(0).to_pylist()
-            for k, (first, own) in enumerate(zip(firsts, map(set, listed))):
-                wrong = [x for x, yes in zip(some, first.has(some)) if yes and x not in own]
-                yield pa.RecordBatch.from_arrays([pa.array([k] * len(wrong), pa.int32()), pa.array(wrong, pa.string())], names=["k", "key"])
+            for k, first in enumerate(firsts):
+                yes = [x for x, passes in zip(some, first.has(some)) if passes]
+                yield pa.RecordBatch.from_arrays([pa.array([k] * len(yes), pa.int32()), pa.array(yes, pa.string())], names=["k", "key"])
 
-    found = keys.mapInArrow(mistaken, "k int, key string").distinct().collect()
+    own = pa.table({"k": pa.array(np.repeat(np.arange(len(listed), dtype=np.int32), [len(x) for x in listed])),
+                    "key": pa.array([key for x in listed for key in x], pa.string())})
+    found = keys.mapInArrow(passed, "k int, key string").distinct().join(urls.sparkSession.createDataFrame(own), ["k", "key"], "left_anti").collect()
     return [finish(first, own, sorted(r[1] for r in found if r[0] == k)) for k, (first, own) in enumerate(zip(firsts, listed))]
 
 
@@ -151,13 +159,14 @@ def judge(pages: DataFrame, block: list[Rule], allow: list[Rule], id_col: str =
     allow = sorted(set(allow) - set(block))
     urls = stage(pages.select(F.col(id_col).alias("_id"), host_of(url).alias("host"), path_of(url).alias("path")), "urls")
     lengths = sorted({len(p) for _, p in [*block, *allow]})
-    blocking, allowing = cascades(urls.select("host", "path"), [list(block), allow], lengths)
+    widest = max((len(h) for h, _ in [*block, *allow]), default=0)
+    blocking, allowing = cascades(urls.select("host", "path"), [list(block), allow], lengths, widest)
     schema = f"`{id_col}` {pages.schema[id_col].dataType.simpleString()}, host string, path string, rule string, verdict string"
 
     def task(batches):
         for batch in batches:
             hosts, paths = batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            own = [keys_of(h, p, lengths) for h, p in zip(hosts, paths)]
+            own = [keys_of(h, p, lengths, widest) for h, p in zip(hosts, paths)]
             keys = sorted({k for some in own for k in some})
             decided = {k: "block" for k, yes in zip(keys, blocking.has(keys)) if yes}
             decided.update((k, "allow") for k, yes in zip(keys, allowing.has(keys)) if yes)

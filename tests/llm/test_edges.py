@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerloom.llm import chat, edits, graph, licences, mixing, neighbours, packing, quality, runs, simhash, token_files, tokens, url_filters
+from ledgerloom.llm import chat, edits, entries, graph, licences, mixing, neighbours, packing, quality, runs, simhash, token_files, tokens, url_filters
 from ledgerloom.llm.workers import importable
 from ledgerloom.session import scratch_dir, stage
 
@@ -360,3 +360,28 @@ def test_stages_on_messy_rows(spark, sf, messy):
             assert k == 3 or out.columns == docs.columns
         docs = stage(step(spark, docs, sf), f"messy-{k}") if k else docs  # the texts here are no prose
     assert docs.count() > 0
+
+
+def test_url_filter_takes_hosts_of_any_length(spark):
+    """A host of 100,000 labels has as many keys as the longest rule allows."""
+    long = "a." * 100_000
+    assert len(url_filters.keys_of(long + "example.net", "/en/x", [1, 4], len("example.net"))) == 4
+    rows = [(1, f"http://{long}example.net/en/"), (2, f"http://{long}net/x"), (3, "http://" + "." * 50_000), (4, f"http://{long}com/")]
+    df = entries.importable(spark).createDataFrame(rows, "page_id long, url string")
+    found = {r.page_id: (r.rule, r.verdict) for r in url_filters.judge(df, [("net", "/")], [("example.net", "/en/")]).collect()}
+    assert found == {1: ("example.net/en/", "allow"), 2: ("net/", "block"), 3: (None, "allow"), 4: (None, "allow")}
+
+
+def test_url_filter_of_many_rules(spark):
+    """Rules by the hundred thousand: filters travel to the tasks, the lists do not."""
+    block = [(f"h{i}.net", "/") for i in range(100_000)]
+    df = entries.importable(spark).range(3000).selectExpr("id AS page_id", "concat('http://www.h', id * 67, '.net/x') AS url")
+    found = {r.page_id: r.verdict for r in url_filters.judge(df, block, [("org", "/")]).collect()}
+    assert found == {i: "block" if i * 67 < 100_000 else "allow" for i in range(3000)}
+
+
+def test_neighbours_of_unequal_length_take_no_part(spark):
+    rows = [(i, [float(i % 5), 1.0, float(i)]) for i in range(20)] + [(100, [1.0, 2.0]), (150, [1.0] * 7), (200, [])]
+    df = entries.importable(spark).createDataFrame([(*r, "k", 1, 2) for r in rows], "vec_id long, embedding array<double>, key string, cell int, query int")
+    found = neighbours.nearest(df, df.where("vec_id % 50 = 0"), neighbours.Hashing(3)).collect()
+    assert {r.query_id for r in found} == {0} and {r.vec_id for r in found} <= set(range(1, 20)) and len(found) == 5
