@@ -32,7 +32,8 @@ from ledgerloom.session import stage
 
 SCALE, OFFSET = 64, 1_000_000   # entry c becomes floor(SCALE * c) + OFFSET
 TINY = 1e-11                    # of the largest deviation: no deviation
-ROWS = 1 << 16                  # rows of a product made at once
+ROWS = 1 << 16                  # result rows made at once
+BLOCK = 4096                    # rows of a block
 
 
 @dataclass
@@ -64,12 +65,23 @@ def whole_rows(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding")
     return rows.where(F.size("x") == (usual or 0))
 
 
+def blocks(rows: DataFrame) -> DataFrame:
+    """(x): the rows packed into matrices of up to ``BLOCK`` rows, written once. All passes read these."""
+    def pack(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x = matrix(batch.column(0))
+                yield pa.RecordBatch.from_arrays([pa.array([x[at:at + BLOCK].tobytes() for at in range(0, len(x), BLOCK)], pa.binary())], names=["x"])
+
+    return stage(rows.select("x").mapInArrow(pack, "x binary"), "blocks")
+
+
 def matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def summed(rows: DataFrame, part: Callable[[np.ndarray], np.ndarray], kind: type = float) -> np.ndarray:
-    """The sum over all rows of ``part``, which maps a matrix of rows to a vector of numbers.
+def summed(packed: DataFrame, dims: int, part: Callable[[np.ndarray], np.ndarray], kind: type = float) -> np.ndarray:
+    """The sum over all blocks of ``part``, which maps a matrix of rows to a vector of numbers.
 
     A task adds up its own; the tasks' sums meet by position.
     """
@@ -78,20 +90,20 @@ def summed(rows: DataFrame, part: Callable[[np.ndarray], np.ndarray], kind: type
     def add(batches):
         total = None
         for batch in batches:
-            if batch.num_rows:
-                found = part(matrix(batch.column(0)))
+            for block in batch.column(0):
+                found = part(np.frombuffer(block.as_py(), np.int64).reshape(-1, dims))
                 total = found if total is None else total + found
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], names=["at", "part"])
 
-    parts = rows.select("x").mapInArrow(add, f"at long, part {name}").groupBy("at").agg(F.sum("part").alias("part")).collect()
+    parts = packed.mapInArrow(add, f"at long, part {name}").groupBy("at").agg(F.sum("part").alias("part")).collect()
     out = np.zeros(len(parts), np.int64 if kind is int else float)
     for row in parts:
         out[row.at] = row.part
     return out
 
 
-def bidiagonal(rows: DataFrame, centred: Callable[[np.ndarray], np.ndarray], dims: int, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
+def bidiagonal(packed: DataFrame, centred: Callable[[np.ndarray], np.ndarray], dims: int, seed: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """(V, B) such that X = U B V' with orthonormal columns: V by dimension and step, B upper bidiagonal."""
     rng = np.random.default_rng(seed)
     v, b, c = np.zeros((dims, dims)), np.zeros((dims, dims)), np.zeros((dims, dims))
@@ -115,7 +127,7 @@ def bidiagonal(rows: DataFrame, centred: Callable[[np.ndarray], np.ndarray], dim
             p = x @ along
             return np.append((x @ before).T @ p, p @ p)
 
-        found = summed(rows, xv)
+        found = summed(packed, dims, xv)
         # What p has along earlier u's; only the one before it in exact arithmetic.
         shares = found[:-1]
         if k:
@@ -127,7 +139,7 @@ def bidiagonal(rows: DataFrame, centred: Callable[[np.ndarray], np.ndarray], dim
             u = x @ next_c
             return np.concatenate([x.T @ u, [u @ u], (x @ before).T @ u])
 
-        found = summed(rows, xu)
+        found = summed(packed, dims, xu)
         product, alpha, left = found[:dims], np.sqrt(max(found[dims], 0.0)), found[dims + 1:]
         largest = max(largest, alpha, abs(b[k - 1, k]) if k else 0.0)
         if largest == 0.0 or alpha <= largest * 1e-14:
@@ -142,19 +154,15 @@ def bidiagonal(rows: DataFrame, centred: Callable[[np.ndarray], np.ndarray], dim
     return v, b
 
 
-def fit(rows: DataFrame, components: int = 32) -> Whitening | None:
-    """Fit on (id, x); nothing where no row is or none deviates."""
-    first = rows.agg(F.count("*"), F.max(F.size("x"))).first()
-    n, dims = first[0], first[1]
-    if not n:
-        return None
-    sums = summed(rows, lambda x: x.sum(axis=0), int)
+def fit(packed: DataFrame, n: int, dims: int, components: int = 32) -> Whitening | None:
+    """Fit on blocks of ``n`` rows; nothing where none deviates."""
+    sums = summed(packed, dims, lambda x: x.sum(axis=0), int)
     made = Whitening(n, sums, np.zeros((dims, 0)), np.zeros(0), 0.0)
-    made.trace = float(summed(rows, lambda x: np.array([np.square(made.centred(x)).sum()]))[0]) / n
+    made.trace = float(summed(packed, dims, lambda x: np.array([np.square(made.centred(x)).sum()]))[0]) / n
     if made.trace == 0.0:
         return None
     centred = made.centred
-    v, b = bidiagonal(rows, centred, dims)
+    v, b = bidiagonal(packed, centred, dims)
     _, singular, right = np.linalg.svd(b)
     kept = [k for k in range(min(components, dims)) if singular[k] > singular[0] * TINY]
     made.components = v @ right[kept].T
@@ -163,16 +171,16 @@ def fit(rows: DataFrame, components: int = 32) -> Whitening | None:
     return made
 
 
-def identity_error(rows: DataFrame, made: Whitening) -> float:
+def identity_error(packed: DataFrame, made: Whitening) -> float:
     """Largest entry of the whitened rows' covariance minus the identity, over all rows, centred before multiplying."""
-    k = len(made.deviations)
-    mean = summed(rows, lambda x: made.apply(x).sum(axis=0)) / made.n
+    k, dims = len(made.deviations), len(made.sums)
+    mean = summed(packed, dims, lambda x: made.apply(x).sum(axis=0)) / made.n
 
     def product(x: np.ndarray) -> np.ndarray:
         w = made.apply(x) - mean
         return (w.T @ w).ravel()
 
-    return float(np.abs(summed(rows, product).reshape(k, k) / made.n - np.eye(k)).max())
+    return float(np.abs(summed(packed, dims, product).reshape(k, k) / made.n - np.eye(k)).max())
 
 
 def whiten(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding", components: int = 32) -> DataFrame:
@@ -180,10 +188,12 @@ def whiten(df: DataFrame, id_col: str = "vec_id", vector: str = "embedding", com
     rows = whole_rows(df, id_col, vector)
     kind = rows.schema["id"].dataType.simpleString()
     schema = f"`{id_col}` {kind}, component int, n long, deviation long, whitened double, explained double, identity_error double"
-    made = fit(rows, components)
+    n, dims = rows.agg(F.count("*"), F.max(F.size("x"))).first()
+    packed = blocks(rows) if n else rows
+    made = fit(packed, n, dims, components) if n else None
     if made is None:
         return df.sparkSession.createDataFrame([], schema)
-    error, k = identity_error(rows, made), len(made.deviations)
+    error, k = identity_error(packed, made), len(made.deviations)
     explained = np.square(made.deviations) / made.trace
     names = [id_col, "component", "n", "deviation", "whitened", "explained", "identity_error"]
 
