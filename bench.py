@@ -21,7 +21,8 @@ HEADLINE = [
     "dedup_last", "dedup_last_lineitem", "transform_chain_rows", "transform_chain_range", "transform_chain_lineitem",
     "rolling_rows_frame", "rolling_range_frame", "rolling_range_dense", "feature_velocity", "feature_amounts", "feature_behavioral", "feature_risk",
     "feature_network", "feature_join", "snapshot_read", "backfill_transform", "load_check", "stream_ingest",
-    "rolling_range_hot",
+    "rolling_range_hot", "rolling_range_chunked", "feature_asof_join", "feature_asof_join_hot", "contract_profile", "contract_drift",
+    "schema_variant", "network_risk_hops", "snapshot_changes", "backfill_after_changes", "stream_sessions", "job_run",
 ]
 
 

@@ -160,7 +160,7 @@ class FeatureStore:
         Conditions and projection reach the parquet scan.
         """
         info = self._registration(group_name)
-        df = self._table(group_name, info.entity_col, info.event_time_col).read(until=as_of)
+        df = self._table(group_name, info.entity_col, info.event_time_col).read(until=as_of if self.clustered else None)
         if not df.columns:
             return df
         if as_of is not None and info.event_time_col in df.columns:

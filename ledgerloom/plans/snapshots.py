@@ -183,6 +183,8 @@ class SnapshotTable:
         ``keep_version`` keeps ``_v``, the version that added the row. Rows of ``since`` to
         ``until``, both inclusive, need a layout: rows without a time are in no span.
         """
+        if self.layout is None and (since or until):
+            raise ValueError("a span of time needs a table with a layout")
         commits = self._commits()
         current = commits[-1].version if commits else 0
         version = current if version is None else version

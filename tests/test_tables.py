@@ -284,4 +284,6 @@ def test_a_layout_survives_nulls_versions_and_compaction(spark):
     assert found() == ["", "a", "b", "c"] and found(since=T2) == ["", "c"] and found(until=T2) == ["a", "c"] and found(version=1, since=T2) == [""]
     assert table.read_batch(1).columns == ["k", "t"] and table.read().columns == ["k", "t", "extra"]
     assert [(r.k, r.change) for r in table.changes(1, 2).collect()] == [("c", "added")]
+    with pytest.raises(ValueError, match="layout"):
+        SnapshotTable(spark, table.root).read(since=T1)
     assert table.compact() == 3 and found(since=T2) == ["", "c"] and table.changes(2, 3).isEmpty()
