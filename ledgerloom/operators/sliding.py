@@ -105,8 +105,9 @@ def _finish(out: DataFrame, df: DataFrame, wanted: list[Sliding], group: list[st
 # then the running aggregate of the echoes from the far end.
 #
 # Groups that fit one task carry their rows through all passes after one exchange. For cut
-# groups only the values move, in chunks of time, and the results of each instant are joined
-# back to the rows of the instant.
+# groups only the values move, in chunks of time: all frames are one table of marks with the
+# frame as part of the key, written once and merged in one pass (counts too, as sums of ones),
+# and the results of each instant are joined back to the rows of the instant.
 
 SWEPT = ("count", "distinct")
 
@@ -139,13 +140,16 @@ def _sweep(df: DataFrame, wanted: list[Sliding], group: list[str], time: str, pl
     if cut:
         hot = base.where("_cut")
         rows = hot.select(*[c for c in df.columns if c not in {s.name for s in wanted}], "_at")
-        parts = []
-        if swept:
+        followed_up = [s for s in wanted if s.kind == "distinct"]
+        summed = [s for s in wanted if s.kind != "distinct"]
+        parts, points = [], _by_instant(plan)
+        if followed_up:
             followed = hot
             for value in distinct:
                 followed = _next_seen(followed, value, group, hot)
-            parts.append(_instant_counts(followed, swept, changes, group, plan))
-        parts += [_instant_merges(hot, [m for m in merged if m.span == span], span, group, plan) for span in spans]
+            parts.append(_instant_counts(followed, followed_up, _changes(followed_up), group, points))
+        if summed:
+            parts.append(_instant_merges(hot, summed, group, points))
         results = parts[0]
         for part in parts[1:]:  # every part has all instants of rows
             results = results.join(part, [*group, "_at"])
@@ -206,11 +210,11 @@ def _carried_counts(rows: DataFrame, swept: list[Sliding], changes: dict, column
 
 
 def _instant_counts(hot: DataFrame, swept: list[Sliding], changes: dict, group: list[str],
-                    plan: ChunkPlan) -> DataFrame:
+                    points: ChunkPlan) -> DataFrame:
     instants = (hot.select(*group, "_last", F.inline(_events(changes)))
                 .where(F.col("_at") <= micros("_last"))
                 .groupBy(*group, "_at").agg(*[F.sum(n).alias(n) for n in changes.values()]))
-    placed = stage(_by_instant(plan).assign(instants), "instants")  # read for totals and for the sweep
+    placed = stage(points.assign(instants), "instants")  # read for totals and for the sweep
     found = running_totals(placed, group, [F.col("_at").asc()],
                            {n: ("sum", F.col(n)) for n in changes.values()}, cut=True, peers=True)
     return found.select(*group, "_at", *[c.alias(n) for n, c in _counts(swept, changes).items()])
@@ -254,7 +258,7 @@ def _counts(swept: list[Sliding], changes: dict) -> dict[str, Column]:
 
 def _parts(merged: list[Sliding]) -> dict[tuple[str, str], str]:
     """One running aggregate per (fold, value), shared by the columns that need it."""
-    folds = {"sum": "sum", "mean": "moments", "cv": "moments", "max": "max"}
+    folds = {"sum": "sum", "mean": "moments", "cv": "moments", "max": "max", "count": "count"}
     parts: dict[tuple[str, str], str] = {}
     for s in merged:
         parts.setdefault((folds[s.kind], s.value), f"_p{len(parts)}")
@@ -267,53 +271,59 @@ def _merged(merged: list[Sliding], parts: dict[tuple[str, str], str]) -> dict[st
         if s.kind in ("sum", "max"):
             out[s.name] = F.col(parts[(s.kind, s.value)])
             continue
+        if s.kind == "count":
+            out[s.name] = F.coalesce(parts[("count", s.value)], F.lit(0).cast("bigint"))
+            continue
         moments = F.col(parts[("moments", s.value)])
         out[s.name] = moments["mean"] if s.kind == "mean" else F.try_divide(deviation(moments), moments["mean"])
     return out
 
 
-def _slot(at: Column, span: int) -> Column:
-    return at - F.pmod(at, F.lit(span))
+def _slot(at: Column, span: Column) -> Column:
+    return at - F.pmod(at, span)
 
 
-def _marks(rows: DataFrame, parts: dict[tuple[str, str], str], span: int, body: Column | None = None,
-           empty: Column | None = None) -> Column:
-    """A row's values when it happens, and their echo one frame later."""
-    def mark(at: Column, echo: bool, carried: Column | None) -> Column:
-        fields = []
-        for (kind, value), name in parts.items():
-            x = F.when(F.col("_at").isNotNull(), F.col(value) if kind == "max" else F.col(value).cast("double"))
-            nothing = F.lit(None).cast(rows.schema[value].dataType if kind == "max" else "double")
-            fields += [(nothing if echo else x).alias(f"{name}_now"), (x if echo else nothing).alias(f"{name}_echo")]
-        return F.struct(*([] if carried is None else [carried.alias("_row")]), at.alias("_at"), *fields)
-    return F.array(mark(F.col("_at"), False, body), mark(F.col("_at") + span, True, empty))
+def _mark(rows: DataFrame, parts: dict[tuple[str, str], str], span: int, echo: bool, *carried: Column) -> Column:
+    """A row's values when it happens or, as their echo, one frame later."""
+    kinds, fields = {"max": None, "count": "bigint"}, []
+    for (kind, value), name in parts.items():
+        there = F.lit(1).cast("bigint") if kind == "count" else F.col(value) if kind == "max" else F.col(value).cast("double")
+        x = F.when(F.col("_at").isNotNull() & F.col(value).isNotNull(), there)
+        nothing = F.lit(None).cast(kinds.get(kind, "double") or rows.schema[value].dataType)
+        fields += [(nothing if echo else x).alias(f"{name}_now"), (x if echo else nothing).alias(f"{name}_echo")]
+    return F.struct(*carried, (F.col("_at") + span if echo else F.col("_at")).alias("_at"), *fields)
 
 
-def _two_sided(marks: DataFrame, parts: dict[tuple[str, str], str], span: int, keys: list[str], cut: bool) -> DataFrame:
-    marks = marks.withColumn("_slot", _slot(F.col("_at"), span))
-    keys = [*keys, "_slot"]
+def _two_sided(marks: DataFrame, parts: dict[tuple[str, str], str], keys: list[str], cut: bool) -> DataFrame:
+    """Both sides of the frame within each slot of ``keys``, merged."""
+    folds = {n: "sum" if kind == "count" else kind for (kind, _), n in parts.items()}
     begun = running_totals(marks, keys, [F.col("_at").asc()], {
-        f"{n}_begin": (kind, F.col(f"{n}_now")) for (kind, _), n in parts.items()}, cut, peers=True)
+        f"{n}_begin": (kind, F.col(f"{n}_now")) for n, kind in folds.items()}, cut, peers=True)
     both = running_totals(begun, keys, [F.col("_at").desc()], {
-        f"{n}_rest": (kind, F.col(f"{n}_echo")) for (kind, _), n in parts.items()}, cut, peers=True, backward=True, base=marks)
-    return both.withColumns({n: combine(kind, F.col(f"{n}_rest"), F.col(f"{n}_begin")) for (kind, _), n in parts.items()})
+        f"{n}_rest": (kind, F.col(f"{n}_echo")) for n, kind in folds.items()}, cut, peers=True, backward=True, base=marks)
+    return both.withColumns({n: combine(kind, F.col(f"{n}_rest"), F.col(f"{n}_begin")) for n, kind in folds.items()})
 
 
 def _carried_merges(rows: DataFrame, merged: list[Sliding], span: int, columns: list[str], group: list[str]) -> DataFrame:
     parts = _parts(merged)
     body, empty = _payload(rows, [c for c in columns if c not in group])
-    marks = rows.select(*group, "_chunk", F.inline(_marks(rows, parts, span, body, empty)))
-    return (_two_sided(marks, parts, span, group, cut=False).where(F.col("_row").isNotNull())
+    both = F.array(_mark(rows, parts, span, False, body.alias("_row")), _mark(rows, parts, span, True, empty.alias("_row")))
+    marks = rows.select(*group, "_chunk", F.inline(both)).withColumn("_slot", _slot(F.col("_at"), F.lit(span)))
+    return (_two_sided(marks, parts, [*group, "_slot"], cut=False).where(F.col("_row").isNotNull())
             .select(*group, "_chunk", "_at", "_row.*", *[c.alias(n) for n, c in _merged(merged, parts).items()]).drop("_none"))
 
 
-def _instant_merges(hot: DataFrame, merged: list[Sliding], span: int, group: list[str], plan: ChunkPlan) -> DataFrame:
+def _instant_merges(hot: DataFrame, merged: list[Sliding], group: list[str], points: ChunkPlan) -> DataFrame:
     parts, last = _parts(merged), micros("_last")
+    marks = hot.select(*group, "_last", F.inline(F.array(*[
+        _mark(hot, parts, span, echo, F.lit(span).cast("bigint").alias("_span"), F.lit(not echo).alias("_own"))
+        for span in sorted({s.span for s in merged}) for echo in (False, True)])))
     # Echoes past the group's last row count for the end of its slot, so they move there.
-    marks = (hot.select(*group, "_last", F.inline(_marks(hot, parts, span)))
-             .where(_slot(F.col("_at"), span) <= _slot(last, span))
-             .withColumn("_at", F.least("_at", last)).drop("_last"))
-    placed = stage(_by_instant(plan).assign(marks), "instants")
-    found = _two_sided(placed, parts, span, group, cut=True)
-    return found.select(*group, "_at", *[c.alias(n) for n, c in _merged(merged, parts).items()]).groupBy(*group, "_at").agg(
-        *[F.max(s.name).alias(s.name) for s in merged])
+    marks = (marks.where(_slot(F.col("_at"), F.col("_span")) <= _slot(last, F.col("_span")))
+             .withColumn("_at", F.least("_at", last)).drop("_last")
+             .withColumn("_slot", _slot(F.col("_at"), F.col("_span"))))
+    placed = stage(points.assign(marks), "instants")
+    found = _two_sided(placed, parts, [*group, "_span", "_slot"], cut=True).where("_own")
+    values = _merged(merged, parts)
+    return found.groupBy(*group, "_at").agg(*[
+        F.max(F.when(F.col("_span") == s.span, values[s.name])).alias(s.name) for s in merged])
