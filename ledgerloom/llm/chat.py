@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -102,12 +103,16 @@ def format_conversations(df: DataFrame, tokenizer: str, trained: str = "assistan
 
         def made():
             found = _tokenizer(tokenizer).encode_batch([r[1] for r in rows], add_special_tokens=False)
-            out = []
-            for (conv, text, spans), e in zip(rows, found):
-                starts, ends = np.array(e.offsets, np.int64).reshape(-1, 2).T
-                out.append((conv, text, e.ids, starts.tolist(), ends.tolist(), mask(starts, ends, spans).tolist()))
-            kinds = [pa.int64(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.bool_())]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)],
+            ids, starts, ends, masks, bounds = [], [], [], [], [0]
+            for (_, _, spans), e in zip(rows, found):
+                ids.append(np.array(e.ids, np.int32))
+                offsets = np.fromiter(chain.from_iterable(e.offsets), np.int32, 2 * len(ids[-1])).reshape(-1, 2)
+                starts.append(offsets[:, 0])
+                ends.append(offsets[:, 1])
+                masks.append(mask(starts[-1], ends[-1], spans))
+                bounds.append(bounds[-1] + len(ids[-1]))
+            lists = [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(np.concatenate(c))) for c in (ids, starts, ends, masks)]
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), *lists],
                                               names=["conv_id", "formatted", "input_ids", "token_start", "token_end", "loss_mask"])
 
         for conv, turns in conversations_of(batches):
@@ -126,22 +131,25 @@ def format_conversations(df: DataFrame, tokenizer: str, trained: str = "assistan
             .select("conv_id", "role", "text").mapInArrow(task, FORMATTED))
 
 
-def loss_text(formatted: str, starts: list[int], ends: list[int], in_loss: list[bool]) -> str:
+def loss_text(formatted: str, starts: np.ndarray | list[int], ends: np.ndarray | list[int],
+              in_loss: np.ndarray | list[bool]) -> str:
     """All characters under the loss mask, restored span by span.
 
     Tokens that share a character (its bytes) count it once. Neighbouring texts are apart by
     control strings, so a gap between masked characters ends a span.
     """
-    out, begin, at = [], None, None
-    for a, b, inside in zip(starts, ends, in_loss):
-        if not inside:
-            continue
-        if begin is not None and a > at:
-            out.append(restore(formatted[begin:at]))
-            begin = None
-        if begin is None:
-            begin, at = a, b
-        at = max(at, b)
-    if begin is not None:
-        out.append(restore(formatted[begin:at]))
-    return "".join(out)
+    inside = np.asarray(in_loss, bool)
+    a, b = np.asarray(starts, np.int64)[inside], np.asarray(ends, np.int64)[inside]
+    if not len(a):
+        return ""
+    reach = np.maximum.accumulate(b)
+    gaps = np.flatnonzero(a[1:] > reach[:-1])
+    begins, stops = a[np.append(0, gaps + 1)], reach[np.append(gaps, len(a) - 1)]
+    return "".join(restore(formatted[i:j]) for i, j in zip(begins.tolist(), stops.tolist()))
+
+
+def list_parts(column: pa.ListArray) -> Iterator[np.ndarray]:
+    """The lists of a column as arrays, without an object for each value."""
+    values = column.flatten().to_numpy(zero_copy_only=False)
+    bounds = column.offsets.to_numpy() - column.offsets[0].as_py()
+    return (values[i:j] for i, j in zip(bounds[:-1], bounds[1:]))

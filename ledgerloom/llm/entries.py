@@ -40,8 +40,8 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
         for batch in batches:
             rows = []
-            for at in range(batch.num_rows):
-                conv, text, starts, ends, inside = (c[at].as_py() for c in batch.columns)
+            plain, lists = (c.to_pylist() for c in batch.columns[:2]), map(chat.list_parts, batch.columns[2:])
+            for conv, text, starts, ends, inside in zip(*plain, *lists):
                 turns, loss = chat.parse(text), chat.loss_text(text, starts, ends, inside)
                 said = "".join(f"{role}\n{content}\n" for role, content in turns)
                 rows.append((conv, len(turns), hashlib.sha256(said.encode()).hexdigest(), len(loss),
