@@ -185,10 +185,13 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: s
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", threshold: float = 0.7) -> DataFrame:
-    """The rows that are predicted good, with all their columns as they are."""
-    stats = described(docs.select(F.col(id_col), F.col(text)), text).select(id_col, "_stats")
-    model = fit(stage(labelled_rows(stats, labels, id_col), "labelled"))
+    """The rows that are predicted good, with all their columns as they are.
+
+    Rows are described once and written with their statistics to the shared folder: the fit
+    reads ids and statistics back, the decision all columns.
+    """
     columns = docs.columns
-    rows = docs.select(F.struct(*columns).alias("_row"), F.col(text).alias("_text"))
-    return scored(described(rows, "_text"), model).where(F.col("score") >= threshold).select(
-        *[F.col(f"_row.`{c}`").alias(c) for c in columns])
+    rows = docs.select(F.struct(*columns).alias("_row"), F.col(id_col).alias("_id"), F.col(text).alias("_text"))
+    made = stage(described(rows, "_text").drop("_text"), "described")
+    model = fit(stage(labelled_rows(made.select("_id", "_stats"), labels, "_id"), "labelled"))
+    return scored(made, model).where(F.col("score") >= threshold).select(*[F.col(f"_row.`{c}`").alias(c) for c in columns])

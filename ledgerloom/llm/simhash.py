@@ -283,12 +283,16 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text: str = "text", d
 
 
 def keep_one(df: DataFrame, text: str = "text", order: tuple[str, ...] = ("doc_id",), distance: int = 3, shingle: int = 3) -> DataFrame:
-    """One whole row of each component: the first in ``order`` (nulls last), then by text."""
+    """One whole row of each component: the first in ``order`` (nulls last), then by text.
+
+    Fingerprints are made once and written with their rows to the shared folder; the search
+    for links reads the fingerprints alone.
+    """
     from pyspark.sql import Window
     columns = df.columns
-    marked = with_fingerprints(df.select(text), text, "fp", shingle)
-    roots = stage(group_keys(stage(marked.select("fp"), "simhash"), distance), "roots")
-    rows = with_fingerprints(df.withColumn("_row", F.struct(*columns)), text, "fp", shingle).select("_row", "fp")
+    whole = df.select(F.struct(*columns).alias("_row"), F.col(text).alias("_text"))
+    rows = stage(with_fingerprints(whole, "_text", "fp", shingle).select("_row", "fp"), "simhash")
+    roots = stage(group_keys(rows.select("fp"), distance), "roots")
     keyed = rows.join(roots, "fp", "left").select("_row", F.coalesce("root", "fp").alias("_root"))
     first = Window.partitionBy("_root").orderBy(*[F.col(f"_row.{c}").asc_nulls_last() for c in order],
                                                 F.col(f"_row.{text}").asc_nulls_first())
