@@ -233,12 +233,17 @@ def summarize(report: DataFrame, source: str, at: datetime | None = None) -> Dat
     )
 
 
-def run_counts(raw: DataFrame) -> DataFrame:
-    """Raw, clean and rejected row counts with the guarded rejection rate, in one pass."""
+def count_columns(raw: DataFrame) -> list[Column]:
+    """Aggregates of raw, clean and rejected rows with the guarded rejection rate."""
     n, bad = F.count(F.lit(1)), F.count_if(rejected(raw))
-    return raw.agg(
+    return [
         n.alias("raw_records"),
         (n - bad).alias("clean_records"),
         bad.alias("rejected_records"),
         F.round(100.0 * bad / F.greatest(n, F.lit(1)), 3).alias("rejection_rate_pct"),
-    )
+    ]
+
+
+def run_counts(raw: DataFrame) -> DataFrame:
+    """:func:`count_columns` as one row, in one pass."""
+    return raw.agg(*count_columns(raw))

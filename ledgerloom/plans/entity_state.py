@@ -10,6 +10,7 @@ parts they are merged into one.
 from __future__ import annotations
 
 from datetime import datetime
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -18,6 +19,7 @@ from ledgerloom.operators.features import MODES, Prior
 from ledgerloom.operators.ranks import value_counts
 from ledgerloom.plans.snapshots import SnapshotTable
 from ledgerloom.schema import ENTITY, TIME
+from ledgerloom.session import together
 
 FACTS = f"{ENTITY} string, first_time timestamp_ntz, last_time timestamp_ntz, moments {MOMENTS}"
 COUNTS = f"{ENTITY} string, name string, value string, n bigint"
@@ -80,7 +82,9 @@ class EntityState:
 
     def record(self, batch_id: str, rows: DataFrame, until: datetime) -> None:
         """Add the part of a batch; ``rows`` are those it loaded."""
-        for table, part, merge in ((self.facts, facts_of(rows), merge_facts), (self.counts, counts_of(rows), merge_counts)):
+        def add(table: SnapshotTable, part: DataFrame, merge) -> None:
             table.write(part, "append", {"until": until.isoformat()}, batch_id)
             if table.live_commits() >= self.merge_every:
                 table.write(merge(table.read()), "overwrite", {"until": until.isoformat()})
+
+        together(self.spark, partial(add, self.facts, facts_of(rows), merge_facts), partial(add, self.counts, counts_of(rows), merge_counts))

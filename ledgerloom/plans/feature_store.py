@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from datetime import datetime, timedelta
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
@@ -11,7 +11,7 @@ from ledgerloom.operators.asof import asof_join
 from ledgerloom.operators.chunks import ROWS_PER_CHUNK
 from ledgerloom.plans.snapshots import Layout, SnapshotTable
 from ledgerloom.schema import ENTITY, FEATURE_GROUPS, TIME
-from ledgerloom.session import utc_now
+from ledgerloom.session import together, utc_now
 from ledgerloom.sources.files import exists
 
 REGISTRATION = """group_name string, features array<string>, entity_col string, event_time_col string,
@@ -228,8 +228,9 @@ def build_training_store(spark: SparkSession, df: DataFrame, root: str, batch_id
     """Register every catalog group and ingest those with at least one computed feature."""
     store = FeatureStore(spark, root, clustered)
     store.register_catalog(catalog)
-    for name, features in catalog.items():
-        found = available(features, df.columns)
-        if found and ENTITY in df.columns:
-            store._append_rows(name, df.select(ENTITY, TIME, *found), batch_id, stamp, ENTITY, TIME)
+    groups = {name: available(features, df.columns) for name, features in catalog.items()} if ENTITY in df.columns else {}
+    # Each group is a table of its own: they are written side by side.
+    together(spark, *[
+        partial(store._append_rows, name, df.select(ENTITY, TIME, *found), batch_id, stamp, ENTITY, TIME)
+        for name, found in groups.items() if found])
     return store

@@ -6,11 +6,12 @@ import json
 import time
 import traceback
 from datetime import datetime, timedelta
+from functools import partial
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Row, SparkSession, functions as F
 
 from ledgerloom.operators.chain import transform_chain
-from ledgerloom.operators.contracts import Contract, accepted, run_counts, summarize
+from ledgerloom.operators.contracts import Contract, accepted, count_columns, summarize
 from ledgerloom.operators.profile import merge_profiles, profile
 from ledgerloom.operators.features import WEEK, Prior, Thresholds, add_features
 from ledgerloom.plans.entity_state import EntityState
@@ -18,7 +19,7 @@ from ledgerloom.plans.feature_store import build_training_store, registry_totals
 from ledgerloom.plans.seen_keys import SeenKeys
 from ledgerloom.plans.snapshots import Layout, SnapshotTable
 from ledgerloom.schema import ENTITY, KEY_COLUMNS, TIME
-from ledgerloom.session import stage, utc_now
+from ledgerloom.session import scratch_dir, stage, together, utc_now
 from ledgerloom.sources.dead_letters import write_dead_letters
 from ledgerloom.sources.files import create, exists, remove
 from ledgerloom.sources.windows import STAMP, SourceConfig, advance_mark, extract_all, in_window, read_mark
@@ -120,33 +121,28 @@ class LedgerJob:
         loaded = self.table.read_batch(version)
         # Every group reads its columns of the staged rows.
         featured = stage(self._with_features(version, start, end, batch), "features") if self.all_features else loaded
-        described = build_training_store(self.spark, featured, f"{self.root}/features", batch).describe()
+        steps = [lambda: build_training_store(self.spark, featured, f"{self.root}/features", batch)]
         if self.all_features:
-            self.state.record(batch, loaded, end)
-        return described
+            steps.append(lambda: self.state.record(batch, loaded, end))
+        return together(self.spark, *steps)[0].describe()
 
     def _load(self, start: datetime, end: datetime, batch: str) -> dict[str, float]:
         began = time.monotonic()
-        # The extract is read again by each step instead of being cached: every step needs
-        # few columns or few rows of it, and a lost executor costs nothing but its tasks.
-        raw = extract_all(self.sources, start, end)
-        clean, bad, report = self.contract.split(raw)
-        counts = run_counts(raw).first()
-        verdict = summarize(report, self.name, utc_now()).first()
-        if counts.rejected_records:
-            write_dead_letters(bad, f"{self.root}/dead_letters", self.name, batch)
-        if self.profiles is not None:
-            window = [F.lit(t).cast("timestamp_ntz").alias(n) for t, n in ((start, "window_start"), (end, "window_end"))]
-            self.profiles.write(profile(raw).select(*window, "*"), batch_id=batch)
-        version, repeats = self._commit(clean, start, end, batch)
+        # The sources are read once, into the shared folder: counts, report and rows then speak of
+        # the same records, whatever arrives meanwhile, and each step reads few columns of them.
+        path = scratch_dir(self.spark, "window")
+        try:
+            counts, verdict, (version, repeats) = self._ingest(path, start, end, batch)
+        finally:
+            remove(self.spark, path)
         described = self._publish(version, start, end, batch)
         totals = registry_totals(described).first()
         by_group = {f"feature_records.{r.group_name}": float(r.records) for r in described.collect()}
         return {
-            "raw_records": float(counts.raw_records),
-            "clean_records": float(counts.clean_records),
-            "rejected_records": float(counts.rejected_records),
-            "rejection_rate_pct": float(counts.rejection_rate_pct),
+            "raw_records": float(counts["raw_records"]),
+            "clean_records": float(counts["clean_records"]),
+            "rejected_records": float(counts["rejected_records"]),
+            "rejection_rate_pct": float(counts["rejection_rate_pct"]),
             "snapshot_version": float(version),
             "feature_groups": float(totals.feature_groups),
             "feature_records": float(totals.total_records),
@@ -157,6 +153,22 @@ class LedgerJob:
             "elapsed_seconds": round(time.monotonic() - began, 2),
         }
 
+    def _ingest(self, path: str, start: datetime, end: datetime, batch: str) -> tuple[dict, Row, tuple[int, dict[str, float]]]:
+        """Copy the raw window to ``path`` and load it: its counts, the contract's verdict and what ``_commit`` returns."""
+        counted = Observation()
+        raw = extract_all(self.sources, start, end)
+        raw.observe(counted, *count_columns(raw)).write.parquet(path)
+        counts, raw = counted.get, self.spark.read.schema(raw.schema).parquet(path)
+        clean, bad, report = self.contract.split(raw)
+        steps = [lambda: summarize(report, self.name, utc_now()).first(), lambda: self._commit(clean, start, end, batch)]
+        if counts["rejected_records"]:
+            steps.append(partial(write_dead_letters, bad, f"{self.root}/dead_letters", self.name, batch))
+        if self.profiles is not None:
+            window = [F.lit(t).cast("timestamp_ntz").alias(n) for t, n in ((start, "window_start"), (end, "window_end"))]
+            steps.append(lambda: self.profiles.write(profile(raw).select(*window, "*"), batch_id=batch))
+        verdict, committed = together(self.spark, *steps)[:2]
+        return counts, verdict, committed
+
     def _commit(self, clean: DataFrame, start: datetime, end: datetime, batch: str) -> tuple[int, dict[str, float]]:
         """Transform and commit the clean rows; the version, and what was found of hashes loaded before."""
         done = self.table.batch_version(batch)

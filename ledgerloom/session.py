@@ -4,8 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor, wait
 from datetime import datetime, timezone
+from typing import Any
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
@@ -71,3 +75,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     path = scratch_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def together(spark: SparkSession, *steps: Callable[[], Any]) -> list[Any]:
+    """Results of steps that do not depend on each other, in order; their Spark jobs run side by side.
+
+    All of them end before the first failure, in the order given, is raised.
+    """
+    if not steps:
+        return []
+    with ThreadPoolExecutor(len(steps)) as pool:
+        begun = [pool.submit(inheritable_thread_target(spark)(step)) for step in steps]
+        wait(begun)
+    return [b.result() for b in begun]

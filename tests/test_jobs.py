@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from ledgerloom.plans.jobs import LedgerJob, backfill, backfill_rows, day_spine, quality_gate
 from ledgerloom.plans.snapshots import SnapshotTable
-from ledgerloom.session import scratch_dir
+from ledgerloom.session import scratch_dir, together
 from ledgerloom.sources.dead_letters import read_dead_letters
 from ledgerloom.sources.files import names
 from ledgerloom.sources.samples import tx_events
@@ -201,3 +201,16 @@ def test_stream_dedup_keeps_one_row_per_hash(spark, sf):
     found = spark.read.parquet(out)
     expected = df.where("transaction_hash is not null and timestamp is not null").select("transaction_hash").distinct()
     assert found.count() == expected.count() == found.select("transaction_hash").distinct().count()
+
+
+def test_independent_steps_all_end_before_a_failure_is_raised(spark):
+    ended = []
+
+    def fail():
+        raise ValueError("one step")
+
+    assert together(spark, lambda: 1, lambda: spark.range(3).count()) == [1, 3]
+    assert together(spark) == []
+    with pytest.raises(ValueError, match="one step"):
+        together(spark, fail, lambda: ended.append(spark.range(5).count()))
+    assert ended == [5]
