@@ -178,9 +178,11 @@ def nearest(df: DataFrame, queries: DataFrame, hashing: Hashing, id_col: str = "
     schema = f"key long, query boolean, id long, vec {kind}, buckets binary"
     index = ready(df).mapInArrow(hashed(False), schema)
     asked = ready(queries).mapInArrow(hashed(True), schema)
-    # Split what is over CELL or QUERIES: two aggregates over the keys, joined as Spark sees fit by their size.
-    cells = index.groupBy("key").count().where(F.col("count") > CELL).select("key", F.ceil(F.col("count") / CELL).cast("int").alias("_cells"))
-    blocks = asked.groupBy("key").count().where(F.col("count") > QUERIES).select("key", F.ceil(F.col("count") / QUERIES).cast("int").alias("_blocks"))
+    # Split what is over CELL or QUERIES: two aggregates over the keys. They are staged, so that Spark knows
+    # their size before it plans the joins and moves the vectors for them only where it must.
+    cells, blocks = (stage(rows.groupBy("key").count().where(F.col("count") > most).select(
+        "key", F.ceil(F.col("count") / most).cast("int").alias(name)), name.strip("_"))
+        for rows, most, name in ((index, CELL, "_cells"), (asked, QUERIES, "_blocks")))
 
     def dealt(rows: DataFrame, query: bool) -> DataFrame:
         rows = rows.join(cells, "key", "left").join(blocks, "key", "left")
