@@ -9,11 +9,15 @@ totals, which are small.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ledgerloom.session import stage
+
 ROWS_PER_CHUNK = 2_000_000   # larger groups are cut
 SAMPLES_PER_CHUNK = 32
+POINTS_PER_PAGE = 32         # cut points that one row is compared with at a time
 
 
 def null_spread(df: DataFrame) -> int:
@@ -25,7 +29,10 @@ def null_spread(df: DataFrame) -> int:
 class ChunkPlan:
     """Cut points of the oversized groups of one DataFrame; ``cuts`` is None if there are none.
 
-    A plan also fits any subset of the rows it was measured on, never later rows.
+    A plan also fits any subset of the rows it was measured on, never later rows. ``cuts`` has a
+    row per point with its ``_key`` and, unless dropped, the group's ``_last`` time. Points stay
+    in the shared folder, in sorted pages; the pages of a group with many are found through pages
+    of their first points.
     """
 
     group: list[str]
@@ -33,7 +40,6 @@ class ChunkPlan:
     largest: int = 0
     cuts: DataFrame | None = None
     most_cuts: int = 0
-    time_cuts: DataFrame | None = None      # the same points by the first order column alone
 
     def _known(self) -> Column:
         known = F.lit(True)
@@ -41,6 +47,33 @@ class ChunkPlan:
             known = known & F.col(c).isNotNull()
         return known
 
+    @cached_property
+    def pages(self) -> list[DataFrame]:
+        return self._pages(self.cuts)
+
+    @cached_property
+    def time_pages(self) -> list[DataFrame]:
+        """Pages of the same points by the first order column alone."""
+        return self._pages(self.cuts.withColumn("_key", F.struct("_key.n0", "_key.k0")).distinct())
+
+    def _pages(self, points: DataFrame) -> list[DataFrame]:
+        """Pages of points, the widest level first; the last level holds all points."""
+        def paged(df: DataFrame, *more: str) -> DataFrame:
+            return (df.groupBy(*self.group, (F.floor(F.col("_i") / POINTS_PER_PAGE)).cast("int").alias("_page"), *more)
+                    .agg(F.sort_array(F.collect_list("_key")).alias("_points")))
+
+        more = [c for c in points.columns if c not in (*self.group, "_key")]
+        numbered = points.withColumn("_i", F.row_number().over(Window.partitionBy(*self.group).orderBy("_key")) - 1)
+        levels = [stage(paged(numbered, *more), "pages")]
+        width = 1  # pages of the lowest level below one entry
+        while width * POINTS_PER_PAGE < self.most_cuts:
+            below = levels[-1].where(F.col("_page") % width == 0).select(
+                *self.group, (F.col("_page") / width).cast("int").alias("_i"), F.col("_points")[0].alias("_key"))
+            # The first page below a page needs no point.
+            levels.insert(0, stage(paged(below.where(F.col("_i") % POINTS_PER_PAGE != 0)), "pages"))
+            width *= POINTS_PER_PAGE
+        return levels
+
     def assign(self, df: DataFrame, by_time: bool = False) -> DataFrame:
         """Add ``_chunk`` (0 for groups that are not cut) and, if any group is cut, ``_cut``.
 
@@ -50,14 +83,16 @@ class ChunkPlan:
         spread = F.pmod(F.xxhash64(*self.order), F.lit(null_spread(df))).cast("int")
         if self.cuts is None:
             return df.withColumn("_chunk", F.when(self._known(), F.lit(0)).otherwise(spread))
-        cuts, key = (self.time_cuts, order_key(self.order[:1])) if by_time else (self.cuts, order_key(self.order))
-        # A point per ROWS_PER_CHUNK rows of cut groups, already on the driver: 1e12 rows have 500,000.
-        marked = df.join(F.broadcast(cuts), self.group, "left")
-        return marked.withColumns({
-            "_chunk": F.when(~self._known(), spread).when(
-                F.col("_points").isNotNull(), _position("_points", key, self.most_cuts)).otherwise(0),
+        levels, key = (self.time_pages, order_key(self.order[:1])) if by_time else (self.pages, order_key(self.order))
+        out, at = df.withColumn("_page", F.when(self._known(), F.lit(0)).otherwise(-1 - spread)), [*self.group, "_page"]
+        place = F.col("_page") * POINTS_PER_PAGE + F.coalesce(_position("_points", key, POINTS_PER_PAGE), F.lit(0))
+        for points in levels[:-1]:  # a point per page of points: a thirtieth of them
+            out = out.join(F.broadcast(points), at, "left").withColumn(
+                "_page", F.when(F.col("_page") < 0, F.col("_page")).otherwise(place)).drop("_points")
+        return out.join(levels[-1], at, "left").withColumns({
+            "_chunk": F.when(F.col("_page") < 0, -1 - F.col("_page")).when(F.col("_points").isNotNull(), place).otherwise(0),
             "_cut": F.col("_points").isNotNull(),
-        }).drop("_points")
+        }).drop("_points", "_page")
 
 
 def order_key(order: list[str]) -> Column:
@@ -83,8 +118,8 @@ def plan_chunks(df: DataFrame, group: str | list[str], order: list[str],
 
     The size pass reads only the group columns and combines map-side. No cut point is taken
     unless a group is oversized, so ordinary data pays for that one narrow aggregate. One
-    small cut point per ``rows_per_chunk`` rows of oversized groups reaches the driver.
-    Sampling only places the cuts; results do not depend on where they fall.
+    small cut point per ``rows_per_chunk`` rows of oversized groups is written to the shared
+    folder. Sampling only places the cuts; results do not depend on where they fall.
     """
     group = [group] if isinstance(group, str) else list(group)
     known = df
@@ -101,18 +136,14 @@ def plan_chunks(df: DataFrame, group: str | list[str], order: list[str],
     sample = (known.select(*group, order_key(order).alias("_key"))
               .join(F.broadcast(big), group)
               .sample(fraction=min(1.0, SAMPLES_PER_CHUNK / limit), seed=11))
-    ranked = sample.withColumn("_i", F.row_number().over(Window.partitionBy(*group).orderBy("_key")))
-    cuts = (ranked.where(F.col("_i") % SAMPLES_PER_CHUNK == 0)
-            .groupBy(*group, "_last").agg(F.sort_array(F.collect_set("_key")).alias("_points")))
-    rows = cuts.collect()
-    if not rows:
+    # A sort over all tasks; the id's lower bits count the rows of its partition.
+    ranked = (sample.repartitionByRange(*group, "_key").sortWithinPartitions(*group, "_key")
+              .withColumn("_i", F.monotonically_increasing_id()))
+    cuts = stage(ranked.where(F.col("_i") % SAMPLES_PER_CHUNK == 0).select(*group, "_last", "_key").distinct(), "cuts")
+    most = cuts.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
+    if most is None:
         return ChunkPlan(group, order, largest)
-    local = df.sparkSession.createDataFrame(rows, cuts.schema)
-    # Points by time alone, made once here: per row of a cut group it would be quadratic work.
-    by_time = F.array_distinct(F.transform("_points", lambda p: F.struct(p["n0"].alias("n0"), p["k0"].alias("k0"))))
-    shorter = local.withColumn("_points", by_time)
-    timed = df.sparkSession.createDataFrame(shorter.collect(), shorter.schema)
-    return ChunkPlan(group, order, largest, local, max(len(r["_points"]) for r in rows), timed)
+    return ChunkPlan(group, order, largest, cuts, most)
 
 
 FOLDS = {"sum": F.sum, "max": F.max, "min": F.min}

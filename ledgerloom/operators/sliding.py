@@ -222,11 +222,9 @@ def _instant_counts(hot: DataFrame, swept: list[Sliding], changes: dict, group:
 
 def _by_instant(plan: ChunkPlan) -> ChunkPlan:
     """The plan's cut points as microseconds of their time alone."""
-    at = F.transform("_points", lambda p: F.struct(p["n0"].alias("n0"), micros(p["k0"]).alias("k0")))
-    spark = plan.time_cuts.sparkSession
-    cuts = plan.time_cuts.withColumn("_points", F.array_distinct(at)).drop("_last")
-    local = spark.createDataFrame(cuts.collect(), cuts.schema)  # made once, as small as the plan itself
-    return ChunkPlan(plan.group, ["_at"], plan.largest, local, plan.most_cuts, local)
+    at = F.struct(F.col("_key.n0").alias("n0"), micros("_key.k0").alias("k0"))
+    cuts = plan.cuts.select(*plan.group, at.alias("_key")).distinct()
+    return ChunkPlan(plan.group, ["_at"], plan.largest, cuts, plan.most_cuts)
 
 
 def _next_seen(rows: DataFrame, value: str, group: list[str], base: DataFrame | None = None) -> DataFrame:
