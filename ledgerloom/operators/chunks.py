@@ -18,6 +18,7 @@ from ledgerloom.session import stage
 ROWS_PER_CHUNK = 2_000_000   # larger groups are cut
 SAMPLES_PER_CHUNK = 32
 POINTS_PER_PAGE = 32         # cut points that one row is compared with at a time
+CHUNKS_PER_BLOCK = 100       # chunk totals that are merged one after the other
 
 
 def null_spread(df: DataFrame) -> int:
@@ -200,14 +201,39 @@ def running_totals(df: DataFrame, keys: list[str], order: list[Column],
     def earlier(kind: str, name: str) -> Column:
         if kind != "moments":
             return FOLDS[kind](name).over(before)
-        # A key has a chunk per ROWS_PER_CHUNK rows: their moments are merged one after the other.
-        return F.aggregate(F.collect_list(name).over(before), F.lit(None).cast(MOMENTS),
-                           lambda a, b: combine("moments", a, b))
+        return F.col(name)
 
     carried = pieces.select(*keys, "_chunk", *[
         earlier(kind, name).alias(f"_before_{name}") for name, (kind, _) in totals.items()])
+    moments = [f"_before_{name}" for name, (kind, _) in totals.items() if kind == "moments"]
+    if moments:
+        carried = _merged_before(carried, keys, moments, backward)
     # The window left the rows partitioned by these join keys: only the totals move.
     return (local.join(carried, [*keys, "_chunk"], "left")
             .withColumns({name: combine(kind, F.col(name), F.col(f"_before_{name}"))
                           for name, (kind, _) in totals.items()})
             .drop(*[f"_before_{name}" for name in totals]))
+
+
+def _merged_before(pieces: DataFrame, keys: list[str], names: list[str], backward: bool) -> DataFrame:
+    """The moments of each chunk replaced by those of all earlier chunks of the key, merged.
+
+    Merged one after the other they would cost a key's chunks squared: chunks are merged within
+    blocks, blocks within blocks of blocks, and those along the key.
+    """
+    chunk = F.col("_chunk").desc() if backward else F.col("_chunk").asc()
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy(chunk)) - 1
+    inner, outer = F.floor(F.col("_nth") / CHUNKS_PER_BLOCK), F.floor(F.col("_nth") / CHUNKS_PER_BLOCK ** 2)
+    out = pieces.withColumn("_nth", nth).withColumns({"_block1": inner, "_block2": outer})
+    full = [None, (F.col("_nth") + 1) % CHUNKS_PER_BLOCK == 0, (F.col("_nth") + 1) % CHUNKS_PER_BLOCK ** 2 == 0]
+    whole = {n: F.col(n) for n in names}
+    for level, within in enumerate((["_block2", "_block1"], ["_block2"], [])):
+        # Blocks count with their last chunk.
+        before = Window.partitionBy(*keys, *within).orderBy("_nth").rowsBetween(Window.unboundedPreceding, -1)
+        out = out.withColumns({f"{n}_{level}": F.aggregate(
+            F.collect_list(whole[n] if level == 0 else F.when(full[level], whole[n])).over(before),
+            F.lit(None).cast(MOMENTS), lambda a, b: combine("moments", a, b)) for n in names})
+        out = out.withColumns({f"{n}_whole": combine("moments", F.col(f"{n}_{level}"), whole[n]) for n in names})
+        whole = {n: F.col(f"{n}_whole") for n in names}
+    result = {n: combine("moments", F.col(f"{n}_2"), combine("moments", F.col(f"{n}_1"), F.col(f"{n}_0"))) for n in names}
+    return out.withColumns(result).select(*pieces.columns)

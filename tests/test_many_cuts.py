@@ -1,9 +1,12 @@
 """Groups cut into very many chunks."""
 
+import math
+
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import chunks
-from ledgerloom.operators.chunks import plan_chunks
+from ledgerloom.operators.chunks import MOMENTS, plan_chunks
 
 
 def hot_rows(spark, n):
@@ -33,3 +36,21 @@ def test_points_that_travel_with_a_row_are_few(spark):
         assert all(a[2] < b[1] for a, b in zip(runs, runs[1:]))
     by_time = plan.assign(df, by_time=True).where("from_address = 'hot'")
     assert by_time.groupBy("timestamp").agg(F.count_distinct("_chunk").alias("n")).where("n > 1").isEmpty()
+
+
+@pytest.mark.parametrize("backward", [False, True])
+def test_moments_before_a_chunk_are_merged_in_blocks(spark, backward, monkeypatch):
+    """A chunk reads a list of at most a block's totals per level, not of all chunks before it."""
+    monkeypatch.setattr(chunks, "CHUNKS_PER_BLOCK", 4)
+    n = 150
+    pieces = spark.range(n).select(F.lit("k").alias("key"), F.col("id").cast("int").alias("_chunk"), F.when(F.col("id") % 11 != 0, F.struct(
+        F.lit(1).cast("bigint").alias("n"), (F.col("id") * 1.5).alias("mean"), F.lit(0.0).alias("m2"))).cast(MOMENTS).alias("m"))
+    found = {r["_chunk"]: r["m"] for r in chunks._merged_before(pieces, ["key"], ["m"], backward).collect()}
+    assert len(found) == n
+    for chunk, m in found.items():
+        values = [i * 1.5 for i in range(n) if i % 11 and (i > chunk if backward else i < chunk)]
+        if not values:
+            assert m is None
+            continue
+        mean = math.fsum(values) / len(values)
+        assert (m.n, m.mean, m.m2) == (len(values), pytest.approx(mean), pytest.approx(math.fsum((v - mean) ** 2 for v in values), abs=1e-6))
