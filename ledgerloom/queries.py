@@ -992,15 +992,34 @@ def stream_dedup(spark, sf_dir):
     return spark.read.parquet(f"{root}/unique").select("transaction_hash")
 
 
+ROWS_PER_FILE = 250_000
+
+
+def _deliveries(spark: SparkSession, parts: list[DataFrame], rows: int) -> DataFrame:
+    """A stream that has each part in one micro-batch; ``rows`` is the size of the largest.
+
+    Every delivery is as many files as a micro-batch takes. Empty files make up for a part that
+    filled fewer, so that no batch begins the next delivery.
+    """
+    inbox, files = scratch_dir(spark, "inbox"), 1 + rows // ROWS_PER_FILE
+    written = 0
+    for part in parts:
+        part.repartition(files).write.mode("append").parquet(inbox)
+        written += files
+        missing = written - len(spark.read.schema(part.schema).parquet(inbox).inputFiles())
+        for _ in range(missing if part is not parts[-1] else 0):
+            spark.createDataFrame([], part.schema).coalesce(1).write.mode("append").parquet(inbox)
+    return read_stream(spark, inbox, files_per_batch=files)
+
+
 @query
 def stream_dedup_rows(spark, sf_dir):
     """Whole rows: each comes again an hour later with another amount, and a new one comes a month late."""
-    inbox, rows = scratch_dir(spark, "inbox"), deduplicate(clean(spark, sf_dir), ["transaction_hash"], "first")
+    rows = stage(deduplicate(clean(spark, sf_dir), ["transaction_hash"], "first"), "unique")
     again = rows.withColumns({TIME: F.col(TIME) + F.make_dt_interval(F.lit(0), F.lit(1)), "amount_usd": F.col("amount_usd") + 1.0})
     late = rows.where("block_number = 1").withColumns({"transaction_hash": F.lit("0xlate"), TIME: F.lit(datetime(2023, 12, 1)).cast("timestamp_ntz")})
-    for part in (rows, again, late):
-        part.coalesce(1).write.mode("append").parquet(inbox)
-    out = _closed(deduplicate_stream(read_stream(spark, inbox, files_per_batch=1), ["transaction_hash"], "3 days"))
+    stream = _deliveries(spark, [rows, again, late], rows.count())
+    out = _closed(deduplicate_stream(stream, ["transaction_hash"], "3 days"))
     return shown(out.withColumn(TIME, F.col(TIME).cast("timestamp_ntz")), TX)
 
 
