@@ -1028,14 +1028,12 @@ FLUSH = datetime(2025, 1, 1)
 
 def _delivered(spark, sf_dir) -> DataFrame:
     """A stream of three deliveries: the rows in two of them, then one that is weeks late and one that lets every window close."""
-    inbox, rows = scratch_dir(spark, "inbox"), clean(spark, sf_dir)
+    rows = clean(spark, sf_dir)
     half = F.lit(datetime(2024, 1, 16)).cast("timestamp_ntz")
     late = rows.where("block_number = 100").limit(1)
     last = late.withColumn(TIME, F.lit(datetime(2024, 1, 3)).cast("timestamp_ntz")).unionByName(
         late.withColumns({TIME: F.lit(FLUSH).cast("timestamp_ntz"), ENTITY: F.lit("0xflush")}))
-    for part in (rows.where(F.col(TIME) < half), rows.where(F.col(TIME) >= half), last):
-        part.coalesce(1).write.mode("append").parquet(inbox)
-    return read_stream(spark, inbox, files_per_batch=1)
+    return _deliveries(spark, [rows.where(F.col(TIME) < half), rows.where(F.col(TIME) >= half), last], rows.count())
 
 
 def _closed(stream: DataFrame) -> DataFrame:
