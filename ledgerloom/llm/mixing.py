@@ -19,6 +19,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ledgerloom.session import stage
+
 WORD = r"[^\x20\x09-\x0D]+"
 SPACED_WORD = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"
 PER_BUCKET = 2048
@@ -56,22 +58,27 @@ def mix(df: DataFrame, source: str = "source", id_col: str = "doc_id", weights:
         epochs: float = 3.0, seed: int = 42) -> DataFrame:
     """Add source_size, target, whole (copies) and extra (words of a further, partial copy) to rows with a ``size``.
 
-    Columns of these names are replaced. Three narrow aggregates (sources, hash buckets) and one window over bounded buckets. The
+    Columns of these names are replaced. Sources and hash buckets are summed over ids and sizes alone, in the shared folder.
+    Whole rows move only if they are in the one bucket of their source where its words run out. The
     table of sources has one row per source and is joined as Spark sees fit by its size.
     """
     df = df.drop("source_size", "target", "whole", "extra")
-    targets = source_targets(df.select(source, "size"), source, weights, epochs) \
+    narrow = stage(df.select(source, id_col, "size"), "sizes")
+    targets = source_targets(narrow.select(source, "size"), source, weights, epochs) \
         .withColumnRenamed(source, "_mix_source")
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string"), F.col("size").cast("string")))
-    unit = F.conv(F.substring(digest, 1, 10), 16, 10).cast("long")  # 40 even bits
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    missing = F.round("target").cast("long") - whole * F.col("source_size")
-    buckets = F.ceil(F.col("_mix_docs") / F.lit(PER_BUCKET))
-    rows = df.join(targets, df[source].eqNullSafe(F.col("_mix_source"))).withColumns({
-        "whole": whole, "_mix_missing": missing, "_mix_hash": unit,
-        "_mix_bucket": F.floor(unit.cast("double") / F.lit(float(1 << 40)) * buckets).cast("long")})
+
+    def placed(rows: DataFrame, per: DataFrame) -> DataFrame:
+        digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string"), F.col("size").cast("string")))
+        unit = F.conv(F.substring(digest, 1, 10), 16, 10).cast("long")  # 40 even bits
+        whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
+        missing = F.round("target").cast("long") - whole * F.col("source_size")
+        buckets = F.ceil(F.col("_mix_docs") / F.lit(PER_BUCKET))
+        return rows.join(per, rows[source].eqNullSafe(F.col("_mix_source"))).withColumns({
+            "whole": whole, "_mix_missing": missing, "_mix_hash": unit,
+            "_mix_bucket": F.floor(unit.cast("double") / F.lit(float(1 << 40)) * buckets).cast("long")})
+
     # Words before each bucket, from one row per bucket.
-    sums = rows.groupBy("_mix_source", "_mix_bucket").agg(F.sum("size").alias("_mix_sum"))
+    sums = placed(narrow, targets).groupBy("_mix_source", "_mix_missing", "_mix_bucket").agg(F.sum("size").alias("_mix_sum"))
     # Prefix sums in two levels: blocks of buckets, then buckets within a block.
     block = F.floor(F.col("_mix_bucket") / F.lit(PER_BUCKET))
     within = Window.partitionBy("_mix_source", "_mix_block").orderBy("_mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -81,15 +88,24 @@ def mix(df: DataFrame, source: str = "source", id_col: str = "doc_id", weights:
         .withColumn("_mix_above", F.coalesce(F.sum("_mix_total").over(above), F.lit(0)))
     sums = sums.withColumn("_mix_within", F.coalesce(F.sum("_mix_sum").over(within), F.lit(0)))
     starts = sums.alias("s").join(blocks.alias("b"), F.expr("s._mix_source <=> b._mix_source AND s._mix_block = b._mix_block")) \
-        .select(F.col("s._mix_source").alias("_mix_s"), F.col("s._mix_bucket").alias("_mix_b"),
+        .select(F.col("s._mix_source").alias("_mix_s"), F.col("_mix_bucket").alias("_mix_b"), "_mix_missing",
                 (F.col("_mix_within") + F.col("_mix_above")).alias("_mix_before"))
+    # The words still missing run out in the last bucket that begins before that.
+    edges = starts.where(F.col("_mix_before") < F.col("_mix_missing")).groupBy("_mix_s").agg(
+        F.max(F.struct("_mix_b", "_mix_before")).alias("_mix_edge"))
+    # Staged, so that its size is known when the join with the whole rows is planned.
+    per = stage(targets.join(edges, F.col("_mix_source").eqNullSafe(F.col("_mix_s")), "left").drop("_mix_s"), "targets")
+    rows = placed(df, per)
+    # Buckets before the edge are taken once more, later ones are not. Only the rows of the edge itself move.
+    edge = F.col("_mix_bucket") == F.col("_mix_edge._mix_b")
+    sure = rows.where(~F.coalesce(edge, F.lit(False))).withColumn(
+        "extra", F.when(F.col("_mix_bucket") < F.col("_mix_edge._mix_b"), F.col("size")).otherwise(F.lit(0)).cast("long"))
     inside = Window.partitionBy("_mix_source", "_mix_bucket").orderBy("_mix_hash", id_col, "size") \
         .rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_mix_run", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    rows = rows.join(starts, rows["_mix_source"].eqNullSafe(starts["_mix_s"]) & (rows["_mix_bucket"] == starts["_mix_b"]))
-    room = F.col("_mix_missing") - F.col("_mix_before") - F.col("_mix_run")
-    return rows.withColumn("extra", F.greatest(F.lit(0), F.least(F.col("size"), room))).select(
-        *df.columns, "source_size", "target", "whole", "extra")
+    room = F.col("_mix_missing") - F.col("_mix_edge._mix_before") - F.coalesce(F.sum("size").over(inside), F.lit(0))
+    at_edge = rows.where(edge).withColumn("extra", F.greatest(F.lit(0), F.least(F.col("size"), room)).cast("long"))
+    columns = [*df.columns, "source_size", "target", "whole", "extra"]
+    return sure.select(*columns).unionByName(at_edge.select(*columns))
 
 
 def mixed_documents(df: DataFrame, text: str = "text", source: str = "source", id_col: str = "doc_id", n_chars: str = "n_chars",
