@@ -30,7 +30,8 @@ def null_spread(df: DataFrame) -> int:
 class ChunkPlan:
     """Cut points of the oversized groups of one DataFrame; ``cuts`` is None if there are none.
 
-    A plan also fits any subset of the rows it was measured on, never later rows. ``cuts`` has a
+    A plan also fits any subset of the rows it was measured on, never later rows. ``rows`` is the
+    number of those with a group. ``cuts`` has a
     row per point with its ``_key`` and, unless dropped, the group's ``_last`` time. Points stay
     in the shared folder, in sorted pages; the pages of a group with many are found through pages
     of their first points.
@@ -41,6 +42,7 @@ class ChunkPlan:
     largest: int = 0
     cuts: DataFrame | None = None
     most_cuts: int = 0
+    rows: int = 0
 
     def _known(self) -> Column:
         known = F.lit(True)
@@ -127,10 +129,10 @@ def plan_chunks(df: DataFrame, group: str | list[str], order: list[str],
     for c in group:
         known = known.where(F.col(c).isNotNull())
     sizes = known.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
-    largest = sizes.agg(F.max("_n")).first()[0] or 0
+    largest, rows = (n or 0 for n in sizes.agg(F.max("_n"), F.sum("_n")).first())
     limit = rows_per_chunk
     if largest <= limit:
-        return ChunkPlan(group, order, largest)
+        return ChunkPlan(group, order, largest, rows=rows)
 
     big = known.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"), F.max(order[0]).alias("_last")) \
         .where(F.col("_n") > limit).drop("_n")
@@ -143,8 +145,8 @@ def plan_chunks(df: DataFrame, group: str | list[str], order: list[str],
     cuts = stage(ranked.where(F.col("_i") % SAMPLES_PER_CHUNK == 0).select(*group, "_last", "_key").distinct(), "cuts")
     most = cuts.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
     if most is None:
-        return ChunkPlan(group, order, largest)
-    return ChunkPlan(group, order, largest, cuts, most)
+        return ChunkPlan(group, order, largest, rows=rows)
+    return ChunkPlan(group, order, largest, cuts, most, rows)
 
 
 FOLDS = {"sum": F.sum, "max": F.max, "min": F.min}

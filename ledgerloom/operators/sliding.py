@@ -22,6 +22,7 @@ from ledgerloom.session import stage
 
 FRAMES = {"1h": HOUR, "24h": DAY, "7d": 7 * DAY}
 DENSE_GROUP = 2_000
+ROWS_PER_TASK = 100_000      # every pass of a sweep sorts its rows once more, all in one task
 KINDS = ("count", "sum", "mean", "max", "cv", "distinct")
 
 
@@ -120,7 +121,7 @@ def _sweep(df: DataFrame, wanted: list[Sliding], group: list[str], time: str, pl
     distinct = sorted({v for m, v, _ in changes if m == "d"})
     cut = plan.cuts is not None
     # All windows below are partitioned by these columns and others, so none of them moves rows again.
-    out = (base.where(~F.col("_cut")) if cut else base).repartition(*group, "_chunk")
+    out = (base.where(~F.col("_cut")) if cut else base).repartition(*_parts_for(df, plan), *group, "_chunk")
     sparse = None
     if dense > 0:  # each group takes the plan that suits it, after the same exchange
         sized = out.withColumn("_size", F.count(F.lit(1)).over(Window.partitionBy(*group, "_chunk")))
@@ -159,6 +160,13 @@ def _sweep(df: DataFrame, wanted: list[Sliding], group: list[str], time: str, pl
     return _finish(out, df, wanted, group)
 
 
+def _parts_for(df: DataFrame, plan: ChunkPlan) -> list[int]:
+    """Number of tasks of a sweep where the session's own would give each too many rows; left to the session otherwise."""
+    needed = -(-plan.rows // ROWS_PER_TASK)
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return [max(needed, usual)] if needed > 1 else []
+
+
 def _with_names(df: DataFrame, wanted: list[Sliding]) -> list[str]:
     names = [s.name for s in wanted]
     return [c for c in df.columns if c not in names] + names
@@ -224,7 +232,7 @@ def _by_instant(plan: ChunkPlan) -> ChunkPlan:
     """The plan's cut points as microseconds of their time alone."""
     at = F.struct(F.col("_key.n0").alias("n0"), micros("_key.k0").alias("k0"))
     cuts = plan.cuts.select(*plan.group, at.alias("_key")).distinct()
-    return ChunkPlan(plan.group, ["_at"], plan.largest, cuts, plan.most_cuts)
+    return ChunkPlan(plan.group, ["_at"], plan.largest, cuts, plan.most_cuts, plan.rows)
 
 
 def _next_seen(rows: DataFrame, value: str, group: list[str], base: DataFrame | None = None) -> DataFrame:
