@@ -675,7 +675,7 @@ SCALES = {"dust": (1e-9, 0.0), "near": (1e-3, 1e5), "large": (1e12, 0.0)}
 def _scaled(spark, sf_dir, rows_per_chunk: int = ROWS_PER_CHUNK, dense: int | None = None) -> DataFrame:
     """Scale-free statistics of amounts that are tiny, nearly equal, or very large."""
     options = {} if dense is None else {"dense": dense}
-    rows, plan, parts = settled(spark, sf_dir), address_plan(spark, sf_dir, rows_per_chunk), []
+    rows, plan, parts = stage(settled(spark, sf_dir), "settled"), address_plan(spark, sf_dir, rows_per_chunk), []
     for name, (factor, base) in SCALES.items():
         df = rows.withColumn("amount_usd", F.col("amount_usd") * F.lit(factor) + F.lit(base))
         out = add_features(df, ["amount_statistics"], plan=plan, **options)
