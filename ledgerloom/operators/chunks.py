@@ -8,6 +8,7 @@ totals, which are small.
 
 from __future__ import annotations
 
+from collections.abc import Collection
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -31,7 +32,7 @@ class ChunkPlan:
     """Cut points of the oversized groups of one DataFrame; ``cuts`` is None if there are none.
 
     A plan also fits any subset of the rows it was measured on, never later rows. ``rows`` is the
-    number of those with a group. ``cuts`` has a
+    number of those in groups that are not cut. ``cuts`` has a
     row per point with its ``_key`` and, unless dropped, the group's ``_last`` time. Points stay
     in the shared folder, in sorted pages; the pages of a group with many are found through pages
     of their first points.
@@ -129,8 +130,9 @@ def plan_chunks(df: DataFrame, group: str | list[str], order: list[str],
     for c in group:
         known = known.where(F.col(c).isNotNull())
     sizes = known.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
-    largest, rows = (n or 0 for n in sizes.agg(F.max("_n"), F.sum("_n")).first())
     limit = rows_per_chunk
+    largest, rows, whole = (n or 0 for n in sizes.agg(
+        F.max("_n"), F.sum("_n"), F.sum(F.when(F.col("_n") <= limit, F.col("_n")))).first())
     if largest <= limit:
         return ChunkPlan(group, order, largest, rows=rows)
 
@@ -146,7 +148,7 @@ def plan_chunks(df: DataFrame, group: str | list[str], order: list[str],
     most = cuts.groupBy(*group).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
     if most is None:
         return ChunkPlan(group, order, largest, rows=rows)
-    return ChunkPlan(group, order, largest, cuts, most, rows)
+    return ChunkPlan(group, order, largest, cuts, most, whole)
 
 
 FOLDS = {"sum": F.sum, "max": F.max, "min": F.min}
@@ -193,23 +195,26 @@ def running_totals(df: DataFrame, keys: list[str], order: list[Column],
     frame = Window.partitionBy(*keys, "_chunk").orderBy(*order)
     frame = (frame.rangeBetween if peers else frame.rowsBetween)(Window.unboundedPreceding, Window.currentRow)
     local = df.withColumns({name: fold(kind, x, frame) for name, (kind, x) in totals.items()})
-    if not cut:
-        return local
-    pieces = (df if base is None else base).groupBy(*keys, "_chunk").agg(*[fold(kind, x).alias(name) for name, (kind, x) in totals.items()])
-    before = (Window.partitionBy(*keys)
-              .orderBy(F.col("_chunk").desc() if backward else F.col("_chunk").asc())
-              .rowsBetween(Window.unboundedPreceding, -1))
+    return add_earlier(local, df if base is None else base, keys, totals, totals if backward else ()) if cut else local
+
+
+def add_earlier(local: DataFrame, base: DataFrame, keys: list[str], totals: dict[str, tuple[str, Column]],
+                backward: Collection[str] = ()) -> DataFrame:
+    """Totals that run within each chunk, merged with those of the chunks before it; after it for names in ``backward``."""
+    pieces = base.groupBy(*keys, "_chunk").agg(*[fold(kind, x).alias(name) for name, (kind, x) in totals.items()])
 
     def earlier(kind: str, name: str) -> Column:
-        if kind != "moments":
-            return FOLDS[kind](name).over(before)
-        return F.col(name)
+        before = (Window.partitionBy(*keys)
+                  .orderBy(F.col("_chunk").desc() if name in backward else F.col("_chunk").asc())
+                  .rowsBetween(Window.unboundedPreceding, -1))
+        return F.col(name) if kind == "moments" else FOLDS[kind](name).over(before)
 
     carried = pieces.select(*keys, "_chunk", *[
         earlier(kind, name).alias(f"_before_{name}") for name, (kind, _) in totals.items()])
-    moments = [f"_before_{name}" for name, (kind, _) in totals.items() if kind == "moments"]
-    if moments:
-        carried = _merged_before(carried, keys, moments, backward)
+    for back in (False, True):
+        moments = [f"_before_{name}" for name, (kind, _) in totals.items() if kind == "moments" and (name in backward) == back]
+        if moments:
+            carried = _merged_before(carried, keys, moments, back)
     # The window left the rows partitioned by these join keys: only the totals move.
     return (local.join(carried, [*keys, "_chunk"], "left")
             .withColumns({name: combine(kind, F.col(name), F.col(f"_before_{name}"))

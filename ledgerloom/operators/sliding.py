@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ledgerloom.functions.scalars import DAY, HOUR, micros
-from ledgerloom.operators.chunks import ChunkPlan, combine, deviation, null_spread, plan_chunks, running_totals
+from ledgerloom.operators.chunks import ChunkPlan, add_earlier, combine, deviation, null_spread, plan_chunks, running_totals
 from ledgerloom.operators.dedup import total_order
 from ledgerloom.operators.rolling import as_list, in_group
 from ledgerloom.schema import ENTITY, TIME
@@ -263,11 +263,16 @@ def _counts(swept: list[Sliding], changes: dict) -> dict[str, Column]:
 # -- merged aggregates ---------------------------------------------------------------------
 
 def _parts(merged: list[Sliding]) -> dict[tuple[str, str], str]:
-    """One running aggregate per (fold, value), shared by the columns that need it."""
-    folds = {"sum": "sum", "mean": "moments", "cv": "moments", "max": "max", "count": "count"}
+    """One running aggregate per (fold, value), shared by the columns that need it.
+
+    A mean is sum over count, as in Spark's own average, unless the value's moments are there anyway.
+    """
+    folds = {"cv": ["moments"], "mean": ["sum", "count"]}
+    spread = {s.value for s in merged if s.kind == "cv"}
     parts: dict[tuple[str, str], str] = {}
     for s in merged:
-        parts.setdefault((folds[s.kind], s.value), f"_p{len(parts)}")
+        for kind in ["moments"] if s.kind == "mean" and s.value in spread else folds.get(s.kind, [s.kind]):
+            parts.setdefault((kind, s.value), f"_p{len(parts)}")
     return parts
 
 
@@ -280,6 +285,9 @@ def _merged(merged: list[Sliding], parts: dict[tuple[str, str], str]) -> dict[st
         if s.kind == "count":
             out[s.name] = F.coalesce(parts[("count", s.value)], F.lit(0).cast("bigint"))
             continue
+        if ("moments", s.value) not in parts:
+            out[s.name] = F.try_divide(F.col(parts[("sum", s.value)]), F.col(parts[("count", s.value)]))
+            continue
         moments = F.col(parts[("moments", s.value)])
         out[s.name] = moments["mean"] if s.kind == "mean" else F.try_divide(deviation(moments), moments["mean"])
     return out
@@ -303,10 +311,13 @@ def _mark(rows: DataFrame, parts: dict[tuple[str, str], str], span: int, echo: b
 def _two_sided(marks: DataFrame, parts: dict[tuple[str, str], str], keys: list[str], cut: bool) -> DataFrame:
     """Both sides of the frame within each slot of ``keys``, merged."""
     folds = {n: "sum" if kind == "count" else kind for (kind, _), n in parts.items()}
-    begun = running_totals(marks, keys, [F.col("_at").asc()], {
-        f"{n}_begin": (kind, F.col(f"{n}_now")) for n, kind in folds.items()}, cut, peers=True)
-    both = running_totals(begun, keys, [F.col("_at").desc()], {
-        f"{n}_rest": (kind, F.col(f"{n}_echo")) for n, kind in folds.items()}, cut, peers=True, backward=True, base=marks)
+    begin = {f"{n}_begin": (kind, F.col(f"{n}_now")) for n, kind in folds.items()}
+    rest = {f"{n}_rest": (kind, F.col(f"{n}_echo")) for n, kind in folds.items()}
+    # Both sides run in the same tasks, and other chunks' totals of both are met in one join.
+    both = running_totals(marks, keys, [F.col("_at").asc()], begin, cut=False, peers=True)
+    both = running_totals(both, keys, [F.col("_at").desc()], rest, cut=False, peers=True)
+    if cut:
+        both = add_earlier(both, marks, keys, {**begin, **rest}, rest)
     return both.withColumns({n: combine(kind, F.col(f"{n}_rest"), F.col(f"{n}_begin")) for n, kind in folds.items()})
 
 
