@@ -35,7 +35,8 @@ class ChunkPlan:
     number of those in groups that are not cut. ``cuts`` has a
     row per point with its ``_key`` and, unless dropped, the group's ``_last`` time. Points stay
     in the shared folder, in sorted pages; the pages of a group with many are found through pages
-    of their first points.
+    of their first points. ``placed`` rows have their ``_chunk`` already, so that windows one after
+    the other are partitioned by the same column.
     """
 
     group: list[str]
@@ -44,6 +45,7 @@ class ChunkPlan:
     cuts: DataFrame | None = None
     most_cuts: int = 0
     rows: int = 0
+    placed: bool = False
 
     def _known(self) -> Column:
         known = F.lit(True)
@@ -84,6 +86,8 @@ class ChunkPlan:
         ``by_time`` compares the first order column only, which keeps rows of equal time in
         one chunk. Rows with a null group belong to no group: they are only spread out.
         """
+        if self.placed:
+            return df
         spread = F.pmod(F.xxhash64(*self.order), F.lit(null_spread(df))).cast("int")
         if self.cuts is None:
             return df.withColumn("_chunk", F.when(self._known(), F.lit(0)).otherwise(spread))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -62,7 +62,8 @@ def add_features(df: DataFrame, groups: list[str] | None = None, as_of: datetime
     features are skipped without it. With ``prior`` the facts of a lifetime go on from there;
     frames and ranks need their rows in ``df``. Plans may be measured on any superset of the rows, for
     instance on the raw table. With oversized groups the rows are staged first, since the
-    chunked plans scan them more than once.
+    chunked plans scan them more than once. Without, ranks are taken while rows are narrow, and all
+    that is by entity then follows one exchange.
     """
     groups = list(FEATURE_GROUPS) if groups is None else groups
     unknown = set(groups) - set(FEATURE_GROUPS)
@@ -79,17 +80,22 @@ def add_features(df: DataFrame, groups: list[str] | None = None, as_of: datetime
     if plan.cuts is not None or (day_plan is not None and day_plan.cuts is not None):
         base = stage(base, "features")
     out = base
+    whole = plan.cuts is None and plan.largest <= dense
+    if whole:
+        if "amount_statistics" in groups:
+            out = _day_ranks(out, base, day_plan)
+        out, plan = plan.assign(out), replace(plan, placed=True)
     frames = _frames(groups)
     if frames:
         out = sliding(out, frames, ENTITY, TIME, plan, dense)
     if set(groups) & {"amount_statistics", "behavioral", "risk_signals"}:
         out = history(out, ENTITY, "amount_usd" if prior is None else "_counted", TIME, plan, base)
         if prior is not None:
-            out = _after(out, prior)
-    if "amount_statistics" in groups:
-        out = _amount_statistics(out, base, day_plan)
+            out = _after(out, prior, whole)
     if "behavioral" in groups:
-        out = _behavioral(out, base, as_of, prior)
+        out = _behavioral(out, base, as_of, prior, whole)
+    if "amount_statistics" in groups:
+        out = _amount_statistics(out if whole else _day_ranks(out, base, day_plan))
     if "risk_signals" in groups:
         out = _risk_signals(out, limits)
     if "network" in groups:
@@ -99,10 +105,17 @@ def add_features(df: DataFrame, groups: list[str] | None = None, as_of: datetime
     return out.select(*kept, *wanted)
 
 
-def _after(df: DataFrame, prior: Prior) -> DataFrame:
-    """Merge the facts from before into the running ones. One row per entity: a hot one can be split by the skew join."""
+def _join_entities(df: DataFrame, facts: DataFrame, placed: bool) -> DataFrame:
+    """Add one row per entity. A hot entity can be split by the skew join; rows placed by entity stay where they are."""
+    if not placed:
+        return df.join(facts, ENTITY, "left")
+    return df.join(facts.withColumn("_chunk", F.when(F.col(ENTITY).isNotNull(), 0)), [ENTITY, "_chunk"], "left")
+
+
+def _after(df: DataFrame, prior: Prior, placed: bool) -> DataFrame:
+    """Merge the facts from before into the running ones."""
     facts = prior.facts.select(ENTITY, F.struct("first_time", "last_time", "moments").alias("_before"))
-    return df.join(facts, ENTITY, "left").withColumns({
+    return _join_entities(df, facts, placed).withColumns({
         "_hist": combine("moments", F.col("_hist"), F.col("_before.moments")),
         "_first_time": F.least("_first_time", "_before.first_time"),
         "_previous_time": F.coalesce("_previous_time", "_before.last_time"),
@@ -146,16 +159,19 @@ def _night() -> Column:
     return F.hour(TIME) < 6
 
 
-def _amount_statistics(df: DataFrame, base: DataFrame, day_plan: ChunkPlan) -> DataFrame:
+def _day_ranks(df: DataFrame, base: DataFrame, day_plan: ChunkPlan) -> DataFrame:
+    return percent_rank(_with_day(df), "_day", "amount_usd", "amount_percentile", day_plan, _with_day(base))
+
+
+def _amount_statistics(df: DataFrame) -> DataFrame:
     amount, seen = F.col("amount_usd"), F.col("_hist")
-    out = add_amount_columns(_with_day(df)).withColumns({
+    return add_amount_columns(df).withColumns({
         "amount_zscore": F.try_divide(amount - seen["mean"], deviation(seen)),
         "amount_momentum": F.try_divide(amount, F.col("amount_mean_7d")) - 1,
     })
-    return percent_rank(out, "_day", "amount_usd", "amount_percentile", day_plan, _with_day(base))
 
 
-def _behavioral(df: DataFrame, base: DataFrame, as_of: datetime | None, prior: Prior | None) -> DataFrame:
+def _behavioral(df: DataFrame, base: DataFrame, as_of: datetime | None, prior: Prior | None, placed: bool) -> DataFrame:
     at = F.col(TIME)
     until = F.lit(as_of).cast("timestamp_ntz") if as_of else F.current_timestamp().cast("timestamp_ntz")
     out = df.withColumns({
@@ -171,8 +187,7 @@ def _behavioral(df: DataFrame, base: DataFrame, as_of: datetime | None, prior: P
     if prior is not None:
         known = known.where(prior.fresh)
     preferred = modes_per_group(known, [ENTITY], MODES, prior.counts if prior is not None else None)
-    # One row per entity, and one join only: the adaptive skew join can then split a hot entity.
-    return out.join(preferred, ENTITY, "left")
+    return _join_entities(out, preferred, placed)
 
 
 def _risk_signals(df: DataFrame, limits: Thresholds) -> DataFrame:

@@ -40,9 +40,12 @@ def value_counts(df: DataFrame, group: list[str], columns: dict[str, str]) -> Da
     ``columns`` maps names to columns. All are counted in one pass, combined map-side, so a
     hot group moves one row per value and task.
     """
+    return _values(df, group, columns).groupBy(*group, "name", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _values(df: DataFrame, group: list[str], columns: dict[str, str]) -> DataFrame:
     pairs = F.array(*[F.struct(F.lit(name).alias("name"), F.col(c).alias("value")) for name, c in columns.items()])
-    return (df.select(*group, F.inline(pairs)).where(F.col("value").isNotNull())
-            .groupBy(*group, "name", "value").agg(F.count(F.lit(1)).alias("n")))
+    return df.select(*group, F.inline(pairs)).where(F.col("value").isNotNull())
 
 
 def modes_per_group(df: DataFrame, group: list[str], columns: dict[str, str], more: DataFrame | None = None) -> DataFrame:
@@ -50,9 +53,11 @@ def modes_per_group(df: DataFrame, group: list[str], columns: dict[str, str], mo
 
     ``more`` are counts of other rows of the groups, as ``value_counts`` makes them.
     """
-    counts = value_counts(df, group, columns)
-    if more is not None:
-        counts = counts.unionByName(more).groupBy(*group, "name", "value").agg(F.sum("n").alias("n"))
+    if more is None:
+        counts = value_counts(df, group, columns)
+    else:  # counted together: a union of two counts is not coalesced into fewer tasks
+        ones = _values(df, group, columns).withColumn("n", F.lit(1).cast("bigint"))
+        counts = ones.unionByName(more).groupBy(*group, "name", "value").agg(F.sum("n").alias("n"))
     return counts.groupBy(*group).agg(*[
         F.max_by("value", F.when(F.col("name") == name, F.struct("n", "value"))).alias(name)
         for name in columns])
