@@ -75,6 +75,42 @@ def runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[dict[st
         yield joined()
 
 
+def whole_runs(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int = 20_000) -> Iterator[tuple[dict[str, np.ndarray], np.ndarray]]:
+    """Columns of sorted batches, cut between runs of equal ``keys`` only, and where runs begin, and the end.
+
+    Some runs come at a time, of ``rows`` rows or more in all but the last time.
+    """
+    waiting: list[dict[str, np.ndarray]] = []
+    held = 0
+
+    def joined() -> tuple[dict[str, np.ndarray], np.ndarray]:
+        cols = {n: np.concatenate([w[n] for w in waiting]) for n in waiting[0]}
+        change = np.zeros(held - 1, dtype=bool)
+        for k in keys:
+            change |= cols[k][1:] != cols[k][:-1]
+        return cols, np.array([0, *(np.flatnonzero(change) + 1).tolist(), held])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = columns_of(batch)
+        if held >= rows and any((cols[k] != waiting[-1][k][-1]).any() for k in keys):
+            # Up to where the last run that waits ends.
+            other = np.zeros(batch.num_rows, dtype=bool)
+            for k in keys:
+                other |= cols[k] != waiting[-1][k][-1]
+            at = int(other.argmax())
+            waiting.append({n: c[:at] for n, c in cols.items()})
+            held += at
+            yield joined()
+            waiting, held = [], 0
+            cols = {n: c[at:] for n, c in cols.items()}
+        waiting.append(cols)
+        held += len(cols[keys[0]])
+    if waiting:
+        yield joined()
+
+
 def over_runs(df: DataFrame, keys: list[str], fn: Callable[[dict[str, np.ndarray]], list | None], schema: str,
               partitions: int | None = None) -> DataFrame:
     """Apply ``fn`` to each run of ``keys``; it returns arrays in the order of ``schema`` or None."""
